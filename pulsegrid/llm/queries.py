@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pulsegrid.llm import ngram_join
+from pulsegrid.llm import ngram_join, piece_bpe
 from pulsegrid.llm.oracles import ORACLES
 from pulsegrid.llm.shared import table
 
@@ -18,6 +18,16 @@ def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.similarity_components(docs, k=3, num=9, den=10).select("doc_id", "n_shingles", "component_id")
 
 
+def piece_model() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
+def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_bpe.encode_texts(table(spark, sf_dir, "documents"), piece_model(), with_ids=False)
+
+
 def queries() -> dict[str, Query]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
