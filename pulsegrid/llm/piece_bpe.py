@@ -185,9 +185,14 @@ class MergeVocabulary:
         return flat, np.searchsorted(who, np.arange(len(n) + 1))
 
     def check(self, cps: np.ndarray, off: np.ndarray, ids: np.ndarray, ids_off: np.ndarray) -> None:
-        """The library must give the same ids and text for the chunks, 64 at a time (it adds the first space itself)."""
+        """The library must give the same ids and text for the chunks, up to 64 at a time (it adds the first space itself).
+
+        A chunk of spaces alone ends its group: it would run into the next one's.
+        """
         whole = cps.astype("<u4").tobytes().decode("utf-32-le")
-        cut, ids_cut = np.r_[off[:-1:64], off[-1]].tolist(), np.r_[ids_off[:-1:64], ids_off[-1]].tolist()
+        n = len(off) - 1
+        groups = np.unique(np.r_[np.arange(0, n, 64), np.flatnonzero(cps[off[1:] - 1] == ord(SPACE)) + 1, n])
+        cut, ids_cut = off[groups].tolist(), ids_off[groups].tolist()
         texts = [whole[a + 1 : b].replace(SPACE, " ") for a, b in zip(cut[:-1], cut[1:], strict=True)]
         flat = ids.tolist()
         for t, a, b, theirs in zip(texts, ids_cut[:-1], ids_cut[1:], self.library.encode(texts, num_threads=1), strict=True):
