@@ -20,10 +20,13 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pulsegrid.llm.textkernel import mix
+
 U = np.uint64
 SPACE = "▁"
 #: Code points taken at once, and the chunk length from which the heap is used.
-SLICE, LONG = 2_000_000, 48
+SLICE, LONG = 4_000_000, 48
+_BASE = 0x5851F42D4C957F2D
 _UNKNOWN = 1 << 20  # symbols for code points without a piece
 
 
@@ -69,7 +72,8 @@ class MergeVocabulary:
         self.text_len = np.array([len(t) for t in self.texts], np.int64)
         self.text_off = np.r_[0, np.cumsum(self.text_len)]
         self.text_all = np.frombuffer(b"".join(self.texts), np.uint8)
-        self.plain = not any(k[3] for k in kinds) or (self.bytes >= 0).all()
+        self.powers = (np.ones(1, U), np.ones(1, U))
+        self.values = mix(np.arange(7, 7 + 0x110000, dtype=U))
 
     def agenda(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(score, merged piece) of each pair; minus infinity where the pair is no piece."""
@@ -245,19 +249,17 @@ class MergeVocabulary:
     def _encode_slice(self, segments: list[str], checked: bool) -> list[np.ndarray]:
         import pandas as pd
 
-        from pulsegrid.llm.textkernel import mix
-
-        cps = np.frombuffer("".join(segments).encode("utf-32-le"), "<u4").astype(np.int64)
+        cps = np.frombuffer("".join(segments).encode("utf-32-le"), "<u4")
         seg_off = np.r_[0, np.cumsum([len(s) for s in segments])]
         space = cps == ord(SPACE)
         begins = space & ~np.r_[False, space[:-1]]
         begins[seg_off[:-1]] = True
         start = np.flatnonzero(begins)
         end = np.r_[start[1:], len(cps)]
-        powers = np.multiply.accumulate(np.r_[U(1), np.full(len(cps), 0x5851F42D4C957F2D, U)])
-        inverse = np.multiply.accumulate(np.r_[U(1), np.full(len(cps), pow(0x5851F42D4C957F2D, -1, 1 << 64), U)])
-        total = np.r_[U(0), np.cumsum(mix(cps.astype(U) + U(7)) * powers[: len(cps)])]
-        code, _ = pd.factorize(mix((total[end] - total[start]) * inverse[start] + (end - start).astype(U)))
+        if len(self.powers[0]) <= len(cps):
+            self.powers = tuple(np.multiply.accumulate(np.r_[U(1), np.full(len(cps), x, U)]) for x in (_BASE, pow(_BASE, -1, 1 << 64)))
+        total = np.r_[U(0), np.cumsum(self.values[cps] * self.powers[0][: len(cps)])]
+        code, _ = pd.factorize(mix((total[end] - total[start]) * self.powers[1][start] + (end - start).astype(U)))
         first = np.empty(code.max() + 1 if len(code) else 0, np.int64)
         first[code[::-1]] = np.arange(len(code))[::-1]
         lens = (end - start)[first]
