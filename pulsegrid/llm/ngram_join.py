@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pulsegrid.llm.components import connected_components
-from pulsegrid.llm.shared import materialize, small_side
+from pulsegrid.llm.shared import discard, materialize, small_side
 from pulsegrid.llm.textkernel import WordHasher, distinct_sets, mix, shingle_hashes, utf8
 
 U = np.uint64
@@ -59,10 +59,10 @@ def _counter_blocks(k: int, bits: int):
 
         hasher, counts, seen = WordHasher("space"), np.zeros(1 << bits, np.uint32), False
         for b in batches:
-            for s in _sets(b.column(0), hasher, k):
-                if len(s):
-                    seen = True
-                    np.add.at(counts, s >> U(64 - bits), 1)
+            full = [s for s in _sets(b.column(0), hasher, k) if len(s)]
+            if full:
+                seen = True
+                np.add.at(counts, np.concatenate(full) >> U(64 - bits), np.uint32(1))
         if seen:
             size = min(1 << 16, len(counts))
             salt = TaskContext.get().partitionId() % 16
@@ -224,7 +224,7 @@ def _pairs_in_blocks(num, den):
                         x, y = left[a + ii], right[jj]
                         flip = np.array([node[p] > node[q] for p, q in zip(x, y, strict=True)], bool)
                         x, y = np.where(flip, y, x), np.where(flip, x, y)
-                        yield pa.RecordBatch.from_arrays([pa.array(node[x], pa.binary()), pa.array(node[y], pa.binary()), pa.array(need[ii, jj], pa.int32())], names=["x", "y", "need"])
+                        yield pa.RecordBatch.from_arrays([pa.array(node[x], pa.binary()), pa.array(node[y], pa.binary()), *(pa.array(c.astype(np.int32)) for c in (need[ii, jj], n[x], n[y], pos[x], pos[y]))], names=["x", "y", "need", "nx", "ny", "px", "py"])
 
     return run
 
@@ -255,12 +255,16 @@ def similarity_components(docs: DataFrame, k: int = 5, num: int = 4, den: int =
     often = materialize(posted.groupBy("token").agg(F.count("*").alias("m")).where("m > 1"), "often")
     posted = materialize(posted.join(small_side(often), "token"), "posted")
 
-    ids = materialize(posted.select(F.col("rep").alias("id")).distinct(), "ids")
-    sets = materialize(base.join(small_side(ids), "id", "left_semi").select("text").mapInArrow(_set_rows(k), "node binary, items binary"), "sets")
-
     def verified(pairs: DataFrame) -> DataFrame:
+        """The pairs (x, y) that link; only texts that are in a pair are read into sets."""
+        pairs = materialize(pairs, "pairs")
+        ids = pairs.select(F.explode(F.array("x", "y")).alias("node")).distinct().join(reps, "node").select(F.col("rep").alias("id")).distinct()
+        ids = materialize(ids, "ids")
+        sets = materialize(base.join(small_side(ids), "id", "left_semi").select("text").mapInArrow(_set_rows(k), "node binary, items binary"), "sets")
         full = pairs.join(sets.withColumnsRenamed({"node": "x", "items": "ix"}), "x").join(sets.withColumnsRenamed({"node": "y", "items": "iy"}), "y")
-        return full.select("x", "y", "ix", "iy").mapInArrow(_verified(num, den), "x binary, y binary")
+        links = materialize(full.select("x", "y", "ix", "iy").mapInArrow(_verified(num, den), "x binary, y binary").distinct(), "links")
+        discard(sets)
+        return links
 
     reps = posted.select("node", "rep").distinct()
 
@@ -270,7 +274,7 @@ def similarity_components(docs: DataFrame, k: int = 5, num: int = 4, den: int =
     hub = posted.groupBy("token").agg(F.min(F.struct("pos", "n", "node")).alias("h"))
     star = posted.join(hub, "token").where("node != h.node").select(F.col("h.node").alias("x"), F.col("node").alias("y"), F.col("h.n").alias("nx"), "n", F.least("pos", "h.pos").alias("before"), F.least(F.col("n") - F.col("pos"), F.col("h.n") - F.col("h.pos")).alias("after"))
     star = star.where(f"{num + den} * (before + after) >= {num} * (nx + n) and {den} * least(nx, n) >= {num} * greatest(nx, n)")
-    star = materialize(verified(materialize(star.select("x", "y").distinct(), "star")), "links")
+    star = verified(star.select("x", "y").distinct())
     cc = materialize(connected_components(as_edges(star), "a", "b"), "components")
 
     labelled = posted.join(small_side(cc), posted.rep == cc.id, "left").select(posted["*"], F.coalesce("component", "rep").alias("comp"))
@@ -280,9 +284,11 @@ def similarity_components(docs: DataFrame, k: int = 5, num: int = 4, den: int =
     rows = rows.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.select("token", F.least("blk", "o").alias("bi"), F.greatest("blk", "o").alias("bj"), "node", "comp", "n", "pos", "l", "level", "blk")
     dealt = rows.repartition("token", "bi", "bj").sortWithinPartitions("token", "bi", "bj")
-    found = dealt.mapInArrow(_pairs_in_blocks(num, den), "x binary, y binary, need int")
-    pairs = found.groupBy("x", "y").agg(F.count("*").alias("matches"), F.max("need").alias("need")).where("matches >= need").select("x", "y")
-    links = materialize(verified(materialize(pairs, "pairs")), "links")
+    found = dealt.mapInArrow(_pairs_in_blocks(num, den), "x binary, y binary, need int, nx int, ny int, px int, py int")
+    pairs = found.groupBy("x", "y").agg(F.count("*").alias("matches"), F.max("need").alias("need"), F.max("nx").alias("nx"), F.max("ny").alias("ny"), F.max("px").alias("px"), F.max("py").alias("py"))
+    # what stands before the last common prefix shingle and isn't common can't be in the intersection
+    pairs = pairs.where(f"matches >= need and {num + den} * (matches + least(nx - 1 - px, ny - 1 - py)) >= {num} * (nx + ny)")
+    links = verified(pairs.select("x", "y"))
     edges = as_edges(star.unionByName(links))
     final = materialize(connected_components(edges, "a", "b"), "components")
 
