@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 
 from pulsegrid.llm.components import connected_components
 from pulsegrid.llm.shared import discard, materialize, small_side
-from pulsegrid.llm.textkernel import WordHasher, distinct_sets, mix, shingle_hashes, utf8
+from pulsegrid.llm.textkernel import WordHasher, distinct_sets, mix, shingle_hashes, sliced, utf8
 
 U = np.uint64
 RANK_BITS = 6
@@ -58,7 +58,7 @@ def _counter_blocks(k: int, bits: int):
         from pyspark import TaskContext
 
         hasher, counts, seen = WordHasher("space"), np.zeros(1 << bits, np.uint32), False
-        for b in batches:
+        for b in sliced(batches, 0):
             full = [s for s in _sets(b.column(0), hasher, k) if len(s)]
             if full:
                 seen = True
@@ -126,7 +126,7 @@ def _prefix_rows(k, num, den, bits, ranks, mean, longest, verify_cost):
         import pyarrow as pa
 
         hasher, table = WordHasher("space"), ranks.value
-        for b in batches:
+        for b in sliced(batches, 1):
             n, digest, level, flat, off = [], [], [], [], [0]
             for s in _sets(b.column(1), hasher, k):
                 n.append(len(s))
@@ -146,7 +146,7 @@ def _set_rows(k):
         import pyarrow as pa
 
         hasher = WordHasher("space")
-        for b in batches:
+        for b in sliced(batches, 0):
             full = [s for s in _sets(b.column(0), hasher, k) if len(s)]
             yield pa.RecordBatch.from_arrays([pa.array([_digest(s) for s in full], pa.binary()), pa.array([s.tobytes() for s in full], pa.binary())], names=["node", "items"])
 

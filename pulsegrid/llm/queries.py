@@ -5,19 +5,33 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from pulsegrid.llm import ngram_join, piece_bpe
+from pulsegrid.llm import license_scan, ngram_join, piece_bpe, secret_scan, span_dedup, topk, toxicity
 from pulsegrid.llm.oracles import ORACLES
 from pulsegrid.llm.shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return toxicity.score_texts(docs, toxicity.fit(docs, labels))
+
+
+def op3_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k_inner(table(spark, sf_dir, "embeddings"), lambda i: F.pmod(i, F.lit(100)) == 0)
+
+
 def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return ngram_join.similarity_components(docs, k=3, num=9, den=10).select("doc_id", "n_shingles", "component_id")
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan_licenses(table(spark, sf_dir, "documents"))
+
+
 def piece_model() -> str:
     import public_tokenizers
 
@@ -28,8 +42,16 @@ def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_bpe.encode_texts(table(spark, sf_dir, "documents"), piece_model(), with_ids=False)
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return span_dedup.remove_repeated_spans(table(spark, sf_dir, "documents"))
+
+
+def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan_secrets(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
-    return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
+    return {name: f for name, f in globals().items() if name[:2] == "op" and name[2:3].isdigit()}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -54,6 +54,41 @@ def utf8(column) -> tuple[np.ndarray, np.ndarray]:
     return raw, off - off[0]
 
 
+def sliced(batches, text_index: int, limit: int = 1 << 23):
+    """The batches in slices of about limit bytes of text (one row at least)."""
+    for b in batches:
+        if b.num_rows <= 1 or b.column(text_index).nbytes <= limit:
+            if b.num_rows:
+                yield b
+            continue
+        size = np.diff(utf8(b.column(text_index))[1])
+        at, held = 0, 0
+        for i, n in enumerate(size.tolist()):
+            if held and held + n > limit:
+                yield b.slice(at, i - at)
+                at, held = i, 0
+            held += n
+        yield b.slice(at)
+
+
+def runs_of(member: np.ndarray, raw: np.ndarray, off: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """First and end byte of the maximal runs, inside one text each, of least bytes or more that member (by byte) holds for."""
+    n = len(raw)
+    if not n:
+        z = np.zeros(0, np.int64)
+        return z, z
+    inside = member[raw]
+    fresh = np.zeros(n + 1, bool)
+    fresh[off] = True
+    start = inside.copy()
+    start[1:] &= ~inside[:-1] | fresh[1:n]
+    end = inside.copy()
+    end[:-1] &= ~inside[1:] | fresh[1:n]
+    s, e = np.flatnonzero(start), np.flatnonzero(end) + 1
+    keep = e - s >= least
+    return s[keep], e[keep]
+
+
 class WordHasher:
     """Hashes of the words of texts, A-Z in lower case.  One per task."""
 
