@@ -54,7 +54,7 @@ def utf8(column) -> tuple[np.ndarray, np.ndarray]:
     return raw, off - off[0]
 
 
-def sliced(batches, text_index: int, limit: int = 1 << 23):
+def sliced(batches, text_index: int, limit: int = 1 << 22):
     """The batches in slices of about limit bytes of text (one row at least)."""
     for b in batches:
         if b.num_rows <= 1 or b.column(text_index).nbytes <= limit:

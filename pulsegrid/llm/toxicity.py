@@ -33,11 +33,11 @@ class PUConfig:
     least_z: float = 4.0
     least_docs: int = 4
     models: int = 5
-    dropout: float = 0.6
-    epochs: int = 60
+    dropout: float = 0.8
+    epochs: int = 80
     batch: int = 512
     rate: float = 0.05
-    decay: float = 1e-4
+    decay: float = 2e-4
     seed: int = 7
 
 
