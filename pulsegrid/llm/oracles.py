@@ -45,3 +45,23 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (
     SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s
 ) WHERE rank <= 10
 """
+
+ORACLES["op2_benchmark_decontamination"] = r"""
+WITH words AS (
+    SELECT 'd' AS side, doc_id AS id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda w: w <> '') AS ws FROM documents
+    UNION ALL
+    SELECT 'i', item_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda w: w <> '') FROM benchmark
+), items AS (
+    SELECT id AS item_id, least(5, len(ws)) AS width, ws FROM words WHERE side = 'i' AND len(ws) > 0
+), item_sets AS (
+    SELECT DISTINCT item_id, width, unnest(list_transform(range(1, len(ws) - width + 2), lambda i: array_to_string(ws[i:i + width - 1], ' '))) AS g FROM items
+), doc_sets AS (
+    SELECT DISTINCT id AS doc_id, width, unnest(list_transform(range(1, len(ws) - width + 2), lambda i: array_to_string(ws[i:i + width - 1], ' '))) AS g
+    FROM words, (SELECT DISTINCT width FROM items) WHERE side = 'd' AND len(ws) >= width
+), n AS (
+    SELECT item_id, count(*) AS n_item FROM item_sets GROUP BY 1
+)
+SELECT item_id, doc_id, CAST(n_item AS INTEGER) AS n_item, count(*) AS n_shared, round(count(*) / n_item, 6) AS containment
+FROM item_sets JOIN doc_sets USING (width, g) JOIN n USING (item_id)
+GROUP BY item_id, doc_id, n_item HAVING count(*) * 100 >= n_item * 80
+"""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulsegrid.llm import license_scan, ngram_join, piece_bpe, secret_scan, span_dedup, topk, toxicity
+from pulsegrid.llm import decontamination, license_scan, ngram_join, pii, piece_bpe, secret_scan, span_dedup, topk, toxicity
 from pulsegrid.llm.oracles import ORACLES
 from pulsegrid.llm.shared import table
 
@@ -19,6 +19,10 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_texts(docs, toxicity.fit(docs, labels))
 
 
+def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.find_contained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op3_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k_inner(table(spark, sf_dir, "embeddings"), lambda i: F.pmod(i, F.lit(100)) == 0)
 
@@ -32,6 +36,10 @@ def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan_licenses(table(spark, sf_dir, "documents"))
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_pii(table(spark, sf_dir, "documents"))
+
+
 def piece_model() -> str:
     import public_tokenizers
 
