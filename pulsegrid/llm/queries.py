@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulsegrid.llm import decontamination, license_scan, ngram_join, pii, piece_bpe, secret_scan, span_dedup, topk, toxicity
+from pulsegrid.llm import decontamination, license_scan, ngram_join, pii, piece_bpe, secret_scan, span_dedup, token_output, topk, toxicity
 from pulsegrid.llm.oracles import ORACLES
 from pulsegrid.llm.shared import table
 
@@ -50,6 +50,10 @@ def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_bpe.encode_texts(table(spark, sf_dir, "documents"), piece_model(), with_ids=False)
 
 
+def op8_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_output.training_shards(table(spark, sf_dir, "documents"), piece_model())
+
+
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return span_dedup.remove_repeated_spans(table(spark, sf_dir, "documents"))
 

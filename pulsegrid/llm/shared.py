@@ -25,11 +25,11 @@ def scratch_root(spark: SparkSession) -> str:
     return root
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def materialize(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """Writes df to the shared folder and reads it back: lineage is cut and a lost executor costs no recomputation."""
     spark = df.sparkSession
     path = f"{scratch_root(spark).rstrip('/')}/pulsegrid/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return spark.read.schema(df.schema).parquet(path)
 
 
