@@ -7,6 +7,7 @@ and read again as the next stage's docs.  All but the last return the columns of
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from pulsegrid.llm import decontamination, ngram_join, pii, piece_bpe, toxicity
 from pulsegrid.llm.queries import piece_model
@@ -35,8 +36,11 @@ def drop_leaked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mask_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data in the text is replaced by its kind."""
-    return pii.redact(docs)
+    """Personal data in the text is replaced by its kind; n_chars, where there is one, follows the text."""
+    masked = pii.redact(docs)
+    if "n_chars" in docs.columns:
+        masked = masked.withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.col("n_chars")))
+    return masked
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -136,7 +136,7 @@ def _prefix_rows(k, num, den, bits, ranks, mean, longest, verify_cost):
                 flat.append(keys.view(np.int64))
                 off.append(off[-1] + len(keys))
             tokens = pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(np.concatenate(flat) if flat else np.zeros(0, np.int64)))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(level, pa.int32()), tokens], names=["id", "n", "node", "l", "tokens"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(level, pa.int32()), tokens], names=["id", "n", "digest", "l", "tokens"])
 
     return run
 
@@ -148,7 +148,7 @@ def _set_rows(k):
         hasher = WordHasher("space")
         for b in sliced(batches, 0):
             full = [s for s in _sets(b.column(0), hasher, k) if len(s)]
-            yield pa.RecordBatch.from_arrays([pa.array([_digest(s) for s in full], pa.binary()), pa.array([s.tobytes() for s in full], pa.binary())], names=["node", "items"])
+            yield pa.RecordBatch.from_arrays([pa.array([_digest(s) for s in full], pa.binary()), pa.array([s.tobytes() for s in full], pa.binary())], names=["digest", "items"])
 
     return run
 
@@ -193,7 +193,50 @@ def _runs(batches, n_keys):
 
 
 def _pairs_in_blocks(num, den):
-    """Pairs of different components that share a prefix shingle, with the number of matches they need."""
+    """Pairs of different components that may link, each from the group of its first common prefix shingle alone.
+
+    A pair with q = min(l, l') needs max(q, alpha - max(c, c') + q) common shingles in its
+    q-prefixes, alpha being the intersection that links sets of these sizes: what isn't common
+    there lies beyond the prefix that ends first, which leaves c - q places.
+    """
+
+    def survivors(token, left, right, same, node, comp, n, lv, tokens, levels):
+        rows = left if same else np.concatenate([left, right])
+        size = np.array([len(tokens[i]) for i in rows])
+        row = np.repeat(np.arange(len(rows)), size)
+        tok = np.concatenate([tokens[i] for i in rows]).view(U)
+        lev = np.concatenate([levels[i] for i in rows])
+        known, col, times = np.unique(tok, return_inverse=True, return_counts=True)
+        shared = times > 1
+        place = np.cumsum(shared) - 1
+        here = int(place[np.searchsorted(known, token)])
+        use = shared[col]
+        row, col, lev = row[use], place[col[use]], lev[use]
+        nl, nn, cc = lv[rows], n[rows], comp[rows]
+        c = -(-num * nn // den)
+        out_i, out_j, out_q = [], [], []
+        for q in np.unique(nl).tolist():
+            m = np.zeros((len(rows), int(shared.sum())), np.float32)
+            m[row[lev <= q], col[lev <= q]] = 1
+            start = 0 if same else len(left)
+            other = m[start:]
+            for at in range(0, len(left), 256):
+                i = np.arange(at, min(at + 256, len(left)))[:, None]
+                j = np.arange(start, len(rows))[None, :]
+                ok = (np.minimum(nl[i], nl[j]) == q) & (cc[i] != cc[j]) & (m[i, here] > 0) & (m[j, here] > 0)
+                ok &= den * np.minimum(nn[i], nn[j]) >= num * np.maximum(nn[i], nn[j])
+                if same:
+                    ok &= i < j
+                if not ok.any():
+                    continue
+                mine = m[at : at + 256]
+                alpha = -(-num * (nn[i] + nn[j]) // (num + den))
+                ok &= mine @ other.T >= np.maximum(q, alpha - np.maximum(c[i], c[j]) + q)
+                ok &= mine[:, :here] @ other[:, :here].T == 0
+                x, y = np.nonzero(ok)
+                out_i.append(rows[at + x])
+                out_j.append(rows[start + y])
+        return (np.concatenate(out_i), np.concatenate(out_j)) if out_i else (np.zeros(0, np.int64),) * 2
 
     def run(batches):
         import pyarrow as pa
@@ -201,30 +244,35 @@ def _pairs_in_blocks(num, den):
         for df in _runs(batches, 3):
             tok, bi, bj = (df[c].to_numpy() for c in ("token", "bi", "bj"))
             edge = np.flatnonzero(np.r_[True, (tok[1:] != tok[:-1]) | (bi[1:] != bi[:-1]) | (bj[1:] != bj[:-1]), True])
-            node, comp = df["node"].to_numpy(), df["comp"].to_numpy()
-            n, pos, lv, lev, blk = (df[c].to_numpy().astype(np.int64) for c in ("n", "pos", "l", "level", "blk"))
-            for s, e in zip(edge[:-1], edge[1:], strict=True):
+            node, comp, tokens, levels = (df[c].to_numpy() for c in ("node", "comp", "tokens", "levels"))
+            n, lv, blk = (df[c].to_numpy().astype(np.int64) for c in ("n", "l", "blk"))
+            xs, ys = [], []
+            for s, e in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
                 if e - s < 2:
                     continue
                 same = bi[s] == bj[s]
+                if e - s == 2:  # most groups: two classes
+                    if comp[s] == comp[s + 1] or not same and blk[s] == blk[s + 1]:
+                        continue
+                    q, p, r = int(min(lv[s], lv[s + 1])), int(n[s]), int(n[s + 1])
+                    if den * min(p, r) < num * max(p, r):
+                        continue
+                    both = set(tokens[s][levels[s] <= q].tolist()) & set(tokens[s + 1][levels[s + 1] <= q].tolist())
+                    c = -(-num * max(p, r) // den)
+                    least = max(q, -(-num * (p + r) // (num + den)) - c + q)
+                    if len(both) >= least and min(both, key=lambda v: v & (1 << 64) - 1) == tok[s]:
+                        xs.append(np.array([s]))
+                        ys.append(np.array([s + 1]))
+                    continue
                 left = np.arange(s, e) if same else np.flatnonzero(blk[s:e] == bi[s]) + s
                 right = left if same else np.flatnonzero(blk[s:e] == bj[s]) + s
-                for a in range(0, len(left), 256):
-                    i = left[a : a + 256, None]
-                    j = right[None, :]
-                    need = np.minimum(lv[i], lv[j])
-                    ok = (comp[i] != comp[j]) & (np.maximum(lev[i], lev[j]) <= need)
-                    if same:
-                        ok &= i < j
-                    bound = np.minimum(pos[i], pos[j]) + np.minimum(n[i] - pos[i], n[j] - pos[j])
-                    ok &= (num + den) * bound >= num * (n[i] + n[j])
-                    ok &= den * np.minimum(n[i], n[j]) >= num * np.maximum(n[i], n[j])
-                    ii, jj = np.nonzero(ok)
-                    if len(ii):
-                        x, y = left[a + ii], right[jj]
-                        flip = np.array([node[p] > node[q] for p, q in zip(x, y, strict=True)], bool)
-                        x, y = np.where(flip, y, x), np.where(flip, x, y)
-                        yield pa.RecordBatch.from_arrays([pa.array(node[x], pa.binary()), pa.array(node[y], pa.binary()), *(pa.array(c.astype(np.int32)) for c in (need[ii, jj], n[x], n[y], pos[x], pos[y]))], names=["x", "y", "need", "nx", "ny", "px", "py"])
+                if len(left) and len(right):
+                    i, j = survivors(np.int64(tok[s]).view(U), left, right, same, node, comp, n, lv, tokens, levels)
+                    xs.append(i)
+                    ys.append(j)
+            if xs:
+                x, y = node[np.concatenate(xs)], node[np.concatenate(ys)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["x", "y"])
 
     return run
 
@@ -246,29 +294,34 @@ def similarity_components(docs: DataFrame, k: int = 5, num: int = 4, den: int =
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     ranks, mean = shingle_ranks(base.select("text"), k, sketch_bits)
     shared = spark.sparkContext.broadcast(ranks)
-    prefix = materialize(base.mapInArrow(_prefix_rows(k, num, den, sketch_bits, shared, mean, longest, verify_cost), "id long, n long, node binary, l int, tokens array<long>"), "prefix")
-
-    classes = materialize(prefix.where("node is not null and id is not null").groupBy("node").agg(F.min("id").alias("rep")), "classes")
-    firsts = prefix.join(small_side(classes.select(F.col("rep").alias("id"), "node")), ["id", "node"], "left_semi")
-    posted = firsts.select("node", F.col("id").alias("rep"), "n", "l", F.posexplode("tokens").alias("pos", "token"))
-    posted = posted.withColumn("level", F.greatest(F.lit(1), (F.col("pos") - (F.col("n") - F.ceil(F.col("n") * num / den)) + 1).cast("int")))
-    often = materialize(posted.groupBy("token").agg(F.count("*").alias("m")).where("m > 1"), "often")
-    posted = materialize(posted.join(small_side(often), "token"), "posted")
+    prefix = materialize(base.mapInArrow(_prefix_rows(k, num, den, sketch_bits, shared, mean, longest, verify_cost), "id long, n long, digest binary, l int, tokens array<long>"), "prefix")
+
+    classes = prefix.where("digest is not null and id is not null").groupBy("digest").agg(F.min("id").alias("rep"))
+    classes = materialize(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
+    firsts = prefix.withColumnRenamed("id", "rep").join(small_side(classes), ["rep", "digest"])
+    # one number for size, place and l keeps the rows that are shuffled narrow
+    packed = F.shiftleft(F.col("n"), 32) + F.shiftleft(F.col("pos").cast("long"), 4) + F.col("l")
+    posted = firsts.select("node", "n", "l", F.posexplode("tokens").alias("pos", "token")).select("token", "node", packed.alias("nums"))
+    often = materialize(posted.groupBy("token").agg(F.count("*").alias("m")).where("m > 1").select("token"), "often")
+    posted = posted.join(small_side(often, 2_000_000), "token", "left_semi")
+    posted = posted.select("token", "node", F.shiftright("nums", 32).alias("n"), F.shiftright("nums", 4).bitwiseAND((1 << 28) - 1).cast("int").alias("pos"), F.col("nums").bitwiseAND(15).cast("int").alias("l"))
+    level = F.greatest(F.lit(1), (F.col("pos") - (F.col("n") - F.ceil(F.col("n") * num / den)) + 1).cast("int"))
+    posted = materialize(posted.withColumn("level", level), "posted")
 
     def verified(pairs: DataFrame) -> DataFrame:
-        """The pairs (x, y) that link; only texts that are in a pair are read into sets."""
+        """The pairs (x, y) of nodes that link; only texts that are in a pair are read into sets."""
         pairs = materialize(pairs, "pairs")
-        ids = pairs.select(F.explode(F.array("x", "y")).alias("node")).distinct().join(reps, "node").select(F.col("rep").alias("id")).distinct()
-        ids = materialize(ids, "ids")
-        sets = materialize(base.join(small_side(ids), "id", "left_semi").select("text").mapInArrow(_set_rows(k), "node binary, items binary"), "sets")
+        wanted = materialize(pairs.select(F.explode(F.array("x", "y")).alias("node")).distinct().join(classes, "node"), "wanted")
+        ids = small_side(wanted.select(F.col("rep").alias("id")).distinct())
+        sets = base.join(ids, "id", "left_semi").select("text").mapInArrow(_set_rows(k), "digest binary, items binary")
+        sets = materialize(sets.join(small_side(wanted.select("digest", "node")), "digest").select("node", "items"), "sets")
         full = pairs.join(sets.withColumnsRenamed({"node": "x", "items": "ix"}), "x").join(sets.withColumnsRenamed({"node": "y", "items": "iy"}), "y")
-        links = materialize(full.select("x", "y", "ix", "iy").mapInArrow(_verified(num, den), "x binary, y binary").distinct(), "links")
+        links = materialize(full.select("x", "y", "ix", "iy").mapInArrow(_verified(num, den), "x long, y long").distinct(), "links")
         discard(sets)
         return links
 
-    reps = posted.select("node", "rep").distinct()
-
     def as_edges(links: DataFrame) -> DataFrame:
+        reps = classes.select("node", "rep")
         return links.join(reps.withColumnsRenamed({"node": "x", "rep": "a"}), "x").join(reps.withColumnsRenamed({"node": "y", "rep": "b"}), "y").select("a", "b")
 
     hub = posted.groupBy("token").agg(F.min(F.struct("pos", "n", "node")).alias("h"))
@@ -277,24 +330,25 @@ def similarity_components(docs: DataFrame, k: int = 5, num: int = 4, den: int =
     star = verified(star.select("x", "y").distinct())
     cc = materialize(connected_components(as_edges(star), "a", "b"), "components")
 
-    labelled = posted.join(small_side(cc), posted.rep == cc.id, "left").select(posted["*"], F.coalesce("component", "rep").alias("comp"))
+    # components are named by their least node, so that no name is another class's number
+    linked = materialize(classes.select("node", F.col("rep").alias("id")).join(small_side(cc), "id").select("node", "component"), "linked")
+    names = linked.groupBy("component").agg(F.min("node").alias("comp"))
+    comp = materialize(linked.join(names, "component").select("node", "comp"), "labels")
+    labelled = posted.join(small_side(comp), "node", "left").select(posted["*"], F.coalesce("comp", "node").alias("comp"))
     labelled = materialize(labelled, "labelled")
     split = labelled.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("size")).where("lo < hi").select("token", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
-    rows = labelled.join(split, "token").withColumn("blk", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    rows = materialize(labelled.join(split, "token"), "mixed")
+    lists = rows.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("token", "level"))).alias("s")).select("node", F.col("s.token").alias("tokens"), F.col("s.level").alias("levels"))
+    rows = rows.join(lists, "node").withColumn("blk", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("token", F.least("blk", "o").alias("bi"), F.greatest("blk", "o").alias("bj"), "node", "comp", "n", "pos", "l", "level", "blk")
+    rows = rows.select("token", F.least("blk", "o").alias("bi"), F.greatest("blk", "o").alias("bj"), "node", "comp", "n", "l", "blk", "tokens", "levels")
     dealt = rows.repartition("token", "bi", "bj").sortWithinPartitions("token", "bi", "bj")
-    found = dealt.mapInArrow(_pairs_in_blocks(num, den), "x binary, y binary, need int, nx int, ny int, px int, py int")
-    pairs = found.groupBy("x", "y").agg(F.count("*").alias("matches"), F.max("need").alias("need"), F.max("nx").alias("nx"), F.max("ny").alias("ny"), F.max("px").alias("px"), F.max("py").alias("py"))
-    # what stands before the last common prefix shingle and isn't common can't be in the intersection
-    pairs = pairs.where(f"matches >= need and {num + den} * (matches + least(nx - 1 - px, ny - 1 - py)) >= {num} * (nx + ny)")
-    links = verified(pairs.select("x", "y"))
+    links = verified(dealt.mapInArrow(_pairs_in_blocks(num, den), "x long, y long"))
     edges = as_edges(star.unionByName(links))
     final = materialize(connected_components(edges, "a", "b"), "components")
 
-    by_class = classes.join(final, classes.rep == final.id, "left").select("node", "rep", F.coalesce("component", "rep").alias("component_id"))
-    # the smallest id of a class may be linked under another row of that id; the least wins
-    out = prefix.join(by_class, "node", "left")
+    by_class = classes.join(final, classes.rep == final.id, "left").select("digest", "rep", F.coalesce("component", "rep").alias("component_id"))
+    out = prefix.join(by_class, "digest", "left")
     return out.select(
         F.col("id").alias("doc_id"),
         F.col("n").alias("n_shingles"),
