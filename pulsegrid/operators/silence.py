@@ -13,7 +13,7 @@ from pulsegrid.operators import islands
 def _combined(states: DataFrame, mode: str) -> DataFrame:
     """(track, w, quiet, mask): channels combined per window; mask has a bit for each quiet channel."""
     both = F.bool_and("quiet") if mode == "all" else F.bool_or("quiet")
-    mask = F.bit_or(F.when(F.col("quiet"), F.shiftleft(F.lit(1), F.col("channel"))).otherwise(0))
+    mask = F.bit_or(F.when(F.col("quiet"), F.expr("shiftleft(1, channel)")).otherwise(0))
     return states.groupBy("track", "w").agg(both.alias("quiet"), mask.alias("mask"))
 
 

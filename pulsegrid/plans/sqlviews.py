@@ -2,7 +2,7 @@
 
 EVENTS = "ev AS (SELECT 'events' AS track, CAST(event_id % 2 AS INTEGER) AS channel, event_id // 2 AS frame, value / 150.0 - 1.0 AS x FROM events)"
 EVENTS16 = f"{EVENTS}, ev16 AS (SELECT track, channel, frame, least(32767 / 32768, greatest(-1.0, round(x * 32768) / 32768)) AS x FROM ev)"
-EVENTS_HALF = f"{EVENTS}, evs AS (SELECT track, channel, frame, CASE WHEN (frame // 100) % 5 < 2 THEN x / 2000 WHEN (frame // 100) % 5 = 2 THEN 0.0 ELSE x END AS x FROM ev)"
+EVENTS_HALF = f"{EVENTS}, evs AS (SELECT track, channel, frame, CASE WHEN (frame // 400) % 5 < 2 THEN x / 2000 WHEN (frame // 400) % 5 = 2 THEN 0.0 ELSE x END AS x FROM ev)"
 LINE_ORDER = "l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate"
 LINE = f"ln AS (SELECT strftime(l_shipdate, '%Y-%m') AS track, 0 AS channel, row_number() OVER (PARTITION BY strftime(l_shipdate, '%Y-%m') ORDER BY {LINE_ORDER}) - 1 AS frame, l_extendedprice / 52500.0 - 1.0 AS x FROM lineitem)"
 EMBED = "em AS (SELECT CAST(vec_id AS VARCHAR) AS track, vec_id AS t, 0 AS channel, CAST(i - 1 AS BIGINT) AS frame, CAST(embedding[i] AS DOUBLE) AS x FROM embeddings, range(1, 65) r(i))"

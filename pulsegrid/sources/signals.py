@@ -59,3 +59,9 @@ def markers(spark: SparkSession, folder: str) -> DataFrame:
     e = read(spark, folder, "events")
     end = F.when(F.col("user_id") % 2 == 0, F.col("event_id") * 10 + F.col("user_id") % 500)
     return e.select(F.concat(F.lit("m"), F.col("event_id").cast("string")).alias("id"), F.col("event_type").alias("kind"), (F.col("event_id") * 10).alias("start_frame"), end.alias("end_frame"), (F.col("event_id") % 2).cast("int").alias("channel"), F.floor(F.col("value") / 50).cast("double").alias("severity"), F.concat_ws(" ", "event_type", F.col("user_id").cast("string")).alias("label"), F.col("props").alias("data"), (F.col("event_id") % 7 == 0).alias("user_created"))
+
+
+def events_gated(spark: SparkSession, folder: str) -> DataFrame:
+    """events_stereo with quiet and silent stretches: of every five blocks of 400 frames two are faint and one is zero."""
+    block = F.floor(F.col("frame") / 400) % 5
+    return events_stereo(spark, folder).withColumn("x", F.when(block < 2, F.col("x") / 2000).when(block == 2, 0.0).otherwise(F.col("x")))
