@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pulsegrid.llm.license_templates import TEMPLATES
+from pulsegrid.llm.shared import small_batches
 from pulsegrid.llm.textkernel import WordHasher, sliced, utf8
 
 # The base phrases and their labels.
@@ -172,6 +173,7 @@ def scan_licenses(docs: DataFrame, templates: dict[str, tuple[str, float, str]]
     no words, null positions, empty labels.  Null ids and repeated rows pass through; other
     columns are ignored; texts are never cut.
     """
+    small_batches(docs.sparkSession)
     schema = "id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double"
     out = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string")).mapInArrow(_scan(tuple(templates.values())), schema)
     return out.withColumnRenamed("id", id_col)

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pulsegrid.llm.components import connected_components
-from pulsegrid.llm.shared import discard, materialize, small_side
+from pulsegrid.llm.shared import discard, materialize, small_batches, small_side
 from pulsegrid.llm.textkernel import WordHasher, distinct_sets, mix, shingle_hashes, sliced, utf8
 
 U = np.uint64
@@ -290,6 +290,7 @@ def similarity_components(docs: DataFrame, k: int = 5, num: int = 4, den: int =
     result rows; rows that share an id but not a text have their own sets and one node.
     Other columns are ignored.  An empty table gives an empty result.
     """
+    small_batches(docs.sparkSession)
     spark = docs.sparkSession
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     ranks, mean = shingle_ranks(base.select("text"), k, sketch_bits)

@@ -20,6 +20,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pulsegrid.llm.shared import small_batches
 from pulsegrid.llm.textkernel import mix
 
 U = np.uint64
@@ -324,6 +325,7 @@ def encode_texts(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_
     Null and empty texts have the begin and end ids only.  Repeated rows and null ids pass
     through; other columns are ignored; texts are never cut.  A table without rows gives none.
     """
+    small_batches(docs.sparkSession)
     with open(model_path, "rb") as f:
         model = docs.sparkSession.sparkContext.broadcast(f.read())
     schema = "id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids

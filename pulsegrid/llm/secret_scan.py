@@ -17,6 +17,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pulsegrid.llm.shared import small_batches
 from pulsegrid.llm.textkernel import runs_of, sliced, utf8
 
 # The base rules.
@@ -167,6 +168,7 @@ def scan_secrets(docs: DataFrame, classes: tuple[CharClass, ...] = CLASSES, allo
     kind:start:end by start.  A null text counts as empty and has no spans; null ids and
     repeated rows pass through; other columns are ignored; texts are never cut.
     """
+    small_batches(docs.sparkSession)
     schema = "id long, n_assign long, n_access long, n_hex long, n_entropy long, base_sha256 string, spans string"
     out = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string")).mapInArrow(_scan(classes, allow), schema)
     return out.withColumnRenamed("id", id_col)

@@ -16,6 +16,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def small_batches(spark: SparkSession, size: int = 8 << 20) -> None:
+    """Bounds the Arrow batches that go to Python workers by bytes, as texts differ in length by orders of magnitude."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = str(spark.conf.get(name)).lower().removesuffix("b")
+    if not now.isdigit() or int(now) > size:
+        spark.conf.set(name, str(size))
+
+
 def scratch_root(spark: SparkSession) -> str:
     """The shared folder the cluster names in spark.checkpoint.dir; a folder of our own only where that is unset."""
     root = spark.conf.get("spark.checkpoint.dir", None)

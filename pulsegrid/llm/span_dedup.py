@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pulsegrid.llm.shared import materialize, small_side
+from pulsegrid.llm.shared import materialize, small_batches, small_side
 from pulsegrid.llm.textkernel import WordHasher, mix, shingle_hashes, sliced, utf8
 
 U = np.uint64
@@ -121,6 +121,7 @@ def remove_repeated_spans(docs: DataFrame, span: int = 2, min_words: int = 8, id
     left alone and are no one's first occurrence.  Rows that repeat an id are taken as one
     document: equal rows keep the same sentences.  Other columns are ignored.
     """
+    small_batches(docs.sparkSession)
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     runs = base.where("id is not null").mapInArrow(_span_rows(span, min_words), "id long, pos int, h long")
     often = runs.groupBy("h").agg(F.count("*").alias("n"), F.min(F.struct("id", "pos")).alias("first"))

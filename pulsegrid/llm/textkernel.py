@@ -69,6 +69,9 @@ def sliced(batches, text_index: int, limit: int = 1 << 22):
                 at, held = i, 0
             held += n
         yield b.slice(at)
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
 
 
 def runs_of(member: np.ndarray, raw: np.ndarray, off: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pulsegrid.llm.piece_bpe import MergeVocabulary
-from pulsegrid.llm.shared import materialize
+from pulsegrid.llm.shared import materialize, small_batches
 from pulsegrid.llm.textkernel import mix, sliced
 
 U = np.uint64
@@ -157,6 +157,7 @@ def training_shards(docs: DataFrame, model_path: str, length: int = 1024, key: i
     packed each; other columns are ignored.  The numbering follows the input's partitions, so
     the same files read with the same split sizes give the same slots.  An empty table gives no row.
     """
+    small_batches(docs.sparkSession)
     spark = docs.sparkSession
     with open(model_path, "rb") as f:
         proto = f.read()

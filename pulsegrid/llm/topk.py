@@ -17,7 +17,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pulsegrid.llm.shared import materialize
+from pulsegrid.llm.shared import materialize, small_batches
 
 #: Queries broadcast at once, and candidate rows taken at once in a task.
 QUERY_BLOCK, ROW_BLOCK = 8192, 16384
@@ -116,6 +116,7 @@ def top_k_inner(vectors: DataFrame, is_query, k: int = 10, scale: float = 1024.0
     own id; repeated candidate rows count each, a repeated query id asks once, with the least
     of its vectors.  Scores are exact; one that 64 bits can't hold raises.  Other columns are ignored.
     """
+    small_batches(vectors.sparkSession)
     spark = vectors.sparkSession
     base = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v"))
     sound = F.size("v") > 0

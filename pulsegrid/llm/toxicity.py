@@ -17,7 +17,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pulsegrid.llm.shared import small_side, materialize
+from pulsegrid.llm.shared import materialize, small_batches, small_side
 from pulsegrid.llm.textkernel import WordHasher, distinct_sets, sliced, utf8
 
 U = np.uint64
@@ -184,6 +184,7 @@ def fit(docs: DataFrame, labels: DataFrame, cfg: PUConfig = PUConfig(), id_col:
     The prior is the share of positives among the labelled ids.  Both samples are drawn by a
     hash of the text, so copies of a text count once, whatever their number.
     """
+    small_batches(docs.sparkSession)
     lab = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).alias("y")).where("id is not null and y is not null")
     lab = lab.where(~held_out(F.col("id"))).groupBy("id").agg(F.max("y").alias("y"))
     n, n_pos = lab.agg(F.count("*"), F.coalesce(F.sum(F.when(F.col("y") == 1, 1).otherwise(0)), F.lit(0))).first()
@@ -217,6 +218,7 @@ def score_texts(docs: DataFrame, model: PUModel, threshold: float = 0.7, id_col:
     Null and empty texts get the score of a text without known words.  Null ids (not held
     out) and repeated rows pass through; other columns are ignored.
     """
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     out = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string")).mapInArrow(_scores(shared), "id long, score double")
     return out.select(F.col("id").alias(id_col), held_out(F.col("id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
