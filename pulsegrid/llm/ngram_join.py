@@ -303,8 +303,9 @@ def similarity_components(docs: DataFrame, k: int = 5, num: int = 4, den: int =
     # one number for size, place and l keeps the rows that are shuffled narrow
     packed = F.shiftleft(F.col("n"), 32) + F.shiftleft(F.col("pos").cast("long"), 4) + F.col("l")
     posted = firsts.select("node", "n", "l", F.posexplode("tokens").alias("pos", "token")).select("token", "node", packed.alias("nums"))
-    often = materialize(posted.groupBy("token").agg(F.count("*").alias("m")).where("m > 1").select("token"), "often")
-    posted = posted.join(small_side(often, 2_000_000), "token", "left_semi")
+    # as many tokens as documents: both sides shuffle, whatever the size
+    often = posted.groupBy("token").agg(F.count("*").alias("m")).where("m > 1").select("token")
+    posted = posted.join(often.hint("merge"), "token", "left_semi")
     posted = posted.select("token", "node", F.shiftright("nums", 32).alias("n"), F.shiftright("nums", 4).bitwiseAND((1 << 28) - 1).cast("int").alias("pos"), F.col("nums").bitwiseAND(15).cast("int").alias("l"))
     level = F.greatest(F.lit(1), (F.col("pos") - (F.col("n") - F.ceil(F.col("n") * num / den)) + 1).cast("int"))
     posted = materialize(posted.withColumn("level", level), "posted")

@@ -27,8 +27,8 @@ U = np.uint64
 class PUConfig:
     """max_positive and max_unlabelled bound the expected sizes of the training samples."""
 
-    max_positive: int = 8_000
-    max_unlabelled: int = 16_000
+    max_positive: int = 5_000
+    max_unlabelled: int = 10_000
     features: int = 1_024
     least_z: float = 4.0
     least_docs: int = 4
@@ -208,6 +208,7 @@ def fit(docs: DataFrame, labels: DataFrame, cfg: PUConfig = PUConfig(), id_col:
             pos[words] = True
         if flags["unlabelled"]:
             unl[words] = True
+    del got
     as_sets = lambda d: [np.frombuffer(w, U) for w in sorted(d)]
     return train(as_sets(pos), as_sets(unl), prior, cfg)
 
