@@ -165,7 +165,7 @@ def _scores(model):
                 pairs = np.unique(doc * len(m.keys) + at[hit])
                 edge = np.flatnonzero(np.r_[True, np.diff(pairs // len(m.keys)) > 0, True])
                 for s, e in zip(edge[:-1], edge[1:], strict=True):
-                    if e > s:
+                    if len(pairs):
                         out[pairs[s] // len(m.keys)] = m.score(pairs[s:e] % len(m.keys))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out)], names=["id", "score"])
 
