@@ -229,7 +229,7 @@ def _pairs_in_blocks(num, den):
                     ok &= i < j
                 if not ok.any():
                     continue
-                mine = m[at : at + 256]
+                mine = m[at : min(at + 256, len(left))]
                 alpha = -(-num * (nn[i] + nn[j]) // (num + den))
                 ok &= mine @ other.T >= np.maximum(q, alpha - np.maximum(c[i], c[j]) + q)
                 ok &= mine[:, :here] @ other[:, :here].T == 0
