@@ -27,6 +27,8 @@ U = np.uint64
 SPACE = "▁"
 #: Code points taken at once, and the chunk length from which the heap is used.
 SLICE, LONG = 4_000_000, 48
+#: Distinct chunks whose ids a task remembers; beyond it, it starts anew.
+KNOWN = 600_000
 _BASE = 0x5851F42D4C957F2D
 _UNKNOWN = 1 << 20  # symbols for code points without a piece
 
@@ -74,6 +76,8 @@ class MergeVocabulary:
         self.text_off = np.r_[0, np.cumsum(self.text_len)]
         self.text_all = np.frombuffer(b"".join(self.texts), np.uint8)
         self.powers = (np.ones(1, U), np.ones(1, U))
+        self.nothing = np.zeros(0, U), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.known = self.nothing
         self.values = mix(np.arange(7, 7 + 0x110000, dtype=U))
 
     def agenda(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -260,18 +264,35 @@ class MergeVocabulary:
         if len(self.powers[0]) <= len(cps):
             self.powers = tuple(np.multiply.accumulate(np.r_[U(1), np.full(len(cps), x, U)]) for x in (_BASE, pow(_BASE, -1, 1 << 64)))
         total = np.r_[U(0), np.cumsum(self.values[cps] * self.powers[0][: len(cps)])]
-        code, _ = pd.factorize(mix((total[end] - total[start]) * self.powers[1][start] + (end - start).astype(U)))
-        first = np.empty(code.max() + 1 if len(code) else 0, np.int64)
+        code, seen = pd.factorize(mix((total[end] - total[start]) * self.powers[1][start] + (end - start).astype(U)))
+        seen = np.asarray(seen, U)
+        first = np.empty(len(seen), np.int64)
         first[code[::-1]] = np.arange(len(code))[::-1]
-        lens = (end - start)[first]
+        # chunks met in earlier slices keep their ids; only the others are encoded and checked
+        hashes, begin, size, pool = self.known
+        place = np.minimum(np.searchsorted(hashes, seen), max(len(hashes) - 1, 0))
+        old = hashes[place] == seen if len(hashes) else np.zeros(len(seen), bool)
+        new = np.flatnonzero(~old)
+        lens = (end - start)[first[new]]
         u_off = np.r_[0, np.cumsum(lens)]
-        chars = cps[np.repeat(start[first] - u_off[:-1], lens) + np.arange(u_off[-1])]
+        chars = cps[np.repeat(start[first[new]] - u_off[:-1], lens) + np.arange(u_off[-1])]
         ids, ids_off = self.chunk_ids(chars, u_off)
-        if checked:
+        if checked and len(new):
             self.check(chars, u_off, ids, ids_off)
-        size = np.diff(ids_off)[code]
-        at = np.r_[0, np.cumsum(size)]
-        flat = ids[np.repeat(ids_off[:-1][code] - at[:-1], size) + np.arange(at[-1])]
+        u_begin, u_size = np.empty(len(seen), np.int64), np.empty(len(seen), np.int64)
+        if old.any():
+            u_begin[old], u_size[old] = begin[place[old]], size[place[old]]
+        u_begin[new], u_size[new] = len(pool) + ids_off[:-1], np.diff(ids_off)
+        pool = np.concatenate([pool, ids])
+        n = u_size[code]
+        at = np.r_[0, np.cumsum(n)]
+        flat = pool[np.repeat(u_begin[code] - at[:-1], n) + np.arange(at[-1])]
+        if len(hashes) + len(new) <= KNOWN:
+            hashes, begin, size = np.concatenate([hashes, seen[new]]), np.concatenate([begin, u_begin[new]]), np.concatenate([size, u_size[new]])
+            order = np.argsort(hashes)
+            self.known = hashes[order], begin[order], size[order], pool
+        else:
+            self.known = self.nothing
         bounds = at[np.searchsorted(start, seg_off)]
         return [flat[a:b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
 

@@ -59,7 +59,7 @@ def entropy_windows(s: str, w: int, bits: float) -> list[tuple[int, int]]:
     n = len(s)
     if n < w:
         return []
-    weight = [0.0] + [c * math.log2(c) for c in range(1, w + 1)]
+    weight = [0.0] + [c * math.log2(c) for c in range(1, w + 2)]
     most = (math.log2(w) - bits) * w + 1e-9  # the sum a window may have
     counts: dict[str, int] = {}
     total = 0.0
