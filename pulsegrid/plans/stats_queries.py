@@ -196,11 +196,11 @@ query("scalar_quantise", f"""WITH {EMBED}, q AS (SELECT t, frame, CAST(floor(lea
 query("scalar_display", f"""WITH {EMBED} SELECT t, frame, {r6('least(1, greatest(-1, x * 3))', 'linear')}, {r6('sign(x) * least(1, greatest(0, (20*log10(greatest(abs(x), 1e-12)) + 60) / 60))', 'decibel')},
     {r6('sign(x) * least(1, greatest(0, sqrt(abs(x))))', 'root')} FROM em""")(_of_embedding(linear=lambda x: exprs.display_unit(x * 3, "linear"), decibel=lambda x: exprs.display_unit(x, "db"), root=lambda x: exprs.display_unit(x, "root")))
 query("frequency_scales", f"""WITH {EMBED}, h AS (SELECT t, frame, abs(x) * 40000 + 20 AS hz FROM em)
-    SELECT t, frame, {r6('log2(hz)', 'log')}, {r6('2595*log10(1+hz/700)', 'mel')}, {r6('13*atan(0.00076*hz)+3.5*atan((hz/7500)*(hz/7500))', 'bark')}, round(hz, 3) AS mel_back, round(hz, 3) AS bark_back FROM h""")(
+    SELECT t, frame, {r6('log2(hz)', 'log')}, {r6('2595*log10(1+hz/700)', 'mel')}, {r6('13*atan(0.00076*hz)+3.5*atan((hz/7500)*(hz/7500))', 'bark')}, true AS mel_inverse, true AS bark_inverse FROM h""")(
     lambda spark, d: rounded(
         signals.embedding_frames(spark, d).select("t", "frame", (F.abs("x") * 40000 + 20).alias("hz")).select(
             "t", "frame", exprs.hz_to_scale(F.col("hz"), "log").alias("log"), exprs.hz_to_scale(F.col("hz"), "mel").alias("mel"), exprs.hz_to_scale(F.col("hz"), "bark").alias("bark"),
-            F.round(exprs.scale_to_hz(exprs.hz_to_scale(F.col("hz"), "mel"), "mel"), 3).alias("mel_back"), F.round(exprs.scale_to_hz(exprs.hz_to_scale(F.col("hz"), "bark"), "bark"), 3).alias("bark_back"),
+            (F.abs(exprs.scale_to_hz(exprs.hz_to_scale(F.col("hz"), "mel"), "mel") - F.col("hz")) < 1e-3).alias("mel_inverse"), (F.abs(exprs.scale_to_hz(exprs.hz_to_scale(F.col("hz"), "bark"), "bark") - F.col("hz")) < 1e-3).alias("bark_inverse"),
         )
     )
 )
