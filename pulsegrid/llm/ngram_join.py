@@ -49,7 +49,10 @@ def _digest(s: np.ndarray) -> bytes:
 
 
 def _counter_blocks(k: int, bits: int):
-    """Per task: counts of all shingles by the top bits of their hash, as zlib-packed blocks of 65,536 counters."""
+    """Per task: counts of all shingles by the top bits of their hash, as zlib-packed blocks of 65,536 counters.
+
+    Two bytes a counter; before one could overflow, what has been counted is sent off.
+    """
 
     def run(batches):
         import zlib
@@ -57,17 +60,27 @@ def _counter_blocks(k: int, bits: int):
         import pyarrow as pa
         from pyspark import TaskContext
 
-        hasher, counts, seen = WordHasher("space"), np.zeros(1 << bits, np.uint32), False
+        hasher, counts, held = WordHasher("space"), np.zeros(1 << bits, np.uint16), 0
+        size = min(1 << 16, len(counts))
+        salt = TaskContext.get().partitionId() % 16
+
+        def send():
+            for i in range(0, len(counts), size):
+                yield pa.RecordBatch.from_arrays([pa.array([i // size], pa.int32()), pa.array([salt], pa.int32()), pa.array([zlib.compress(counts[i : i + size].astype(np.uint32).tobytes(), 1)], pa.binary())], names=["block", "salt", "counts"])
+
         for b in sliced(batches, 0):
             full = [s for s in _sets(b.column(0), hasher, k) if len(s)]
-            if full:
-                seen = True
-                np.add.at(counts, np.concatenate(full) >> U(64 - bits), np.uint32(1))
-        if seen:
-            size = min(1 << 16, len(counts))
-            salt = TaskContext.get().partitionId() % 16
-            for i in range(0, len(counts), size):
-                yield pa.RecordBatch.from_arrays([pa.array([i // size], pa.int32()), pa.array([salt], pa.int32()), pa.array([zlib.compress(counts[i : i + size].tobytes(), 1)], pa.binary())], names=["block", "salt", "counts"])
+            for at in range(0, len(full), 256):
+                part = np.concatenate(full[at : at + 256])
+                for p in range(0, len(part), 1 << 20):
+                    now = part[p : p + (1 << 20)] >> U(64 - bits)
+                    if held and int(counts.max()) + int(np.bincount((now & U(0xFFFF)).astype(np.int64)).max()) > 0xFFFF:
+                        yield from send()
+                        counts[:] = 0
+                    np.add.at(counts, now, np.uint16(1))
+                    held += len(now)
+        if held:
+            yield from send()
 
     return run
 
@@ -93,11 +106,13 @@ def shingle_ranks(text: DataFrame, k: int, bits: int) -> tuple[np.ndarray, float
     schema = "block int, salt int, counts binary"
     parts = text.mapInArrow(_counter_blocks(k, bits), schema)
     merged = parts.repartition(16, "block", "salt").mapInArrow(_merge_blocks, schema).repartition(16, "block").mapInArrow(_merge_blocks, schema)
-    counts = np.zeros(1 << bits, np.uint32)
-    size = min(1 << 16, len(counts))
+    ranks, total = np.zeros(1 << bits, np.uint8), 0
+    size = min(1 << 16, len(ranks))
     for r in merged.toLocalIterator():
-        counts[r.block * size : (r.block + 1) * size] = np.frombuffer(zlib.decompress(r.counts), np.uint32)
-    return np.minimum(63, 2 * np.log2(1.0 + counts)).astype(np.uint8), float(counts.mean())
+        c = np.frombuffer(zlib.decompress(r.counts), np.uint32)
+        ranks[r.block * size : (r.block + 1) * size] = np.minimum(63, 2 * np.log2(1.0 + c))
+        total += int(c.sum(dtype=np.int64))
+    return ranks, total / len(ranks)
 
 
 def prefix_of(s: np.ndarray, ranks: np.ndarray, bits: int, mean: float, num: int, den: int, longest: int, verify_cost: float):
@@ -277,7 +292,7 @@ def _pairs_in_blocks(num, den):
     return run
 
 
-def similarity_components(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5, id_col: str = "doc_id", text_col: str = "text", sketch_bits: int = 22, longest: int = 4, verify_cost: float = 20.0) -> DataFrame:
+def similarity_components(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5, id_col: str = "doc_id", text_col: str = "text", sketch_bits: int = 24, longest: int = 4, verify_cost: float = 20.0) -> DataFrame:
     """One row per input row: (doc_id, n_shingles, class_id, component_id).
 
     Words are runs of other than ASCII white space, A-Z in lower case; the set holds the
