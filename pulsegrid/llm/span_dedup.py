@@ -1,8 +1,9 @@
 """Substring deduplication by sliding sentence spans.
 
-Every run of `span` consecutive sentences is hashed, the hashes are counted over all
-documents, and each sentence that lies in a repeated run which isn't the run's first
-occurrence (smallest document id, then position) is taken out of its text.
+Every shortest run of consecutive sentences with at least `span` of them and `min_words`
+words, from each sentence on and up to each sentence, is hashed by its words, the hashes
+are counted over all documents, and each sentence that lies in a repeated run which isn't
+the run's first occurrence (smallest document id, then position) is taken out of its text.
 
 A sentence ends at a line break, at . ! ? before white space, and after a full-width
 full stop, exclamation or question mark; its words are runs of ASCII letters and digits
@@ -17,10 +18,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pulsegrid.llm.shared import materialize, small_batches, small_side
-from pulsegrid.llm.textkernel import WordHasher, mix, shingle_hashes, sliced, utf8
+from pulsegrid.llm.textkernel import WordHasher, mix, sliced, utf8
 
 U = np.uint64
-#: Positions up to which the table of removals is broadcast; beyond it the join shuffles.
+#: Merged runs up to which the table of removals is broadcast; beyond it the join shuffles.
 BROADCAST_POSITIONS = 4_000_000
 
 
@@ -44,11 +45,11 @@ class SentenceHasher:
         self.words = WordHasher("alnum")
 
     def __call__(self, raw: np.ndarray, off: np.ndarray):
-        """(hash, number of words, first byte of each sentence, offsets of each text's sentences)."""
+        """(hashes of all words summed up, number of words, first byte of each sentence, offsets of each text's sentences)."""
         words, word_off, start, _ = self.words(raw, off)
         if not len(words):
             z = np.zeros(0, np.int64)
-            return np.zeros(0, U), z, z, np.zeros(len(off), np.int64)
+            return np.zeros(1, U), z, z, np.zeros(len(off), np.int64)
         owner = np.repeat(np.arange(len(off) - 1), np.diff(word_off))
         cuts = _cuts(raw)
         part = np.searchsorted(cuts, start, "right")
@@ -57,78 +58,118 @@ class SentenceHasher:
         if len(self.words.pow) <= len(words):
             self.words._powers(2 * len(words))
         total = np.r_[U(0), np.cumsum(words * self.words.pow[: len(words)])]
-        h = mix((total[last] - total[first]) * self.words.inv[first] + (last - first).astype(U))
         begin = np.maximum(np.r_[0, cuts][part[first]], off[owner[first]])
-        return h, last - first, begin, np.searchsorted(first, word_off)
+        return total, last - first, begin, np.searchsorted(first, word_off)
 
+    def runs(self, total: np.ndarray, a: np.ndarray, z: np.ndarray) -> np.ndarray:
+        """Hash of the words from a to z."""
+        return mix((total[z] - total[a]) * self.words.inv[a] + (z - a).astype(U))
 
-def _span_rows(span: int, min_words: int):
-    def run(batches):
-        import pyarrow as pa
 
-        hasher = SentenceHasher()
-        for b in sliced(batches, 1):
-            h, n_words, _, off = hasher(*utf8(b.column(1)))
-            runs, run_off = shingle_hashes(h, off, span)
-            total = np.r_[0, np.cumsum(n_words)]
-            count = np.diff(run_off)
-            doc = np.repeat(np.arange(len(count)), count)
-            pos = np.arange(len(runs)) - run_off[:-1][doc]
-            at = off[:-1][doc] + pos
-            keep = total[np.minimum(at + span, off[1:][doc])] - total[at] >= min_words
-            ids = b.column(0).take(pa.array(doc[keep]))
-            yield pa.RecordBatch.from_arrays([ids, pa.array(pos[keep].astype(np.int32)), pa.array(runs[keep].view(np.int64))], names=["id", "pos", "h"])
+def _packed(first: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """First and end sentence of runs as one number, in order of the first."""
+    return first << 32 | end
 
-    return run
 
+def _unpacked(run: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return run >> 32, run & 0xFFFFFFFF
 
-def _cleaned(span: int):
+
+def _runs(n_words: np.ndarray, off: np.ndarray, span: int, min_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """First and end sentence of the shortest runs, from each sentence on and up to each; a text of fewer than span sentences is one run at most."""
+    total = np.r_[0, np.cumsum(n_words)]
+    one = np.arange(len(n_words))
+    owner = np.repeat(np.arange(len(off) - 1), np.diff(off))
+    lo, hi = off[:-1][owner], off[1:][owner]
+    least = np.minimum(span, hi - lo)
+    after = np.maximum(np.searchsorted(total, total[one] + min_words), one + least)
+    before = np.minimum(np.searchsorted(total, total[one + 1] - min_words, "right") - 1, one + 1 - least)
+    on, up = after <= hi, before >= lo
+    key = np.unique(np.r_[_packed(one[on], after[on]), _packed(before[up], one[up] + 1)])
+    return _unpacked(key)
+
+
+def _span_rows(span: int, min_words: int):
     def run(batches):
         import pyarrow as pa
 
         hasher = SentenceHasher()
         for b in sliced(batches, 1):
-            raw, off = utf8(b.column(1))
-            _, n_words, begin, s_off = hasher(raw, off)
-            whole = raw.tobytes()
-            n_sent, n_gone, words_gone, texts = [], [], [], []
-            for i, (t, gone) in enumerate(zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)):
-                a, z = int(s_off[i]), int(s_off[i + 1])
-                n_sent.append(z - a)
-                if not gone:
-                    n_gone.append(0)
-                    words_gone.append(0)
-                    texts.append(t)
-                    continue
-                drop = np.zeros(z - a, bool)
-                for p in gone:
-                    drop[p : p + span] = True
-                edges = np.r_[begin[a:z], off[i + 1]]
-                edges[0] = off[i]
-                n_gone.append(int(drop.sum()))
-                words_gone.append(int(n_words[a:z][drop].sum()))
-                texts.append(b"".join(whole[edges[j] : edges[j + 1]] for j in np.flatnonzero(~drop)).decode())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n_sent, pa.int64()), pa.array(n_gone, pa.int64()), pa.array(words_gone, pa.int64()), pa.array(texts, pa.string())], names=["id", "n_sentences", "n_removed", "n_words_removed", "text"])
+            total, n_words, _, off = hasher(*utf8(b.column(1)))
+            first, end = _runs(n_words, off, span, min_words)
+            word = np.r_[0, np.cumsum(n_words)]
+            h = hasher.runs(total, word[first], word[end])
+            doc = np.searchsorted(off, first, "right") - 1
+            key = _packed(first - off[doc], end - off[doc])
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(doc)), pa.array(key), pa.array(h.view(np.int64))], names=["id", "run", "h"])
 
     return run
 
 
+def _merged(batches):
+    """Each row's runs with those that touch or overlap made one."""
+    import pyarrow as pa
+
+    for b in batches:
+        runs = b.column(1)
+        size = runs.value_lengths().to_numpy(zero_copy_only=False)
+        first, end = _unpacked(runs.flatten().to_numpy(zero_copy_only=False))
+        shift = np.repeat(np.arange(len(size)), size) << 32  # rows stay apart
+        order = np.argsort(first + shift)
+        first, end = (first + shift)[order], np.maximum.accumulate((end + shift)[order])
+        fresh = np.flatnonzero(np.r_[True, first[1:] > end[:-1]][: len(first)])
+        last = np.r_[fresh[1:], len(first)][: len(fresh)] - 1
+        off = np.searchsorted(first[fresh] >> 32, np.arange(len(size) + 1)).astype(np.int32)
+        out = pa.array(_packed(first[fresh] & 0xFFFFFFFF, end[last] & 0xFFFFFFFF))
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(off), out)], names=["id", "gone"])
+
+
+def _cleaned(batches):
+    import pyarrow as pa
+
+    hasher = SentenceHasher()
+    for b in sliced(batches, 1):
+        raw, off = utf8(b.column(1))
+        _, n_words, begin, s_off = hasher(raw, off)
+        whole = raw.tobytes()
+        n_sent, n_gone, words_gone, texts = [], [], [], []
+        for i, (t, gone) in enumerate(zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)):
+            a, z = int(s_off[i]), int(s_off[i + 1])
+            n_sent.append(z - a)
+            if not gone:
+                n_gone.append(0)
+                words_gone.append(0)
+                texts.append(t)
+                continue
+            drop = np.zeros(z - a, bool)
+            for p in gone:
+                drop[p >> 32 : p & 0xFFFFFFFF] = True
+            edges = np.r_[begin[a:z], off[i + 1]]
+            edges[0] = off[i]
+            n_gone.append(int(drop.sum()))
+            words_gone.append(int(n_words[a:z][drop].sum()))
+            texts.append(b"".join(whole[edges[j] : edges[j + 1]] for j in np.flatnonzero(~drop)).decode())
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n_sent, pa.int64()), pa.array(n_gone, pa.int64()), pa.array(words_gone, pa.int64()), pa.array(texts, pa.string())], names=["id", "n_sentences", "n_removed", "n_words_removed", "text"])
+
+
 def remove_repeated_spans(docs: DataFrame, span: int = 2, min_words: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: (id, n_sentences, n_removed, n_words_removed, text), text without its repeated sentences.
 
-    A run counts if it has at least min_words words; a text of fewer than `span` sentences is
-    one run.  Null and empty texts come back as they are, with zeros.  Rows with a null id are
-    left alone and are no one's first occurrence.  Rows that repeat an id are taken as one
-    document: equal rows keep the same sentences.  Other columns are ignored.
+    A run counts if it has at least min_words words, so that short sentences make longer runs;
+    a text of fewer than `span` sentences is one run.  Null and empty texts come back as they
+    are, with zeros.  Rows with a null id are left alone and are no one's first occurrence.
+    Rows that repeat an id are taken as one document: equal rows keep the same sentences.
+    Other columns are ignored.
     """
     small_batches(docs.sparkSession)
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    runs = base.where("id is not null").mapInArrow(_span_rows(span, min_words), "id long, pos int, h long")
-    often = runs.groupBy("h").agg(F.count("*").alias("n"), F.min(F.struct("id", "pos")).alias("first"))
-    often = materialize(often.where("n > 1").select("h", F.col("first.id").alias("first_id"), F.col("first.pos").alias("first_pos")), "repeated")
-    gone = runs.join(small_side(often, 1_500_000), "h").where("id != first_id or pos != first_pos")
-    gone = materialize(gone.groupBy("id").agg(F.collect_set("pos").alias("gone")), "removals")
+    runs = base.where("id is not null").mapInArrow(_span_rows(span, min_words), "id long, run long, h long")
+    often = runs.groupBy("h").agg(F.count("*").alias("n"), F.min(F.struct("id", "run")).alias("first"))
+    often = materialize(often.where("n > 1").select("h", F.col("first.id").alias("first_id"), F.col("first.run").alias("first_run")), "repeated")
+    gone = runs.join(small_side(often, 1_500_000), "h").where("id != first_id or run != first_run")
+    gone = gone.groupBy("id").agg(F.collect_set("run").alias("gone"))
+    gone = materialize(gone.mapInArrow(_merged, "id long, gone array<long>"), "removals")
     size = gone.agg(F.sum(F.size("gone"))).first()[0] or 0
     joined = base.join(F.broadcast(gone) if size <= BROADCAST_POSITIONS else gone, "id", "left")
-    out = joined.select("id", "text", "gone").mapInArrow(_cleaned(span), "id long, n_sentences long, n_removed long, n_words_removed long, text string")
+    out = joined.select("id", "text", "gone").mapInArrow(_cleaned, "id long, n_sentences long, n_removed long, n_words_removed long, text string")
     return out.withColumnRenamed("id", id_col)

@@ -230,6 +230,41 @@ def test_repeated_spans(spark):
     assert span_dedup.remove_repeated_spans(docs(spark, ODD)).count() == len(ODD)
 
 
+def test_repeated_short_sentences(spark):
+    verse = "\n".join(f"line{i}" for i in range(40))
+    tail = "One two three four five. Six seven eight nine. Ten eleven."
+    texts = [verse, f"An own start\n{verse}\nAn own end", "Few words. Here.", "Few words. Here.", f"Lead words here. {tail} Own words after it.", f"Another lead. {tail} Different ones."]
+    got = {r.doc_id: r for r in span_dedup.remove_repeated_spans(docs(spark, texts)).collect()}
+    assert [got[i].n_removed for i in range(6)] == [0, 40, 0, 0, 0, 3]
+    assert got[1].n_words_removed == 40 and got[1].text == "An own start\nAn own end"
+    assert got[5].text == "Another lead. Different ones."
+
+
+def brute_runs(texts, span=2, least=8):
+    """Sentences of each text that lie in a repeated run, by plain loops; sentences are lines here."""
+    rows = defaultdict(set)
+    for d, t in enumerate(texts):
+        lines = [re.findall("[a-z0-9]+", x) for x in t.split("\n")]
+        enough = lambda a, z: z - a >= span and sum(map(len, lines[a:z])) >= least
+        for a in range(len(lines)):
+            for z in range(a + 1, len(lines) + 1):
+                if enough(a, z) and not (enough(a + 1, z) and enough(a, z - 1)):
+                    rows[tuple(w for x in lines[a:z] for w in x)].add((d, a, z))
+    gone = defaultdict(set)
+    for at in rows.values():
+        for d, a, z in sorted(at)[1:]:
+            gone[d] |= set(range(a, z))
+    return [len(gone[d]) for d in range(len(texts))]
+
+
+def test_repeated_runs_of_any_sentence_length(spark):
+    rng = np.random.default_rng(3)
+    parts = ["\n".join(" ".join(rng.choice(["a", "b", "c", "d"], rng.integers(1, 7))) for _ in range(rng.integers(1, 9))) for _ in range(12)]
+    texts = ["\n".join(parts[i] for i in rng.integers(0, 12, rng.integers(2, 5))) for _ in range(40)]
+    got = {r.doc_id: r.n_removed for r in span_dedup.remove_repeated_spans(docs(spark, texts)).collect()}
+    assert [got[i] for i in range(len(texts))] == brute_runs(texts)
+
+
 # -- secrets -------------------------------------------------------------------------------------
 
 
