@@ -1,12 +1,14 @@
 """Substring deduplication by sliding sentence spans.
 
 Every shortest run of consecutive sentences with at least `span` of them and `min_words`
-words, from each sentence on and up to each sentence, is hashed by its words, the hashes
-are counted over all documents, and each sentence that lies in a repeated run which isn't
-the run's first occurrence (smallest document id, then position) is taken out of its text.
-
-A sentence ends at a line break, at . ! ? before white space, and after a full-width
-full stop, exclamation or question mark; its words are runs of ASCII letters and digits
+words, from each sentence on and up to each sentence, and each sentence of `long_words` words,
+is hashed by its words, the hashes are counted over all documents, and each sentence that lies
+in a repeated run which isn't the run's first occurrence (smallest document id, then position)
+is taken out of its text.
+
+A sentence ends at a line break, at . ! ? before white space (closing quotes, brackets and
+symbols may stand between), and after a full-width full stop, exclamation or question mark
+with the closing quotes and brackets that follow it; its words are runs of ASCII letters and digits
 and non-ASCII characters, A-Z in lower case, so case and punctuation don't hide a repeat.
 Segments without words belong to the sentence before them.
 """
@@ -21,11 +23,15 @@ from pulsegrid.llm.shared import materialize, small_batches, small_side
 from pulsegrid.llm.textkernel import WordHasher, mix, sliced, utf8
 
 U = np.uint64
+#: ASCII that may stand between a stop and the blank after it: all punctuation but , ; : and what opens.
+CLOSING = np.isin(np.arange(256), np.frombuffer(b"\"#$%&')*+-/=>\\]^_`|}~@", np.uint8))
+#: Closing quotes and brackets of three bytes.
+WIDE_CLOSING = [int.from_bytes(c.encode(), "big") for c in "’”›」』】〉》〕）］｝＂＇"]
 #: Merged runs up to which the table of removals is broadcast; beyond it the join shuffles.
 BROADCAST_POSITIONS = 4_000_000
 
 
-def _cuts(raw: np.ndarray) -> np.ndarray:
+def _cuts(raw: np.ndarray, off: np.ndarray) -> np.ndarray:
     """Where a new sentence starts, whatever the text."""
     n = len(raw)
     if not n:
@@ -33,10 +39,28 @@ def _cuts(raw: np.ndarray) -> np.ndarray:
     blank = (raw == 32) | ((raw >= 9) & (raw <= 13))
     stop = (raw == 46) | (raw == 33) | (raw == 63)
     cut = (raw == 10) | (raw == 13)
-    cut[:-1] |= stop[:-1] & blank[1:]
+    wide = np.zeros(n, bool)
+    closing = CLOSING[raw]
     if n > 2:
-        wide = ((raw[:-2] == 0xE3) & (raw[1:-1] == 0x80) & (raw[2:] == 0x82)) | ((raw[:-2] == 0xEF) & (raw[1:-1] == 0xBC) & ((raw[2:] == 0x81) | (raw[2:] == 0x9F)))
-        cut[2:] |= wide
+        a, b, c = raw[:-2], raw[1:-1], raw[2:]
+        wide[2:] = ((a == 0xE3) & (b == 0x80) & (c == 0x82)) | ((a == 0xEF) & (b == 0xBC) & ((c == 0x81) | (c == 0x9F)))
+        three = np.isin(a.astype(np.int32) << 16 | b.astype(np.int32) << 8 | c, WIDE_CLOSING)
+        for j in range(3):
+            closing[j : n - 2 + j] |= three
+    if n > 1:
+        two = (raw[:-1] == 0xC2) & (raw[1:] == 0xBB)
+        closing[:-1] |= two
+        closing[1:] |= two
+    # the last stop, and the last byte that is neither a stop nor closing, up to each byte; texts don't reach into one another
+    at = np.arange(n)
+    other = np.where(stop | wide | closing, -1, at)
+    begin = off[:-1][off[:-1] < n]
+    other[begin] = np.maximum(other[begin], begin - 1)
+    other = np.maximum.accumulate(other)
+    ended = np.maximum.accumulate(np.where(stop, at, -1)) > other
+    cut[:-1] |= ended[:-1] & blank[1:]
+    ended = np.maximum.accumulate(np.where(wide, at, -1)) > other
+    cut |= ended & ~np.r_[ended[1:], False]
     return np.flatnonzero(cut) + 1
 
 
@@ -51,7 +75,7 @@ class SentenceHasher:
             z = np.zeros(0, np.int64)
             return np.zeros(1, U), z, z, np.zeros(len(off), np.int64)
         owner = np.repeat(np.arange(len(off) - 1), np.diff(word_off))
-        cuts = _cuts(raw)
+        cuts = _cuts(raw, off)
         part = np.searchsorted(cuts, start, "right")
         first = np.flatnonzero(np.r_[True, (part[1:] != part[:-1]) | (owner[1:] != owner[:-1])])
         last = np.r_[first[1:], len(words)]
@@ -75,8 +99,8 @@ def _unpacked(run: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return run >> 32, run & 0xFFFFFFFF
 
 
-def _runs(n_words: np.ndarray, off: np.ndarray, span: int, min_words: int) -> tuple[np.ndarray, np.ndarray]:
-    """First and end sentence of the shortest runs, from each sentence on and up to each; a text of fewer than span sentences is one run at most."""
+def _runs(n_words: np.ndarray, off: np.ndarray, span: int, min_words: int, long_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """First and end sentence of the shortest runs, from each sentence on and up to each, and the long sentences; a text of fewer than span sentences is one run at most."""
     total = np.r_[0, np.cumsum(n_words)]
     one = np.arange(len(n_words))
     owner = np.repeat(np.arange(len(off) - 1), np.diff(off))
@@ -85,18 +109,19 @@ def _runs(n_words: np.ndarray, off: np.ndarray, span: int, min_words: int) -> tu
     after = np.maximum(np.searchsorted(total, total[one] + min_words), one + least)
     before = np.minimum(np.searchsorted(total, total[one + 1] - min_words, "right") - 1, one + 1 - least)
     on, up = after <= hi, before >= lo
-    key = np.unique(np.r_[_packed(one[on], after[on]), _packed(before[up], one[up] + 1)])
+    alone = np.flatnonzero(n_words >= long_words)
+    key = np.unique(np.r_[_packed(one[on], after[on]), _packed(before[up], one[up] + 1), _packed(alone, alone + 1)])
     return _unpacked(key)
 
 
-def _span_rows(span: int, min_words: int):
+def _span_rows(span: int, min_words: int, long_words: int):
     def run(batches):
         import pyarrow as pa
 
         hasher = SentenceHasher()
         for b in sliced(batches, 1):
             total, n_words, _, off = hasher(*utf8(b.column(1)))
-            first, end = _runs(n_words, off, span, min_words)
+            first, end = _runs(n_words, off, span, min_words, long_words)
             word = np.r_[0, np.cumsum(n_words)]
             h = hasher.runs(total, word[first], word[end])
             doc = np.searchsorted(off, first, "right") - 1
@@ -152,18 +177,18 @@ def _cleaned(batches):
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n_sent, pa.int64()), pa.array(n_gone, pa.int64()), pa.array(words_gone, pa.int64()), pa.array(texts, pa.string())], names=["id", "n_sentences", "n_removed", "n_words_removed", "text"])
 
 
-def remove_repeated_spans(docs: DataFrame, span: int = 2, min_words: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_repeated_spans(docs: DataFrame, span: int = 2, min_words: int = 8, id_col: str = "doc_id", text_col: str = "text", long_words: int = 25) -> DataFrame:
     """One row per input row: (id, n_sentences, n_removed, n_words_removed, text), text without its repeated sentences.
 
     A run counts if it has at least min_words words, so that short sentences make longer runs;
-    a text of fewer than `span` sentences is one run.  Null and empty texts come back as they
+    a sentence of long_words words is a run alone; a text of fewer than `span` sentences is one run.  Null and empty texts come back as they
     are, with zeros.  Rows with a null id are left alone and are no one's first occurrence.
     Rows that repeat an id are taken as one document: equal rows keep the same sentences.
     Other columns are ignored.
     """
     small_batches(docs.sparkSession)
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    runs = base.where("id is not null").mapInArrow(_span_rows(span, min_words), "id long, run long, h long")
+    runs = base.where("id is not null").mapInArrow(_span_rows(span, min_words, long_words), "id long, run long, h long")
     often = runs.groupBy("h").agg(F.count("*").alias("n"), F.min(F.struct("id", "run")).alias("first"))
     often = materialize(often.where("n > 1").select("h", F.col("first.id").alias("first_id"), F.col("first.run").alias("first_run")), "repeated")
     gone = runs.join(small_side(often, 1_500_000), "h").where("id != first_id or run != first_run")

@@ -240,6 +240,31 @@ def test_repeated_short_sentences(spark):
     assert got[5].text == "Another lead. Different ones."
 
 
+@pytest.mark.parametrize("end", ['."', ".)", ".***", "!'", "?]", ".”", ".’", ".»", ".')", "。」", "！』"])
+def test_repeated_spans_close_with_punctuation(spark, end):
+    tell = f"He told them all of it at last{end} She answered that it was so{end} They left{end} "
+    got = {r.doc_id: r for r in span_dedup.remove_repeated_spans(docs(spark, [f"Some lead in{end} {tell}Own end.", f"Another start of it{end} {tell}Other end."])).collect()}
+    assert (got[0].n_removed, got[1].n_removed, got[1].n_sentences) == (0, 3, 5)
+    assert got[1].text == f"Another start of it{end} Other end."
+
+
+def test_sentences_of_a_text_do_not_depend_on_the_one_before(spark):
+    texts = ["An end.", "” Start here. And so on.", "!", "') x. y", "。", "」 a. b"]
+    alone = [span_dedup.SentenceHasher()(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t.encode())]))[1].tolist() for t in texts]
+    off = np.cumsum([0] + [len(t.encode()) for t in texts])
+    _, n_words, _, at = span_dedup.SentenceHasher()(np.frombuffer("".join(texts).encode(), np.uint8), off)
+    assert [n_words[at[i] : at[i + 1]].tolist() for i in range(len(texts))] == alone
+
+
+def test_repeated_long_sentence(spark):
+    long = " ".join(f"w{i}" for i in range(25)) + "."
+    short = " ".join(f"v{i}" for i in range(24)) + "."
+    texts = [f"One lead. {long} One end. {short} One more.", f"Two lead. {long} Two end. {short} Two more."]
+    got = {r.doc_id: r for r in span_dedup.remove_repeated_spans(docs(spark, texts)).collect()}
+    assert (got[0].n_removed, got[1].n_removed, got[1].n_words_removed) == (0, 1, 25)
+    assert got[1].text == f"Two lead. Two end. {short} Two more."
+
+
 def brute_runs(texts, span=2, least=8):
     """Sentences of each text that lie in a repeated run, by plain loops; sentences are lines here."""
     rows = defaultdict(set)
