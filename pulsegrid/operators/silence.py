@@ -102,8 +102,12 @@ def frame_silent_column(samples: DataFrame, cfg: SilenceConfig) -> Column:
 def nearest_zero_crossing(samples: DataFrame, targets: DataFrame, reach: int) -> DataFrame:
     """(track, channel, target, crossing): the sign change nearest to each target frame, the left one of two equally near."""
     w = Window.partitionBy("track", "channel").orderBy("frame")
-    turns = samples.withColumn("turn", (F.col("x") >= 0) != (F.lead("x").over(w) >= 0)).where("turn").select("track", "channel", "frame")
-    keyed = targets.select("track", "channel", "target", F.explode(F.sequence(F.floor((F.col("target") - reach) / reach), F.floor((F.col("target") + reach) / reach))).alias("bucket"))
-    near = keyed.join(turns.withColumn("bucket", F.floor(F.col("frame") / reach)), ["track", "channel", "bucket"]).where(F.abs(F.col("frame") - F.col("target")) <= reach)
-    best = F.min_by("frame", F.struct(F.abs(F.col("frame") - F.col("target")), F.col("frame")))
-    return near.groupBy("track", "channel", "target").agg(best.alias("crossing"))
+    turns = samples.withColumn("turn", (F.col("x") >= 0) != (F.lead("x").over(w) >= 0)).where("turn").select("track", "channel", "frame", F.col("frame").alias("turn"), F.lit(False).alias("asked"))
+    asked = targets.select("track", "channel", F.col("target").alias("frame"), F.lit(None).cast("long").alias("turn"), F.lit(True).alias("asked")).distinct()
+    # one pass in each direction: rows grow with the targets, not with the crossings within their reach
+    side = Window.partitionBy("track", "channel").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = turns.unionByName(asked).withColumn("left", F.max("turn").over(side.orderBy("frame"))).withColumn("right", F.min("turn").over(side.orderBy(F.col("frame").desc())))
+    to_left, to_right = F.col("frame") - F.col("left"), F.col("right") - F.col("frame")
+    best = F.when(F.col("left").isNull() | (to_right < to_left), F.col("right")).otherwise(F.col("left"))
+    near = rows.where("asked").select("track", "channel", F.col("frame").alias("target"), best.alias("crossing"))
+    return near.where(F.abs(F.col("crossing") - F.col("target")) <= reach)

@@ -102,6 +102,16 @@ def _(spark, d):
     return silence.nearest_zero_crossing(x, x.where("frame % 97 = 0").select("track", "channel", F.col("frame").alias("target")).distinct(), 200)
 
 
+@query("zero_crossings_all", f"""
+WITH {EVENTS}, tn AS (SELECT track, channel, frame, CASE WHEN nx IS NOT NULL AND (x >= 0) <> (nx >= 0) THEN frame END AS turn FROM (SELECT *, lead(x) OVER (PARTITION BY track, channel ORDER BY frame) AS nx FROM ev)),
+nr AS (SELECT track, channel, frame AS target, max(turn) OVER (PARTITION BY track, channel ORDER BY frame ROWS UNBOUNDED PRECEDING) AS l, min(turn) OVER (PARTITION BY track, channel ORDER BY frame DESC ROWS UNBOUNDED PRECEDING) AS r FROM tn),
+cr AS (SELECT *, CASE WHEN l IS NULL OR r - target < target - l THEN r ELSE l END AS crossing FROM nr)
+SELECT track, channel, target, crossing FROM cr WHERE abs(crossing - target) <= 200""")
+def _(spark, d):
+    x = signals.events_stereo(spark, d)
+    return silence.nearest_zero_crossing(x, x.select("track", "channel", F.col("frame").alias("target")), 200)
+
+
 def _clip_sql(threshold: str, least: int, kind: str) -> str:
     return f"""SELECT track, channel, min(b) AS "begin", max(e) AS "end", CASE WHEN count(*) > 1 THEN max(e) - min(b) ELSE max(n) END AS sample_count, max(peak) AS peak, {kind} AS kind FROM (
         SELECT *, sum(nw) OVER (PARTITION BY track, channel ORDER BY b) AS g FROM (

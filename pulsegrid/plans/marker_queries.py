@@ -58,6 +58,13 @@ def _(spark, d):
     return rounded(markers.pixel_spans(signals.markers(spark, d).where("start_frame % 70 = 0"), 250.0))
 
 
+@query("marker_spans_all", f"""WITH {MARKERS}, r AS (SELECT kind, start_frame / 250.0 AS b, end_frame / 250.0 AS e, id FROM mk WHERE end_frame IS NOT NULL),
+g AS (SELECT *, sum(nw) OVER (PARTITION BY kind ORDER BY b, e, id) AS g FROM (SELECT *, CASE WHEN b > max(e) OVER (PARTITION BY kind ORDER BY b, e, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 1.0 OR lag(e) OVER (PARTITION BY kind ORDER BY b, e, id) IS NULL THEN 1 ELSE 0 END AS nw FROM r))
+SELECT kind, {r6('min(b)', 'begin').replace(' AS begin', ' AS "begin"')}, {r6('max(e)', 'end').replace(' AS end', ' AS "end"')}, count(*) AS n FROM g GROUP BY kind, g""")
+def _(spark, d):
+    return rounded(markers.pixel_spans(signals.markers(spark, d), 250.0))
+
+
 @query("curve_pixels", f"""WITH {EVENTS}, s AS (SELECT track, channel, frame // 50 AS w, sqrt(avg(x*x)) AS v FROM ev GROUP BY ALL), p AS (SELECT px, px * 170 // 50 AS lo, greatest(px * 170 // 50, ((px + 1) * 170 + 49) // 50 - 1) AS hi FROM range(20) r(px))
 SELECT track, channel, px, {r6('min(v)', 'min')}, {r6('max(v)', 'max')} FROM s JOIN p ON w BETWEEN lo AND hi GROUP BY ALL""")
 def _(spark, d):
@@ -184,6 +191,17 @@ def _(spark, d):
     return hits.select("k", "v", F.lit(True).alias("hit")).unionByName(misses.select("k", "v", F.lit(False).alias("hit")))
 
 
+@query("cache_lookup_all", """WITH r AS (SELECT event_id AS k, CASE WHEN event_id % 10 = 0 THEN 'old' ELSE event_type END AS v FROM events WHERE event_id % 2 = 0)
+SELECT q.event_id AS k, q.event_type AS v, r.k IS NOT NULL AS hit FROM events q LEFT JOIN r ON r.k = q.event_id AND r.v = q.event_type""")
+def _(spark, d):
+    """Every event asks; results exist for the even ids, a tenth of all under a stale version."""
+    e = signals.read(spark, d, "events")
+    want = e.select(F.col("event_id").alias("k"), F.col("event_type").alias("v"))
+    have = e.where("event_id % 2 = 0").select(F.col("event_id").alias("k"), F.when(F.col("event_id") % 10 == 0, "old").otherwise(F.col("event_type")).alias("v"), "value")
+    hits, misses = files.cached(want, have, ["k", "v"])
+    return hits.select("k", "v", F.lit(True).alias("hit")).unionByName(misses.select("k", "v", F.lit(False).alias("hit")))
+
+
 @query("chunk_range", f"WITH {EVENTS} SELECT track, channel, frame, {r6('CAST(CAST(x AS FLOAT) AS DOUBLE)', 'x')} FROM ev WHERE frame >= 1000 AND frame < 1300")
 def _(spark, d):
     return rounded(signals.read_range(signals.to_chunks(signals.events_stereo(spark, d), 512), 1000, 1300, 512))

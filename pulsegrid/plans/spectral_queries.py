@@ -312,6 +312,25 @@ def _(spark, d):
     return rounded(transients.peak_and_times(near, transients.attack(near, SR), SR))
 
 
+def _near_onsets(spark, d):
+    """The samples of the mono downmix near each of its own onsets."""
+    mono = signals.events_stereo(spark, d).groupBy("track", "frame").agg(F.avg("x").alias("x")).select("track", F.lit(0).alias("channel"), "frame", "x")
+    spectra = spectral.stft(mono, SR, StftConfig(size=64, hop=16)).select("track", "t", F.posexplode("mag").alias("k", "mag"))
+    found = beats.onsets(beats.normalised(beats.flux(spectra, (8, 20)).select("track", "t", F.col("flux").alias("v")), 17), 16 / SR)
+    return transients.around(mono, found.select("track", F.round(F.col("at") * SR).cast("long").alias("cand")), 20, 200)
+
+
+@query("transient_attack_onsets")
+def _(spark, d):
+    return transients.attack(_near_onsets(spark, d), SR)
+
+
+@query("transient_times_onsets")
+def _(spark, d):
+    near = _near_onsets(spark, d)
+    return rounded(transients.peak_and_times(near, transients.attack(near, SR), SR))
+
+
 def _fuzzy(x: str, at: float, soft: float, above: bool = True) -> str:
     return f"least(1, greatest(0, ({x} - {at}) / {soft} + 0.5))" if above else f"least(1, greatest(0, ({at} - {x}) / {soft} + 0.5))"
 
