@@ -116,14 +116,14 @@ def candidates(docs: DataFrame, text_col: str, keep: tuple[str, ...] = ()) -> Da
     def votes(kind: str, x: Column) -> list[Column]:
         m = x["m"]
         before = F.lower(F.substring(F.col("t"), F.greatest(F.lit(1), x["s"] + 1 - REACH), F.least(F.lit(REACH), x["s"])))
-        context = F.when(before.rlike(rf"(?:^|[^a-z])(?:{CONTEXT[kind]})"), 1).otherwise(-1)
+        context = F.when(before.rlike(rf"(?:^|[^a-z])(?:{CONTEXT[kind]})"), 1).otherwise(0)
         digits = _digits(m)
         listed = {
             "email": F.when(F.regexp_extract(F.lower(m), r"\x01([a-z0-9-]+)$", 1).isin(*TLDS), 1).otherwise(0),
             "ip": F.when(m.rlike(r"^(?:0|10|127|255)\.|^192\.168\."), 0).otherwise(1),
             "card": F.when(digits.rlike(r"^(?:4|5[1-5]|2[2-7]|3[47]|6)"), 1).otherwise(0),
             "phone": F.when(m.rlike(r"^\+(?:1|3[0-9]|4[0-9]|5[1-8]|6[0-6]|7|8[1-6]|9[0-8])"), 1).otherwise(0),
-            "name": F.when(F.lower(F.regexp_extract(m, r" ([A-Z][a-z]+)", 1)).isin(*FIRST_NAMES), 1).otherwise(-1),
+            "name": F.when(F.lower(F.regexp_extract(m, r" ([A-Z][a-z]+)", 1)).isin(*FIRST_NAMES), 1).otherwise(0),
         }.get(kind, F.lit(-1))
         strict = F.lit(1) if kind in KINDS[:BASE] else F.lit(-1) if kind == "name" else F.lit(0)
         shape = {

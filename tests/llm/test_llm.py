@@ -362,6 +362,15 @@ def test_pii_base_spans(spark):
     assert pii.find_pii(empty(spark)).count() == 0
 
 
+def test_context_decides_on_other_spans(spark):
+    texts = [f"My mail is a.person{i}@mail.com today" for i in range(20)]
+    texts += [f"Please call (415) 200-12{i:02d} now" for i in range(20)] + [f"The figures (415) 200-12{i:02d} stood there" for i in range(20)]
+    texts += ["Here stood Mr. Zorblatt there"] * 10 + ["I met Dr. Maria Zorblatt there"] * 10
+    got = {r.doc_id: r for r in pii.find_pii(docs(spark, texts)).collect()}
+    assert {got[i].n_other for i in range(20, 40)} == {1} and {got[i].n_other for i in range(40, 60)} == {0}
+    assert got[20].spans == "local_phone:12:26" and {got[i].n_email for i in range(20)} == {1}
+
+
 def test_redaction_keeps_columns_and_rows(spark):
     texts = ["mail a@b.com or call +1 (619) 555-0053.", None, "clean"]
     out = pii.redact(docs(spark, texts))
