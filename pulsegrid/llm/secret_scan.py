@@ -48,12 +48,16 @@ CLASSES = (
 ALLOW = (
     re.compile(r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}"),  # UUIDs
     re.compile(r"[0-9]+"),
-    re.compile(r"(?i).*(example|sample|placeholder|changeme|your[_-]?(key|token|secret)).*"),
     re.compile(r"(?i)(0123456789(abcdef)?|abcdefghijklmnopqrstuvwxyz|[+/=_-])+"),
     re.compile(r"(?i)(sha(1|256|384|512)|md5)-.*"),
 )
 
 
+#: The stretch of letters and digits around one of these words isn't reported; what stands beside it is.
+ALLOW_WORDS = re.compile(r"(?i)example|sample|placeholder|changeme|your[_-]?(?:key|token|secret)")
+NO_WORD = re.compile(r"[^0-9A-Za-z]|$")
+
+
 def entropy_windows(s: str, w: int, bits: float) -> list[tuple[int, int]]:
     """Merged spans of the windows of w characters whose entropy is at least `bits`."""
     n = len(s)
@@ -82,10 +86,19 @@ def entropy_windows(s: str, w: int, bits: float) -> list[tuple[int, int]]:
 
 
 def entropy_spans(candidate: str, cls: CharClass, allow=ALLOW) -> list[tuple[int, int]]:
-    """The class's spans in one candidate string that no allow-list entry, on the span or the whole string, covers."""
+    """The class's spans in one candidate string, outside allowed words, that no allow-list entry, on the span or the whole string, covers."""
     if any(p.fullmatch(candidate) for p in allow):
         return []
-    found = entropy_windows(candidate, cls.window, cls.bits)
+    found, at = [], 0
+    while at < len(candidate):
+        word = ALLOW_WORDS.search(candidate, at)
+        a = z = len(candidate)
+        if word:
+            a, z = word.start(), NO_WORD.search(candidate, word.end()).start()
+            while a > at and candidate[a - 1].isalnum():
+                a -= 1
+        found += [(at + s, at + e) for s, e in entropy_windows(candidate[at:a], cls.window, cls.bits)]
+        at = z
     return [(a, z) for a, z in found if (not cls.needs_digit or any(c.isdigit() for c in candidate[a:z])) and not any(p.fullmatch(candidate[a:z]) for p in allow)]
 
 

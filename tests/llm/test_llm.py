@@ -341,6 +341,15 @@ def luhn(x):
     return sum(c if i % 2 == 0 else (c * 2 - 9 if c > 4 else c * 2) for i, c in enumerate(d)) % 10 == 0
 
 
+def test_allowed_words_do_not_hide_what_stands_beside_them():
+    b64 = secret_scan.CLASSES[1]
+    key = "q8Zr3Lw9Xc5Vb2Nm7Kj4Hg6Fd1Sa0PoYtReWiUzQ"
+    for lead in ("sample_cred=", "docs/example/of/", "your_key="):
+        spans = secret_scan.entropy_spans(lead + key, b64)
+        assert spans and spans[-1][1] == len(lead + key) and spans[-1][0] <= len(lead)
+    assert secret_scan.entropy_spans("q8Zr3Lw9Xc5Vb2Nm7KjEXAMPLEKEY", b64) == []
+
+
 def base_spans(t):
     out = [("email", *m.span()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
     out += [("ip", *m.span()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t) if all(int(p) <= 255 for p in m[0].split("."))]
