@@ -14,27 +14,34 @@ comes from one row of counters of fixed size, filled with all shingles of all do
 Steps, all distributed:
 1. counters (2**sketch_bits); 2. prefixes, and a 128-bit digest of each set; equal sets form
 one class and go on as one; 3. shingles that occur in two classes' prefixes; 4. star pairs:
-each such shingle's classes against the one in which it stands first, verified, joined to
-components; 5. pairs of classes that share a prefix shingle and are in different components,
-in blocks of bounded size, verified.  Step 5 loses nothing: only pairs already known to be
-connected are left out, and no pair of copies or of linked near copies is ever written out.
+each such shingle's classes against the one of least hash among them; those with enough common
+prefix shingles are verified and joined to components; 5. pairs of classes in different
+components with enough common prefix shingles, verified.  Shingles of few classes are joined
+with themselves and the pairs counted; the classes of the others are compared in blocks of
+bounded size, each with the list of its shingles of that kind.  Step 5 loses nothing: only
+pairs already known to be connected are left out, and no pair of copies or of linked near
+copies is ever written out.
 """
 
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pulsegrid.llm.components import connected_components
-from pulsegrid.llm.shared import discard, materialize, small_batches, small_side
+from pulsegrid.llm.shared import BROADCAST_ROWS, discard, materialize, small_batches, small_side
 from pulsegrid.llm.textkernel import WordHasher, distinct_sets, mix, shingle_hashes, sliced, utf8
 
 U = np.uint64
 RANK_BITS = 6
-#: Classes of one prefix shingle that are compared in one block.
-BLOCK = 2048
+#: Classes of one prefix shingle up to which it is joined with itself, and beyond it, how many are compared in one block.
+FEW, BLOCK = 16, 2048
+#: Sets that are compared with one set in one group of rows.
+SPOKES = 64
+#: Rows of a class from which its result is joined apart from the others'.
+HOT_CLASS = 10_000
 
 
 def _sets(batch_text, hasher, k):
@@ -60,7 +67,7 @@ def _counter_blocks(k: int, bits: int):
         import pyarrow as pa
         from pyspark import TaskContext
 
-        hasher, counts, held = WordHasher("space"), np.zeros(1 << bits, np.uint16), 0
+        hasher, counts, most = WordHasher("space"), np.zeros(1 << bits, np.uint16), 0  # no counter exceeds most
         size = min(1 << 16, len(counts))
         salt = TaskContext.get().partitionId() % 16
 
@@ -72,14 +79,17 @@ def _counter_blocks(k: int, bits: int):
             full = [s for s in _sets(b.column(0), hasher, k) if len(s)]
             for at in range(0, len(full), 256):
                 part = np.concatenate(full[at : at + 256])
-                for p in range(0, len(part), 1 << 20):
-                    now = part[p : p + (1 << 20)] >> U(64 - bits)
-                    if held and int(counts.max()) + int(np.bincount((now & U(0xFFFF)).astype(np.int64)).max()) > 0xFFFF:
-                        yield from send()
-                        counts[:] = 0
+                for p in range(0, len(part), 1 << 18):
+                    now = (part[p : p + (1 << 18)] >> U(64 - bits)).astype(np.int64)
+                    more = int(np.bincount(now & 0xFFFF).max())
+                    if most + more > 0xFFFF:
+                        most = int(counts.max())
+                        if most + more > 0xFFFF:
+                            yield from send()
+                            counts[:], most = 0, 0
                     np.add.at(counts, now, np.uint16(1))
-                    held += len(now)
-        if held:
+                    most += more
+        if most:
             yield from send()
 
     return run
@@ -169,18 +179,26 @@ def _set_rows(k):
 
 
 def _verified(num, den):
+    """Rows (x, block, hub, node, items), sorted by the first three: the set of x comes before those it is compared with."""
+
     def run(batches):
         import pyarrow as pa
 
+        of, p = None, np.zeros(0, U)
         for b in batches:
-            keep = []
-            for x, y in zip(b.column(2), b.column(3), strict=True):
-                p, q = (np.frombuffer(v.as_buffer(), U) for v in (x, y))
-                both = np.sort(np.concatenate([p, q]))
-                inter = int((both[1:] == both[:-1]).sum())
-                keep.append(den * inter >= num * (len(p) + len(q) - inter))
-            mask = pa.array(keep, pa.bool_())
-            yield pa.RecordBatch.from_arrays([b.column(0).filter(mask), b.column(1).filter(mask)], names=["x", "y"])
+            xs, ys = [], []
+            for x, block, spoke, y, items in zip(*(c.to_pylist() for c in b.columns[:4]), b.column(4), strict=True):
+                q = np.frombuffer(items.as_buffer(), U)
+                if not spoke:
+                    of, p = (x, block), q.copy()
+                    continue
+                if of != (x, block):
+                    raise ArithmeticError("a set to compare with is missing")
+                inter = int((q[np.minimum(np.searchsorted(q, p), len(q) - 1)] == p).sum())
+                if den * inter >= num * (len(p) + len(q) - inter):
+                    xs.append(x)
+                    ys.append(y)
+            yield pa.RecordBatch.from_arrays([pa.array(xs, pa.int64()), pa.array(ys, pa.int64())], names=["x", "y"])
 
     return run
 
@@ -312,9 +330,9 @@ def similarity_components(docs: DataFrame, k: int = 5, num: int = 4, den: int =
     shared = spark.sparkContext.broadcast(ranks)
     prefix = materialize(base.mapInArrow(_prefix_rows(k, num, den, sketch_bits, shared, mean, longest, verify_cost), "id long, n long, digest binary, l int, tokens array<long>"), "prefix")
 
-    classes = prefix.where("digest is not null and id is not null").groupBy("digest").agg(F.min("id").alias("rep"))
+    classes = prefix.where("digest is not null and id is not null").groupBy("digest").agg(F.min("id").alias("rep"), F.count("*").alias("rows"))
     classes = materialize(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
-    firsts = prefix.withColumnRenamed("id", "rep").join(small_side(classes), ["rep", "digest"])
+    firsts = prefix.withColumnRenamed("id", "rep").join(small_side(classes.drop("rows")), ["rep", "digest"])
     # one number for size, place and l keeps the rows that are shuffled narrow
     packed = F.shiftleft(F.col("n"), 32) + F.shiftleft(F.col("pos").cast("long"), 4) + F.col("l")
     posted = firsts.select("node", "n", "l", F.posexplode("tokens").alias("pos", "token")).select("token", "node", packed.alias("nums"))
@@ -322,29 +340,46 @@ def similarity_components(docs: DataFrame, k: int = 5, num: int = 4, den: int =
     often = posted.groupBy("token").agg(F.count("*").alias("m")).where("m > 1").select("token")
     posted = posted.join(often.hint("merge"), "token", "left_semi")
     posted = posted.select("token", "node", F.shiftright("nums", 32).alias("n"), F.shiftright("nums", 4).bitwiseAND((1 << 28) - 1).cast("int").alias("pos"), F.col("nums").bitwiseAND(15).cast("int").alias("l"))
-    level = F.greatest(F.lit(1), (F.col("pos") - (F.col("n") - F.ceil(F.col("n") * num / den)) + 1).cast("int"))
-    posted = materialize(posted.withColumn("level", level), "posted")
+    posted = materialize(posted.withColumn("c", F.expr(f"(n * {num} + {den - 1}) div {den}")), "posted")
+
+    def candidates(left: DataFrame, right: DataFrame, spare: Column, which: str = "true") -> DataFrame:
+        """Pairs with at least as many common prefix shingles as they need, less spare.
+
+        left and right have the columns token, node, n, pos, l and c, right's with an r_ before all but token.
+        """
+        q = F.least("l", "r_l")
+        in_both = (F.col("pos") < F.col("n") - F.col("c") + q) & (F.col("r_pos") < F.col("r_n") - F.col("r_c") + q)
+        fits = f"{den} * least(n, r_n) >= {num} * greatest(n, r_n) and {num + den} * (least(pos, r_pos) + least(n - pos, r_n - r_pos)) >= {num} * (n + r_n)"
+        alpha = F.expr(f"((n + r_n) * {num} + {num + den - 1}) div {num + den}")
+        need = F.greatest(q, alpha - F.greatest("c", "r_c") + q) - spare
+        pairs = left.join(right, "token").where(which).where(in_both).where(fits).select(F.col("node").alias("x"), F.col("r_node").alias("y"), need.cast("int").alias("need"))
+        return pairs.groupBy("x", "y").agg(F.count("*").alias("n"), F.max("need").alias("need")).where("n >= need").select("x", "y")
 
     def verified(pairs: DataFrame) -> DataFrame:
-        """The pairs (x, y) of nodes that link; only texts that are in a pair are read into sets."""
+        """The pairs (x, y) of nodes that link; only texts that are in a pair are read into sets, and a set goes once to each block of those it is compared with."""
         pairs = materialize(pairs, "pairs")
         wanted = materialize(pairs.select(F.explode(F.array("x", "y")).alias("node")).distinct().join(classes, "node"), "wanted")
-        ids = small_side(wanted.select(F.col("rep").alias("id")).distinct())
+        degree = pairs.groupBy("x").agg(F.ceil(F.count("*") / SPOKES).cast("int").alias("blocks"))
+        dealt = pairs.join(degree, "x").select("x", F.pmod(F.xxhash64("y"), F.col("blocks")).cast("int").alias("block"), "y")
+        roles = dealt.select(F.col("y").alias("node"), "x", "block", F.lit(True).alias("spoke")).unionByName(dealt.select(F.col("x").alias("node"), "x", "block", F.lit(False).alias("spoke")).distinct())
+        roles = materialize(roles.join(wanted.select("node", "digest"), "node"), "roles")
+        ids = small_side(wanted.select(F.col("rep").alias("id")).distinct(), 4 * BROADCAST_ROWS)
         sets = base.join(ids, "id", "left_semi").select("text").mapInArrow(_set_rows(k), "digest binary, items binary")
-        sets = materialize(sets.join(small_side(wanted.select("digest", "node")), "digest").select("node", "items"), "sets")
-        full = pairs.join(sets.withColumnsRenamed({"node": "x", "items": "ix"}), "x").join(sets.withColumnsRenamed({"node": "y", "items": "iy"}), "y")
-        links = materialize(full.select("x", "y", "ix", "iy").mapInArrow(_verified(num, den), "x long, y long").distinct(), "links")
-        discard(sets)
+        # rows that share an id with another text are read as well, and repeated rows give a set twice
+        sets = sets.join(small_side(roles), "digest").select("x", "block", "spoke", "node", "items")
+        sets = sets.repartition("x", "block").sortWithinPartitions("x", "block", "spoke")
+        links = materialize(sets.mapInArrow(_verified(num, den), "x long, y long").distinct(), "links")
+        discard(pairs, wanted, roles)
         return links
 
     def as_edges(links: DataFrame) -> DataFrame:
         reps = classes.select("node", "rep")
         return links.join(reps.withColumnsRenamed({"node": "x", "rep": "a"}), "x").join(reps.withColumnsRenamed({"node": "y", "rep": "b"}), "y").select("a", "b")
 
-    hub = posted.groupBy("token").agg(F.min(F.struct("pos", "n", "node")).alias("h"))
-    star = posted.join(hub, "token").where("node != h.node").select(F.col("h.node").alias("x"), F.col("node").alias("y"), F.col("h.n").alias("nx"), "n", F.least("pos", "h.pos").alias("before"), F.least(F.col("n") - F.col("pos"), F.col("h.n") - F.col("h.pos")).alias("after"))
-    star = star.where(f"{num + den} * (before + after) >= {num} * (nx + n) and {den} * least(nx, n) >= {num} * greatest(nx, n)")
-    star = verified(star.select("x", "y").distinct())
+    row = ["node", "n", "pos", "l", "c"]
+    order = F.xxhash64("node")  # the same everywhere, so that a class is compared with one other for most of its shingles
+    hub = posted.groupBy("token").agg(F.min(F.struct(order.alias("o"), *row)).alias("h")).select("token", *[F.col(f"h.{c}").alias(f"r_{c}") for c in row])
+    star = verified(candidates(posted, hub, F.lit(0), "node != r_node").select(F.col("y").alias("x"), F.col("x").alias("y")))
     cc = materialize(connected_components(as_edges(star), "a", "b"), "components")
 
     # components are named by their least node, so that no name is another class's number
@@ -353,19 +388,32 @@ def similarity_components(docs: DataFrame, k: int = 5, num: int = 4, den: int =
     comp = materialize(linked.join(names, "component").select("node", "comp"), "labels")
     labelled = posted.join(small_side(comp), "node", "left").select(posted["*"], F.coalesce("comp", "node").alias("comp"))
     labelled = materialize(labelled, "labelled")
-    split = labelled.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("size")).where("lo < hi").select("token", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
+    discard(posted, linked, comp, cc)
+    split = labelled.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("size")).where("lo < hi").select("token", F.col("size").cast("int"))
     rows = materialize(labelled.join(split, "token"), "mixed")
-    lists = rows.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("token", "level"))).alias("s")).select("node", F.col("s.token").alias("tokens"), F.col("s.level").alias("levels"))
-    rows = rows.join(lists, "node").withColumn("blk", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    rows = rows.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("token", F.least("blk", "o").alias("bi"), F.greatest("blk", "o").alias("bj"), "node", "comp", "n", "l", "blk", "tokens", "levels")
-    dealt = rows.repartition("token", "bi", "bj").sortWithinPartitions("token", "bi", "bj")
-    links = verified(dealt.mapInArrow(_pairs_in_blocks(num, den), "x long, y long"))
-    edges = as_edges(star.unionByName(links))
-    final = materialize(connected_components(edges, "a", "b"), "components")
-
-    by_class = classes.join(final, classes.rep == final.id, "left").select("digest", "rep", F.coalesce("component", "rep").alias("component_id"))
-    out = prefix.join(by_class, "digest", "left")
+    discard(labelled)
+
+    many = rows.where(F.col("size") > FEW).withColumn("level", F.greatest(F.lit(1), F.col("pos") - (F.col("n") - F.col("c")) + 1).cast("tinyint"))
+    lists = materialize(many.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("token", "level"))).alias("s")).select("node", F.col("s.token").alias("tokens"), F.col("s.level").alias("levels")), "lists")
+    few = rows.where(F.col("size") <= FEW).join(small_side(lists.select("node", F.size("tokens").alias("others"))), "node", "left").select("token", "comp", *row, F.coalesce("others", F.lit(0)).alias("others"))
+    few = materialize(few, "few")
+    both = candidates(few, few.select("token", *[F.col(c).alias(f"r_{c}") for c in ("comp", "others", *row)]), F.least("others", "r_others"), "node < r_node and comp != r_comp")
+
+    blocks = many.withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("blk", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    blocks = blocks.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    blocks = blocks.select("token", F.least("blk", "o").alias("bi"), F.greatest("blk", "o").alias("bj"), "node", "comp", "n", "l", "blk").join(lists, "node")
+    dealt = blocks.select("token", "bi", "bj", "node", "comp", "n", "l", "blk", "tokens", "levels").repartition("token", "bi", "bj").sortWithinPartitions("token", "bi", "bj")
+    links = verified(both.unionByName(dealt.mapInArrow(_pairs_in_blocks(num, den), "x long, y long")).distinct())
+    discard(rows, lists, few)
+    final = materialize(connected_components(as_edges(star.unionByName(links)), "a", "b"), "components")
+
+    by_class = materialize(classes.join(final, classes.rep == final.id, "left").select("digest", "rows", "rep", F.coalesce("component", "rep").alias("component_id")), "results")
+    # rows of large classes, and those without a set, don't go through the shuffle of the others
+    narrow = prefix.select("id", "n", "digest")
+    hot = narrow.join(small_side(by_class.where(F.col("rows") >= HOT_CLASS)).withColumn("found", F.lit(True)), "digest", "left")
+    cold = hot.where("found is null and digest is not null").select("id", "n", "digest").join(by_class, "digest", "left")
+    alone = hot.where("found or digest is null")
+    out = alone.select("id", "n", "rep", "component_id").unionByName(cold.select("id", "n", "rep", "component_id"))
     return out.select(
         F.col("id").alias("doc_id"),
         F.col("n").alias("n_shingles"),

@@ -6,6 +6,8 @@ bounded size, so a very long text costs no more memory than many short ones.
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 
 U = np.uint64
@@ -21,11 +23,33 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> U(31))
 
 
-def _byte_values() -> np.ndarray:
-    """A 64-bit value for each byte, by splitmix64 from a fixed seed; A-Z have those of a-z."""
-    v = mix(np.arange(1, 257, dtype=U) * _MUL)
-    v[65:91] = v[97:123]
-    return v
+#: A-Z to a-z, byte by byte.
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
+#: Runs of more bytes than this are hashed by blake2b.
+LONG_RUN = 512
+
+
+def run_hashes(raw: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int = 0) -> np.ndarray:
+    """64-bit hashes of raw[start:end], one for each pair.
+
+    Eight bytes at a time go through mix(), which no sum or power of a base undoes: runs of up to
+    eight bytes and one length never collide, longer ones only by chance.
+    """
+    n = (end - start).astype(np.int64)
+    lanes = np.ndarray(len(raw) + 1, "<u8", np.concatenate([raw, np.zeros(8, np.uint8)]), strides=(1,))
+    h = mix(n.astype(U) * _MUL + U(seed))
+    live, at = np.flatnonzero((n > 0) & (n <= LONG_RUN)), 0
+    while len(live):
+        left = n[live] - at
+        lane = lanes[start[live] + at]
+        tail = left < 8
+        lane[tail] &= (U(1) << (left[tail].astype(U) * U(8))) - U(1)
+        h[live] = mix(h[live] * U(3) ^ lane)
+        live, at = live[left > 8], at + 8
+    for i in np.flatnonzero(n > LONG_RUN).tolist():
+        h[i] = int.from_bytes(hashlib.blake2b(raw[start[i] : end[i]].tobytes(), digest_size=8, key=seed.to_bytes(8, "little")).digest(), "little")
+    return h
 
 
 def class_table(kind: str) -> np.ndarray:
@@ -97,12 +121,6 @@ class WordHasher:
 
     def __init__(self, kind: str = "space"):
         self.table = class_table(kind)
-        self.values = _byte_values()
-        self._powers(2 * SLICE)
-
-    def _powers(self, n: int) -> None:
-        p, q = U(0x5851F42D4C957F2D), U(pow(0x5851F42D4C957F2D, -1, 1 << 64))
-        self.pow, self.inv = (np.multiply.accumulate(np.r_[U(1), np.full(n - 1, x, U)]) for x in (p, q))
 
     def __call__(self, raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(hash of each word, offsets of each text's words, first byte and end byte of each word)."""
@@ -123,11 +141,7 @@ class WordHasher:
             s = np.flatnonzero(word & ~before)
             after = np.r_[word[1:], False] & np.r_[~fresh[at + 1 : end], False]
             e = np.flatnonzero(word & ~after) + 1
-            if len(part) > len(self.pow):
-                self._powers(len(part))
-            total = np.zeros(len(part) + 1, U)
-            np.cumsum(self.values[part] * self.pow[: len(part)], out=total[1:])
-            hashes.append(mix((total[e] - total[s]) * self.inv[s] + (e - s).astype(U) * _MUL))
+            hashes.append(run_hashes(LOWER[part], s, e))
             starts.append(s + at)
             ends.append(e + at)
             at = end
@@ -167,3 +181,57 @@ def distinct_sets(hashes: np.ndarray, off: np.ndarray):
     for i in range(len(off) - 1):
         s = np.sort(hashes[off[i] : off[i + 1]])
         yield s[np.r_[True, s[1:] != s[:-1]]] if len(s) else s
+
+
+P61 = (1 << 61) - 1
+_P = U(P61)
+
+
+def _reduced(x: np.ndarray) -> np.ndarray:
+    x = (x & _P) + (x >> U(61))
+    return np.where(x >= _P, x - _P, x)
+
+
+def times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a * b modulo 2^61 - 1, for numbers below it."""
+    a1, a0, b1, b0 = a >> U(31), a & U(0x7FFFFFFF), b >> U(31), b & U(0x7FFFFFFF)
+    mid = a1 * b0 + a0 * b1
+    return _reduced(_reduced((a1 * b1 << U(1)) + (mid >> U(30)) + ((mid & U(0x3FFFFFFF)) << U(31))) + a0 * b0)
+
+
+class SpanHasher:
+    """Hashes of any spans of a sequence of 64-bit numbers, by polynomials modulo the prime 2^61 - 1.
+
+    Two different spans of n numbers have the same hash for at most n of the 2^61 bases, whatever
+    the numbers; with the two bases taken here that is a digest of 122 bits.
+    """
+
+    BASES = (0x1234A6C5D3E7F91B, 0x0F1E2D3C4B5A6979)
+
+    def __init__(self):
+        self._powers(1 << 16)
+
+    def _powers(self, n: int) -> None:
+        self.tables = []
+        for base in self.BASES:
+            both = []
+            for x in (base, pow(base, -1, P61)):
+                p, step = np.ones(1, U), x
+                while len(p) < n:  # the next as many powers are the present ones times x ** len
+                    p = np.concatenate([p, times(p, np.full(len(p), step, U))])
+                    step = step * step % P61
+                both.append(p)
+            self.tables.append(both)
+
+    def __call__(self, numbers: np.ndarray, a: np.ndarray, z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Two 64-bit hashes of numbers[a:z], one for each pair."""
+        if len(numbers) >= len(self.tables[0][0]):
+            self._powers(2 * len(numbers))
+        out = []
+        for power, inverse in self.tables:
+            term = times(_reduced(numbers), power[: len(numbers)])
+            low, high = (np.r_[U(0), np.cumsum(x)] for x in (term & U(0xFFFFFFFF), term >> U(32)))
+            low, high = low[z] - low[a], _reduced(high[z] - high[a])
+            total = _reduced(_reduced(high >> U(29)) + ((high & U(0x1FFFFFFF)) << U(32)) + _reduced(low))
+            out.append(mix(times(total, inverse[a]) + (z - a).astype(U) * _MUL))
+        return out[0], out[1]
