@@ -342,7 +342,7 @@ def similarity_components(docs: DataFrame, k: int = 5, num: int = 4, den: int =
     posted = posted.select("token", "node", F.shiftright("nums", 32).alias("n"), F.shiftright("nums", 4).bitwiseAND((1 << 28) - 1).cast("int").alias("pos"), F.col("nums").bitwiseAND(15).cast("int").alias("l"))
     posted = materialize(posted.withColumn("c", F.expr(f"(n * {num} + {den - 1}) div {den}")), "posted")
 
-    def candidates(left: DataFrame, right: DataFrame, spare: Column, which: str = "true") -> DataFrame:
+    def candidates(left: DataFrame, right: DataFrame, which: str, spare: Column) -> DataFrame:
         """Pairs with at least as many common prefix shingles as they need, less spare.
 
         left and right have the columns token, node, n, pos, l and c, right's with an r_ before all but token.
@@ -379,7 +379,7 @@ def similarity_components(docs: DataFrame, k: int = 5, num: int = 4, den: int =
     row = ["node", "n", "pos", "l", "c"]
     order = F.xxhash64("node")  # the same everywhere, so that a class is compared with one other for most of its shingles
     hub = posted.groupBy("token").agg(F.min(F.struct(order.alias("o"), *row)).alias("h")).select("token", *[F.col(f"h.{c}").alias(f"r_{c}") for c in row])
-    star = verified(candidates(posted, hub, F.lit(0), "node != r_node").select(F.col("y").alias("x"), F.col("x").alias("y")))
+    star = verified(candidates(posted, hub, "node != r_node", F.lit(0)).select(F.col("y").alias("x"), F.col("x").alias("y")))
     cc = materialize(connected_components(as_edges(star), "a", "b"), "components")
 
     # components are named by their least node, so that no name is another class's number
@@ -397,7 +397,7 @@ def similarity_components(docs: DataFrame, k: int = 5, num: int = 4, den: int =
     lists = materialize(many.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("token", "level"))).alias("s")).select("node", F.col("s.token").alias("tokens"), F.col("s.level").alias("levels")), "lists")
     few = rows.where(F.col("size") <= FEW).join(small_side(lists.select("node", F.size("tokens").alias("others"))), "node", "left").select("token", "comp", *row, F.coalesce("others", F.lit(0)).alias("others"))
     few = materialize(few, "few")
-    both = candidates(few, few.select("token", *[F.col(c).alias(f"r_{c}") for c in ("comp", "others", *row)]), F.least("others", "r_others"), "node < r_node and comp != r_comp")
+    both = candidates(few, few.select("token", *[F.col(c).alias(f"r_{c}") for c in ("comp", "others", *row)]), "node < r_node and comp != r_comp", F.least("others", "r_others"))
 
     blocks = many.withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("blk", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     blocks = blocks.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
