@@ -37,7 +37,7 @@ from pulsegrid.llm.textkernel import WordHasher, distinct_sets, mix, shingle_has
 U = np.uint64
 RANK_BITS = 6
 #: Classes of one prefix shingle up to which it is joined with itself, and beyond it, how many are compared in one block.
-FEW, BLOCK = 16, 2048
+FEW, BLOCK = 16, 1024
 #: Sets that are compared with one set in one group of rows.
 SPOKES = 64
 #: Rows of a class from which its result is joined apart from the others'.
@@ -376,9 +376,9 @@ def similarity_components(docs: DataFrame, k: int = 5, num: int = 4, den: int =
         reps = classes.select("node", "rep")
         return links.join(reps.withColumnsRenamed({"node": "x", "rep": "a"}), "x").join(reps.withColumnsRenamed({"node": "y", "rep": "b"}), "y").select("a", "b")
 
-    row = ["node", "n", "pos", "l", "c"]
-    order = F.xxhash64("node")  # the same everywhere, so that a class is compared with one other for most of its shingles
-    hub = posted.groupBy("token").agg(F.min(F.struct(order.alias("o"), *row)).alias("h")).select("token", *[F.col(f"h.{c}").alias(f"r_{c}") for c in row])
+    row = ["n", "node", "pos", "l", "c"]
+    # the class in which a shingle stands first has the fewest of its own before it: of copies with edits, the original
+    hub = posted.groupBy("token").agg(F.min(F.struct("pos", "n", "node", "l", "c")).alias("h")).select("token", *[F.col(f"h.{c}").alias(f"r_{c}") for c in row])
     star = verified(candidates(posted, hub, "node != r_node", F.lit(0)).select(F.col("y").alias("x"), F.col("x").alias("y")))
     cc = materialize(connected_components(as_edges(star), "a", "b"), "components")
 

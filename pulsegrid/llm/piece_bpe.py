@@ -21,15 +21,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pulsegrid.llm.shared import small_batches
-from pulsegrid.llm.textkernel import mix
+from pulsegrid.llm.textkernel import run_hashes
 
 U = np.uint64
 SPACE = "▁"
 #: Code points taken at once, and the chunk length from which the heap is used.
 SLICE, LONG = 4_000_000, 48
-#: Distinct chunks whose ids a task remembers; beyond it, it starts anew.
-KNOWN = 600_000
-_BASE = 0x5851F42D4C957F2D
+#: Distinct chunks that a task remembers, and how many ids of theirs; beyond either, it starts anew.
+KNOWN, KNOWN_IDS = 400_000, 2_000_000
 _UNKNOWN = 1 << 20  # symbols for code points without a piece
 
 
@@ -75,10 +74,8 @@ class MergeVocabulary:
         self.text_len = np.array([len(t) for t in self.texts], np.int64)
         self.text_off = np.r_[0, np.cumsum(self.text_len)]
         self.text_all = np.frombuffer(b"".join(self.texts), np.uint8)
-        self.powers = (np.ones(1, U), np.ones(1, U))
-        self.nothing = np.zeros(0, U), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.nothing = np.zeros(0, U), np.zeros(0, U), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.known = self.nothing
-        self.values = mix(np.arange(7, 7 + 0x110000, dtype=U))
 
     def agenda(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(score, merged piece) of each pair; minus infinity where the pair is no piece."""
@@ -261,17 +258,21 @@ class MergeVocabulary:
         begins[seg_off[:-1]] = True
         start = np.flatnonzero(begins)
         end = np.r_[start[1:], len(cps)]
-        if len(self.powers[0]) <= len(cps):
-            self.powers = tuple(np.multiply.accumulate(np.r_[U(1), np.full(len(cps), x, U)]) for x in (_BASE, pow(_BASE, -1, 1 << 64)))
-        total = np.r_[U(0), np.cumsum(self.values[cps] * self.powers[0][: len(cps)])]
-        code, seen = pd.factorize(mix((total[end] - total[start]) * self.powers[1][start] + (end - start).astype(U)))
-        seen = np.asarray(seen, U)
+        # chunks are told apart by two 64-bit hashes of their bytes
+        raw = np.frombuffer("".join(segments).encode(), np.uint8)
+        at = np.r_[0, np.cumsum(1 + (cps >= 0x80).astype(np.int64) + (cps >= 0x800) + (cps >= 0x10000))]
+        one, two = (run_hashes(raw, at[start], at[end], seed) for seed in (1, 2))
+        code, seen = pd.factorize(one)
         first = np.empty(len(seen), np.int64)
         first[code[::-1]] = np.arange(len(code))[::-1]
+        if (two != two[first[code]]).any():
+            _, first, code = np.unique(np.stack([one, two], 1), axis=0, return_index=True, return_inverse=True)
+            code = code.ravel()
+        seen, other = one[first], two[first]
         # chunks met in earlier slices keep their ids; only the others are encoded and checked
-        hashes, begin, size, pool = self.known
+        hashes, others, begin, size, pool = self.known
         place = np.minimum(np.searchsorted(hashes, seen), max(len(hashes) - 1, 0))
-        old = hashes[place] == seen if len(hashes) else np.zeros(len(seen), bool)
+        old = (hashes[place] == seen) & (others[place] == other) if len(hashes) else np.zeros(len(seen), bool)
         new = np.flatnonzero(~old)
         lens = (end - start)[first[new]]
         u_off = np.r_[0, np.cumsum(lens)]
@@ -287,10 +288,10 @@ class MergeVocabulary:
         n = u_size[code]
         at = np.r_[0, np.cumsum(n)]
         flat = pool[np.repeat(u_begin[code] - at[:-1], n) + np.arange(at[-1])]
-        if len(hashes) + len(new) <= KNOWN:
-            hashes, begin, size = np.concatenate([hashes, seen[new]]), np.concatenate([begin, u_begin[new]]), np.concatenate([size, u_size[new]])
+        if len(hashes) + len(new) <= KNOWN and len(pool) <= KNOWN_IDS:
+            hashes, others, begin, size = (np.concatenate(x) for x in ((hashes, seen[new]), (others, other[new]), (begin, u_begin[new]), (size, u_size[new])))
             order = np.argsort(hashes)
-            self.known = hashes[order], begin[order], size[order], pool
+            self.known = hashes[order], others[order], begin[order], size[order], pool
         else:
             self.known = self.nothing
         bounds = at[np.searchsorted(start, seg_off)]

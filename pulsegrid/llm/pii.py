@@ -3,9 +3,12 @@ r"""PII by weak supervision, DataFrame functions only.
 Candidate spans come from patterns; labelers vote on each: its strict form (regex), lists
 (gazetteer), the words before it (context) and its checksum or shape.  Expectation
 maximisation over the counts of vote patterns estimates each labeler's reliability without
-any gold labels, and a logistic span classifier is trained on the posteriors.  Both run as
-expressions over a table of a few hundred pattern counts, whatever the number of spans; the
-counts cover all documents.  Base spans always stay; the classifier decides on the others.
+any gold labels, and a logistic span classifier is trained on the posteriors.  A labeler is
+held to be better than chance, which ties the class that EM finds to the labelers' meaning.
+Both run as expressions over a table of a few hundred pattern counts, whatever the number of
+spans; the counts cover all documents.  The base kinds and the others have a model each.
+Base spans always stay (those that their model doubts are counted); the classifier decides on
+the others.
 
 The patterns are written so that Java's matcher needs neither recursion nor repeated starts
 in a run: single separators are first masked by one character of the same length (U+0001),
@@ -52,6 +55,14 @@ CONTEXT = {
 #: Characters before a span that the context labeler reads.
 REACH = 40
 LABELERS = ("regex", "gazetteer", "context", "shape")
+# Country codes of account numbers, and the strict forms of the kinds that aren't base.
+COUNTRIES = ("AT", "BE", "CH", "CZ", "DE", "DK", "ES", "FI", "FR", "GB", "GR", "HU", "IE", "IT", "LU", "NL", "NO", "PL", "PT", "RO", "SE")
+STRICT = {
+    "local_phone": r"^(?:\([2-9][0-9]{2}\) [2-9][0-9]{2}-[0-9]{4}|[2-9][0-9]{2}([.-])[2-9][0-9]{2}\1[0-9]{4})$",
+    "national_id": r"^(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}$",
+    "iban": r"^[A-Z]{2}[0-9]{2}(?:(?: [A-Z0-9]{4})+|[A-Z0-9]+)$",
+    "name": r"^[A-Za-z]+\.? [A-Z][a-z]+ [A-Z][a-z]+$",
+}
 
 
 def _spans(text: Column, found: Column, pattern: str) -> Column:
@@ -81,6 +92,18 @@ def _luhn(digits: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.length(digits)), F.lit(0), lambda a, i: a + value(i)) % 10 == 0
 
 
+def _account_number(m: Column) -> Column:
+    """Whether the check digits of an account number are right: its letters as 10 to 35, the first four characters last, modulo 97."""
+    plain = F.regexp_replace(m, " ", "")
+    turned = F.concat(F.substring(plain, 5, 99), F.substring(plain, 1, 4))
+
+    def step(a, i):
+        c = F.ascii(F.substring(turned, i, F.lit(1)))
+        return F.when(c < 58, (a * 10 + c - 48) % 97).otherwise((a * 100 + c - 55) % 97)
+
+    return F.aggregate(F.sequence(F.lit(1), F.length(turned)), F.lit(0), step) == 1
+
+
 def _digits(m: Column) -> Column:
     return F.regexp_replace(m, "[^0-9]", "")
 
@@ -124,13 +147,14 @@ def candidates(docs: DataFrame, text_col: str, keep: tuple[str, ...] = ()) -> Da
             "card": F.when(digits.rlike(r"^(?:4|5[1-5]|2[2-7]|3[47]|6)"), 1).otherwise(0),
             "phone": F.when(m.rlike(r"^\+(?:1|3[0-9]|4[0-9]|5[1-8]|6[0-6]|7|8[1-6]|9[0-8])"), 1).otherwise(0),
             "name": F.when(F.lower(F.regexp_extract(m, r" ([A-Z][a-z]+)", 1)).isin(*FIRST_NAMES), 1).otherwise(0),
+            "iban": F.when(F.substring(m, 1, 2).isin(*COUNTRIES), 1).otherwise(0),
         }.get(kind, F.lit(-1))
-        strict = F.lit(1) if kind in KINDS[:BASE] else F.lit(-1) if kind == "name" else F.lit(0)
+        # a local phone number's form alone says little for it, as other figures have it too
+        strict = F.when(m.rlike(STRICT[kind]), -1 if kind == "local_phone" else 1).otherwise(0) if kind in STRICT else F.lit(1)
         shape = {
             "card": F.when(F.length(digits).isin(15, 16), 1).otherwise(0),
             "phone": F.when(F.length(digits).between(10, 13), 1).otherwise(0),
-            "local_phone": F.when(m.rlike(r"^\([0-9]{3}\) |555"), 1).otherwise(0),
-            "national_id": F.when(m.rlike(r"^(?:000|666|9)|-00-|-0000$"), 0).otherwise(1),
+            "iban": F.when(_account_number(m), 1).otherwise(0),
             "email": F.when(F.length(m) <= 64, 1).otherwise(0),
             "ip": F.when(m.rlike(r"(?:^|\.)0[0-9]"), 0).otherwise(1),
         }.get(kind, F.lit(-1))
@@ -165,11 +189,11 @@ class SpanModel:
         return F.lit(1.0) / (F.exp(-z) + 1)
 
 
-def fit(cand: DataFrame, rounds: int = 25, steps: int = 200, rate: float = 1.0) -> SpanModel:
-    """EM and the classifier over the counts of vote patterns of all candidate spans in the column cand."""
+def fit(cand: DataFrame, which: str = "true", rounds: int = 25, steps: int = 400, rate: float = 2.0) -> SpanModel:
+    """EM and the classifier over the counts of vote patterns of all candidate spans c in the column cand that `which` holds for."""
     n_lab = len(LABELERS)
     votes = [f"v{j}" for j in range(n_lab)]
-    counts = cand.select(F.explode("cand").alias("c")).groupBy(*[F.col(f"c.{v}").alias(v) for v in votes]).agg(F.count("*").cast("double").alias("n"))
+    counts = cand.select(F.explode("cand").alias("c")).where(which).groupBy(*[F.col(f"c.{v}").alias(v) for v in votes]).agg(F.count("*").cast("double").alias("n"))
     # one row: at most 3^4 patterns
     x = ["1D", *[f"cast(v{j} = {y} as int) * 1D" for j in range(n_lab) for y in (1, 0)]]
     row = counts.select(F.struct(F.array(*votes).alias("v"), "n", F.expr(f"array({', '.join(x)})").alias("x")).alias("p")).agg(F.array_sort(F.collect_list("p")).alias("ps"))
@@ -182,13 +206,13 @@ def fit(cand: DataFrame, rounds: int = 25, steps: int = 200, rate: float = 1.0)
     def posterior(state: str) -> str:
         return f"1D / (1D + exp(-greatest(-30D, least(30D, {log_odds(state)}))))"
 
-    def share(j: int, y: str) -> str:
-        """Smoothed share of 1 among the votes of labeler j, weighted by y."""
-        return f"least(0.999D, (1 + aggregate(q, 0D, (s, p) -> s + if(get(p.v, {j}) = 1, p.n * {y}, 0D))) / (2 + aggregate(q, 0D, (s, p) -> s + if(get(p.v, {j}) >= 0, p.n * {y}, 0D))))"
+    def share(j: int, y: str, least: float, most: float, ones: int) -> str:
+        """Share of 1 among the votes of labeler j, weighted by y, with `ones` of five votes of 1 before any is seen."""
+        return f"least({most}D, greatest({least}D, ({ones} + aggregate(q, 0D, (s, p) -> s + if(get(p.v, {j}) = 1, p.n * {y}, 0D))) / (5 + aggregate(q, 0D, (s, p) -> s + if(get(p.v, {j}) >= 0, p.n * {y}, 0D)))))"
 
-    start = f"named_struct('prior', 0.5D, 'a', array_repeat(0.8D, {n_lab}), 'b', array_repeat(0.3D, {n_lab}))"
-    a = f"array({', '.join(share(j, 'p.y') for j in range(n_lab))})"
-    b = f"array({', '.join(share(j, '(1 - p.y)') for j in range(n_lab))})"
+    start = f"named_struct('prior', 0.4D, 'a', array_repeat(0.8D, {n_lab}), 'b', array_repeat(0.2D, {n_lab}))"
+    a = f"array({', '.join(share(j, 'p.y', 0.55, 0.98, 4) for j in range(n_lab))})"
+    b = f"array({', '.join(share(j, '(1 - p.y)', 0.02, 0.45, 1) for j in range(n_lab))})"
     prior = "greatest(0.01D, least(0.99D, aggregate(q, 0D, (s, p) -> s + p.n * p.y) / total))"
     # transform over a one-element array names the intermediate value q
     update = f"get(transform(array(transform(ps, p -> named_struct('v', p.v, 'n', p.n, 'y', {posterior('st')}))), q -> named_struct('prior', {prior}, 'a', {a}, 'b', {b})), 0)"
@@ -201,7 +225,15 @@ def fit(cand: DataFrame, rounds: int = 25, steps: int = 200, rate: float = 1.0)
     return SpanModel(got.st.prior, tuple(got.st.a), tuple(got.st.b), tuple(got.w))
 
 
+OTHERS = f"c.k > {BASE}"
+
+
+def _of_kind(n: int):
+    return lambda c: c["k"] == n
+
+
 def _accepted(model: SpanModel, threshold: float) -> Column:
+    """All base spans, and those others that the model accepts."""
     return F.filter("cand", lambda c: (c["k"] <= BASE) | (model.probability(c) >= threshold))
 
 
@@ -211,28 +243,30 @@ def _joined(spans: Column) -> Column:
 
 
 def find_pii(docs: DataFrame, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_email, n_ip, n_card, n_phone, n_other, base_sha256, spans) for each row.
+    """(id, n_email, n_ip, n_card, n_phone, n_other, n_doubtful, base_sha256, spans) for each row.
 
     base_sha256 is the digest of the base spans, spans lists all accepted ones, both as
-    kind:start:end by start, then kind.  A null text counts as empty; null ids and repeated
-    rows pass through; other columns are ignored; texts are never cut.  Without any candidate
-    the model is the prior's and no span is returned.
+    kind:start:end by start, then kind; n_doubtful counts the base spans under the threshold.
+    A null text counts as empty; null ids and repeated rows pass through; other columns are
+    ignored; texts are never cut.  Without any candidate the models are those that EM starts with.
     """
     found = materialize(candidates(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")), "text", ("id",)), "spans")
-    model = fit(found)
+    model, base_model = fit(found, OTHERS), fit(found, f"not {OTHERS}")
     out = found.select("id", _accepted(model, threshold).alias("all"), F.filter("cand", lambda c: c["k"] <= BASE).alias("base"))
-    n = [F.size(F.filter("base", lambda c, i=i: c["k"] == i + 1)).cast("long").alias(f"n_{k}") for i, k in enumerate(KINDS[:BASE])]
-    return out.select(F.col("id").alias(id_col), *n, (F.size("all") - F.size("base")).cast("long").alias("n_other"), F.sha2(_joined(F.col("base")), 256).alias("base_sha256"), _joined(F.col("all")).alias("spans"))
+    n = [F.size(F.filter("base", _of_kind(i + 1))).cast("long").alias(f"n_{k}") for i, k in enumerate(KINDS[:BASE])]
+    n.append((F.size("all") - F.size("base")).cast("long").alias("n_other"))
+    n.append(F.size(F.filter("base", lambda c: base_model.probability(c) < threshold)).cast("long").alias("n_doubtful"))
+    return out.select(F.col("id").alias(id_col), *n, F.sha2(_joined(F.col("base")), 256).alias("base_sha256"), _joined(F.col("all")).alias("spans"))
 
 
 def redact(docs: DataFrame, threshold: float = 0.5, text_col: str = "text") -> DataFrame:
     """docs with every accepted span of the text column replaced by its kind in angle brackets; overlapping spans go as one, under the first's kind.
 
-    All columns and rows stay; null texts stay null.
+    All columns and rows stay, repeated ones too; null texts stay null; an empty table gives an empty one.
     """
     source = docs.select(F.struct(*docs.columns).alias("src"), F.col(text_col).alias("text"))
-    model = fit(materialize(candidates(source, "text"), "spans"))
-    found = candidates(source, "text", ("src",)).withColumn("cand", _accepted(model, threshold)).withColumn("text", F.col("src")[text_col])
+    found = materialize(candidates(source, "text", ("src",)), "spans")  # with the rows, so that the patterns run once
+    found = found.withColumn("cand", _accepted(fit(found, OTHERS), threshold)).withColumn("text", F.col("src")[text_col])
     kind = F.array(*[F.lit(f"<{k}>".upper()) for k in KINDS])
     text = F.col("text")
 

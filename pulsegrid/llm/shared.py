@@ -25,9 +25,12 @@ def small_batches(spark: SparkSession, size: int = 8 << 20) -> None:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder the cluster names in spark.checkpoint.dir; a folder of our own only where that is unset."""
+    """The shared folder the cluster names in spark.checkpoint.dir.  Where that is unset, a folder of our own in local mode; on a cluster, whose machines wouldn't see it, an error."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
         root = tempfile.mkdtemp(prefix="pulsegrid-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root
@@ -55,7 +58,3 @@ def discard(*tables: DataFrame) -> None:
 def small_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """Broadcasts a materialised narrow table if its counted rows are within the bound; else the join shuffles."""
     return F.broadcast(df) if df.count() <= rows else df
-
-
-def sha_hex(col):
-    return F.sha2(col, 256)

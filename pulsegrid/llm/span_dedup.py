@@ -1,10 +1,9 @@
 """Substring deduplication by sliding sentence spans.
 
-Every shortest run of consecutive sentences with at least `span` of them and `min_words`
-words, from each sentence on and up to each sentence, and each sentence of `long_words` words,
-is hashed by its words, the hashes are counted over all documents, and each sentence that lies
-in a repeated run which isn't the run's first occurrence (smallest document id, then position)
-is taken out of its text.
+Every run of `span` consecutive sentences, and each sentence of `long_words` words, is hashed by
+its words (122 bits), the hashes are counted over all documents, and each sentence that lies in
+a repeated run which isn't the run's first occurrence (smallest document id, then position) is
+taken out of its text.
 
 A sentence ends at a line break, at . ! ? before white space (closing quotes, brackets and
 symbols may stand between), and after a full-width full stop, exclamation or question mark
@@ -20,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pulsegrid.llm.shared import materialize, small_batches, small_side
-from pulsegrid.llm.textkernel import WordHasher, mix, sliced, utf8
+from pulsegrid.llm.textkernel import SpanHasher, WordHasher, sliced, utf8
 
 U = np.uint64
 #: ASCII that may stand between a stop and the blank after it: all punctuation but , ; : and what opens.
@@ -69,25 +68,18 @@ class SentenceHasher:
         self.words = WordHasher("alnum")
 
     def __call__(self, raw: np.ndarray, off: np.ndarray):
-        """(hashes of all words summed up, number of words, first byte of each sentence, offsets of each text's sentences)."""
+        """(hashes of all words, and of each sentence the number of words and the first byte, offsets of each text's sentences)."""
         words, word_off, start, _ = self.words(raw, off)
         if not len(words):
             z = np.zeros(0, np.int64)
-            return np.zeros(1, U), z, z, np.zeros(len(off), np.int64)
+            return words, z, z, np.zeros(len(off), np.int64)
         owner = np.repeat(np.arange(len(off) - 1), np.diff(word_off))
         cuts = _cuts(raw, off)
         part = np.searchsorted(cuts, start, "right")
         first = np.flatnonzero(np.r_[True, (part[1:] != part[:-1]) | (owner[1:] != owner[:-1])])
         last = np.r_[first[1:], len(words)]
-        if len(self.words.pow) <= len(words):
-            self.words._powers(2 * len(words))
-        total = np.r_[U(0), np.cumsum(words * self.words.pow[: len(words)])]
         begin = np.maximum(np.r_[0, cuts][part[first]], off[owner[first]])
-        return total, last - first, begin, np.searchsorted(first, word_off)
-
-    def runs(self, total: np.ndarray, a: np.ndarray, z: np.ndarray) -> np.ndarray:
-        """Hash of the words from a to z."""
-        return mix((total[z] - total[a]) * self.words.inv[a] + (z - a).astype(U))
+        return words, last - first, begin, np.searchsorted(first, word_off)
 
 
 def _packed(first: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -118,15 +110,15 @@ def _span_rows(span: int, min_words: int, long_words: int):
     def run(batches):
         import pyarrow as pa
 
-        hasher = SentenceHasher()
+        hasher, spans = SentenceHasher(), SpanHasher()
         for b in sliced(batches, 1):
-            total, n_words, _, off = hasher(*utf8(b.column(1)))
+            words, n_words, _, off = hasher(*utf8(b.column(1)))
             first, end = _runs(n_words, off, span, min_words, long_words)
             word = np.r_[0, np.cumsum(n_words)]
-            h = hasher.runs(total, word[first], word[end])
+            h, g = spans(words, word[first], word[end])
             doc = np.searchsorted(off, first, "right") - 1
             key = _packed(first - off[doc], end - off[doc])
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(doc)), pa.array(key), pa.array(h.view(np.int64))], names=["id", "run", "h"])
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(doc)), pa.array(key), pa.array(h.view(np.int64)), pa.array(g.view(np.int64))], names=["id", "run", "h", "g"])
 
     return run
 
@@ -177,21 +169,22 @@ def _cleaned(batches):
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n_sent, pa.int64()), pa.array(n_gone, pa.int64()), pa.array(words_gone, pa.int64()), pa.array(texts, pa.string())], names=["id", "n_sentences", "n_removed", "n_words_removed", "text"])
 
 
-def remove_repeated_spans(docs: DataFrame, span: int = 2, min_words: int = 8, id_col: str = "doc_id", text_col: str = "text", long_words: int = 25) -> DataFrame:
+def remove_repeated_spans(docs: DataFrame, span: int = 3, min_words: int = 0, id_col: str = "doc_id", text_col: str = "text", long_words: int = 20) -> DataFrame:
     """One row per input row: (id, n_sentences, n_removed, n_words_removed, text), text without its repeated sentences.
 
-    A run counts if it has at least min_words words, so that short sentences make longer runs;
-    a sentence of long_words words is a run alone; a text of fewer than `span` sentences is one run.  Null and empty texts come back as they
+    Every run of `span` sentences is hashed; with min_words, runs of fewer words are lengthened until
+    they have as many.  A sentence of long_words words is a run alone; a text of fewer than `span`
+    sentences is one run.  Null and empty texts come back as they
     are, with zeros.  Rows with a null id are left alone and are no one's first occurrence.
     Rows that repeat an id are taken as one document: equal rows keep the same sentences.
     Other columns are ignored.
     """
     small_batches(docs.sparkSession)
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    runs = base.where("id is not null").mapInArrow(_span_rows(span, min_words, long_words), "id long, run long, h long")
-    often = runs.groupBy("h").agg(F.count("*").alias("n"), F.min(F.struct("id", "run")).alias("first"))
-    often = materialize(often.where("n > 1").select("h", F.col("first.id").alias("first_id"), F.col("first.run").alias("first_run")), "repeated")
-    gone = runs.join(small_side(often, 1_500_000), "h").where("id != first_id or run != first_run")
+    runs = base.where("id is not null").mapInArrow(_span_rows(span, min_words, long_words), "id long, run long, h long, g long")
+    often = runs.groupBy("h", "g").agg(F.count("*").alias("n"), F.min(F.struct("id", "run")).alias("first"))
+    often = materialize(often.where("n > 1").select("h", "g", F.col("first.id").alias("first_id"), F.col("first.run").alias("first_run")), "repeated")
+    gone = runs.join(small_side(often, 1_500_000), ["h", "g"]).where("id != first_id or run != first_run")
     gone = gone.groupBy("id").agg(F.collect_set("run").alias("gone"))
     gone = materialize(gone.mapInArrow(_merged, "id long, gone array<long>"), "removals")
     size = gone.agg(F.sum(F.size("gone"))).first()[0] or 0

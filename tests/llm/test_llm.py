@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pulsegrid.llm import decontamination, license_scan, ngram_join, pii, piece_bpe, secret_scan, span_dedup, token_output, topk, toxicity
+from pulsegrid.llm import decontamination, license_scan, ngram_join, pii, piece_bpe, secret_scan, span_dedup, textkernel, token_output, topk, toxicity
 from pulsegrid.llm.components import connected_components
 from pulsegrid.llm.queries import piece_model
 
@@ -234,7 +234,7 @@ def test_repeated_short_sentences(spark):
     verse = "\n".join(f"line{i}" for i in range(40))
     tail = "One two three four five. Six seven eight nine. Ten eleven."
     texts = [verse, f"An own start\n{verse}\nAn own end", "Few words. Here.", "Few words. Here.", f"Lead words here. {tail} Own words after it.", f"Another lead. {tail} Different ones."]
-    got = {r.doc_id: r for r in span_dedup.remove_repeated_spans(docs(spark, texts)).collect()}
+    got = {r.doc_id: r for r in span_dedup.remove_repeated_spans(docs(spark, texts), span=2, min_words=8).collect()}
     assert [got[i].n_removed for i in range(6)] == [0, 40, 0, 0, 0, 3]
     assert got[1].n_words_removed == 40 and got[1].text == "An own start\nAn own end"
     assert got[5].text == "Another lead. Different ones."
@@ -260,7 +260,7 @@ def test_repeated_long_sentence(spark):
     long = " ".join(f"w{i}" for i in range(25)) + "."
     short = " ".join(f"v{i}" for i in range(24)) + "."
     texts = [f"One lead. {long} One end. {short} One more.", f"Two lead. {long} Two end. {short} Two more."]
-    got = {r.doc_id: r for r in span_dedup.remove_repeated_spans(docs(spark, texts)).collect()}
+    got = {r.doc_id: r for r in span_dedup.remove_repeated_spans(docs(spark, texts), long_words=25).collect()}
     assert (got[0].n_removed, got[1].n_removed, got[1].n_words_removed) == (0, 1, 25)
     assert got[1].text == f"Two lead. Two end. {short} Two more."
 
@@ -286,8 +286,63 @@ def test_repeated_runs_of_any_sentence_length(spark):
     rng = np.random.default_rng(3)
     parts = ["\n".join(" ".join(rng.choice(["a", "b", "c", "d"], rng.integers(1, 7))) for _ in range(rng.integers(1, 9))) for _ in range(12)]
     texts = ["\n".join(parts[i] for i in rng.integers(0, 12, rng.integers(2, 5))) for _ in range(40)]
-    got = {r.doc_id: r.n_removed for r in span_dedup.remove_repeated_spans(docs(spark, texts)).collect()}
+    got = {r.doc_id: r.n_removed for r in span_dedup.remove_repeated_spans(docs(spark, texts), span=2, min_words=8).collect()}
     assert [got[i] for i in range(len(texts))] == brute_runs(texts)
+    got = {r.doc_id: r.n_removed for r in span_dedup.remove_repeated_spans(docs(spark, texts)).collect()}
+    assert [got[i] for i in range(len(texts))] == [n if len(t.split("\n")) >= 3 else got[i] for i, (t, n) in enumerate(zip(texts, brute_runs(texts, 3, 0), strict=True))]
+
+
+def test_short_runs_count(spark):
+    got = [r.n_removed for r in span_dedup.remove_repeated_spans(docs(spark, ["Buy now today. Click here please.", "Buy now today. Click here please."])).orderBy("doc_id").collect()]
+    assert got == [0, 2]
+
+
+def test_repeated_spans_with_null_ids_and_repeated_rows(spark):
+    t = "One here. Two there. Three where."
+    got = sorted((str(r.doc_id), r.n_removed) for r in span_dedup.remove_repeated_spans(docs(spark, [t, t, t, None], [None, 3, 5, 5])).collect())
+    assert got == [("3", 0), ("5", 0), ("5", 3), ("None", 0)]
+
+
+# -- identity --------------------------------------------------------------------------------------
+
+
+def thue_morse(n, a, b):
+    """The first n of a, b, b, a, ..., and its complement: different sequences that polynomials modulo a power of two can't tell apart."""
+    bits = [bin(i).count("1") % 2 for i in range(n)]
+    return [(a, b)[x] for x in bits], [(b, a)[x] for x in bits]
+
+
+def test_words_that_polynomials_confuse(spark):
+    one, other = ("".join(x) for x in thue_morse(1024, "a", "b"))
+    texts = [f"one two {one} four", f"one two {other} four", f"{one} {other}", f"{other} {one}"]
+    got = {r.doc_id: r.component_id for r in ngram_join.similarity_components(docs(spark, texts), 3, 9, 10, sketch_bits=8).collect()}
+    assert got == {0: 0, 1: 1, 2: 2, 3: 3}
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=piece_model())
+    d = docs(spark, texts).coalesce(1)
+    for r in piece_bpe.encode_texts(d, piece_model()).collect():
+        assert list(r.ids)[1:-1] == sp.encode(texts[r.doc_id])
+    v = piece_bpe.MergeVocabulary(open(piece_model(), "rb").read())
+    assert [list(v.encode([t])[0]) for t in (one, other)] == [sp.encode(one), sp.encode(other)]
+    words = textkernel.WordHasher("alnum")(*[np.frombuffer(f"{one} {other}".encode(), np.uint8), np.array([0, 2049])])[0]
+    assert words[0] != words[1]  # what the license scan and the classifier see
+    lines = ["\n".join(x) for x in thue_morse(1024, "yes", "no")]
+    got = {r.doc_id: r.n_removed for r in span_dedup.remove_repeated_spans(docs(spark, [" ".join(x) for x in thue_morse(1024, "yes", "no")])).collect()}
+    assert got == {0: 0, 1: 0} and len(lines) == 2
+    blocks = {r.sha256 for i in (0, 1) for r in token_output.training_shards(docs(spark, [texts[i]]), piece_model(), length=2048).collect()}
+    assert len(blocks) == 2
+
+
+def test_span_hashes_are_polynomials_modulo_a_prime():
+    rng = np.random.default_rng(4)
+    p = textkernel.P61
+    a, b = (np.r_[rng.integers(0, p, 200), 0, 1, p - 1].astype(np.uint64) for _ in range(2))
+    assert [int(x) for x in textkernel.times(a, b)] == [int(x) * int(y) % p for x, y in zip(a, b, strict=True)]
+    h = textkernel.SpanHasher()
+    w = rng.integers(0, 2**63, 300).astype(np.uint64)
+    one, two = h(np.r_[w, w[:7], w], np.array([0, 307, 20, 327, 5]), np.array([300, 607, 40, 347, 25]))
+    assert one[0] == one[1] and two[0] == two[1] and one[2] == one[3] and two[2] == two[3] and one[2] != one[4]
 
 
 # -- secrets -------------------------------------------------------------------------------------
@@ -368,6 +423,7 @@ def test_pii_base_spans(spark):
     for i, t in enumerate(texts):
         want = ",".join(f"{k}:{a}:{z}" for k, a, z in base_spans(t))
         assert got[i].base_sha256 == hashlib.sha256(want.encode()).hexdigest(), (t[:60], want[:200], got[i].spans[:200])
+        assert [got[i].n_email, got[i].n_ip, got[i].n_card, got[i].n_phone] == [sum(k == kind for k, _, _ in base_spans(t)) for kind in ("email", "ip", "card", "phone")]
     assert pii.find_pii(empty(spark)).count() == 0
 
 
@@ -380,6 +436,47 @@ def test_context_decides_on_other_spans(spark):
     assert got[20].spans == "local_phone:12:26" and {got[i].n_email for i in range(20)} == {1}
 
 
+def test_base_counts_on_a_table(spark):
+    d = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    got = {r.doc_id: r for r in pii.find_pii(d).collect()}
+    seen = 0
+    for r in d.select("doc_id", "text").collect():
+        want = base_spans(r.text or "")
+        n = [sum(k == kind for k, _, _ in want) for kind in ("email", "ip", "card", "phone")]
+        g = got[r.doc_id]
+        assert [g.n_email, g.n_ip, g.n_card, g.n_phone] == n
+        assert g.base_sha256 == hashlib.sha256(",".join(f"{k}:{a}:{z}" for k, a, z in want).encode()).hexdigest()
+        seen += len(want)
+    assert seen > 10
+
+
+def iban(country, body):
+    """An account number with its right check digits."""
+    number = "".join(str(int(c, 36)) for c in body + country + "00")
+    return f"{country}{98 - int(number) % 97:02d}{body}"
+
+
+@pytest.mark.parametrize("mails", [0, 500])
+def test_planted_spans_of_the_other_kinds(spark, mails):
+    """Whatever the number of base spans beside them, planted ones are accepted and look-alikes aren't."""
+    texts = [f"write to a.person{i}@mail.com soon" for i in range(mails)]
+    planted = [f"Please call me: (415) 200-1{i:03d} tonight" for i in range(40)] + [f"my social security number 21{i % 10}-45-{6000 + i} is" for i in range(40)]
+    planted += [f"Pay to the account {iban('DE', f'37040044{532013000 + i:010d}')} now" for i in range(40)] + [f"Best regards, Dr. Maria Winter{'abcdefgh'[i % 8]} wrote" for i in range(40)]
+    alike = [f"part 115 201 1{i:03d} of the list" for i in range(60)] + [f"row 000-45-{6000 + i} here" for i in range(60)] + [f"code QX{10 + i}AB12CD34EF56GH78 is set" for i in range(60)] + [f"at St. Jean, Mr. Quark{'abcdefgh'[i % 8]} said" for i in range(60)]
+    d = docs(spark, texts + planted + alike)
+    got = {r.doc_id: r.n_other for r in pii.find_pii(d).collect()}
+    assert sum(got[mails + i] == 1 for i in range(len(planted))) == len(planted)
+    assert sum(got[mails + len(planted) + i] for i in range(len(alike))) == 0
+    out = {r.doc_id: r.text for r in pii.redact(d).collect()}
+    assert out[mails] == "Please call me: <LOCAL_PHONE> tonight" and out[mails + 80] == "Pay to the account <IBAN> now" and out[mails + len(planted)] == alike[0]
+
+
+def test_null_ids_and_repeated_rows_in_pii(spark):
+    got = [(r.doc_id, r.n_email) for r in pii.find_pii(docs(spark, ["a@b.c", "a@b.c", None, "x"], [None, 4, 4, 4])).collect()]
+    assert sorted(got, key=str) == [(4, 0), (4, 0), (4, 1), (None, 1)]
+    assert pii.redact(empty(spark)).count() == 0
+
+
 def test_redaction_keeps_columns_and_rows(spark):
     texts = ["mail a@b.com or call +1 (619) 555-0053.", None, "clean"]
     out = pii.redact(docs(spark, texts))
@@ -416,7 +513,7 @@ def test_toxicity_on_held_out_rows(spark):
         labels.append((i, 1, int(toxic)))
     lab = spark.createDataFrame([x for x in labels if x[0] % 2 == 0], "doc_id long, quality int, toxic int")
     d = docs(spark, texts)
-    m = toxicity.fit(d, lab, toxicity.PUConfig(epochs=30, models=2))
+    m = toxicity.fit(d, lab, toxicity.PUConfig(steps=300, models=2))
     got = {r.doc_id: r for r in toxicity.score_texts(d, m).collect()}
     for i in range(900):
         assert got[i].held_out == (zlib.crc32(str(i).encode()) % 3 == 1)
@@ -426,6 +523,27 @@ def test_toxicity_on_held_out_rows(spark):
     assert len(odd) == len(ODD) and all(0 <= r.score <= 1 for r in odd) and toxicity.score_texts(empty(spark), m).count() == 0
 
 
+def test_toxicity_without_texts_or_positives(spark):
+    lab = spark.createDataFrame([(0, 1), (2, None), (None, 1), (3, 0)], "doc_id long, toxic int")
+    for d in (empty(spark), docs(spark, [None, ""]), docs(spark, ["vile text"] * 5)):
+        m = toxicity.fit(d, lab)
+        got = toxicity.score_texts(d, m).collect()
+        assert len(got) == d.count() and len({r.score for r in got}) <= 1
+    none = toxicity.fit(docs(spark, ["a b", "c"]), lab.where("toxic = 0"))
+    assert not len(none.keys)
+
+
+def test_toxicity_groups_and_copies(spark):
+    """Several groups of classifiers, one text in a third of all rows, another for which all features are unknown."""
+    rng = np.random.default_rng(21)
+    plain = [f"w{i}" for i in range(300)]
+    texts = [" ".join([*rng.choice(plain, 30), *(["vile", "foul"] if i % 10 == 0 else [])]) for i in range(900)] + ["w1 w2 w3"] * 400
+    lab = spark.createDataFrame([(i, int(i % 10 == 0)) for i in range(900)], "doc_id long, toxic int")
+    m = toxicity.fit(docs(spark, texts), lab, toxicity.PUConfig(group=100, steps=200, models=2))
+    got = {r.doc_id: r.predicted for r in toxicity.score_texts(docs(spark, texts), m).collect()}
+    assert sum(got[i] != int(i < 900 and i % 10 == 0) for i in got) <= 5
+
+
 def test_toxicity_ignores_held_out_labels(spark):
     ids = [i for i in range(300) if zlib.crc32(str(i).encode()) % 3 == 1]
     lab = spark.createDataFrame([(i, 1) for i in ids], "doc_id long, toxic int")
