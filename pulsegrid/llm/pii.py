@@ -36,7 +36,7 @@ CARD = r"(?<![0-9\x01])[0-9][0-9\x01]{11,}+"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 LOCAL_PHONE = r"(?<![0-9+.-])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9])"
 NATIONAL_ID = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
-IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[ ]?[A-Z0-9]{4}){3,7}(?![A-Za-z0-9])"
+IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
 NAME = r"(?<![A-Za-z])(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Mme|Sra?)\.? [A-Z][a-z]{1,30}(?: [A-Z][a-z]{1,30})?"
 
 # The gazetteers and context words of the labelers.
@@ -60,7 +60,7 @@ COUNTRIES = ("AT", "BE", "CH", "CZ", "DE", "DK", "ES", "FI", "FR", "GB", "GR", "
 STRICT = {
     "local_phone": r"^(?:\([2-9][0-9]{2}\) [2-9][0-9]{2}-[0-9]{4}|[2-9][0-9]{2}([.-])[2-9][0-9]{2}\1[0-9]{4})$",
     "national_id": r"^(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}$",
-    "iban": r"^[A-Z]{2}[0-9]{2}(?:(?: [A-Z0-9]{4})+|[A-Z0-9]+)$",
+    "iban": r"^[A-Z]{2}[0-9]{2}(?:(?: [A-Z0-9]{4})+(?: [A-Z0-9]{1,3})?|[A-Z0-9]+)$",
     "name": r"^[A-Za-z]+\.? [A-Z][a-z]+ [A-Z][a-z]+$",
 }
 
