@@ -97,9 +97,23 @@ def onsets(series: DataFrame, hop_s: float, cfg: PeakPickConfig = PeakPickConfig
 
 
 def autocorrelation(series: DataFrame, low: int, high: int) -> DataFrame:
-    """(track, lag, r): mean product at each lag, by an equi-join on exploded lags; series are one value a hop, not samples."""
-    ahead = series.select("track", F.explode(F.sequence(F.lit(low), F.lit(high))).alias("lag"), F.col("t"), "v").withColumn("t", F.col("t") - F.col("lag")).where("t >= 0")
-    return ahead.join(series.withColumnRenamed("v", "u"), ["track", "t"]).groupBy("track", "lag").agg(F.avg(F.col("u") * F.col("v")).alias("r"))
+    """(track, lag, r): mean product at each lag that the track is longer than; a track's series, one value a hop, is one row."""
+    packed = series.groupBy("track").agg(F.collect_list("t").alias("t"), F.collect_list("v").alias("v"))
+    kind = dict(series.dtypes)["track"]
+
+    def run(batches):
+        import pandas as pd
+
+        for df in batches:
+            for track, t, v in df[["track", "t", "v"]].itertuples(index=False):
+                t = np.asarray(t)
+                x, there = np.zeros(t.max() - t.min() + 1), np.zeros(t.max() - t.min() + 1)
+                x[t - t.min()], there[t - t.min()] = v, 1
+                lags = [k for k in range(low, min(high, len(x) - 1) + 1) if there[: len(x) - k] @ there[k:]]
+                r = [x[: len(x) - k] @ x[k:] / (there[: len(x) - k] @ there[k:]) for k in lags]
+                yield pd.DataFrame({"track": track, "lag": np.asarray(lags, np.int32), "r": np.asarray(r, float)})
+
+    return packed.mapInPandas(run, f"track {kind}, lag int, r double")
 
 
 def tempo_scores(series: DataFrame, hop_s: float, cfg: TempoConfig = TempoConfig()) -> DataFrame:
@@ -140,21 +154,27 @@ def tempo_series(series: DataFrame, hop_s: float, cfg: TempoConfig = TempoConfig
     return rows.withColumn("stable", (F.count("*").over(w) < 2) | (cv < 0.04))
 
 
-def refined_bpm(found: DataFrame, bpm: float) -> DataFrame:
-    """(track, bpm): 60 over the upper median of the intervals within 15 % of the period, if there are three or more."""
+def refined_bpm(found: DataFrame, bpm: float | Column) -> DataFrame:
+    """(track, bpm): 60 over the upper median of the intervals within 15 % of the period, if there are three or more.
+
+    bpm may be a column of found that is the same for all of a track's onsets.
+    """
     w = Window.partitionBy("track").orderBy("at")
+    bpm = bpm if isinstance(bpm, Column) else F.lit(bpm)
     period = 60 / bpm
     d = found.withColumn("d", F.col("at") - F.lag("at").over(w))
     near = F.collect_list(F.when((F.col("d") > 0.85 * period) & (F.col("d") < 1.15 * period), F.col("d")))
-    g = d.groupBy("track").agg(near.alias("ds"))
-    return g.select("track", F.when(F.size("ds") >= 3, 60 / _upper_median(F.col("ds"))).otherwise(F.lit(bpm)).alias("bpm"))
+    g = d.groupBy("track").agg(near.alias("ds"), F.first(bpm).alias("bpm"))
+    return g.select("track", F.when(F.size("ds") >= 3, 60 / _upper_median(F.col("ds"))).otherwise(F.col("bpm")).alias("bpm"))
 
 
-def track_beats(series: DataFrame, period: float, tightness: float = 100.0) -> DataFrame:
-    """(track, t): beats by dynamic programming over the series; period in frames."""
+def track_beats(series: DataFrame, period: float | None = None, tightness: float = 100.0) -> DataFrame:
+    """(track, t): beats by dynamic programming over the series; period in frames, or else each track's own in a column of that name."""
+    fixed = period
 
     def run(df):
         df = df.sort_values("t")
+        period = float(df["period"].iloc[0]) if fixed is None else fixed
         v = df["v"].to_numpy()
         n = len(v)
         best, prev = np.array(v, float), np.full(n, -1)
@@ -179,17 +199,21 @@ def track_beats(series: DataFrame, period: float, tightness: float = 100.0) -> D
 
 def phase_confidence(series: DataFrame, beats: DataFrame) -> DataFrame:
     """How far the series stands out at the beats, in standard deviations over 4."""
-    rows = series.join(F.broadcast(beats.select("track", "t", F.lit(True).alias("hit"))), ["track", "t"], "left")
+    rows = series.join(beats.select("track", "t", F.lit(True).alias("hit")), ["track", "t"], "left")
     g = rows.groupBy("track").agg(F.avg(F.when(F.col("hit"), F.col("v"))).alias("on"), F.avg("v").alias("mean"), F.stddev_pop("v").alias("sd"))
     return g.select("track", F.when(F.col("sd") > 0, clamp((F.col("on") - F.col("mean")) / F.col("sd") / 4, 0.0, 1.0)).otherwise(0.0).alias("confidence"))
 
 
-def snapped(beats: DataFrame, found: DataFrame, tolerance: float) -> DataFrame:
-    """beats (track, at) moved to the nearest onset within the tolerance; the later of two equally near."""
+def snapped(beats: DataFrame, found: DataFrame, tolerance: float | Column) -> DataFrame:
+    """beats (track, at) moved to the nearest onset within the tolerance; the later of two equally near.
+
+    The tolerance may be a column that both have, the same for all rows of a track.
+    """
+    tolerance = tolerance if isinstance(tolerance, Column) else F.lit(tolerance)
     size = 2 * tolerance
-    b = beats.select("track", "at", F.explode(F.array(F.floor((F.col("at") - tolerance) / size), F.floor((F.col("at") + tolerance) / size))).alias("bucket")).distinct()
+    b = beats.select("track", "at", tolerance.alias("_tol"), F.explode(F.array(F.floor((F.col("at") - tolerance) / size), F.floor((F.col("at") + tolerance) / size))).alias("bucket")).distinct()
     o = found.select("track", F.col("at").alias("o"), F.floor(F.col("at") / size).alias("bucket"))
-    near = b.join(o, ["track", "bucket"]).where(F.abs(F.col("o") - F.col("at")) <= tolerance)
+    near = b.join(o, ["track", "bucket"]).where(F.abs(F.col("o") - F.col("at")) <= F.col("_tol"))
     best = near.groupBy("track", "at").agg(F.min_by("o", F.struct(F.abs(F.col("o") - F.col("at")), -F.col("o"))).alias("snapped"))
     return beats.join(best, ["track", "at"], "left").select("track", "at", F.coalesce("snapped", "at").alias("snapped"))
 

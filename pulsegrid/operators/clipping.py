@@ -10,6 +10,8 @@ from pulsegrid.model import ClippingConfig
 from pulsegrid.operators import islands
 
 KEY = ["track", "channel"]
+# The kinds of events in the order of the reports' counts
+KINDS = ("digital", "over_full_scale", "near_clip", "inter_sample_peak")
 
 
 def limits(cfg: ClippingConfig) -> tuple[float, float]:
@@ -23,7 +25,7 @@ def clip_runs(samples: DataFrame, threshold: float, min_run: int, merge_gap: int
 
     A merged run counts its gaps.
     """
-    found = islands.runs(samples, KEY, "frame", F.abs("x") >= threshold, peak=F.max(F.abs("x")))
+    found = islands.runs(samples, KEY, "frame", F.abs("x") >= threshold, peak=(F.max, F.abs("x")))
     merged = islands.merge_runs(found, KEY, merge_gap, inclusive=True, peak=F.max("peak"))
     return merged.where(F.col("n") >= min_run).select(*KEY, "begin", "end", F.col("n").alias("sample_count"), "peak")
 
@@ -38,7 +40,7 @@ def events(samples: DataFrame, cfg: ClippingConfig) -> DataFrame:
 
 def totals(found: DataFrame, samples: DataFrame) -> DataFrame:
     """Per track: events per kind, hard-clipped samples and their share, largest overshoot (0 at least)."""
-    hard = F.col("kind") != "near_clip"
+    hard = F.col("kind").isin("digital", "over_full_scale")
     g = found.groupBy("track").agg(
         F.count(F.when(F.col("kind") == "digital", 1)).alias("n_digital"),
         F.count(F.when(F.col("kind") == "over_full_scale", 1)).alias("n_over"),
@@ -72,14 +74,27 @@ def flat_top(samples: DataFrame) -> DataFrame:
 
 def plateaus(samples: DataFrame) -> DataFrame:
     """Per channel: number and mean length of runs of two or more equal samples."""
-    w = Window.partitionBy(*KEY).orderBy("frame")
-    grp = samples.withColumn("new", F.when(F.col("x") == F.lag("x").over(w), 0).otherwise(1)).withColumn("grp", F.sum("new").over(w))
-    runs = grp.groupBy(*KEY, "grp").agg(F.count("*").alias("n")).where("n >= 2")
+    w = Window.partitionBy(*KEY, "_chunk").orderBy("frame")
+    same = islands.chunked(samples, "frame", before=1).withColumn("same", F.col("x") == F.lag("x").over(w)).where("_own")
+    # a run of n samples that equal the one before is a plateau of n + 1
+    runs = islands.runs(same.drop("_chunk", "_own"), KEY, "frame", F.col("same")).withColumn("n", F.col("n") + 1)
     every = samples.select(*KEY).distinct()
     g = runs.groupBy(*KEY).agg(F.count("*").alias("plateaus"), F.avg("n").alias("mean_length"))
     return every.join(g, KEY, "left").na.fill(0, ["plateaus"]).na.fill(0.0, ["mean_length"])
 
 
-def worst(found: DataFrame, n: int) -> DataFrame:
-    """The n events with the highest peak, first by frame, channel and kind among equals."""
+def worst(found: DataFrame, n: int = ClippingConfig().max_events) -> DataFrame:
+    """The n events with the highest peak, first by frame, channel and kind among equals.  Counts come from totals(), over all events."""
     return found.orderBy(F.col("peak_dbfs").desc(), "begin", "channel", "kind").limit(n)
+
+
+def worst_of_each(found: DataFrame, n: int) -> DataFrame:
+    """The n events of each track with the highest peak, as worst() has them."""
+    w = Window.partitionBy("track").orderBy(F.col("peak_dbfs").desc(), "begin", "channel", "kind")
+    return found.withColumn("_rank", F.row_number().over(w)).where(F.col("_rank") <= n).drop("_rank")
+
+
+def with_inter_sample_peaks(found: DataFrame, peaks: DataFrame) -> DataFrame:
+    """events() and the inter-sample peaks (track, channel, frame, peak) as further events of one sample each."""
+    more = peaks.select(*KEY, F.col("frame").alias("begin"), (F.col("frame") + 1).alias("end"), F.lit(1).cast("long").alias("sample_count"), "peak", F.lit("inter_sample_peak").alias("kind"), db(F.col("peak")).alias("peak_dbfs"))
+    return found.unionByName(more)

@@ -9,6 +9,25 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Order values (frames) of one chunk: a long track is worked on in as many tasks as it has chunks.
+CHUNK = 65_536
+
+
+def chunked(df: DataFrame, order: str, before: int = 0, after: int = 0, chunk: int = CHUNK) -> DataFrame:
+    """df with _chunk and _own: each row is in the chunk of its order value (_own), and those within
+    `before` of a chunk's begin or `after` of its end are in that chunk as well, for windows that reach over its edges."""
+    if max(before, after) > chunk:
+        raise ValueError("a halo can't be wider than a chunk")
+    at, pos = F.floor(F.col(order) / chunk), F.pmod(F.col(order), F.lit(chunk))
+    places = [F.struct(at.alias("c"), F.lit(True).alias("o"))]
+    if after:
+        places.append(F.when(pos < after, F.struct((at - 1).alias("c"), F.lit(False).alias("o"))))
+    if before:
+        places.append(F.when(pos >= chunk - before, F.struct((at + 1).alias("c"), F.lit(False).alias("o"))))
+    if len(places) == 1:
+        return df.withColumn("_chunk", at).withColumn("_own", F.lit(True))
+    return df.withColumn("_at", F.explode(F.array_compact(F.array(*places)))).withColumn("_chunk", F.col("_at.c")).withColumn("_own", F.col("_at.o")).drop("_at")
+
 
 def hysteresis(df: DataFrame, part: list[str], order: str, level: Column, enter: float, leave: float, out: str = "quiet") -> DataFrame:
     """out: true from level <= enter until level > leave; true before anything decides."""
@@ -17,15 +36,22 @@ def hysteresis(df: DataFrame, part: list[str], order: str, level: Column, enter:
     return df.withColumn(out, F.coalesce(F.last(decided, ignorenulls=True).over(w), F.lit(True)))
 
 
-def runs(df: DataFrame, part: list[str], order: str, flag: Column, **extra: Column) -> DataFrame:
+def runs(df: DataFrame, part: list[str], order: str, flag: Column, **extra: tuple) -> DataFrame:
     """(part..., begin, end, n, extra...): maximal runs of consecutive order values with flag true; end exclusive.
 
-    extra are aggregates over a run's rows.
+    extra are pairs (aggregate function, column) over a run's rows, of functions that can be
+    applied to their own results.  Runs are found chunk by chunk; only the pieces that touch a
+    chunk's edge are joined over the whole partition.
     """
-    w = Window.partitionBy(*part).orderBy(order)
-    hit = df.where(flag).withColumn("_grp", F.col(order) - F.row_number().over(w))
-    more = [c.alias(k) for k, c in extra.items()]
-    return hit.groupBy(*part, "_grp").agg(F.min(order).alias("begin"), (F.max(order) + 1).alias("end"), F.count("*").alias("n"), *more).drop("_grp")
+    keys = [*part, "_chunk"]
+    hit = chunked(df.where(flag), order)
+    hit = hit.withColumn("_grp", F.col(order) - F.row_number().over(Window.partitionBy(*keys).orderBy(order)))
+    pieces = hit.groupBy(*keys, "_grp").agg(F.min(order).alias("begin"), (F.max(order) + 1).alias("end"), F.count("*").alias("n"), *[f(c).alias(k) for k, (f, c) in extra.items()]).drop("_grp", "_chunk")
+    edge = (F.col("begin") % CHUNK == 0) | (F.col("end") % CHUNK == 0)
+    w = Window.partitionBy(*part).orderBy("begin")
+    near = pieces.where(edge).withColumn("_new", F.when(F.lag("end").over(w) == F.col("begin"), 0).otherwise(1)).withColumn("_grp", F.sum("_new").over(w))
+    joined = near.groupBy(*part, "_grp").agg(F.min("begin").alias("begin"), F.max("end").alias("end"), F.sum("n").alias("n"), *[f(k).alias(k) for k, (f, _) in extra.items()]).drop("_grp")
+    return pieces.where(~edge).unionByName(joined)
 
 
 def merge_runs(df: DataFrame, part: list[str], gap: Column | float, inclusive: bool, **extra: Column) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from pulsegrid.functions.exprs import db, lufs
 from pulsegrid.model import LoudnessConfig
+from pulsegrid.operators import islands
 
 KEY = ["track", "channel"]
 
@@ -34,25 +35,44 @@ def highpass_coefficients(sample_rate: float) -> tuple[list[float], list[float]]
     return [1.0, -2.0, 1.0], [1.0, 2 * (k * k - 1) / a0, (1 - k / q + k * k) / a0]
 
 
-def _biquad(x: np.ndarray, num: list[float], den: list[float], state: np.ndarray) -> np.ndarray:
-    """One second-order section over a block; state (2 values) is carried on."""
-    b0, b1, b2 = num
-    _, a1, a2 = den
-    z1, z2 = state
-    out = np.empty_like(x)
-    for i, v in enumerate(x.tolist()):
-        y = b0 * v + z1
-        z1 = b1 * v - a1 * y + z2
-        z2 = b2 * v - a2 * y
-        out[i] = y
-    state[:] = (z1 if abs(z1) > 1e-30 else 0.0), (z2 if abs(z2) > 1e-30 else 0.0)
-    return out
-
-
-def _states(num, den, x: np.ndarray) -> np.ndarray:
-    s = np.zeros(2)
-    _biquad(x, num, den, s)
-    return s
+#: Samples that a block of the filter takes in one matrix product.
+STEP = 64
+
+
+class _Cascade:
+    """Two second-order sections as one linear system s' = A s + B x, y = C s + D x, run over blocks of STEP samples."""
+
+    def __init__(self, first, second):
+        (b0, b1, b2), (_, a1, a2) = first
+        (c0, c1, c2), (_, d1, d2) = second
+        self.a = np.array([[-a1, 1, 0, 0], [-a2, 0, 0, 0], [c1 - d1 * c0, 0, -d1, 1], [c2 - d2 * c0, 0, -d2, 0]])
+        self.b = np.array([b1 - a1 * b0, b2 - a2 * b0, (c1 - d1 * c0) * b0, (c2 - d2 * c0) * b0])
+        c = np.array([c0, 0, 1, 0])
+        powers = [np.eye(4)]
+        for _ in range(STEP):
+            powers.append(self.a @ powers[-1])
+        self.step = powers[STEP]
+        self.out = np.stack([c @ p for p in powers[:STEP]])  # what the state adds to each sample
+        answer = np.r_[c0 * b0, [c @ p @ self.b for p in powers[: STEP - 1]]]
+        i, j = np.indices((STEP, STEP))
+        self.own = np.where(i >= j, answer[np.maximum(i - j, 0)], 0.0)  # what a block's samples add to one another
+        self.into = np.stack([powers[STEP - 1 - k] @ self.b for k in range(STEP)], axis=1)
+
+    def __call__(self, x: np.ndarray, state: np.ndarray, wanted: bool = True) -> tuple[np.ndarray, np.ndarray]:
+        """(filtered samples, final state); the samples are left out unless wanted."""
+        full = len(x) // STEP * STEP
+        blocks = x[:full].reshape(-1, STEP)
+        pushed, states = blocks @ self.into.T, np.empty((len(blocks) + 1, 4))
+        states[0] = state
+        for i, p in enumerate(pushed):
+            states[i + 1] = self.step @ states[i] + p
+        s, tail = states[-1], x[full:]
+        ys = [(blocks @ self.own.T + states[:-1] @ self.out.T).ravel()] if wanted else []
+        if wanted and len(tail):
+            ys.append(self.own[: len(tail), : len(tail)] @ tail + self.out[: len(tail)] @ s)
+        for v in tail.tolist():
+            s = self.a @ s + self.b * v
+        return np.concatenate(ys) if ys else np.zeros(0), s
 
 
 def k_weighted(samples: DataFrame, sample_rate: int, chunk: int = 65_536) -> DataFrame:
@@ -62,43 +82,31 @@ def k_weighted(samples: DataFrame, sample_rate: int, chunk: int = 65_536) -> Dat
     in.  Pass 1 computes each chunk's final state from rest; those are few rows a channel, from
     which the true starting states follow in order; pass 2 filters each chunk from its own.
     """
-    shelf, high = shelf_coefficients(sample_rate), highpass_coefficients(sample_rate)
+    cascade = _Cascade(shelf_coefficients(sample_rate), highpass_coefficients(sample_rate))
     parts = samples.withColumn("chunk", F.floor(F.col("frame") / chunk).cast("int"))
     packed = parts.groupBy(*KEY, "chunk").agg(F.sort_array(F.collect_list(F.struct("frame", "x"))).alias("s")).select(*KEY, "chunk", F.col("s.frame").alias("frames"), F.col("s.x").alias("xs"))
 
     def rest(batches):
         for df in batches:
-            rows = []
-            for x in df["xs"]:
-                s1, s2 = np.zeros(2), np.zeros(2)
-                y = _biquad(np.asarray(x, float), *shelf, s1)
-                _biquad(y, *high, s2)
-                rows.append([*s1, *s2])
-            yield df[[*KEY, "chunk"]].assign(n=[len(x) for x in df["xs"]], state=rows)
+            ends = [cascade(np.asarray(x, float), np.zeros(4), wanted=False)[1].tolist() for x in df["xs"]]
+            yield df[[*KEY, "chunk"]].assign(n=[len(x) for x in df["xs"]], state=ends)
 
     ends = packed.mapInPandas(rest, "track string, channel int, chunk int, n int, state array<double>")
 
-    # The 4-dimensional state after n frames without input is A^n times the one before.
-    (b0, b1, b2), (_, a1, a2) = shelf
-    (c0, c1, c2), (_, d1, d2) = high
-    a = np.array([[-a1, 1, 0, 0], [-a2, 0, 0, 0], [c1 - d1 * c0, 0, -d1, 1], [c2 - d2 * c0, 0, -d2, 0]])
-
+    # the state after n frames without input is A^n times the one before
     def chain(df):
         df = df.sort_values("chunk")
         now, out = np.zeros(4), []
         for n, state in zip(df["n"], df["state"], strict=True):
             out.append(now.tolist())
-            now = np.linalg.matrix_power(a, int(n)) @ now + np.asarray(state)
+            now = np.linalg.matrix_power(cascade.a, int(n)) @ now + np.asarray(state)
         return df[[*KEY, "chunk"]].assign(start=out)
 
     starts = ends.groupBy(*KEY).applyInPandas(chain, "track string, channel int, chunk int, start array<double>")
 
     def filtered(batches):
         for df in batches:
-            ys = []
-            for x, s in zip(df["xs"], df["start"], strict=True):
-                s1, s2 = np.array(s[:2], float), np.array(s[2:], float)
-                ys.append(_biquad(_biquad(np.asarray(x, float), *shelf, s1), *high, s2))
+            ys = [cascade(np.asarray(x, float), np.asarray(s, float))[0] for x, s in zip(df["xs"], df["start"], strict=True)]
             yield df[[*KEY, "frames"]].assign(ys=ys)
 
     done = packed.join(starts, [*KEY, "chunk"]).mapInPandas(filtered, "track string, channel int, frames array<long>, ys array<double>")
@@ -203,10 +211,7 @@ def resample_block(x: np.ndarray, ratio: float, quality: str = "best") -> np.nda
 
 def true_peak(samples: DataFrame, oversampling: int = 4, chunk: int = 65_536, halo: int = 64) -> DataFrame:
     """Per channel: oversampled peak, its frame, and dBTP.  Chunks carry a halo of their neighbours' frames and run in parallel."""
-    at = F.floor(F.col("frame") / chunk)
-    edge = F.col("frame") % chunk
-    spread = F.array_compact(F.array(at, F.when(edge < halo, at - 1), F.when(edge >= chunk - halo, at + 1)))
-    parts = samples.select(*KEY, "frame", "x", F.explode(spread).alias("chunk")).where("chunk >= 0")
+    parts = islands.chunked(samples.select(*KEY, "frame", "x"), "frame", halo, halo, chunk).withColumnRenamed("_chunk", "chunk").where("chunk >= 0")
 
     def peaks(df):
         df = df.sort_values("frame")
@@ -225,17 +230,25 @@ def true_peak(samples: DataFrame, oversampling: int = 4, chunk: int = 65_536, ha
     return g.select(*KEY, F.col("p.peak").alias("true_peak"), (-F.col("p.back")).alias("frame"), db(F.col("p.peak")).alias("dbtp"))
 
 
-def inter_sample_peaks(samples: DataFrame, threshold_db: float = 0.0, oversampling: int = 4, chunk: int = 65_536) -> DataFrame:
-    """Oversampled positions above the threshold, each with the sample peak of its processing chunk."""
+def inter_sample_peaks(samples: DataFrame, threshold_db: float = 0.0, oversampling: int = 4, chunk: int = 65_536, halo: int = 64) -> DataFrame:
+    """Oversampled positions above the threshold, each with the sample peak of its processing chunk.
+
+    Chunks carry a halo of their neighbours' frames for the interpolation, so that the positions
+    and peaks don't depend on where chunks end; a chunk's sample peak is that of its own frames.
+    """
     limit = 10 ** (threshold_db / 20)
+    parts = islands.chunked(samples.select(*KEY, "frame", "x"), "frame", halo, halo, chunk)
 
     def over(df):
         df = df.sort_values("frame")
-        x = df["x"].to_numpy()
+        frames, x = df["frame"].to_numpy(), df["x"].to_numpy()
         y = np.abs(resample_block(x, oversampling))
-        i = np.flatnonzero(y > limit)
+        c = int(df["_chunk"].iloc[0])
+        pos = frames[0] + np.arange(len(y)) / oversampling
+        i = np.flatnonzero((y > limit) & (pos >= c * chunk) & (pos < (c + 1) * chunk))
+        if not len(i):
+            return df.iloc[:0][[*KEY, "frame"]].assign(peak=0.0, sample_peak=0.0)
         one = df.iloc[:1][[*KEY]]
-        return one.loc[one.index.repeat(len(i))].assign(frame=df["frame"].iloc[0] + np.round(i / oversampling).astype(np.int64), peak=y[i], sample_peak=float(np.abs(x).max()))
+        return one.loc[one.index.repeat(len(i))].assign(frame=np.round(pos[i]).astype(np.int64), peak=y[i], sample_peak=float(np.abs(x[df["_own"].to_numpy()]).max()))
 
-    rows = samples.withColumn("chunk", F.floor(F.col("frame") / chunk))
-    return rows.groupBy(*KEY, "chunk").applyInPandas(over, "track string, channel int, frame long, peak double, sample_peak double")
+    return parts.groupBy(*KEY, "_chunk").applyInPandas(over, "track string, channel int, frame long, peak double, sample_peak double")

@@ -74,7 +74,7 @@ def curve_pixels(series: DataFrame, frames_per_value: int, frames_per_pixel: int
     lo = F.expr(f"(px * {frames_per_pixel}) div {frames_per_value}")
     hi = F.expr(f"((px + 1) * {frames_per_pixel} + {frames_per_value} - 1) div {frames_per_value}")
     px = series.sparkSession.range(pixels).select(F.col("id").alias("px")).withColumn("w", F.explode(F.sequence(lo, F.greatest(lo, hi - 1))))
-    return series.join(F.broadcast(px), "w").groupBy("track", "channel", "px").agg(F.min("v").alias("min"), F.max("v").alias("max"))
+    return series.join(px, "w").groupBy("track", "channel", "px").agg(F.min("v").alias("min"), F.max("v").alias("max"))
 
 
 def replaced(markers: DataFrame, kind: str, new: DataFrame) -> DataFrame:

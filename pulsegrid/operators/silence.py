@@ -22,7 +22,7 @@ def regions(windows: DataFrame, frames: DataFrame, cfg: SilenceConfig, window_s:
 
     frames: (track, frame_count).
     """
-    found = islands.runs(windows, ["track"], "w", F.col("quiet"), mask=F.bit_or("mask"))
+    found = islands.runs(windows, ["track"], "w", F.col("quiet"), mask=(F.bit_or, F.col("mask")))
     merged = islands.merge_runs(found, ["track"], cfg.merge_ms / 1000 / window_s, inclusive=False, mask=F.bit_or("mask"))
     kept = merged.where((F.col("end") - F.col("begin")) * window_s * 1000 >= cfg.min_ms)
     size = round(window_s * sample_rate)
@@ -101,11 +101,15 @@ def frame_silent_column(samples: DataFrame, cfg: SilenceConfig) -> Column:
 
 def nearest_zero_crossing(samples: DataFrame, targets: DataFrame, reach: int) -> DataFrame:
     """(track, channel, target, crossing): the sign change nearest to each target frame, the left one of two equally near."""
-    w = Window.partitionBy("track", "channel").orderBy("frame")
-    turns = samples.withColumn("turn", (F.col("x") >= 0) != (F.lead("x").over(w) >= 0)).where("turn").select("track", "channel", "frame", F.col("frame").alias("turn"), F.lit(False).alias("asked"))
-    asked = targets.select("track", "channel", F.col("target").alias("frame"), F.lit(None).cast("long").alias("turn"), F.lit(True).alias("asked")).distinct()
+    chunk = max(islands.CHUNK, reach)
+    w = Window.partitionBy("track", "channel", "_chunk").orderBy("frame")
+    ahead = islands.chunked(samples, "frame", after=1, chunk=chunk)
+    turns = ahead.withColumn("turn", (F.col("x") >= 0) != (F.lead("x").over(w) >= 0)).where("turn and _own").select("track", "channel", "frame")
+    turns = islands.chunked(turns, "frame", before=reach, after=reach, chunk=chunk).select("track", "channel", "_chunk", "frame", F.col("frame").alias("turn"), F.lit(False).alias("asked"))
+    asked = targets.select("track", "channel", F.col("target").alias("frame")).distinct()
+    asked = islands.chunked(asked, "frame", chunk=chunk).select("track", "channel", "_chunk", "frame", F.lit(None).cast("long").alias("turn"), F.lit(True).alias("asked"))
     # one pass in each direction: rows grow with the targets, not with the crossings within their reach
-    side = Window.partitionBy("track", "channel").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    side = Window.partitionBy("track", "channel", "_chunk").rangeBetween(Window.unboundedPreceding, Window.currentRow)
     rows = turns.unionByName(asked).withColumn("left", F.max("turn").over(side.orderBy("frame"))).withColumn("right", F.min("turn").over(side.orderBy(F.col("frame").desc())))
     to_left, to_right = F.col("frame") - F.col("left"), F.col("right") - F.col("frame")
     best = F.when(F.col("left").isNull() | (to_right < to_left), F.col("right")).otherwise(F.col("left"))

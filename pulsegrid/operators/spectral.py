@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pulsegrid.functions.exprs import db_floor, quantise_db, window_value
@@ -89,37 +89,79 @@ def inverse(spectrum: DataFrame, key: list[str], n: int) -> DataFrame:
     return packed.mapInPandas(run, schema).select(*key, F.posexplode("x").alias("i", "x"))
 
 
-def frames_of(samples: DataFrame, size: int, hop: int, centred: bool) -> DataFrame:
-    """(track, channel, t, x array): frame t starts hop * t frames in (half a frame earlier if centred), zero outside the signal.
+#: Frames of analysis that are cut from one group of samples.
+FRAMES = 64
+
+
+def _grouped(samples: DataFrame, size: int, hop: int, shift: int) -> DataFrame:
+    """(track, channel, g, n, at, x): the samples that frames g * FRAMES and on need, unordered, at their places after the shift; n is the signal's length.
 
-    A sample goes straight to the frames it is in: one shuffle on (track, channel, t), no join.
+    A sample goes to one group, or to two or more where frames of several reach over it.
     """
-    shift = size // 2 if centred else 0
+    stride = FRAMES * hop
     n = samples.groupBy("track", "channel").agg((F.max("frame") + 1).alias("n"))
     at = F.col("frame") + shift
-    first = F.greatest(F.lit(0), F.floor((at - size) / hop) + 1)
-    rows = samples.join(F.broadcast(n), ["track", "channel"])
-    count = F.floor((F.col("n") + 2 * shift - size) / hop)
-    rows = rows.withColumn("last", F.least(F.floor(at / hop), count)).where(first <= F.col("last"))
-    rows = rows.select("track", "channel", F.explode(F.sequence(first, F.col("last"))).alias("t"), at.alias("at"), "x")
-    packed = rows.groupBy("track", "channel", "t").agg(F.map_from_entries(F.collect_list(F.struct((F.col("at") - F.col("t") * hop).cast("int").alias("i"), "x"))).alias("m"))
-    return packed.select("track", "channel", "t", F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0))).alias("x"))
+    first = F.greatest(F.lit(0), F.floor((at - (stride - hop) - size) / stride) + 1)
+    rows = samples.select("track", "channel", F.explode(F.sequence(first, F.floor(at / stride))).alias("g"), at.alias("at"), "x")
+    packed = rows.groupBy("track", "channel", "g").agg(F.collect_list("at").alias("at"), F.collect_list("x").alias("x"))
+    return packed.join(n, ["track", "channel"])
+
+
+def _cut(g: int, n: int, at, x, size: int, hop: int, shift: int) -> tuple[np.ndarray, np.ndarray]:
+    """(numbers of the whole frames of a group, one row of samples for each); zero outside the signal."""
+    count = (n + 2 * shift - size) // hop + 1
+    t = np.arange(g * FRAMES, min((g + 1) * FRAMES, max(count, 0)))
+    if not len(t):
+        return t, np.zeros((0, size))
+    dense = np.zeros((len(t) - 1) * hop + size)
+    place = np.asarray(at) - t[0] * hop
+    inside = place < len(dense)
+    dense[place[inside]] = np.asarray(x, float)[inside]
+    return t, np.lib.stride_tricks.sliding_window_view(dense, size)[::hop]
+
+
+def _framed(samples: DataFrame, size: int, hop: int, centred: bool, columns: str, make) -> DataFrame:
+    """(track, channel, t, columns): what make gives for the matrix of each group's frames, a list of lists of values."""
+    shift = size // 2 if centred else 0
+    names = [c.split()[0] for c in columns.split(",")]
+
+    def run(batches):
+        import pandas as pd
+
+        for df in batches:
+            for track, channel, g, at, x, n in df[["track", "channel", "g", "at", "x", "n"]].itertuples(index=False):
+                t, rows = _cut(g, n, at, x, size, hop, shift)
+                if len(t):
+                    yield pd.DataFrame({"track": track, "channel": channel, "t": t, **dict(zip(names, make(rows), strict=True))})
+
+    return _grouped(samples, size, hop, shift).mapInPandas(run, f"track string, channel int, t long, {columns}")
+
+
+def frames_of(samples: DataFrame, size: int, hop: int, centred: bool) -> DataFrame:
+    """(track, channel, t, x array): frame t starts hop * t frames in (half a frame earlier if centred), zero outside the signal."""
+    return _framed(samples, size, hop, centred, "x array<double>", lambda rows: [rows.tolist()])
 
 
 def stft(samples: DataFrame, sample_rate: int, cfg: StftConfig = StftConfig()) -> DataFrame:
     """(track, channel, t, mag, re, im): arrays over the bins of every whole frame."""
     if cfg.size < 2 or cfg.hop < 1 or cfg.hop > cfg.size or not supported_size(cfg.size):
         raise ValueError("unsupported STFT size or hop")
+    w = _window(cfg.window, cfg.size)
+
+    def spectra(rows):
+        z = np.fft.rfft(rows * w, axis=1)
+        return [scaled(np.abs(z), w, cfg.scaling, sample_rate).tolist(), z.real.tolist(), z.imag.tolist()]
+
+    return _framed(samples, cfg.size, cfg.hop, cfg.centred, "mag array<double>, re array<double>, im array<double>", spectra)
+
+
+def frame_time(t: Column, hop: int, size: int, sample_rate: int, centred: bool) -> Column:
+    """Seconds of the middle of frame t."""
+    return (t * hop + (0 if centred else size / 2)) / sample_rate
 
-    def run(batches):
-        w = _window(cfg.window, cfg.size)
-        for df in batches:
-            if len(df):
-                z = np.fft.rfft(np.stack(df["x"].to_list()) * w, axis=1)
-                m = scaled(np.abs(z), w, cfg.scaling, sample_rate)
-                yield df[["track", "channel", "t"]].assign(mag=m.tolist(), re=z.real.tolist(), im=z.imag.tolist())
 
-    return frames_of(samples, cfg.size, cfg.hop, cfg.centred).mapInPandas(run, "track string, channel int, t long, mag array<double>, re array<double>, im array<double>")
+def bin_frequency(k: Column, size: int, sample_rate: int) -> Column:
+    return k * (sample_rate / size)
 
 
 # -- frequency mapping ----------------------------------------------------------------------
@@ -202,7 +244,7 @@ def overview(samples: DataFrame, sample_rate: int, width: int, cfg: TileConfig =
     half = cfg.size // 2
     cols = n.select("track", "channel", F.explode(F.sequence(F.lit(0), F.lit(width - 1))).alias("t"), "n").withColumn("centre", ((F.col("t") + 0.5) / width * F.col("n")).cast("long"))
     keyed = cols.select("track", "channel", "t", "centre", F.explode(F.sequence(F.floor((F.col("centre") - half) / cfg.size), F.floor((F.col("centre") + half - 1) / cfg.size))).alias("bucket"))
-    near = samples.withColumn("bucket", F.floor(F.col("frame") / cfg.size)).join(F.broadcast(keyed), ["track", "channel", "bucket"])
+    near = samples.withColumn("bucket", F.floor(F.col("frame") / cfg.size)).join(keyed, ["track", "channel", "bucket"])
     near = near.withColumn("i", (F.col("frame") - F.col("centre") + half).cast("int")).where((F.col("i") >= 0) & (F.col("i") < cfg.size))
     packed = near.groupBy("track", "channel", F.col("t").cast("long").alias("t")).agg(F.map_from_entries(F.collect_list(F.struct("i", "x"))).alias("m"))
     full = packed.select("track", "channel", "t", F.transform(F.sequence(F.lit(0), F.lit(cfg.size - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0))).alias("x"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pulsegrid.functions.exprs import INF, db, ratio
+from pulsegrid.operators import islands
 
 KEY = ["track", "channel"]
 
@@ -16,7 +17,6 @@ def rms_window(sample_rate: int) -> int:
 
 def channel_stats(samples: DataFrame, sample_rate: int) -> DataFrame:
     """Per channel: n, peak and its first frame (-1 for silence), mean, rms, variance, crest, min, max, zero crossings and their rate."""
-    w = Window.partitionBy(*KEY).orderBy("frame")
     base = samples.groupBy(*KEY).agg(
         F.count("*").alias("n"),
         F.min("x").alias("min"),
@@ -27,8 +27,13 @@ def channel_stats(samples: DataFrame, sample_rate: int) -> DataFrame:
         F.avg(F.abs("x")).alias("mean_abs"),
         F.max(F.struct(F.abs("x").alias("peak"), (-F.col("frame")).alias("back"))).alias("p"),
     )
-    signs = samples.where("x <> 0").withColumn("turn", (F.signum("x") != F.lag(F.signum("x")).over(w)).cast("long"))
-    cross = signs.groupBy(*KEY).agg(F.coalesce(F.sum("turn"), F.lit(0)).alias("zero_crossings"))
+    # sign changes inside chunks, and from one chunk's last sign to the next one's first
+    w = Window.partitionBy(*KEY, "_chunk").orderBy("frame")
+    signs = islands.chunked(samples.where("x <> 0"), "frame").withColumn("s", F.signum("x"))
+    signs = signs.withColumn("turn", (F.col("s") != F.lag("s").over(w)).cast("long"))
+    parts = signs.groupBy(*KEY, "_chunk").agg(F.sum("turn").alias("turns"), F.min_by("s", "frame").alias("first"), F.max_by("s", "frame").alias("last"))
+    over = F.col("first") != F.lag("last").over(Window.partitionBy(*KEY).orderBy("_chunk"))
+    cross = parts.withColumn("over", over.cast("long")).groupBy(*KEY).agg((F.coalesce(F.sum("turns"), F.lit(0)) + F.coalesce(F.sum("over"), F.lit(0))).alias("zero_crossings"))
     out = base.join(cross, KEY, "left").withColumn("zero_crossings", F.coalesce("zero_crossings", F.lit(0)))
     rms, peak = F.sqrt("mean_square"), F.col("p.peak")
     return out.select(
@@ -113,7 +118,7 @@ def correlation_series(samples: DataFrame, sample_rate: int) -> DataFrame:
 def mono_sum(samples: DataFrame) -> DataFrame:
     """Sum of a frame's channels over the number of the track's channels."""
     n = samples.groupBy("track").agg((F.max("channel") + 1).alias("channels"))
-    return samples.groupBy("track", "frame").agg(F.sum("x").alias("s")).join(F.broadcast(n), "track").select("track", F.lit(0).alias("channel"), "frame", (F.col("s") / F.col("channels")).alias("x"))
+    return samples.groupBy("track", "frame").agg(F.sum("x").alias("s")).join(n, "track").select("track", F.lit(0).alias("channel"), "frame", (F.col("s") / F.col("channels")).alias("x"))
 
 
 def mid_side(samples: DataFrame) -> DataFrame:
@@ -126,8 +131,9 @@ def mid_side(samples: DataFrame) -> DataFrame:
 def bit_depth(samples: DataFrame, container: int) -> DataFrame:
     """Effective depth of integer samples, toggle rate of the last bit and how likely that is dither."""
     v = F.round(F.col("x") * float(2 ** (container - 1))).cast("long")
-    w = Window.partitionBy(*KEY).orderBy("frame")
-    ints = samples.withColumn("v", v).withColumn("toggle", (F.col("v").bitwiseAND(1) != F.lag(F.col("v").bitwiseAND(1)).over(w)).cast("double"))
+    w = Window.partitionBy(*KEY, "_chunk").orderBy("frame")
+    ints = islands.chunked(samples.withColumn("v", v), "frame", before=1)
+    ints = ints.withColumn("toggle", (F.col("v").bitwiseAND(1) != F.lag(F.col("v").bitwiseAND(1)).over(w)).cast("double")).where("_own")
     g = ints.groupBy(*KEY).agg(F.bit_or("v").alias("bits"), F.avg("toggle").alias("toggle_rate"))
     zeros = F.bit_count(F.col("bits").bitwiseAND(-F.col("bits")) - 1)
     depth = F.when(F.col("bits") == 0, container).otherwise(container - zeros)

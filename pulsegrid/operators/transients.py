@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pulsegrid.functions.exprs import score_above, score_below, score_within
-from pulsegrid.operators import islands
+from pulsegrid.operators import islands, spectral
 
 KEY = ["track", "channel"]
 # fixed values: the classes in the order in which ties go
@@ -99,22 +99,22 @@ def click_candidates(samples: DataFrame, window: int = 512, hop: int = 256, orde
     Windows overlap, but each owns a stretch of `hop` frames, so windows are independent tasks.
     """
     edge = (window - hop) // 2
-    spread = F.sequence(F.floor((F.col("frame") - window + 1) / hop), F.floor(F.col("frame") / hop))
-    parts = samples.select(*KEY, "frame", "x", F.explode(spread).alias("w")).where(F.col("w") >= 0).where((F.col("frame") >= F.col("w") * hop) & (F.col("frame") < F.col("w") * hop + window))
-
-    def run(df):
-        df = df.sort_values("frame")
-        x = df["x"].to_numpy()
-        if len(x) < window:
-            return df.iloc[:0][[*KEY, "frame"]].assign(ratio=0.0)
-        e = np.abs(np.convolve(x, _lpc(x, order))[: len(x)])[order:]
-        med = np.median(e)
-        bar = med + factor * max(np.median(np.abs(e - med)), 1e-4)
-        i = np.flatnonzero(e > bar) + order
-        i = i[(i >= edge) & (i < edge + hop)]
-        return df.iloc[i][[*KEY, "frame"]].assign(ratio=e[i - order] / bar)
-
-    return parts.groupBy(*KEY, "w").applyInPandas(run, "track string, channel int, frame long, ratio double")
+
+    def run(batches):
+        import pandas as pd
+
+        for df in batches:
+            for track, channel, g, at, xs, n in df[["track", "channel", "g", "at", "x", "n"]].itertuples(index=False):
+                for t, x in zip(*spectral._cut(g, n, at, xs, window, hop, 0), strict=True):
+                    e = np.abs(np.convolve(x, _lpc(x, order))[: len(x)])[order:]
+                    med = np.median(e)
+                    bar = med + factor * max(np.median(np.abs(e - med)), 1e-4)
+                    i = np.flatnonzero(e > bar) + order
+                    i = i[(i >= edge) & (i < edge + hop)]
+                    if len(i):
+                        yield pd.DataFrame({"track": track, "channel": channel, "frame": t * hop + i, "ratio": e[i - order] / bar})
+
+    return spectral._grouped(samples, window, hop, 0).mapInPandas(run, "track string, channel int, frame long, ratio double")
 
 
 def merged_clicks(found: DataFrame, reach: int = 2) -> DataFrame:

@@ -60,7 +60,7 @@ def query(levels: DataFrame, begin: int, end: int, count: int, level: int) -> Da
     touched = out.withColumn("bin", F.explode(F.expr(f"sequence(b div {size}, greatest(b, e - 1) div {size})")))
     source = levels.where(F.col("level") == level).where((F.col("bin") >= begin // size) & (F.col("bin") <= end // size))
     overlap = F.least(F.col("e"), F.col("bin") * size + F.col("frames")) - F.greatest(F.col("b"), F.col("bin") * size)
-    hit = source.join(F.broadcast(touched), "bin").withColumn("overlap", F.greatest(overlap, F.lit(0)).cast("double"))
+    hit = source.join(touched, "bin").withColumn("overlap", F.greatest(overlap, F.lit(0)).cast("double"))
     g = hit.groupBy(*KEY, "out").agg(F.min("min").alias("min"), F.max("max").alias("max"), F.sqrt(F.try_divide(F.sum(F.col("rms") * F.col("rms") * F.col("overlap")), F.sum("overlap"))).alias("rms"), F.max("abs_peak").alias("abs_peak"))
     every = levels.select(*KEY).distinct().select(*KEY, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(count - 1).cast("long"))).alias("out"))
     return every.join(g, [*KEY, "out"], "left").na.fill(0.0)

@@ -95,11 +95,11 @@ def _(spark, d):
 
 @query("zero_crossings_nearest", f"""
 WITH {EVENTS}, tn AS (SELECT track, channel, frame FROM (SELECT *, lead(x) OVER (PARTITION BY track, channel ORDER BY frame) AS nx FROM ev) WHERE nx IS NOT NULL AND (x >= 0) <> (nx >= 0)),
-tg AS (SELECT DISTINCT track, channel, frame AS target FROM ev WHERE frame % 97 = 0)
+tg AS (SELECT DISTINCT track, channel, frame AS target FROM ev)
 SELECT tg.track, tg.channel, target, arg_min(frame, (abs(frame - target), frame)) AS crossing FROM tg JOIN tn ON tn.track = tg.track AND tn.channel = tg.channel AND abs(frame - target) <= 200 GROUP BY ALL""")
 def _(spark, d):
     x = signals.events_stereo(spark, d)
-    return silence.nearest_zero_crossing(x, x.where("frame % 97 = 0").select("track", "channel", F.col("frame").alias("target")).distinct(), 200)
+    return silence.nearest_zero_crossing(x, x.select("track", "channel", F.col("frame").alias("target")), 200)
 
 
 @query("zero_crossings_all", f"""

@@ -42,20 +42,20 @@ def _(spark, d):
     return markers.per_pixel(signals.markers(spark, d), 250.0)
 
 
-@query("marker_thinned", f"""WITH RECURSIVE {MARKERS}, o AS (SELECT kind, id, start_frame / 250.0 AS p, row_number() OVER (PARTITION BY kind ORDER BY start_frame) AS i FROM mk WHERE severity >= 3),
+@query("marker_thinned", f"""WITH RECURSIVE {MARKERS}, o AS (SELECT kind, id, start_frame / 250.0 AS p, row_number() OVER (PARTITION BY kind ORDER BY start_frame) AS i FROM mk),
 t AS (SELECT kind, id, p, i FROM o WHERE i = 1 UNION ALL SELECT n.kind, n.id, n.p, n.i FROM t JOIN o n ON n.kind = t.kind AND n.i = (SELECT min(z.i) FROM o z WHERE z.kind = t.kind AND z.p - t.p >= 8)) SELECT kind, id FROM t""")
 def _(spark, d):
     from pulsegrid.operators import islands
 
-    m = signals.markers(spark, d).where("severity >= 3").withColumn("p", F.col("start_frame") / 250.0)
+    m = signals.markers(spark, d).withColumn("p", F.col("start_frame") / 250.0)
     return islands.refractory(m, ["kind"], "p", 8.0, at_least=True).select("kind", "id")
 
 
-@query("marker_spans", f"""WITH {MARKERS}, r AS (SELECT kind, start_frame / 250.0 AS b, end_frame / 250.0 AS e, id FROM mk WHERE end_frame IS NOT NULL AND start_frame % 70 = 0),
+@query("marker_spans", f"""WITH {MARKERS}, r AS (SELECT kind, start_frame / 250.0 AS b, end_frame / 250.0 AS e, id FROM mk WHERE end_frame IS NOT NULL),
 g AS (SELECT *, sum(nw) OVER (PARTITION BY kind ORDER BY b, e, id) AS g FROM (SELECT *, CASE WHEN b > max(e) OVER (PARTITION BY kind ORDER BY b, e, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 1.0 OR lag(e) OVER (PARTITION BY kind ORDER BY b, e, id) IS NULL THEN 1 ELSE 0 END AS nw FROM r))
 SELECT kind, {r6('min(b)', 'begin').replace(' AS begin', ' AS "begin"')}, {r6('max(e)', 'end').replace(' AS end', ' AS "end"')}, count(*) AS n FROM g GROUP BY kind, g""")
 def _(spark, d):
-    return rounded(markers.pixel_spans(signals.markers(spark, d).where("start_frame % 70 = 0"), 250.0))
+    return rounded(markers.pixel_spans(signals.markers(spark, d), 250.0))
 
 
 @query("marker_spans_all", f"""WITH {MARKERS}, r AS (SELECT kind, start_frame / 250.0 AS b, end_frame / 250.0 AS e, id FROM mk WHERE end_frame IS NOT NULL),
@@ -151,12 +151,19 @@ def _(spark, d):
     return tags.filled(base, c.groupBy("k").agg(F.min("c_name").alias("name"), F.max("c_name").alias("other")), "k", ["name", "other"])
 
 
-TEXTS = (("a", "[00:12.5]first\n[00:10][01:02.250]twice\nno stamp\n[1:3]bad"), ("b", "[02:00.07] spaced "))
+# every event is a line of its user's lyrics: stamped once, twice, not at all, or out of range
+LINES = """ln AS (SELECT user_id AS k, event_id, event_id % 5 AS kind, event_id % 60 AS m, event_id * 7 % 60 AS s, event_type AS line FROM events)"""
 
 
-@query("lyrics", """SELECT * FROM (VALUES ('a', 12.5::DOUBLE, 0, 'first'), ('a', 10.0, 1, 'twice'), ('a', 62.25, 1, 'twice'), ('b', 120.07, 0, 'spaced')) t(k, "at", "no", line)""")
+@query("lyrics", f"""WITH {LINES} SELECT k, CAST(m * 60 + s + 0.25 AS DOUBLE) AS "at", line, count(*) AS n FROM ln WHERE kind IN (0, 1, 2) GROUP BY ALL
+UNION ALL SELECT k, CAST(m * 60 + s + 30.25 AS DOUBLE), line, count(*) FROM ln WHERE kind = 2 GROUP BY ALL""")
 def _(spark, d):
-    return rounded(tags.lyrics(spark.createDataFrame(TEXTS, "k string, text string"), "k", "text"))
+    e = signals.read(spark, d, "events")
+    m, s, line = F.col("event_id") % 60, F.col("event_id") * 7 % 60, F.col("event_type")
+    stamp = lambda s: F.format_string("[%02d:%02d.25]", F.floor((m * 60 + s) / 60), (m * 60 + s) % 60)
+    text = F.when(F.col("event_id") % 5 < 2, F.concat(stamp(s), line)).when(F.col("event_id") % 5 == 2, F.concat(stamp(s), stamp(s + 30), line)).when(F.col("event_id") % 5 == 3, F.concat(line, stamp(s))).otherwise(line)
+    lines = e.groupBy(F.col("user_id").alias("k")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("event_id", text.alias("t")))), lambda x: x["t"]), "\n").alias("text"))
+    return rounded(tags.lyrics(lines, "k", "text").groupBy("k", "at", "line").agg(F.count("*").alias("n")))
 
 
 CUE = 'TRACK 01 AUDIO\n  TITLE "One"\n  INDEX 00 00:00:10\n  INDEX 01 00:02:00\nTRACK 02 AUDIO\n  INDEX 00 03:10:37\nTRACK 03 AUDIO\n'
@@ -174,18 +181,23 @@ def _(spark, d):
     return rounded(v)
 
 
-@query("container_sniff", """SELECT * FROM (VALUES (0, 'wav'), (1, 'flac'), (2, 'ogg'), (3, 'mp4'), (4, 'mp3'), (5, NULL), (6, 'flac')) t(id, kind)""")
+HEADS = (b"RIFF\0\0\0\0WAVEfmt ", b"fLaC\0\0\0\0\0\0\0\0", b"OggS\0\0\0\0\0\0\0\0", b"\0\0\0\x20ftypM4A ", b"\0\0\0\x20ftypqt  ", b"", b"ID3\x04\0\0\0\0\0\x05xxxxxfLaC\0\0\0\0\0\0\0\0", b"FORM\0\0\0\0AIFF", b"ID3\x04\0\0\x7f\x7f\x7f\x7f")
+
+
+@query("container_sniff", """SELECT doc_id AS id, ['wav', 'flac', 'ogg', 'mp4', 'mp4_other', NULL, 'flac', 'aiff', NULL][doc_id % 9 + 1] AS kind, CASE doc_id % 9 WHEN 6 THEN 15 WHEN 8 THEN 268435465 ELSE 0 END AS skip, coalesce(doc_id % 9 = 8, false) AS truncated FROM documents""")
 def _(spark, d):
-    heads = [b"RIFF\0\0\0\0WAVEfmt ", b"fLaC\0\0\0\0\0\0\0\0", b"OggS\0\0\0\0\0\0\0\0", b"\0\0\0\x20ftypM4A ", b"\xff\xfb\x90\x64\0\0\0\0\0\0\0\0", b"nothing at all", b"ID3\x04\0\0\0\0\0\x05xxxxxfLaC\0\0\0\0\0\0\0\0"]
-    s = spark.createDataFrame([(i, bytearray(h)) for i, h in enumerate(heads)], "id int, content binary")
-    return s.select("id", files.container(F.col("content")).alias("kind"))
+    """Each document's bytes after the head that its number picks."""
+    heads = F.array(*[F.lit(bytearray(h)) for h in HEADS])
+    content = F.concat(F.element_at(heads, (F.col("doc_id") % 9 + 1).cast("int")), F.encode(F.coalesce("text", F.lit("")), "utf-8"))
+    s = signals.read(spark, d, "documents").select("doc_id", files.sniffed(content).alias("s"))
+    return s.select(F.col("doc_id").alias("id"), "s.kind", "s.skip", F.coalesce(F.col("s.error").startswith("truncated"), F.lit(False)).alias("truncated"))
 
 
-@query("cache_lookup", """WITH q AS (SELECT event_id AS k, event_type AS v FROM events WHERE event_id < 100), r AS (SELECT event_id AS k, CASE WHEN event_id % 10 = 0 THEN 'old' ELSE event_type END AS v, value FROM events WHERE event_id % 2 = 0)
+@query("cache_lookup", """WITH q AS (SELECT event_id AS k, event_type AS v FROM events), r AS (SELECT event_id AS k, CASE WHEN event_id % 10 = 0 THEN 'old' ELSE event_type END AS v, value FROM events WHERE event_id % 2 = 0)
 SELECT q.k, q.v, r.value IS NOT NULL AS hit FROM q LEFT JOIN r ON r.k = q.k AND r.v = q.v""")
 def _(spark, d):
     e = signals.read(spark, d, "events")
-    want = e.where("event_id < 100").select(F.col("event_id").alias("k"), F.col("event_type").alias("v"))
+    want = e.select(F.col("event_id").alias("k"), F.col("event_type").alias("v"))
     have = e.where("event_id % 2 = 0").select(F.col("event_id").alias("k"), F.when(F.col("event_id") % 10 == 0, "old").otherwise(F.col("event_type")).alias("v"), "value")
     hits, misses = files.cached(want, have, ["k", "v"])
     return hits.select("k", "v", F.lit(True).alias("hit")).unionByName(misses.select("k", "v", F.lit(False).alias("hit")))

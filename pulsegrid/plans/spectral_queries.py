@@ -283,12 +283,18 @@ def _(spark, d):
     return rounded(beats.phase_confidence(n, n.where("t % 10 = 0")))
 
 
-CAND = f"{EVENTS}, mo AS (SELECT track, 0 AS channel, frame, x FROM ev WHERE channel = 0), cd AS (SELECT track, frame AS cand FROM mo WHERE frame % 500 = 250), nr AS (SELECT m.track, m.channel, cand, frame, x FROM cd JOIN mo m ON m.track = cd.track AND frame >= cand - 20 AND frame < cand + 200)"
+CAND = f"{EVENTS}, mo AS (SELECT track, 0 AS channel, frame, avg(x) AS x FROM ev GROUP BY track, frame), cd AS (SELECT track, frame AS cand FROM (SELECT *, max(abs(x)) OVER (PARTITION BY track ORDER BY frame ROWS BETWEEN 50 PRECEDING AND 50 FOLLOWING) AS top FROM mo) WHERE abs(x) = top), nr AS (SELECT m.track, m.channel, cand, frame, x FROM cd JOIN mo m ON m.track = cd.track AND frame >= cand - 20 AND frame < cand + 200)"
 
 
 def _near(spark, d):
-    x = signals.events_stereo(spark, d).where("channel = 0")
-    at = x.where("frame % 500 = 250").select("track", F.col("frame").alias("cand"))
+    """The samples of the mono downmix near each of its local peaks, the largest within 50 frames either way."""
+    from pyspark.sql import Window
+
+    from pulsegrid.operators import islands
+
+    x = signals.events_stereo(spark, d).groupBy("track", "frame").agg(F.avg("x").alias("x")).select("track", F.lit(0).alias("channel"), "frame", "x")
+    w = Window.partitionBy("track", "_chunk").orderBy("frame").rowsBetween(-50, 50)
+    at = islands.chunked(x, "frame", before=50, after=50).withColumn("top", F.max(F.abs("x")).over(w)).where("_own and abs(x) = top").select("track", F.col("frame").alias("cand"))
     return transients.around(x, at, 20, 200)
 
 
@@ -364,10 +370,10 @@ def _(spark, d):
     return transients.count_by_class(_classes(spark, d))
 
 
-@query("dropouts", f"""WITH {EVENTS_HALF}, q AS (SELECT *, frame - row_number() OVER (PARTITION BY track, channel ORDER BY frame) AS g FROM evs WHERE abs(x) <= power(10, -70 / 20.0))
+@query("dropouts", f"""WITH {EVENTS_HALF}, q AS (SELECT *, frame - row_number() OVER (PARTITION BY track, channel ORDER BY frame) AS g FROM evs WHERE abs(x) <= power(10, -80 / 20.0))
 SELECT track, channel, min(frame) AS "begin", max(frame) + 1 AS "end", count(*) AS n, CAST(count(*) AS DOUBLE) AS length_ms FROM q GROUP BY track, channel, g HAVING count(*) BETWEEN 1 AND 50""")
 def _(spark, d):
-    return transients.dropouts(signals.events_gated(spark, d), SR, -70.0)
+    return transients.dropouts(signals.events_gated(spark, d), SR)
 
 
 @query("clicks")

@@ -9,23 +9,67 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def container(content: Column) -> Column:
-    """Name of the container from its first bytes, after a leading ID3v2 tag; null if none is recognised."""
-    b = lambda i: F.conv(F.hex(F.substring(content, i, 1)), 16, 10).cast("int")
-    tagged = F.hex(F.substring(content, 1, 3)) == "494433"
-    skip = F.when(tagged & (F.octet_length(content) >= 10), 10 + b(7) * 2097152 + b(8) * 16384 + b(9) * 128 + b(10)).otherwise(0)
+# The brands of audio files in MP4 containers
+BRANDS = ("M4A ", "M4B ", "isom", "mp42", "3gp5")
+
+
+def _three_syncs(content: bytes, begin: int) -> bool:
+    """Whether three MPEG frame syncs of one version and layer follow one another, each within 4,096 bytes of the last.
+
+    The syncs of a version and layer stand in order, so it is enough to look at three neighbours of each.
+    """
+    b = np.frombuffer(content, np.uint8)[begin:]
+    if len(b) < 4:
+        return False
+    at = np.flatnonzero((b[:-1] == 0xFF) & (b[1:] & 0xE0 == 0xE0))
+    kind = b[at + 1] & 0x1E
+    for k in np.unique(kind):
+        p = at[kind == k]
+        if len(p) >= 3 and ((p[1:-1] - p[:-2] < 4096) & (p[2:] - p[1:-1] < 4096) & (p[:-2] + 4 <= len(b))).any():
+            return True
+    return False
+
+
+def sniffed(content: Column) -> Column:
+    """struct<kind, skip, error> of a file's bytes: its container after a leading ID3v2 tag of `skip` bytes, or why there is none.
+
+    kind is wav, aiff, flac, ogg, mp4, mp4_other (no brand of audio files) or mp3, the last
+    where three consistent frame syncs are found; only files that are none of the others, and
+    whose tag ends within the bytes, are looked through for these in Python.
+    """
+    b = lambda i: F.conv(F.hex(F.substring(content, i, 1)), 16, 10).cast("int").bitwiseAND(127)
+    size = F.octet_length(content)
+    tagged = (F.hex(F.substring(content, 1, 3)) == "494433") & (size >= 10)
+    end = F.when(tagged, 10 + b(7) * 2097152 + b(8) * 16384 + b(9) * 128 + b(10)).otherwise(0)
+    cut_off = tagged & (end >= size)
+    skip = F.when(cut_off, 0).otherwise(end)
     at = lambda i, n: F.hex(content.substr(skip + i, F.lit(n)))
-    head = at(1, 4)
-    form = at(9, 4)
-    return (
+    head, form = at(1, 4), at(9, 4)
+    known = (
         F.when((head == "52494646") & (form == "57415645"), "wav")
-        .when((head == "464F524D") & form.isin("41494646", "41494643"), "aiff")
+        .when((head == "464F524D") & (form == "41494646"), "aiff")
         .when(head == "664C6143", "flac")
         .when(head == "4F676753", "ogg")
-        .when(at(5, 4) == "66747970", "mp4")
-        .when(F.conv(F.substring(head, 1, 2), 16, 10).eqNullSafe("255") & F.conv(F.substring(head, 3, 1), 16, 10).isin("14", "15"), "mp3")
+        .when((at(5, 4) == "66747970") & form.isin(*[x.encode().hex().upper() for x in BRANDS]), "mp4")
+        .when(at(5, 4) == "66747970", "mp4_other")
     )
 
+    @F.pandas_udf("boolean")
+    def has_syncs(contents, begins):
+        return contents.combine(begins, lambda c, p: c is not None and _three_syncs(bytes(c), int(p)))
+
+    # what needs no look is passed as null
+    open_ = content.isNotNull() & known.isNull() & ~cut_off
+    kind = F.coalesce(known, F.when(open_ & has_syncs(F.when(open_, content), skip), "mp3"))
+    dump = F.concat(F.lit("unrecognised header: "), F.regexp_replace(F.lower(at(1, 16)), "(..)", "$1 "))
+    error = F.when(content.isNull(), "no content").when(kind.isNotNull(), None).when(cut_off, "truncated: the leading tag extends past the bytes").otherwise(dump)
+    return F.struct(kind.alias("kind"), end.alias("skip"), error.alias("error"))
+
+
+def container(content: Column) -> Column:
+    """Name of the container, see sniffed(); null if none is recognised."""
+    return sniffed(content)["kind"]
+
 
 def parse_wav(data: bytes) -> tuple[dict, np.ndarray] | None:
     """(format, frames x channels floats) of a PCM or float WAV; None if it isn't one."""
@@ -43,7 +87,8 @@ def parse_wav(data: bytes) -> tuple[dict, np.ndarray] | None:
         elif tag == b"data":
             pcm = body
         at += 8 + size + (size & 1)
-    if fmt is None or pcm is None or not fmt["channels"]:
+    # formats 1 and 3 are integers and floats; the others (companded, compressed) aren't samples
+    if fmt is None or pcm is None or not fmt["channels"] or fmt["code"] not in (1, 3):
         return None
     x = to_float(pcm, fmt["bits"], fmt["code"] == 3)
     if x is None:
@@ -110,9 +155,25 @@ def content_key(content: Column) -> Column:
     return F.sha2(content, 256)
 
 
+def store_results(results: DataFrame, folder: str, keys: list[str]) -> None:
+    """Adds results to the cache: Parquet under a folder for each analyzer, sorted by the keys, which the readers' filters use.
+
+    The write commits as a whole or not at all; what was stored before under equal keys stays, and read_results() takes the newest.
+    """
+    results.withColumn("stored_at", F.current_timestamp()).sortWithinPartitions(*keys).write.mode("append").partitionBy(keys[0]).parquet(folder)
+
+
+def read_results(spark, folder: str, keys: list[str]) -> DataFrame:
+    """The newest result of each combination of keys."""
+    from pyspark.sql import Window
+
+    w = Window.partitionBy(*keys).orderBy(F.col("stored_at").desc())
+    return spark.read.parquet(folder).withColumn("_rank", F.rank().over(w)).where("_rank = 1").drop("_rank", "stored_at")
+
+
 def parameter_key(params: DataFrame, key: str, name: str, value: str) -> DataFrame:
-    """(key, params_hash): independent of the order of parameters; equal pairs don't cancel, as sums don't."""
-    return params.groupBy(key).agg(F.sum(F.xxhash64(name, value) % (1 << 40)).alias("params_hash"))
+    """(key, params_hash): a digest of the sorted pairs, so the order of parameters doesn't matter and equal pairs don't cancel."""
+    return params.groupBy(key).agg(F.sha2(F.to_json(F.sort_array(F.collect_list(F.struct(name, value)))), 256).alias("params_hash"))
 
 
 def cached(requests: DataFrame, results: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:

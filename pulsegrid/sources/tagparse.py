@@ -302,7 +302,9 @@ def riff(data: bytes) -> list[Tag]:
             p = 4
             while p + 8 <= len(body):
                 k, m = struct.unpack_from("<4sI", body, p)
-                if k == b"labl" and m >= 4:
+                if k == b"labl" and p + 12 > len(body):
+                    out.append(("diagnostic", 0, "labl", "label cut short"))
+                elif k == b"labl" and m >= 4:
                     labels[struct.unpack_from("<I", body, p + 8)[0]] = text(body[p + 12 : p + 8 + m])
                 p += 8 + m + (m & 1)
         elif tag == b"cue " and len(body) >= 4:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,12 +9,17 @@ from pyspark.sql import functions as F
 
 from pulsegrid.model import CHUNKS
 from pulsegrid.sources import signals
+from pulsegrid.sources.shared import shared_folder
 
 
-def chunk_stream(spark: SparkSession, folder: str, files_per_batch: int = 4) -> DataFrame:
-    """A stream of chunk rows; a chunk delivered twice counts once."""
+def chunk_stream(spark: SparkSession, folder: str, files_per_batch: int = 4, late: str = "1 hour") -> DataFrame:
+    """A stream of chunk rows; a chunk delivered again within `late` counts once, and is forgotten after that, so that the state stays bounded.
+
+    The operators that take chunks in order (runs) pass over repeats of any age by their index.
+    """
     raw = spark.readStream.schema(CHUNKS).option("maxFilesPerTrigger", files_per_batch).parquet(folder)
-    return raw.dropDuplicates(["track", "channel", "chunk_idx"])
+    once = raw.withColumn("_arrived", F.current_timestamp()).withWatermark("_arrived", late)
+    return once.dropDuplicatesWithinWatermark(["track", "channel", "chunk_idx"]).drop("_arrived")
 
 
 def with_time(samples: DataFrame, sample_rate: int) -> DataFrame:
@@ -83,7 +87,7 @@ def runs(stream: DataFrame, threshold: float) -> DataFrame:
 def run_to_table(result: DataFrame, mode: str) -> DataFrame:
     """Processes all that is available and returns the sink's rows; the checkpoint is in the shared folder."""
     spark = result.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="pulsegrid-")
+    root = shared_folder(spark)
     name = f"stream_{uuid.uuid4().hex}"
     q = result.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", f"{root.rstrip('/')}/{name}").trigger(availableNow=True).start()
     q.awaitTermination()
@@ -93,7 +97,7 @@ def run_to_table(result: DataFrame, mode: str) -> DataFrame:
 def chunk_files(samples: DataFrame, frames: int, closing: bool = False) -> str:
     """Writes samples as chunk files to the shared folder and returns it; closing adds each channel's empty last chunk."""
     spark = samples.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="pulsegrid-")
+    root = shared_folder(spark)
     folder = f"{root.rstrip('/')}/chunks-{uuid.uuid4().hex}"
     chunks = signals.to_chunks(samples, frames)
     if closing:
