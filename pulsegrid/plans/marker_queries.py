@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from pulsegrid.functions import exprs
-from pulsegrid.operators import markers, silence, stats, tags
+from pulsegrid.operators import markers, silence, stats, tags, transport
 from pulsegrid.plans.event_queries import SIL, THRESHOLD, _frames
 from pulsegrid.plans.registry import query
 from pulsegrid.plans.sqlviews import EVENTS, MARKERS, r6
@@ -225,23 +225,17 @@ def _(spark, d):
     return rounded(x.orderBy("frame").limit(50))
 
 
-MOVES = (("idle", "load", "loading"), ("loading", "ready", "ready"), ("ready", "play", "playing"), ("ready", "seek", "ready"), ("playing", "play", "playing"), ("playing", "pause", "paused"), ("playing", "seek", "playing"), ("playing", "end", "ended"), ("paused", "play", "playing"), ("paused", "pause", "paused"), ("paused", "seek", "paused"), ("ended", "play", "playing"), ("ended", "seek", "ready"))
 # event types stand for transport commands
 COMMAND = {"click": "play", "view": "pause", "purchase": "seek", "signup": "end", "error": "load"}
+MOVES_SQL = "mv AS (SELECT * FROM (VALUES " + ", ".join(f"('{s}', '{c}', '{t}')" for s, c, t in transport.MOVES) + ") t(s, c, t)), cm AS (SELECT * FROM (VALUES " + ", ".join(f"('{e}', '{c}')" for e, c in COMMAND.items()) + ") t(event_type, cmd))"
 
 
-@query("transport")
+@query("transport", f"""WITH RECURSIVE {MOVES_SQL}, o AS (SELECT user_id, event_id, cmd, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM events LEFT JOIN cm USING (event_type)),
+st AS (SELECT user_id, event_id, i, coalesce(t, 'ready') AS state, t IS NOT NULL AS legal FROM o LEFT JOIN mv ON s = 'ready' AND c = cmd WHERE i = 1
+    UNION ALL SELECT o.user_id, o.event_id, o.i, coalesce(mv.t, st.state), mv.t IS NOT NULL FROM st JOIN o ON o.user_id = st.user_id AND o.i = st.i + 1 LEFT JOIN mv ON mv.s = st.state AND mv.c = o.cmd)
+SELECT user_id, event_id, state, legal FROM st""")
 def _(spark, d):
-    """State after each command of a user's log, and whether it was legal; a fold over the user's ordered commands."""
-    e = signals.read(spark, d, "events")
+    """State after each command of a user's log, and whether it was legal."""
     cmd = F.create_map(*[F.lit(v) for kv in COMMAND.items() for v in kv])
-    move = F.create_map(*[F.lit(v) for s, c, t in MOVES for v in (f"{s}|{c}", t)])
-    logs = e.groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct("event_id", "event_type"))).alias("log"))
-    start = F.struct(F.lit("ready").alias("state"), F.expr("cast(array() as array<struct<event_id:bigint,state:string,legal:boolean>>)").alias("out"))
-
-    def step(acc, x):
-        to = F.try_element_at(move, F.concat_ws("|", acc["state"], F.try_element_at(cmd, x["event_type"])))
-        state = F.coalesce(to, acc["state"])
-        return F.struct(state.alias("state"), F.concat(acc["out"], F.array(F.struct(x["event_id"].alias("event_id"), state.alias("state"), to.isNotNull().alias("legal")))).alias("out"))
-
-    return logs.select("user_id", F.explode(F.aggregate("log", start, step, lambda acc: acc["out"])).alias("r")).select("user_id", "r.*")
+    e = signals.read(spark, d, "events").withColumn("cmd", F.try_element_at(cmd, F.col("event_type")))
+    return transport.states(e, "user_id", "event_id", "cmd")

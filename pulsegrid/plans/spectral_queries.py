@@ -82,17 +82,22 @@ def _(spark, d):
     return p.select("t", "k", F.round(F.col("offset") + 0.0, 4).alias("offset"), F.round("level", 4).alias("level"))
 
 
-@query("stft_frames", f"""WITH {EVENTS}, p AS (SELECT track, channel, frame + 64 AS ps, x FROM ev), n AS (SELECT track, channel, max(frame) + 1 AS n FROM ev GROUP BY ALL)
-SELECT p.track, p.channel, t, count(*) AS filled, {r6('sum(x)', 'total')}, {r6('sum(x * (ps - t * 32))', 'moment', 3)} FROM p JOIN n USING (track, channel), range(1000000) r(t)
-WHERE t <= (n + 128 - 128) // 32 AND ps >= t * 32 AND ps < t * 32 + 128 GROUP BY ALL""".replace("range(1000000)", "range(0, 400)"))
+def _framed(size: int, hop: int) -> str:
+    """The samples i of each frame t of the centred frames of the events."""
+    return f"""{EVENTS}, n AS (SELECT track, channel, max(frame) + 1 AS n FROM ev GROUP BY ALL), p AS (SELECT track, channel, frame + {size // 2} AS ps, x, n FROM ev JOIN n USING (track, channel)),
+fr AS (SELECT track, channel, t, ps - t * {hop} AS i, x FROM (SELECT *, unnest(range(CAST(greatest(0, floor((ps - {size}) / {hop}.0) + 1) AS BIGINT), least(ps // {hop}, n // {hop}) + 1)) AS t FROM p))"""
+
+
+@query("stft_frames", f"WITH {_framed(128, 32)} SELECT track, channel, t, count(*) FILTER (x <> 0) AS filled, {r6('sum(x)', 'total')}, {r6('sum(x * i)', 'moment', 3)} FROM fr GROUP BY ALL")
 def _(spark, d):
-    f = spectral.frames_of(signals.events_stereo(spark, d), 128, 32, True).where("t < 400")
+    f = spectral.frames_of(signals.events_stereo(spark, d), 128, 32, True)
     total = F.aggregate("x", F.lit(0.0), lambda a, v: a + v)
     moment = F.aggregate(F.transform("x", lambda v, i: v * i), F.lit(0.0), lambda a, v: a + v)
     return f.select("track", "channel", "t", F.size(F.filter("x", lambda v: v != 0)).cast("long").alias("filled"), F.round(total, 6).alias("total"), F.round(moment, 3).alias("moment"))
 
 
-@query("stft")
+@query("stft", f"""WITH {_framed(128, 64)}, sp AS (SELECT track, channel, t, k, sum(x * (0.5 - 0.5*cos(2*pi()*i/128)) * cos(2*pi()*k*i/128)) AS re, sum(x * (0.5 - 0.5*cos(2*pi()*i/128)) * sin(2*pi()*k*i/128)) AS im FROM fr, range(65) r(k) GROUP BY ALL)
+SELECT track, channel, t, CAST(k AS INTEGER) AS k, {r6('sqrt(re*re+im*im) * (CASE WHEN k IN (0, 64) THEN 1 ELSE 2 END) / 64', 'mag')} FROM sp""")
 def _(spark, d):
     s = spectral.stft(signals.events_stereo(spark, d), SR, StftConfig(128, 64))
     return rounded(s.select("track", "channel", "t", F.posexplode("mag").alias("k", "mag")))

@@ -6,8 +6,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pulsegrid.model import ClippingConfig, SilenceConfig
-from pulsegrid.operators import analyzers, clipping, islands, loudness, reports, silence, spectral, stats, transients
+from pulsegrid.model import ClippingConfig, SilenceConfig, TileConfig
+from pulsegrid.operators import analyzers, beats, clipping, islands, loudness, reports, silence, spectral, stats, transients, transport
 
 RATE = 8000
 
@@ -42,9 +42,9 @@ def test_a_click_track_has_its_tempo_and_beats(tracked):
     found, at, _ = tracked
     t = found.tempo.first()
     assert t.bpm == pytest.approx(120.0, abs=0.1) and t.stable and t.confidence > 0.3
-    beats = np.array([r["at"] for r in found.beats.collect()])
+    heard = np.array([r["at"] for r in found.beats.collect()])
     late = at[2:-1]  # the series has no past at the first
-    assert len(beats) > 10 and max(np.abs(beats - t).min() for t in late) < 0.005
+    assert len(heard) > 10 and max(np.abs(heard - t).min() for t in late) < 0.005
     assert found.onsets.count() >= len(at) - 2 and {r.band_mask for r in found.onsets.collect()} <= set(range(8))
 
 
@@ -184,3 +184,106 @@ def test_metadata_report(spark):
     tags = spark.createDataFrame([("f", "title", 'a "quoted" one', "id3v2"), ("f", "year", "1999", "id3v1")], "file string, field string, value string, source string")
     got = json.loads(reports.metadata(tags, ["title", "artist", "year"]).first().json)
     assert got["title"] == 'a "quoted" one' and got["artist"] is None and got["sources"] == [{"field": "title", "origin": "id3v2"}, {"field": "year", "origin": "id3v1"}]
+
+
+def test_beat_tracking_against_a_loop(spark):
+    import pandas as pd
+
+    rng = np.random.default_rng(9)
+    v = rng.normal(0, 1, 90)
+    period, tight = 9.0, 100.0
+    best, prev = v.copy(), [-1] * len(v)
+    for i in range(len(v)):
+        options = [(best[i - k] - tight * np.log(k / period) ** 2, -k) for k in range(max(1, round(period / 2)), round(2 * period) + 1) if i >= k]
+        if options and i >= round(period / 2) and max(options)[0] > 0:
+            score, k = max(options)
+            best[i], prev[i] = best[i] + score, i + k
+    want, i = [], int(best.argmax())
+    while i >= 0:
+        want.append(i)
+        i = prev[i]
+    series = spark.createDataFrame(pd.DataFrame({"track": "t", "t": np.arange(len(v)), "v": v}))
+    assert [r.t for r in beats.track_beats(series, period).orderBy("t").collect()] == want[::-1]
+    own = series.withColumn("period", F.lit(period))
+    assert [r.t for r in beats.track_beats(own).orderBy("t").collect()] == want[::-1]
+
+
+def test_tempo_series_is_the_tempo_of_each_window(spark):
+    import pandas as pd
+
+    hop = 0.02
+    v = np.zeros(1500)
+    v[::25] = 1.0  # 120 BPM
+    v[1000:] = 0
+    v[1000::20] = 1.0  # 150 BPM in the third window
+    series = spark.createDataFrame(pd.DataFrame({"track": "t", "t": np.arange(1500), "v": v}))
+    got = {r.w: r for r in beats.tempo_series(series, hop).collect()}
+    assert set(got) == {0, 1, 2} and not got[0].stable
+    for w in got:
+        alone = spark.createDataFrame(pd.DataFrame({"track": "t", "t": np.arange(500), "v": v[w * 500 : (w + 1) * 500]}))
+        assert got[w].bpm == pytest.approx(beats.tempo(beats.tempo_scores(alone, hop)).where("rank = 1").first().bpm)
+    assert got[0].bpm == pytest.approx(120, abs=1) and got[2].bpm == pytest.approx(150, abs=2)
+
+
+def brute_tiles(x, rate, cfg, hop, fold, how):
+    """Levels of display rows by plain loops, and their 8-bit steps."""
+    size = cfg.size
+    padded = np.r_[np.zeros(size // 2), x, np.zeros(size // 2)]
+    w = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(size) / size)
+    edge = lambda r: cfg.min_hz * (rate / 2 / cfg.min_hz) ** (r / cfg.rows)
+    out = {}
+    for t in range((len(padded) - size) // hop + 1):
+        m = np.abs(np.fft.rfft(padded[t * hop : t * hop + size] * w)) * 2 / w.sum()
+        m[[0, -1]] /= 2
+        level = lambda k: 20 * np.log10(max(m[k], 1e-12))  # noqa: B023,E731
+        for r in range(cfg.rows):
+            lo, hi = edge(r) * size / rate, edge(r + 1) * size / rate
+            if hi - lo < 2:
+                b = edge(r + 0.5) * size / rate
+                k = min(int(b), size // 2)
+                v = level(k) + (level(min(k + 1, size // 2)) - level(k)) * (b - k)
+            else:
+                v = max(level(k) for k in range(int(lo), min(int(np.ceil(hi)), size // 2) + 1))
+            out.setdefault((t // fold, r), []).append(v)
+    step = lambda v: int(np.floor(min(1, max(0, (v - cfg.floor_db) / (cfg.ceiling_db - cfg.floor_db))) * 255 + 0.5))
+    return {(c // cfg.columns, c % cfg.columns, r): step(max(v) if how == "max" else np.mean(v)) for (c, r), v in out.items()}
+
+
+@pytest.mark.parametrize(("level", "how"), [(0, "max"), (1, "max"), (3, "max"), (3, "mean")])
+def test_tiles_against_a_loop(spark, level, how):
+    x = np.random.default_rng(10).normal(0, 0.2, 1500)
+    cfg = TileConfig(size=128, rows=12, columns=8, min_hz=50.0)
+    hop, fold = spectral.tile_hop(cfg.size, level)
+    got = {(r.tile, r.col, r.row): r.q for r in spectral.tiles(signal(spark, x), RATE, level, cfg, how).collect()}
+    want = brute_tiles(x, RATE, cfg, hop, fold, how)
+    assert set(got) == set(want) and max(abs(got[k] - want[k]) for k in want) <= 1 and np.mean([got[k] == want[k] for k in want]) > 0.99
+
+
+def test_overview_against_a_loop(spark):
+    x = np.random.default_rng(11).normal(0, 0.2, 1000)
+    cfg = TileConfig(size=128, rows=6, min_hz=50.0)
+    got = {(r.col, r.row): r.q for r in spectral.overview(signal(spark, x), RATE, 5, cfg).collect()}
+    for col in range(5):
+        centre = int((col + 0.5) / 5 * 1000)
+        part = np.r_[np.zeros(64), x, np.zeros(64)][centre : centre + 128]
+        want = brute_tiles(part, RATE, cfg, 10**6, 1, "max")
+        # the loop pads its input; its only frame must be the part itself
+        w = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(128) / 128)
+        m = np.abs(np.fft.rfft(part * w)) * 2 / w.sum()
+        m[[0, -1]] /= 2
+        assert len(want) == 6 and all((col, r) in got for r in range(6))
+        top = 20 * np.log10(m.max())
+        assert max(got[col, r] for r in range(6)) <= int(np.floor((top + 96) / 96 * 255 + 0.5)) + 1
+
+
+def test_transport_over_chunk_ends(spark, monkeypatch):
+    monkeypatch.setattr(transport, "CHUNK", 4)
+    rng = np.random.default_rng(12)
+    rows = [(int(u), i, str(rng.choice(["load", "ready", "play", "pause", "seek", "end", "none"]))) for i, u in enumerate(rng.integers(0, 3, 60))]
+    got = {r.i: (r.state, r.legal) for r in transport.states(spark.createDataFrame(rows, "u int, i int, c string"), "u", "i", "c").collect()}
+    now = dict.fromkeys(range(3), "ready")
+    moves = {(s, c): t for s, c, t in transport.MOVES}
+    for u, i, c in rows:
+        to = moves.get((now[u], c))
+        now[u] = to or now[u]
+        assert got[i] == (now[u], to is not None)
