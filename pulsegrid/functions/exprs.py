@@ -41,8 +41,8 @@ def finite(x: Column) -> Column:
     return F.when(F.isnan(x) | (F.abs(x) == INF), None).otherwise(x)
 
 
-def clamp(x: Column, low: float, high: float) -> Column:
-    return F.least(F.lit(high), F.greatest(F.lit(low), x))
+def clamp(x: Column, low: float, high: float | Column) -> Column:
+    return F.least(high if isinstance(high, Column) else F.lit(high), F.greatest(F.lit(low), x))
 
 
 def ceiling_linear(bits: int) -> float:

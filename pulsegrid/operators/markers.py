@@ -15,6 +15,31 @@ KINDS = (
 )
 
 
+# The overlay kinds with their density, lane, priority, and whether they show at first
+OVERLAYS = (
+    ("error", "always", "errors", 40, True),
+    ("decoderEvent", "always", "errors", 39, True),
+    ("defect", "aggregate", "transients", 30, True),
+    ("bookmark", "always", "chapters", 20, True),
+    ("loopRegion", "region", "waveform", 19, True),
+    ("selection", "region", "waveform", 18, True),
+    ("chapter", "region", "chapters", 15, True),
+    ("cuePoint", "always", "chapters", 15, True),
+    ("lyric", "thin", "lyrics", 14, True),
+    ("downbeat", "thin", "beats", 13, True),
+    ("beat", "thin", "beats", 12, True),
+    ("onset", "aggregate", "transients", 12, False),
+    ("transient", "aggregate", "transients", 11, True),
+    ("clipping", "aggregate", "waveform", 10, True),
+    ("silence", "region", "waveform", 9, True),
+    ("dcRegion", "region", "waveform", 9, False),
+)
+
+
+def overlays(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(OVERLAYS, "kind string, density string, lane string, priority int, visible boolean")
+
+
 def kinds(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(KINDS, "kind string, lane int, priority int, dense boolean, visible boolean")
 
@@ -104,3 +129,71 @@ def audacity_lines(markers: DataFrame, sample_rate: int) -> DataFrame:
 
 def as_json(markers: DataFrame) -> DataFrame:
     return markers.select("id", F.to_json(F.struct("id", "kind", "start_frame", "end_frame", "channel", "severity", "label", "user_created")).alias("json"))
+
+
+# -- analysis results as markers ------------------------------------------------------------------
+
+
+def _projected(rows: DataFrame, kind: Column, start: Column, end: Column | None, severity: Column | None, label: Column | None, prefix: str, order: list[str], channel: Column | None = None) -> DataFrame:
+    """Marker rows, numbered per track in the given order; severity is 1 info, 2 warning, 3 error."""
+    null = lambda c, t: (c if c is not None else F.lit(None)).cast(t)
+    number = F.row_number().over(Window.partitionBy("track").orderBy(*order)) - 1
+    return rows.select(
+        "track", F.concat(F.lit(f"{prefix}:"), start.cast("string"), F.lit(":"), number.cast("string")).alias("id"), kind.alias("kind"), start.cast("long").alias("start_frame"), null(end, "long").alias("end_frame"),
+        null(channel, "int").alias("channel"), null(severity, "double").alias("severity"), null(label, "string").alias("label"), F.lit(None).cast("string").alias("data"), F.lit(False).alias("user_created"),
+    )
+
+
+def from_beats(beats: DataFrame) -> DataFrame:
+    """beats (track, frame[, bar_beat]): beats, and downbeats where the bar is known."""
+    down = (F.col("bar_beat") == 0) if "bar_beat" in beats.columns else F.lit(False)
+    return _projected(beats, F.when(down, "downbeat").otherwise("beat"), F.col("frame"), None, None, F.when(down, "downbeat"), "beat", ["frame"])
+
+
+def from_clips(events: DataFrame) -> DataFrame:
+    """Events of clipping; errors are those over full scale and between samples."""
+    words = {"digital": "digital clip", "over_full_scale": "over full scale", "near_clip": "near clip", "inter_sample_peak": "inter-sample peak"}
+    name = F.coalesce(*[F.when(F.col("kind") == k, v) for k, v in words.items()], F.lit("clip"))
+    end = F.when(F.col("end") > F.col("begin"), F.col("end"))
+    severity = F.when(F.col("kind").isin("over_full_scale", "inter_sample_peak"), 3).otherwise(2)
+    return _projected(events, F.lit("clipping"), F.col("begin"), end, severity, F.concat(name, F.format_string(" %.1fdBFS", "peak_dbfs")), "clipping", ["begin", "channel", "kind"], F.col("channel"))
+
+
+def from_offsets(channels: DataFrame, frames: DataFrame) -> DataFrame:
+    """channels (track, channel, pattern, dc_dbfs, headroom_db) with a pattern, as regions over the whole of their track (track, frame_count)."""
+    rows = channels.where("pattern <> 'none'").join(frames, "track")
+    severity = F.when(F.col("headroom_db") >= 1, 2).otherwise(1)
+    return _projected(rows, F.lit("dcRegion"), F.lit(0), F.col("frame_count"), severity, F.concat("pattern", F.format_string(" DC offset: %.1fdBFS", "dc_dbfs")), "dc", ["channel"], F.col("channel"))
+
+
+def from_transients(found: DataFrame) -> DataFrame:
+    """analyze_transients: transients without severity, clicks as warnings and dropouts as errors."""
+    defect = F.col("class").isin("click", "dropout")
+    severity = F.when(F.col("class") == "dropout", 3).when(F.col("class") == "click", 2)
+    return _projected(found, F.when(defect, "defect").otherwise("transient"), F.col("attack"), None, severity, F.format_string("%s %.0f%%", "class", F.col("confidence") * 100), "transient", ["attack", "class"])
+
+
+# -- the store -------------------------------------------------------------------------------------
+
+
+def applied(markers: DataFrame, edits: DataFrame) -> DataFrame:
+    """Markers after edits (seq, op, and the marker's columns): the last add, update or remove of an id decides.
+
+    Updates of ids that aren't there and removals of those change nothing; null columns of an update keep the old value.
+    """
+    last = edits.withColumn("_rank", F.row_number().over(Window.partitionBy("id").orderBy(F.col("seq").desc()))).where("_rank = 1").drop("_rank", "seq")
+    columns = [c for c in markers.columns if c != "id"]
+    new = last.select("id", "op", *[F.col(c).alias(f"_{c}") for c in columns])
+    both = markers.withColumn("_old", F.lit(True)).join(new, "id", "full").where("op is null or op = 'add' or (op = 'update' and _old)")
+    value = lambda c: F.when(F.col("op") == "add", F.col(f"_{c}")).otherwise(F.coalesce(f"_{c}", c))
+    return both.select("id", *[value(c).alias(c) for c in columns])
+
+
+def next_error(markers: DataFrame, at: DataFrame) -> DataFrame:
+    """For each (track, at): the next error after it (errors, and decoder events of severity 3), from the track's start again if there is none."""
+    errors = markers.where("kind = 'error' or (kind = 'decoderEvent' and severity = 3)").select("track", "start_frame", "id")
+    first = errors.groupBy("track").agg(F.min(F.struct("start_frame", "id")).alias("first"))
+    rows = errors.select("track", F.col("start_frame").alias("f"), "id", F.lit(None).cast("long").alias("at")).unionByName(at.select("track", F.col("at").alias("f"), F.lit(None).cast("string").alias("id"), "at"))
+    ahead = F.min(F.when(F.col("at").isNull(), F.struct("f", "id"))).over(Window.partitionBy("track").orderBy("f").rangeBetween(1, Window.unboundedFollowing))
+    found = rows.withColumn("n", ahead).where("at is not null").join(first, "track", "left")
+    return found.select("track", "at", F.coalesce("n.f", "first.start_frame").alias("start_frame"), F.coalesce("n.id", "first.id").alias("id"))

@@ -76,3 +76,22 @@ def image_type(data: Column) -> Column:
         .when(head.startswith("424D"), "image/bmp")
         .when(head.startswith("52494646") & (F.substring(head, 17, 8) == "57454250"), "image/webp")
     )
+
+
+def collected(tag_sets: DataFrame, field: str) -> DataFrame:
+    """(file, values): all values of a field that may have several, in the order of priority and then of their places."""
+    order = ["priority", "position"] if "position" in tag_sets.columns else ["priority", "value"]
+    g = tag_sets.where((F.col("field") == field) & F.col("value").isNotNull()).groupBy("file").agg(F.sort_array(F.collect_list(F.struct(*order, F.col("value").alias("v")))).alias("s"))
+    return g.select("file", F.col("s.v").alias("values"))
+
+
+def split_values(text: Column) -> Column:
+    """The values of a text that NUL characters part; empty ones are left out."""
+    return F.filter(F.split(text, "\x00"), lambda v: v != "")
+
+
+def lyrics_of(texts: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, synced, at, no, line): timed lines where a text has timestamps, else the whole text as one line at -1."""
+    timed = lyrics(texts, key, text).withColumn("synced", F.lit(True))
+    plain = texts.join(timed.select(key).distinct(), key, "left_anti").where(F.col(text).isNotNull())
+    return timed.select(key, "synced", "at", "no", "line").unionByName(plain.select(key, F.lit(False).alias("synced"), F.lit(-1.0).alias("at"), F.lit(0).alias("no"), F.col(text).alias("line")))
