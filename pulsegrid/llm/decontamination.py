@@ -69,9 +69,9 @@ def find_contained(docs: DataFrame, benchmark: DataFrame, k: int = 5, percent: i
     """
     items = materialize(_sketches(benchmark, k, percent, item_col, item_text_col).withColumn("row", F.monotonically_increasing_id()), "items")
     widths = sorted(r.width for r in items.select("width").distinct().collect())  # at most k values
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null and text is not null")
+    base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null and text is not null")
     if not widths:
-        return items.select("item_id", F.lit(0).cast("long").alias("doc_id"), F.col("n").alias("n_item"), F.lit(0).cast("long").alias("n_shared"), F.lit(0.0).alias("containment")).limit(0)
+        return items.select("item_id", F.lit(None).cast(base.schema["doc_id"].dataType).alias("doc_id"), F.col("n").alias("n_item"), F.lit(0).cast("long").alias("n_shared"), F.lit(0.0).alias("containment")).limit(0)
 
     def shingled(rows: DataFrame) -> DataFrame:
         hashed = rows.select("doc_id", F.transform(words_of(F.col("text")), lambda w: F.xxhash64(w)).alias("h"))
@@ -97,7 +97,9 @@ def find_contained(docs: DataFrame, benchmark: DataFrame, k: int = 5, percent: i
     return best.select("item_id", "doc_id", F.col("b.n_item").alias("n_item"), F.col("b.n_shared").alias("n_shared"), F.round(F.col("b.n_shared") / F.col("b.n_item"), 6).alias("containment"))
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **how) -> DataFrame:
-    """The rows of docs, all columns, whose id is in no pair of find_contained; rows with a null id stay."""
-    found = materialize(find_contained(docs, benchmark, id_col=id_col, **how).select(F.col("doc_id").alias(id_col)).distinct(), "contaminated")
-    return docs.join(small_side(found), id_col, "left_anti").select(*docs.columns)
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", **how) -> DataFrame:
+    """The rows of docs, all columns, whose text holds no item; decided by the texts, so ids may be null or shared.  Null texts stay."""
+    key = F.struct(F.xxhash64(F.col(text_col).cast("string")).alias("a"), F.xxhash64(F.lit("text"), F.col(text_col).cast("string")).alias("b"))
+    keyed = docs.withColumn("_key", F.when(F.col(text_col).isNotNull(), key))
+    found = materialize(find_contained(keyed, benchmark, id_col="_key", text_col=text_col, **how).select(F.col("doc_id").alias("_key")).distinct(), "contaminated")
+    return keyed.join(small_side(found), "_key", "left_anti").select(*docs.columns)

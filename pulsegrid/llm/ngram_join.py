@@ -14,8 +14,8 @@ comes from one row of counters of fixed size, filled with all shingles of all do
 Steps, all distributed:
 1. counters (2**sketch_bits); 2. prefixes, and a 128-bit digest of each set; equal sets form
 one class and go on as one; 3. shingles that occur in two classes' prefixes; 4. star pairs:
-each such shingle's classes against the one of least hash among them; those with enough common
-prefix shingles are verified and joined to components; 5. pairs of classes in different
+each such shingle's classes against the one in which it stands first, then, in turns, against the one
+of least hash; those with enough common prefix shingles are verified and joined to components; 5. pairs of classes in different
 components with enough common prefix shingles, verified.  Shingles of few classes are joined
 with themselves and the pairs counted; the classes of the others are compared in blocks of
 bounded size, each with the list of its shingles of that kind.  Step 5 loses nothing: only
@@ -38,6 +38,8 @@ U = np.uint64
 RANK_BITS = 6
 #: Classes of one prefix shingle up to which it is joined with itself, and beyond it, how many are compared in one block.
 FEW, BLOCK = 16, 1024
+#: Turns of star pairs after the first, at most; another one follows while one row in MANY of the shingles still open gives a link.
+TURNS, MANY = 8, 5000
 #: Sets that are compared with one set in one group of rows.
 SPOKES = 64
 #: Rows of a class from which its result is joined apart from the others'.
@@ -161,7 +163,7 @@ def _prefix_rows(k, num, den, bits, ranks, mean, longest, verify_cost):
                 flat.append(keys.view(np.int64))
                 off.append(off[-1] + len(keys))
             tokens = pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(np.concatenate(flat) if flat else np.zeros(0, np.int64)))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(level, pa.int32()), tokens], names=["id", "n", "digest", "l", "tokens"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(level, pa.int32()), tokens, b.column(2)], names=["id", "n", "digest", "l", "tokens", "key"])
 
     return run
 
@@ -310,7 +312,12 @@ def _pairs_in_blocks(num, den):
     return run
 
 
-def similarity_components(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5, id_col: str = "doc_id", text_col: str = "text", sketch_bits: int = 24, longest: int = 4, verify_cost: float = 20.0) -> DataFrame:
+def _text_key(text: Column) -> Column:
+    """128 bits that tell a row's text, for decisions that are taken row by row."""
+    return F.struct(F.xxhash64(text).alias("a"), F.xxhash64(F.lit("text"), text).alias("b"))
+
+
+def similarity_components(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """One row per input row: (doc_id, n_shingles, class_id, component_id).
 
     Words are runs of other than ASCII white space, A-Z in lower case; the set holds the
@@ -320,15 +327,27 @@ def similarity_components(docs: DataFrame, k: int = 5, num: int = 4, den: int =
 
     Null, empty and blank texts have n_shingles 0 and are linked with nothing.  A row with a
     null id gets null class and component and takes no part.  Repeated rows give repeated
-    result rows; rows that share an id but not a text have their own sets and one node.
+    result rows; rows that share an id but not a text are documents of their own.
     Other columns are ignored.  An empty table gives an empty result.
     """
+    out = _grouped(docs, k, num, den, id_col, text_col, **how)
+    return out.select(
+        F.col("id").alias("doc_id"),
+        F.col("n").alias("n_shingles"),
+        F.when(F.col("id").isNotNull(), F.coalesce("rep", "id")).alias("class_id"),
+        F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id")).alias("component_id"),
+    )
+
+
+def _grouped(docs: DataFrame, k: int, num: int, den: int, id_col: str, text_col: str, sketch_bits: int = 24, longest: int = 4, verify_cost: float = 20.0) -> DataFrame:
+    """(id, n, key, digest, rep, comp, component_id) of each row; the last three are null for rows without an id or without words."""
     small_batches(docs.sparkSession)
     spark = docs.sparkSession
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     ranks, mean = shingle_ranks(base.select("text"), k, sketch_bits)
     shared = spark.sparkContext.broadcast(ranks)
-    prefix = materialize(base.mapInArrow(_prefix_rows(k, num, den, sketch_bits, shared, mean, longest, verify_cost), "id long, n long, digest binary, l int, tokens array<long>"), "prefix")
+    rows_of = _prefix_rows(k, num, den, sketch_bits, shared, mean, longest, verify_cost)
+    prefix = materialize(base.select("id", "text", _text_key(F.col("text")).alias("key")).mapInArrow(rows_of, "id long, n long, digest binary, l int, tokens array<long>, key struct<a:bigint,b:bigint>"), "prefix")
 
     classes = prefix.where("digest is not null and id is not null").groupBy("digest").agg(F.min("id").alias("rep"), F.count("*").alias("rows"))
     classes = materialize(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
@@ -372,26 +391,32 @@ def similarity_components(docs: DataFrame, k: int = 5, num: int = 4, den: int =
         discard(pairs, wanted, roles)
         return links
 
-    def as_edges(links: DataFrame) -> DataFrame:
-        reps = classes.select("node", "rep")
-        return links.join(reps.withColumnsRenamed({"node": "x", "rep": "a"}), "x").join(reps.withColumnsRenamed({"node": "y", "rep": "b"}), "y").select("a", "b")
-
     row = ["n", "node", "pos", "l", "c"]
+
+    def stars(rows: DataFrame, order: list, which: str) -> DataFrame:
+        """Links of classes with the one of each shingle's that comes first in the order."""
+        hub = rows.groupBy("token").agg(F.min_by(F.struct(*row, "comp"), F.struct(*order)).alias("h")).select("token", *[F.col(f"h.{c}").alias(f"r_{c}") for c in [*row, "comp"]])
+        return verified(candidates(rows, hub, which, F.lit(0)).select(F.col("y").alias("x"), F.col("x").alias("y")))
+
     # the class in which a shingle stands first has the fewest of its own before it: of copies with edits, the original
-    hub = posted.groupBy("token").agg(F.min(F.struct("pos", "n", "node", "l", "c")).alias("h")).select("token", *[F.col(f"h.{c}").alias(f"r_{c}") for c in row])
-    star = verified(candidates(posted, hub, "node != r_node", F.lit(0)).select(F.col("y").alias("x"), F.col("x").alias("y")))
-    cc = materialize(connected_components(as_edges(star), "a", "b"), "components")
-
-    # components are named by their least node, so that no name is another class's number
-    linked = materialize(classes.select("node", F.col("rep").alias("id")).join(small_side(cc), "id").select("node", "component"), "linked")
-    names = linked.groupBy("component").agg(F.min("node").alias("comp"))
-    comp = materialize(linked.join(names, "component").select("node", "comp"), "labels")
-    labelled = posted.join(small_side(comp), "node", "left").select(posted["*"], F.coalesce("comp", "node").alias("comp"))
-    labelled = materialize(labelled, "labelled")
-    discard(posted, linked, comp, cc)
-    split = labelled.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("size")).where("lo < hi").select("token", F.col("size").cast("int"))
-    rows = materialize(labelled.join(split, "token"), "mixed")
-    discard(labelled)
+    links = stars(posted.withColumn("comp", F.col("node")), ["pos", "n", "node"], "node != r_node")
+    rows = None
+    for turn in range(1, TURNS + 1):
+        comp = materialize(connected_components(links, "x", "y").select(F.col("id").alias("node"), F.col("component").alias("comp")), "components")
+        labelled = posted.join(small_side(comp), "node", "left").select(posted["*"], F.coalesce("comp", "node").alias("comp"))
+        labelled = materialize(labelled, "labelled")
+        split = labelled.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("size")).where("lo < hi").select("token", F.col("size").cast("int"))
+        mixed = materialize(labelled.join(split, "token"), "mixed")
+        discard(labelled, comp, *([rows] if rows is not None else []))
+        rows = mixed
+        # copies without their original: all against one that a hash picks, another one in each turn, while that links many
+        found = stars(rows, [F.xxhash64(F.lit(turn), "node").alias("o")], "comp != r_comp")
+        n = found.count()
+        if n:
+            links = materialize(links.unionByName(found), "links")
+        if n * MANY < rows.count():
+            break
+    discard(posted)
 
     many = rows.where(F.col("size") > FEW).withColumn("level", F.greatest(F.lit(1), F.col("pos") - (F.col("n") - F.col("c")) + 1).cast("tinyint"))
     lists = materialize(many.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("token", "level"))).alias("s")).select("node", F.col("s.token").alias("tokens"), F.col("s.level").alias("levels")), "lists")
@@ -403,35 +428,36 @@ def similarity_components(docs: DataFrame, k: int = 5, num: int = 4, den: int =
     blocks = blocks.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     blocks = blocks.select("token", F.least("blk", "o").alias("bi"), F.greatest("blk", "o").alias("bj"), "node", "comp", "n", "l", "blk").join(lists, "node")
     dealt = blocks.select("token", "bi", "bj", "node", "comp", "n", "l", "blk", "tokens", "levels").repartition("token", "bi", "bj").sortWithinPartitions("token", "bi", "bj")
-    links = verified(both.unionByName(dealt.mapInArrow(_pairs_in_blocks(num, den), "x long, y long")).distinct())
+    rest = verified(both.unionByName(dealt.mapInArrow(_pairs_in_blocks(num, den), "x long, y long")).distinct())
     discard(rows, lists, few)
-    final = materialize(connected_components(as_edges(star.unionByName(links)), "a", "b"), "components")
+    final = materialize(connected_components(links.unionByName(rest), "x", "y").select(F.col("id").alias("node"), F.col("component").alias("comp")), "components")
 
-    by_class = materialize(classes.join(final, classes.rep == final.id, "left").select("digest", "rows", "rep", F.coalesce("component", "rep").alias("component_id")), "results")
+    by_class = classes.join(final, "node", "left").select("digest", "rows", "rep", F.coalesce("comp", "node").alias("comp"))
+    by_class = materialize(by_class.join(by_class.groupBy("comp").agg(F.min("rep").alias("component_id")), "comp").select("digest", "rows", "rep", "comp", "component_id"), "results")
     # rows of large classes, and those without a set, don't go through the shuffle of the others
-    narrow = prefix.select("id", "n", "digest")
+    narrow = prefix.select("id", "n", "key", F.when(F.col("id").isNotNull(), F.col("digest")).alias("digest"))
     hot = narrow.join(small_side(by_class.where(F.col("rows") >= HOT_CLASS)).withColumn("found", F.lit(True)), "digest", "left")
-    cold = hot.where("found is null and digest is not null").select("id", "n", "digest").join(by_class, "digest", "left")
-    alone = hot.where("found or digest is null")
-    out = alone.select("id", "n", "rep", "component_id").unionByName(cold.select("id", "n", "rep", "component_id"))
-    return out.select(
-        F.col("id").alias("doc_id"),
-        F.col("n").alias("n_shingles"),
-        F.when(F.col("id").isNotNull(), F.coalesce("rep", "id")).alias("class_id"),
-        F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id")).alias("component_id"),
-    )
+    cold = hot.where("found is null and digest is not null").select("id", "n", "key", "digest").join(by_class, "digest", "left")
+    columns = ["id", "n", "key", "digest", "rep", "comp", "component_id"]
+    return hot.where("found or digest is null").select(columns).unionByName(cold.select(columns))
 
 
-def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """The rows of docs whose id is the smallest of its component, all columns; repeats of an id go as well.
+def keep_one_of_each(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    """One row of each component, all columns: that of the smallest id.  Rows without words stay, and so do rows with a null id, which can't be ordered.
 
-    Rows with a null id stay: they can't be told apart.  See similarity_components.
+    The choice is made row by row: of rows that share an id, a text that is in no other's
+    component stays; of rows that are equal in id and text, one stays.  See similarity_components.
     """
-    groups = similarity_components(docs, id_col=id_col, text_col=text_col, **how)
-    out = materialize(groups.where("doc_id is not null").select("doc_id", "component_id"), "groups")
-    lost = materialize(out.where("doc_id != component_id").select(F.col("doc_id").alias(id_col)).distinct(), "lost")
-    kept = docs.join(small_side(lost), id_col, "left_anti")
-    if out.groupBy("doc_id").count().where("count > 1").limit(1).count():
-        nulls = kept.where(F.col(id_col).isNull())
-        kept = kept.where(F.col(id_col).isNotNull()).dropDuplicates([id_col]).unionByName(nulls)
+    rows = materialize(_grouped(docs, k, num, den, id_col, text_col, **how).where("comp is not null").select("comp", "id", "digest", "key"), "groups")
+    first = rows.groupBy("comp").agg(F.min(F.struct("id", "digest", "key")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    first = materialize(first, "firsts")
+    lost = rows.join(small_side(first), "comp").where("id != first.id or digest != first.digest or key != first.key")
+    lost = materialize(lost.select(F.col("id").alias("_id"), F.col("key").alias("_key")).distinct(), "lost")
+    keyed = docs.withColumn("_key", _text_key(F.col(text_col).cast("string"))).withColumn("_id", F.col(id_col).cast("long"))
+    kept = keyed.join(small_side(lost), ["_id", "_key"], "left_anti")
+    again = rows.groupBy("id", "key").agg(F.count("*").alias("n")).where("n > 1").select(F.col("id").alias("_id"), F.col("key").alias("_key"))
+    again = materialize(again, "again")
+    if not again.isEmpty():
+        twice = small_side(again)
+        kept = kept.join(twice, ["_id", "_key"], "left_anti").unionByName(kept.join(twice, ["_id", "_key"], "left_semi").dropDuplicates(["_id", "_key"]))
     return kept.select(*docs.columns)

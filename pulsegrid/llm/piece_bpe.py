@@ -21,14 +21,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pulsegrid.llm.shared import small_batches
-from pulsegrid.llm.textkernel import run_hashes
+from pulsegrid.llm.textkernel import give_back, run_hashes
 
 U = np.uint64
 SPACE = "▁"
 #: Code points taken at once, and the chunk length from which the heap is used.
-SLICE, LONG = 4_000_000, 48
+SLICE, LONG = 1_000_000, 48
 #: Distinct chunks that a task remembers, and how many ids of theirs; beyond either, it starts anew.
-KNOWN, KNOWN_IDS = 400_000, 2_000_000
+KNOWN, KNOWN_IDS = 300_000, 1_500_000
 _UNKNOWN = 1 << 20  # symbols for code points without a piece
 
 
@@ -337,6 +337,7 @@ def _encoded(model, with_ids: bool):
                 cols.append(pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(flat)))
                 names.append("ids")
             yield pa.RecordBatch.from_arrays(cols, names=names)
+            give_back()
 
     return run
 

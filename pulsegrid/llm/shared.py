@@ -16,7 +16,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def small_batches(spark: SparkSession, size: int = 8 << 20) -> None:
+def small_batches(spark: SparkSession, size: int = 4 << 20) -> None:
     """Bounds the Arrow batches that go to Python workers by bytes, as texts differ in length by orders of magnitude."""
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
     now = str(spark.conf.get(name)).lower().removesuffix("b")

@@ -78,7 +78,7 @@ def utf8(column) -> tuple[np.ndarray, np.ndarray]:
     return raw, off - off[0]
 
 
-def sliced(batches, text_index: int, limit: int = 1 << 22):
+def sliced(batches, text_index: int, limit: int = 1 << 21):
     """The batches in slices of about limit bytes of text (one row at least)."""
     for b in batches:
         if b.num_rows <= 1 or b.column(text_index).nbytes <= limit:
@@ -93,9 +93,20 @@ def sliced(batches, text_index: int, limit: int = 1 << 22):
                 at, held = i, 0
             held += n
         yield b.slice(at)
+    give_back()
+
+
+def give_back() -> None:
+    """Returns freed memory to the system: workers stay for the next task, and several share an executor's bound."""
+    import ctypes
+
     import pyarrow as pa
 
     pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library: its own policy holds
+        pass
 
 
 def runs_of(member: np.ndarray, raw: np.ndarray, off: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:

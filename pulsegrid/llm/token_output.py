@@ -172,16 +172,22 @@ def training_shards(docs: DataFrame, model_path: str, length: int = 1024, key: i
     offsets, n = np.cumsum(size), int(size.sum())
     placed = packed.mapInArrow(_placed(offsets, max(n, 1), key), "sequence long, slot long, doc_ids array<long>, payload binary")
     shards = max(1, -(-n // records))
-    ranged = placed.withColumn("block", (F.col("slot") / block).cast("long")).repartitionByRange(max(1, min(4 * shards, 8192)), "block").sortWithinPartitions("slot")
+    # a range partition is a fourth of a shard on small inputs, and never more than eight shards
+    ranges = max(min(4 * shards, 2048), -(-shards // 8))
+    ranged = placed.withColumn("block", (F.col("slot") / block).cast("long")).repartitionByRange(ranges, "block").sortWithinPartitions("slot")
     schema = "shard long, first_slot long, n_records long, stride long, offset long, doc_ids array<array<long>>, sha256 string, payload binary"
     return ranged.select("slot", "doc_ids", "payload").mapInArrow(_blocks(records, block), schema)
 
 
+MANIFEST = "manifest.json"
+
+
 def write_shards(blocks: DataFrame, uri: str) -> DataFrame:
     """Writes the blocks of training_shards as files <uri>/shard-<number>.bin, one task a shard; returns (shard, n_records, bytes).
 
     uri names a folder that all executors see, in any store pyarrow opens.  A shard is written
     under a temporary name and renamed, so a repeated task leaves one whole file.
+    finish_shards() adds the manifest.
     """
 
     def run(batches):
@@ -216,6 +222,37 @@ def write_shards(blocks: DataFrame, uri: str) -> DataFrame:
     return ordered.select("shard", "n_records", "payload").mapInArrow(run, "shard long, n_records long, bytes long")
 
 
+def finish_shards(written: DataFrame, uri: str, key: int, length: int, dtype: str, records: int) -> dict:
+    """Writes the manifest of the shards that write_shards() returned, last of all: a folder that has one is whole.
+
+    It holds the number of records and what a reader must know to find each, or to go on after one.
+    """
+    import json
+
+    from pyarrow import fs
+
+    n, shards, size = written.agg(F.coalesce(F.sum("n_records"), F.lit(0)), F.count("*"), F.coalesce(F.sum("bytes"), F.lit(0))).first()
+    about = {"n_records": n, "n_shards": shards, "bytes": size, "key": key, "length": length, "dtype": dtype, "records": records, "stride": length * np.dtype(dtype).itemsize}
+    if size != n * about["stride"] or shards != -(-n // records):
+        raise RuntimeError(f"shards are missing or cut short: {about}")
+    store, root = fs.FileSystem.from_uri(uri)
+    with store.open_output_stream(f"{root}/{MANIFEST}") as out:
+        out.write(json.dumps(about, sort_keys=True).encode())
+    return about
+
+
+def resume(uri: str, start: int, count: int) -> np.ndarray:
+    """Records start..start+count-1 of a finished folder, by its manifest; fewer at the end."""
+    import json
+
+    from pyarrow import fs
+
+    store, root = fs.FileSystem.from_uri(uri)
+    with store.open_input_stream(f"{root}/{MANIFEST}") as f:
+        about = json.loads(f.read())
+    return read_records(uri, start, min(count, max(0, about["n_records"] - start)), about["length"], about["records"], about["dtype"])
+
+
 def read_records(uri: str, start: int, count: int, length: int, records: int, dtype: str = "<u2") -> np.ndarray:
     """Records start..start+count-1 of the shards under uri, as a matrix; fewer at the end."""
     from pyarrow import fs

@@ -246,7 +246,7 @@ def _scores(model):
     def run(batches):
         import pyarrow as pa
 
-        hasher, m = WordHasher("alnum"), model.value
+        hasher, m = WordHasher("alnum"), PUModel(*model.value)
         blank = m.score(np.zeros(0, np.int64))
         for b in sliced(batches, 1):
             h, off, _, _ = hasher(*utf8(b.column(1)))
@@ -338,6 +338,24 @@ def score_texts(docs: DataFrame, model: PUModel, threshold: float = 0.7, id_col:
     out) and repeated rows pass through; other columns are ignored.
     """
     small_batches(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast((model.keys, model.weights, model.bias, model.prior))  # plain values: broadcasts are pickled by reference
     out = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string")).mapInArrow(_scores(shared), "id long, score double")
     return out.select(F.col("id").alias(id_col), held_out(F.col("id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def drop_toxic(docs: DataFrame, model: PUModel, threshold: float = 0.7, text_col: str = "text") -> DataFrame:
+    """The rows of docs, all columns, that score below the threshold; decided row by row, whatever their ids.  Null texts score as empty ones."""
+    small_batches(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast((model.keys, model.weights, model.bias, model.prior))  # plain values: broadcasts are pickled by reference
+    at = docs.columns.index(text_col)
+
+    def run(batches):
+        import pyarrow as pa
+
+        score = _scores(shared)
+        for b in batches:
+            texts = pa.RecordBatch.from_arrays([pa.array(np.arange(b.num_rows)), b.column(at)], names=["id", "text"])
+            low = [x < threshold for part in score([texts]) for x in part.column(1).to_pylist()]
+            yield b.filter(pa.array(low, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -92,6 +92,26 @@ def test_keep_one_of_each(spark):
     assert sorted(r.doc_id for r in kept.collect()) == [1, 2, 7] and kept.columns == ["doc_id", "text", "id", "score", "cand"]
 
 
+def test_keep_one_decides_row_by_row(spark):
+    texts = ["a b c d e f g", "a b c d e f g", "quite another text of its own here", "words of a third text that stays", "a b c d e f g", "", None]
+    kept = ngram_join.keep_one_of_each(docs(spark, texts, [1, 1, 1, None, None, 8, 9]), sketch_bits=8)
+    assert sorted((str(r.doc_id), str(r.text)) for r in kept.collect()) == sorted([("1", texts[0]), ("1", texts[2]), ("None", texts[3]), ("None", texts[4]), ("8", ""), ("9", "None")])
+    assert ngram_join.keep_one_of_each(empty(spark), sketch_bits=8).count() == 0
+
+
+def test_filters_decide_row_by_row(spark):
+    lab = spark.createDataFrame([(i, int(i % 5 == 0)) for i in range(300)], "doc_id long, toxic int")
+    d = docs(spark, [f"w{i % 50} w{i % 7} " + ("vile foul" if i % 5 == 0 else "plain") for i in range(300)])
+    m = toxicity.fit(d, lab, toxicity.PUConfig(steps=200, models=2))
+    odd = docs(spark, ["vile foul", "plain w1", "vile foul", None], [4, 4, None, None])
+    left = toxicity.drop_toxic(odd, m)
+    assert left.columns == odd.columns and sorted((str(r.doc_id), str(r.text)) for r in left.collect()) == [("4", "plain w1"), ("None", "None")]
+    bench = spark.createDataFrame([(1, "one two three four five six seven")], "item_id long, text string")
+    odd = docs(spark, ["x one two three four five six seven y", "clean text", "x one two three four five six seven y", None], [4, 4, None, None])
+    assert sorted((str(r.doc_id), str(r.text)) for r in decontamination.drop_contaminated(odd, bench).collect()) == [("4", "clean text"), ("None", "None")]
+    assert decontamination.drop_contaminated(odd, bench.limit(0)).count() == 4 and decontamination.drop_contaminated(empty(spark), bench).count() == 0
+
+
 def test_components(spark):
     rng = np.random.default_rng(5)
     edges = [(int(a), int(b)) for a, b in rng.integers(0, 300, (200, 2))] + [(i, i + 1) for i in range(1000, 1060)]
@@ -582,3 +602,108 @@ def test_pipeline_stages(spark):
         assert not base_spans(r.text or "") and r.n_chars == len(r.text)
     out = pipeline.encode(spark, masked, sf)
     assert out.count() == masked.count()
+
+
+# -- odd tables, in all operators that work row by row -----------------------------------------------
+
+
+def test_manifest_and_resuming(spark, tmp_path):
+    blocks = token_output.training_shards(docs(spark, random_texts(4, 12)), piece_model(), length=32, key=5, records=16, block=8)
+    written = token_output.write_shards(blocks, tmp_path.as_uri())
+    about = token_output.finish_shards(written, tmp_path.as_uri(), 5, 32, "<u2", 16)
+    n = about["n_records"]
+    assert n == sum(r.n_records for r in blocks.collect()) and about["stride"] == 64
+    whole = token_output.resume(tmp_path.as_uri(), 0, n)
+    again = np.concatenate([token_output.resume(tmp_path.as_uri(), at, 7) for at in range(0, n, 7)])
+    assert len(whole) == n and (again == whole).all() and len(token_output.resume(tmp_path.as_uri(), n, 5)) == 0
+
+
+def test_null_ids_and_repeated_rows(spark):
+    t = 'token = "04dbebab91ab85687d33eeaaf9ac699e1188f962" under the MIT license'
+    d = docs(spark, [t, t, None, t], [None, 4, 4, 4])
+    text = lambda rows, c: sorted((str(r.doc_id), str(getattr(r, c))) for r in rows)
+    found = text(secret_scan.scan_secrets(d).collect(), "n_assign")
+    assert found == [("4", "0"), ("4", "1"), ("4", "1"), ("None", "1")]
+    assert text(license_scan.scan_licenses(d).collect(), "base_labels") == [("4", ""), ("4", "mit"), ("4", "mit"), ("None", "mit")]
+    n = piece_bpe.encode_texts(d, piece_model()).collect()
+    assert len(n) == 4 and sorted(r.n_tokens for r in n)[0] == 2 and len({r.ids_sha256 for r in n}) == 2
+    assert sum(r.n_records for r in token_output.training_shards(d, piece_model(), length=4096).collect()) >= 1
+    bench = spark.createDataFrame([(1, t), (1, t), (None, t)], "item_id long, text string")
+    got = decontamination.find_contained(d, bench).collect()
+    assert [(r.item_id, r.doc_id) for r in got] == [(1, 4)]
+
+
+def test_top_k_of_an_empty_table_and_clashing_columns(spark):
+    rows = [(i, [float(i), 1.0], i, 1, 2) for i in range(5)]
+    e = spark.createDataFrame(rows, "vec_id long, embedding array<float>, query_id long, rank int, score int")
+    every = lambda i: F.lit(True)
+    assert topk.top_k_inner(e.limit(0), every).count() == 0
+    got = sorted((r.query_id, r["rank"], r.vec_id) for r in topk.top_k_inner(e, every, k=2).collect())
+    assert got[0] == (0, 1, 1) or got[0][0] == 0
+    assert len(got) == 10 and len(topk.top_k_inner(e.limit(0), every).columns) == 4
+
+
+def licenses_by_loops(t):
+    w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate(LOWER))
+    hits = [(i, label) for phrase, label in license_scan.PHRASES for p in [phrase.split()] for i in range(len(w) - len(p) + 1) if w[i : i + len(p)] == p]
+    return len(w), len(hits), min((i for i, _ in hits), default=None), max((i for i, _ in hits), default=None), ",".join(sorted({x for _, x in hits}))
+
+
+def secrets_by_loops(t):
+    out = [("assign", *m.span()) for m in re.finditer(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", t, re.I | re.A) if len(m[2]) >= 12]
+    out += [("access", *m.span()) for m in re.finditer(r"AKIA[A-Z0-9]+", t) if len(m[0]) >= 18]
+    out += [("hex", *m.span()) for m in re.finditer(r"[0-9a-f]+", t) if len(m[0]) >= 16]
+    kinds = ["assign", "access", "hex"]
+    return sorted(out, key=lambda x: (x[1], kinds.index(x[0])))
+
+
+def test_base_licenses_and_secrets_on_a_table(spark):
+    d = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    rows = d.select("doc_id", "text").collect()
+    lic = {r.doc_id: r for r in license_scan.scan_licenses(d).collect()}
+    sec = {r.doc_id: r for r in secret_scan.scan_secrets(d).collect()}
+    for r in rows:
+        g = lic[r.doc_id]
+        assert (g.n_words, g.n_base, g.first_word, g.last_word, g.base_labels) == licenses_by_loops(r.text)
+        assert set(filter(None, g.base_labels.split(","))) <= set(g.labels.split(","))
+        want = secrets_by_loops(r.text or "")
+        g = sec[r.doc_id]
+        assert [g.n_assign, g.n_access, g.n_hex] == [sum(k == kind for k, _, _ in want) for kind in ("assign", "access", "hex")]
+        assert g.base_sha256 == hashlib.sha256(",".join(f"{k}:{a}:{z}" for k, a, z in want).encode()).hexdigest()
+    assert len(rows) >= 200
+
+
+def test_automata_accept_what_regular_expressions_do():
+    """Templates over two words, on all short token strings."""
+    import itertools
+
+    hasher = textkernel.WordHasher("alnum")
+    for markup, pattern in (("a [[ b ]] a", "a (?:b )?a "), ("a {{ 2 }} b", "a (?:[ab] ){0,2}b "), ("b [[ a [[ b ]] ]] {{ 1 }} a", "b (?:a (?:b )?)?(?:[ab] )?a ")):
+        auto, start = license_scan.compile_template(markup, "x", 1.0, hasher)
+        for n in range(1, 7):
+            for words in itertools.product("ab", repeat=n):
+                h = license_scan._words(" ".join(words), hasher).tolist()
+                text = " ".join(words) + " "
+                ends = [m for m in range(1, n + 1) if re.fullmatch(pattern, " ".join(words[:m]) + " ")]
+                got = auto.accepts(h, 0, start)
+                assert got == (ends[0] if ends else None), (markup, text)
+
+
+def test_new_license_wordings(spark):
+    for name, label in (("bsd-3-clause-text", "bsd-3-clause"), ("zlib-text", "zlib"), ("mpl-notice", "mpl-2.0"), ("unlicense-text", "unlicense")):
+        plain = re.sub(r"\[\[|\]\]|\{\{.*?\}\}", " ", license_scan.TEMPLATES[name][2])
+        got = license_scan.scan_licenses(docs(spark, ["Before it. " + plain + " After it."])).first()
+        assert label in got.labels.split(",") and got.score == 1.0
+
+
+def test_pipeline_stages_on_empty_and_odd_tables(spark):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    odd = spark.createDataFrame([(1, None, "en", None, None), (None, "a b c", None, "s", 5), (1, "", "en", "s", 0), (1, "a b c d e f g h", "en", "s", 9), (1, "a b c d e f g h", "en", "s", 9)], schema)
+    for docs_ in (odd, odd.limit(0)):
+        now = docs_
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            now = stage(spark, now, "/root/testdata/sf0.001")
+            assert now.columns == docs_.columns
+        assert now.count() == (4 if docs_ is odd else 0)
+        assert corpus_pipeline.STAGES[-1][1](spark, now, "/root/testdata/sf0.001").count() == now.count()
