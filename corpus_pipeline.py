@@ -11,27 +11,24 @@ from pyspark.sql import functions as F
 
 from pulsegrid.llm import decontamination, ngram_join, pii, piece_bpe, toxicity
 from pulsegrid.llm.queries import piece_model
-from pulsegrid.llm.shared import materialize, small_side, table
+from pulsegrid.llm.shared import materialize, table
 
 #: From this score on a document is rejected as toxic.
 TOXIC = 0.7
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the positive-unlabelled classifier rejects go; rows with a null id stay."""
-    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    scored = toxicity.score_texts(docs, model, TOXIC)
-    rejected = materialize(scored.where("predicted = 1 and doc_id is not null").select("doc_id").distinct(), "toxic")
-    return docs.join(small_side(rejected), "doc_id", "left_anti").select(*docs.columns)
+    """Rows whose text the positive-unlabelled classifier rejects go; null texts count as empty."""
+    return toxicity.drop_toxic(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")), TOXIC)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents linked at a 5-word Jaccard similarity of 0.8 or more, the one with the smallest id stays."""
+    """Of each group of documents linked at a 5-word Jaccard similarity of 0.8 or more, the one with the smallest id stays; rows without words or without an id stay."""
     return ngram_join.keep_one_of_each(docs, k=5, num=4, den=5)
 
 
 def drop_leaked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that contain a benchmark item go."""
+    """Rows whose text contains a benchmark item go; null texts stay."""
     return decontamination.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
