@@ -23,12 +23,12 @@ def _(spark, d):
 SELECT track, channel, min(frame) AS "begin", max(frame) + 1 AS "end" FROM q GROUP BY track, channel, g""")
 def _(spark, d):
     folder = streams.chunk_files(signals.events_stereo(spark, d), 333, closing=True)
-    return streams.run_to_table(streams.runs(streams.chunk_stream(spark, folder), 0.5), "append")
+    return streams.run_to_table(streams.runs(streams.chunk_stream(spark, folder, late=None), 0.5), "append")
 
 
 @query("stream_sliding", f"""WITH {EVF}, w AS (SELECT track, channel, k, avg(x*x) AS ms, count(*) AS n FROM ef, range(0, 4) o(k0), LATERAL (SELECT frame // 100 - k0 AS k) GROUP BY ALL)
 SELECT track, channel, CAST(k * 100 AS BIGINT) AS start_ms, {r6('ms', 'ms')}, n FROM w""")
 def _(spark, d):
     folder = streams.chunk_files(signals.events_stereo(spark, d), 333)
-    s = streams.run_to_table(streams.sliding_mean_square(streams.chunk_stream(spark, folder), 1000), "complete")
+    s = streams.run_to_table(streams.sliding_mean_square(streams.chunk_stream(spark, folder, late=None), 1000, late="1 hour"), "complete")
     return rounded(s.select("track", "channel", F.unix_millis("win.start").alias("start_ms"), "ms", "n"))

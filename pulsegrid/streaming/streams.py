@@ -12,12 +12,15 @@ from pulsegrid.sources import signals
 from pulsegrid.sources.shared import shared_folder
 
 
-def chunk_stream(spark: SparkSession, folder: str, files_per_batch: int = 4, late: str = "1 hour") -> DataFrame:
+def chunk_stream(spark: SparkSession, folder: str, files_per_batch: int = 4, late: str | None = "1 hour") -> DataFrame:
     """A stream of chunk rows; a chunk delivered again within `late` counts once, and is forgotten after that, so that the state stays bounded.
 
-    The operators that take chunks in order (runs) pass over repeats of any age by their index.
+    Without late, repeats are left to the operators: runs() passes over them by their index,
+    sliding_mean_square() by its watermark.
     """
     raw = spark.readStream.schema(CHUNKS).option("maxFilesPerTrigger", files_per_batch).parquet(folder)
+    if late is None:
+        return raw
     once = raw.withColumn("_arrived", F.current_timestamp()).withWatermark("_arrived", late)
     return once.dropDuplicatesWithinWatermark(["track", "channel", "chunk_idx"]).drop("_arrived")
 
@@ -34,9 +37,15 @@ def rms_series(stream: DataFrame, window: int) -> DataFrame:
 
 
 def sliding_mean_square(stream: DataFrame, sample_rate: int, length: str = "400 milliseconds", step: str = "100 milliseconds", late: str = "2 seconds") -> DataFrame:
-    """Sliding windows by event time; with the watermark, append mode emits each once and late chunks are dropped."""
-    x = with_time(signals.from_chunks(stream), sample_rate).withWatermark("ts", late)
-    return x.groupBy("track", "channel", F.window("ts", length, step).alias("win")).agg(F.avg(F.col("x") * F.col("x")).alias("ms"), F.count("*").alias("n"))
+    """Sliding windows by event time; with the watermark, append mode emits each once and late chunks are dropped.
+
+    stream is a chunk_stream without a bound of its own: a query has one watermark, the samples' time here, within which a sample counts once.
+    """
+    day = F.expr("interval 1 day")  # a watermark begins at 0, where a track's first sample would count as late
+    x = with_time(signals.from_chunks(stream), sample_rate).withColumn("ts", F.col("ts") + day)
+    x = x.withWatermark("ts", late).dropDuplicatesWithinWatermark(["track", "channel", "frame"])
+    g = x.groupBy("track", "channel", F.window("ts", length, step).alias("win")).agg(F.avg(F.col("x") * F.col("x")).alias("ms"), F.count("*").alias("n"))
+    return g.select("track", "channel", F.struct((F.col("win.start") - day).alias("start"), (F.col("win.end") - day).alias("end")).alias("win"), "ms", "n")
 
 
 def runs(stream: DataFrame, threshold: float) -> DataFrame:
