@@ -412,8 +412,9 @@ def _grouped(docs: DataFrame, k: int, num: int, den: int, id_col: str, text_col:
         # copies without their original: all against one that a hash picks, another one in each turn, while that links many
         found = stars(rows, [F.xxhash64(F.lit(turn), "node").alias("o")], "comp != r_comp")
         n = found.count()
-        if n:
-            links = materialize(links.unionByName(found), "links")
+        if not n:
+            break
+        links = materialize(links.unionByName(found), "links")
         if n * MANY < rows.count():
             break
     discard(posted)
