@@ -65,3 +65,78 @@ SELECT item_id, doc_id, CAST(n_item AS INTEGER) AS n_item, count(*) AS n_shared,
 FROM item_sets JOIN doc_sets USING (width, g) JOIN n USING (item_id)
 GROUP BY item_id, doc_id, n_item HAVING count(*) * 100 >= n_item * 80
 """
+
+ORACLES["op11_hard_negatives"] = """
+WITH v AS (
+    SELECT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+           list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS q
+    FROM embeddings
+    WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+      AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+    SELECT a.id AS anchor_id, b.id AS id, a.label = b.label AS same,
+           CAST(list_sum(list_transform(range(1, len(a.q) + 1), lambda i: a.q[i] * b.q[i])) AS BIGINT) AS score
+    FROM v a JOIN v b ON a.id % 100 = 0 AND a.id <> b.id AND len(a.q) = len(b.q)
+), p AS (
+    SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE same
+    QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5
+)
+SELECT p.anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, id) AS INTEGER) AS rank,
+       id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+QUALIFY row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, id) <= 10
+"""
+
+#: crc32 by its definition: the table of 256 entries from the reversed polynomial, then a byte at a time.
+ORACLES["op12_importance_resampling"] = rf"""
+WITH RECURSIVE steps AS (
+    SELECT i AS byte, i AS c, 0 AS k FROM range(256) t(i)
+    UNION ALL
+    SELECT byte, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM steps WHERE k < 8
+), crc AS (
+    SELECT list(c ORDER BY byte) AS t FROM steps WHERE k = 8
+), texts AS (
+    SELECT 'd' AS side, doc_id, row_number() OVER () AS row, regexp_extract_all({ASCII_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents
+    UNION ALL
+    SELECT 'b', NULL, row_number() OVER (), regexp_extract_all({ASCII_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') FROM benchmark
+), places AS (
+    SELECT side, row, unnest(ws) AS w FROM texts
+), distinct_words AS (
+    SELECT DISTINCT w, hex(encode(w)) AS h FROM places
+), hashed AS (
+    SELECT w, xor(list_reduce(list_transform(range(1, len(h) + 1, 2), lambda i: CAST('0x' || substr(h, i, 2) AS BIGINT)),
+        lambda c, b: xor(c >> 8, t[CAST(xor(c, b) & 255 AS INTEGER) + 1]), CAST(4294967295 AS BIGINT)), 4294967295) % 10000 AS bucket
+    FROM distinct_words, crc
+), counts AS (
+    SELECT bucket, count(*) FILTER (side = 'd') AS s, count(*) FILTER (side = 'b') AS t FROM places JOIN hashed USING (w) GROUP BY bucket
+), gains AS (
+    SELECT bucket, CAST(floor(1000 * ln((t + 1)::DOUBLE * ((SELECT sum(s) FROM counts) + 10000)::DOUBLE / ((s + 1)::DOUBLE * ((SELECT sum(t) FROM counts) + 10000)::DOUBLE))) AS BIGINT) AS gain FROM counts
+), weights AS (
+    SELECT row, count(*) AS n, sum(gain) AS g FROM places JOIN hashed USING (w) JOIN gains USING (bucket) WHERE side = 'd' GROUP BY row
+), scored AS (
+    SELECT doc_id, row, coalesce(n, 0) AS n_features, CAST(coalesce(floor((g - ((g % n) + n) % n) / n), 0) AS BIGINT) AS weight,
+           CAST('0x' || substr(sha256('2024:' || CAST(doc_id AS VARCHAR)), 1, 8) AS BIGINT) AS h
+    FROM texts LEFT JOIN weights USING (row) WHERE side = 'd'
+), final AS (
+    SELECT *, weight + CAST(floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296.0::DOUBLE))) AS BIGINT) AS score FROM scored
+), ranks AS (
+    SELECT row, row_number() OVER (ORDER BY score DESC, doc_id) AS rank, count(*) OVER () AS total FROM final WHERE n_features >= 20 AND doc_id IS NOT NULL
+)
+SELECT doc_id, n_features, weight, score, CASE WHEN rank <= 10 * total // 100 THEN rank END AS rank FROM final LEFT JOIN ranks USING (row)
+"""
+
+ORACLES["op13_line_dedup"] = rf"""
+WITH lines AS (
+    SELECT doc_id, row, unnest(l) AS line, generate_subscripts(l, 1) AS pos
+    FROM (SELECT doc_id, row_number() OVER () AS row, string_split(coalesce(text, ''), chr(10)) AS l FROM documents)
+), keyed AS (
+    SELECT *, translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k FROM lines
+), often AS (
+    SELECT k, max(doc_id) AS top FROM keyed WHERE length(k) >= 20 GROUP BY k HAVING count(DISTINCT doc_id) >= 3
+), flagged AS (
+    SELECT doc_id, row, line, pos, coalesce(doc_id <> top, false) AS gone FROM keyed LEFT JOIN often USING (k)
+)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
+FROM flagged GROUP BY doc_id, row
+"""

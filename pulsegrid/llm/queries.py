@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulsegrid.llm import decontamination, license_scan, ngram_join, pii, piece_bpe, secret_scan, span_dedup, token_output, topk, toxicity
+from pulsegrid.llm import decontamination, hard_negatives, license_scan, line_dedup, ngram_join, pii, piece_bpe, resampling, secret_scan, span_dedup, token_output, topk, toxicity
 from pulsegrid.llm.oracles import ORACLES
 from pulsegrid.llm.shared import table
 
@@ -62,6 +62,20 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan_secrets(table(spark, sf_dir, "documents"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    noisy = F.when(F.pmod("vec_id", F.lit(7)) == 0, F.pmod(F.col("label") + 1, F.lit(10))).otherwise(F.col("label"))
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings"), lambda i: F.pmod(i, F.lit(100)) == 0, label_col=noisy)
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), orders=(1, 1))
+
+
+def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = line_dedup.drop_repeated_lines(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def queries() -> dict[str, Query]:
     return {name: f for name, f in globals().items() if name[:2] == "op" and name[2:3].isdigit()}
 
