@@ -17,11 +17,15 @@ from pulsegrid.operators import islands
 
 
 def whitened(spectra: DataFrame, decay: float = 0.9997, floor: float = 1e-6) -> DataFrame:
-    """mag over its bin's decaying running maximum: peak_t = max(mag_t, decay * peak_{t-1}), in closed form as a running maximum of mag / decay^t."""
+    """mag over its bin's decaying running maximum: peak_t = max(mag_t, decay * peak_{t-1}).
+
+    In closed form ln peak_t is the running maximum of ln mag_s - s ln decay, plus t ln decay;
+    in logarithms nothing underflows, however long the track is.
+    """
     w = Window.partitionBy("track", "k").orderBy("t").rowsBetween(Window.unboundedPreceding, 0)
-    d = F.lit(decay)
-    peak = F.max(F.col("mag") / F.pow(d, F.col("t"))).over(w) * F.pow(d, F.col("t"))
-    return spectra.withColumn("mag", F.col("mag") / F.greatest(peak, F.lit(floor)))
+    slope = F.col("t") * math.log(decay)
+    peak = F.exp(F.max(F.ln("mag") - slope).over(w) + slope)  # silent frames have no logarithm and raise nothing
+    return spectra.withColumn("mag", F.col("mag") / F.greatest(F.coalesce(peak, F.lit(0.0)), F.lit(floor)))
 
 
 def flux(spectra: DataFrame, bands: tuple[int, int], lam: float = 1000.0, share: float = 0.2) -> DataFrame:
@@ -98,7 +102,7 @@ def onsets(series: DataFrame, hop_s: float, cfg: PeakPickConfig = PeakPickConfig
 
 def autocorrelation(series: DataFrame, low: int, high: int) -> DataFrame:
     """(track, lag, r): mean product at each lag that the track is longer than; a track's series, one value a hop, is one row."""
-    packed = series.groupBy("track").agg(F.collect_list("t").alias("t"), F.collect_list("v").alias("v"))
+    packed = series.where("v is not null").groupBy("track").agg(F.collect_list(F.struct("t", "v")).alias("s")).select("track", "s.t", "s.v")
     kind = dict(series.dtypes)["track"]
 
     def run(batches):

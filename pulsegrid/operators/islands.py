@@ -68,21 +68,79 @@ def merge_runs(df: DataFrame, part: list[str], gap: Column | float, inclusive: b
     return out.withColumn("n", F.when(F.col("parts") > 1, F.col("end") - F.col("begin")).otherwise(F.col("_n"))).drop("_grp", "_n")
 
 
-def refractory(df: DataFrame, part: list[str], order: str, distance: Column | float, at_least: bool = False) -> DataFrame:
+def refractory(df: DataFrame, part: list[str], order: str, distance: float, at_least: bool = False, chunk: float | None = None) -> DataFrame:
     """Greedy selection: a row stays if it is more than `distance` (or that far, if at_least) after the last that stayed.
 
-    Folds each partition's candidate positions, ordered, in one expression; meant for candidates
-    already thinned by a filter.
+    Rows of one position stay or go together; those without a position go.  Positions are taken
+    in chunks, side by side: what a chunk keeps depends on the last position kept before it, and
+    only through the first one that it lets stay, so that each chunk is reduced to a map from
+    its possible first positions, those within `distance` of its begin, to its last.  The maps,
+    one row a chunk, are chained per partition; then each chunk selects from where it truly starts.
     """
-    gap = F.lit(distance) if not isinstance(distance, Column) else distance
-    ok = (lambda a, b: a - b >= gap) if at_least else (lambda a, b: a - b > gap)
-    empty = F.expr("cast(array() as array<double>)")
-    start = F.struct(F.lit(None).cast("double").alias("last"), empty.alias("kept"))
-
-    def step(acc, x):
-        keep = acc["last"].isNull() | ok(x, acc["last"])
-        return F.when(keep, F.struct(x.alias("last"), F.concat(acc["kept"], F.array(x)).alias("kept"))).otherwise(acc)
-
-    found = df.groupBy(*part).agg(F.sort_array(F.collect_list(F.col(order).cast("double"))).alias("_all"))
-    found = found.select(*part, F.explode(F.aggregate("_all", start, step, lambda acc: acc["kept"])).alias("_at"))
-    return df.join(found, [df[p] == found[p] for p in part] + [df[order] == found["_at"]], "left_semi")
+    import numpy as np
+    import pandas as pd
+
+    size = float(chunk or max(CHUNK, 16 * distance))
+    gap = float(distance)
+    keys = ", ".join(f"{p} {k}" for p, k in df.select(*part).dtypes)
+    places = df.select(*part, F.col(order).cast("double").alias("_p")).where("_p is not null and not isnan(_p)").distinct()
+    packed = places.groupBy(*part, F.floor(F.col("_p") / size).alias("_chunk")).agg(F.sort_array(F.collect_list("_p")).alias("_ps"))
+
+    def following(x, after):
+        """For each position of `after`, the place in x of the first one far enough behind it; differences decide, not sums, which round otherwise."""
+        far = (lambda d: d >= gap) if at_least else (lambda d: d > gap)
+        edge = np.r_[-np.inf, x, np.inf]
+        at = np.searchsorted(x, after + gap, "left") + 1
+        with np.errstate(invalid="ignore"):  # nothing before the first
+            while (back := far(edge[at - 1] - after) & (at > 1)).any():
+                at = at - back
+            while (on := ~far(edge[at] - after) & (at <= len(x))).any():
+                at = at + on
+        return at - 1
+
+    def maps(batches):
+        for df in batches:
+            firsts, lasts = [], []
+            for c, ps in zip(df["_chunk"], df["_ps"], strict=True):
+                x = np.asarray(ps, float)
+                after, last = following(x, x).tolist(), x.copy()
+                for i in range(len(x) - 1, -1, -1):
+                    if after[i] < len(x) and after[i] > i:
+                        last[i] = last[after[i]]
+                    elif after[i] <= i:  # no distance at all: every position stays
+                        last[i] = x[-1]
+                n = min(len(x), int(np.searchsorted(x, c * size + gap, "right")) + 1)
+                firsts.append(x[:n].tolist())
+                lasts.append(last[:n].tolist())
+            yield df[[*part, "_chunk"]].assign(firsts=firsts, lasts=lasts)
+
+    reduced = packed.mapInPandas(maps, f"{keys}, _chunk long, firsts array<double>, lasts array<double>")
+
+    def chain(df):
+        df = df.sort_values("_chunk")
+        now, out = -np.inf, []
+        for firsts, lasts in zip(df["firsts"], df["lasts"], strict=True):
+            out.append(now)
+            i = int(following(np.asarray(firsts, float), np.array([now]))[0])
+            if i < len(firsts):
+                now = lasts[i]
+        return df[[*part, "_chunk"]].assign(before=out)
+
+    starts = reduced.groupBy(*part).applyInPandas(chain, f"{keys}, _chunk long, before double")
+
+    def select(batches):
+        for df in batches:
+            rows = []
+            for ps, before in zip(df["_ps"], df["before"], strict=True):
+                x = np.asarray(ps, float)
+                after, i, kept = following(x, x).tolist(), int(following(x, np.array([before]))[0]), []
+                while i < len(x):
+                    kept.append(float(x[i]))
+                    i = max(after[i], i + 1)
+                rows.append(kept)
+            yield df[part].assign(_at=pd.Series(rows, index=df.index))
+
+    same = [packed[p].eqNullSafe(starts[p]) for p in part] + [packed["_chunk"] == starts["_chunk"]]
+    kept = packed.join(starts, same).select(*[packed[p] for p in part], packed["_ps"], starts["before"]).mapInPandas(select, f"{keys}, _at array<double>")
+    kept = kept.select(*part, F.explode("_at").alias("_at"))
+    return df.join(kept, [df[p].eqNullSafe(kept[p]) for p in part] + [df[order].cast("double") == kept["_at"]], "left_semi")

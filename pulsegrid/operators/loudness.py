@@ -75,6 +75,10 @@ class _Cascade:
         return np.concatenate(ys) if ys else np.zeros(0), s
 
 
+def k_filter(sample_rate: float) -> _Cascade:
+    return _Cascade(shelf_coefficients(sample_rate), highpass_coefficients(sample_rate))
+
+
 def k_weighted(samples: DataFrame, sample_rate: int, chunk: int = 65_536) -> DataFrame:
     """The K-weighted samples, filtered chunk by chunk in parallel.
 
@@ -82,7 +86,7 @@ def k_weighted(samples: DataFrame, sample_rate: int, chunk: int = 65_536) -> Dat
     in.  Pass 1 computes each chunk's final state from rest; those are few rows a channel, from
     which the true starting states follow in order; pass 2 filters each chunk from its own.
     """
-    cascade = _Cascade(shelf_coefficients(sample_rate), highpass_coefficients(sample_rate))
+    cascade = k_filter(sample_rate)
     parts = samples.withColumn("chunk", F.floor(F.col("frame") / chunk).cast("int"))
     packed = parts.groupBy(*KEY, "chunk").agg(F.sort_array(F.collect_list(F.struct("frame", "x"))).alias("s")).select(*KEY, "chunk", F.col("s.frame").alias("frames"), F.col("s.x").alias("xs"))
 

@@ -103,7 +103,7 @@ def _grouped(samples: DataFrame, size: int, hop: int, shift: int) -> DataFrame:
     at = F.col("frame") + shift
     first = F.greatest(F.lit(0), F.floor((at - (stride - hop) - size) / stride) + 1)
     rows = samples.select("track", "channel", F.explode(F.sequence(first, F.floor(at / stride))).alias("g"), at.alias("at"), "x")
-    packed = rows.groupBy("track", "channel", "g").agg(F.collect_list("at").alias("at"), F.collect_list("x").alias("x"))
+    packed = rows.where("x is not null").groupBy("track", "channel", "g").agg(F.collect_list(F.struct("at", "x")).alias("s")).select("track", "channel", "g", "s.at", "s.x")
     return packed.join(n, ["track", "channel"])
 
 
@@ -142,8 +142,8 @@ def frames_of(samples: DataFrame, size: int, hop: int, centred: bool) -> DataFra
     return _framed(samples, size, hop, centred, "x array<double>", lambda rows: [rows.tolist()])
 
 
-def stft(samples: DataFrame, sample_rate: int, cfg: StftConfig = StftConfig()) -> DataFrame:
-    """(track, channel, t, mag, re, im): arrays over the bins of every whole frame."""
+def transform(sample_rate: int, cfg: StftConfig):
+    """The function from a matrix of frames to the lists of their magnitudes, real and imaginary parts."""
     if cfg.size < 2 or cfg.hop < 1 or cfg.hop > cfg.size or not supported_size(cfg.size):
         raise ValueError("unsupported STFT size or hop")
     w = _window(cfg.window, cfg.size)
@@ -152,7 +152,12 @@ def stft(samples: DataFrame, sample_rate: int, cfg: StftConfig = StftConfig()) -
         z = np.fft.rfft(rows * w, axis=1)
         return [scaled(np.abs(z), w, cfg.scaling, sample_rate).tolist(), z.real.tolist(), z.imag.tolist()]
 
-    return _framed(samples, cfg.size, cfg.hop, cfg.centred, "mag array<double>, re array<double>, im array<double>", spectra)
+    return spectra
+
+
+def stft(samples: DataFrame, sample_rate: int, cfg: StftConfig = StftConfig()) -> DataFrame:
+    """(track, channel, t, mag, re, im): arrays over the bins of every whole frame."""
+    return _framed(samples, cfg.size, cfg.hop, cfg.centred, "mag array<double>, re array<double>, im array<double>", transform(sample_rate, cfg))
 
 
 def frame_time(t: Column, hop: int, size: int, sample_rate: int, centred: bool) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pulsegrid.model import ClippingConfig, SilenceConfig
 from pulsegrid.operators import clipping, loudness, silence, stats
 from pulsegrid.plans.registry import query
-from pulsegrid.plans.sqlviews import EVENTS, EVENTS_HALF, LINE, r6
+from pulsegrid.plans.sqlviews import EVENTS, EVENTS_HALF, LINE, interpolation, k_weighted, r6
 from pulsegrid.plans.stats_queries import SR, rounded
 from pulsegrid.sources import signals
 
@@ -219,19 +219,37 @@ def _(spark, d):
     return out
 
 
-@query("loudness_k_weighted")
+# 800 frames are 100 ms
+KW = f"""WITH RECURSIVE {EVENTS}, {k_weighted(loudness.shelf_coefficients(8000), loudness.highpass_coefficients(8000), 'ev')}"""
+BLOCKS = "zb AS (SELECT track, b, sum(ms) AS z FROM (SELECT track, channel, frame // 800 AS b, avg(y * y) AS ms FROM kw_ GROUP BY ALL HAVING count(*) = 800) GROUP BY track, b)"
+SLIDING = """mo AS (SELECT track, avg(z) OVER w AS z FROM zb WINDOW w AS (PARTITION BY track ORDER BY b ROWS 3 PRECEDING) QUALIFY count(*) OVER w = 4),
+sh AS (SELECT track, z FROM (SELECT track, b, avg(z) OVER w AS z, count(*) OVER w AS n, row_number() OVER (PARTITION BY track ORDER BY b) - 30 AS i FROM zb WINDOW w AS (PARTITION BY track ORDER BY b ROWS 29 PRECEDING)) WHERE n = 30 AND i % 10 = 0)"""
+GATE = 10 ** ((-70 + 0.691) / 10)
+INTEGRATED = f"ig AS (SELECT track, -0.691 + 10 * log10(avg(z)) AS integrated_lufs FROM mo JOIN (SELECT track, avg(z) / 10 AS bar FROM mo WHERE z >= {GATE!r} GROUP BY track) USING (track) WHERE z >= {GATE!r} AND z >= bar GROUP BY track)"
+RANGE = f"""rk AS (SELECT track, z, row_number() OVER (PARTITION BY track ORDER BY z) - 1 AS i, count(*) OVER (PARTITION BY track) AS n FROM sh JOIN (SELECT track, avg(z) / 100 AS bar FROM sh WHERE z >= {GATE!r} GROUP BY track) USING (track) WHERE z >= {GATE!r} AND z >= bar),
+lr AS (SELECT track, max(-0.691 + 10 * log10(z)) FILTER (i = round(0.95 * (n - 1))) - max(-0.691 + 10 * log10(z)) FILTER (i = round(0.10 * (n - 1))) AS lra, max(n) AS windows FROM rk GROUP BY track)"""
+
+
+@query("loudness_k_weighted", f"""{KW}, {BLOCKS}, {SLIDING}, {INTEGRATED}, {RANGE} SELECT track, {r6('integrated_lufs', 'integrated_lufs')}, {r6('lra', 'lra')}, windows FROM (SELECT DISTINCT track FROM mo) LEFT JOIN ig USING (track) LEFT JOIN lr USING (track)""")
 def _(spark, d):
-    """Integrated loudness and range of the K-weighted stereo signal; tests hold it against a sequential filter."""
+    """Integrated loudness and range of the K-weighted stereo signal."""
     y = loudness.k_weighted(signals.events_stereo(spark, d), 8000, chunk=1024)
     z = loudness.blocks(y, 8000, 2)
     return rounded(loudness.integrated(loudness.momentary(z)).join(loudness.loudness_range(z), "track", "left"))
 
 
-@query("true_peak")
+UP4 = f"WITH {EVENTS}, {interpolation(4, 1, *loudness.QUALITY['best'], 'ev')}"
+
+
+@query("true_peak", f"""{UP4} SELECT track, channel, {r6('max(abs(y))', 'true_peak')}, CAST(round_even(arg_max(n, abs(y)) / 4, 0) AS BIGINT) AS frame, {r6('20 * log10(max(abs(y)))', 'dbtp')} FROM up_ GROUP BY ALL""")
 def _(spark, d):
     return rounded(loudness.true_peak(signals.events_stereo(spark, d), chunk=4096))
 
 
-@query("inter_sample_peaks")
+ISP = f"""{UP4}, sp_ AS (SELECT track, channel, frame // 4096 AS c, max(abs(x)) AS sample_peak FROM ev GROUP BY ALL),
+isp AS (SELECT track, channel, CAST(round_even(n / 4, 0) AS BIGINT) AS frame, abs(y) AS peak, sample_peak FROM up_ JOIN sp_ USING (track, channel) WHERE abs(y) > 1 AND c = (n // 4) // 4096)"""
+
+
+@query("inter_sample_peaks", f"""{ISP} SELECT track, channel, frame, {r6('peak', 'peak')}, {r6('sample_peak', 'sample_peak')} FROM isp""")
 def _(spark, d):
     return rounded(loudness.inter_sample_peaks(signals.events_stereo(spark, d), threshold_db=0.0, chunk=4096))

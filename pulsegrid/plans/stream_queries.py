@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from pulsegrid.model import StftConfig
+from pulsegrid.operators import loudness, resampling
 from pulsegrid.plans.registry import query
-from pulsegrid.plans.sqlviews import EVENTS, r6
+from pulsegrid.plans.sqlviews import EVENTS, interpolation, k_weighted, r6
 from pulsegrid.plans.stats_queries import rounded
 from pulsegrid.sources import signals
 from pulsegrid.streaming import streams
@@ -32,3 +34,45 @@ def _(spark, d):
     folder = streams.chunk_files(signals.events_stereo(spark, d), 333)
     s = streams.run_to_table(streams.sliding_mean_square(streams.chunk_stream(spark, folder, late=None), 1000, late="1 hour"), "complete")
     return rounded(s.select("track", "channel", F.unix_millis("win.start").alias("start_ms"), "ms", "n"))
+
+
+@query("stream_k_weighted", f"""WITH RECURSIVE {EVF}, {k_weighted(loudness.shelf_coefficients(8000), loudness.highpass_coefficients(8000), 'ef')} SELECT track, channel, frame, {r6('y', 'x')} FROM kw_""")
+def _(spark, d):
+    """The filter's state goes from chunk to chunk."""
+    folder = streams.chunk_files(signals.events_stereo(spark, d), 333)
+    return rounded(streams.run_to_table(streams.k_weighted(streams.chunk_stream(spark, folder, late=None), 8000), "append"))
+
+
+@query("stream_stft", f"""WITH {EVF}, n AS (SELECT track, channel, max(frame) + 1 AS n FROM ef GROUP BY ALL), tt AS (SELECT track, channel, unnest(range((n + 64 - 64) // 24 + 1)) AS t FROM n),
+fr AS (SELECT tt.track, tt.channel, t, i, x * (0.5 - 0.5 * cos(2 * pi() * i / 64)) AS x FROM tt, range(64) r(i) JOIN ef ON ef.track = tt.track AND ef.channel = tt.channel AND ef.frame = t * 24 + i - 32)
+SELECT track, channel, t, CAST(k AS INTEGER) AS k, {r6('sum(x * cos(2 * pi() * k * i / 64))', 're')}, {r6('-sum(x * sin(2 * pi() * k * i / 64))', 'im')} FROM fr, range(33) q(k) GROUP BY ALL""")
+def _(spark, d):
+    """Frames that reach over chunks, with what later ones need carried."""
+    folder = streams.chunk_files(signals.events_stereo(spark, d), 333, closing=True)
+    s = streams.run_to_table(streams.stft(streams.chunk_stream(spark, folder, late=None), 1000, StftConfig(64, 24)), "append")
+    return rounded(s.select("track", "channel", "t", F.posexplode(F.arrays_zip("re", "im")).alias("k", "z")).select("track", "channel", "t", "k", "z.re", "z.im"))
+
+
+@query("stream_sessions", f"""WITH {EVF}, h AS (SELECT *, frame - lag(frame) OVER (PARTITION BY track, channel ORDER BY frame) AS d FROM ef WHERE abs(x) >= 0.9), g AS (SELECT *, sum(CASE WHEN d <= 6 THEN 0 ELSE 1 END) OVER (PARTITION BY track, channel ORDER BY frame) AS g FROM h)
+SELECT track, channel, min(frame) AS "begin", max(frame) + 1 AS "end", count(*) AS hits FROM g GROUP BY track, channel, g""")
+def _(spark, d):
+    """Loud stretches with gaps below 6 frames, as session windows."""
+    folder = streams.chunk_files(signals.events_stereo(spark, d), 333, closing=True)
+    return streams.run_to_table(streams.sessions(streams.chunk_stream(spark, folder, late=None), 1000, 0.9, 6, late="1 hour"), "append")
+
+
+@query("resample_up", f"""WITH {EVENTS}, {interpolation(3, 2, *loudness.QUALITY['fast'], 'ev')} SELECT track, channel, n AS frame, {r6('y', 'x')} FROM up_""")
+def _(spark, d):
+    return rounded(resampling.resampled(signals.events_stereo(spark, d), 1000, 1500, "fast", chunk=1024))
+
+
+@query("resample_down", f"""WITH {EVENTS}, {interpolation(160, 441, *loudness.QUALITY['good'], 'ev')} SELECT track, channel, n AS frame, {r6('y', 'x')} FROM up_""")
+def _(spark, d):
+    return rounded(resampling.resampled(signals.events_stereo(spark, d), 44_100, 16_000, "good", chunk=1024))
+
+
+@query("stream_resample", f"""WITH {EVF}, {interpolation(160, 147, *loudness.QUALITY['fast'], 'ef')} SELECT track, channel, n AS frame, {r6('y', 'x')} FROM up_""")
+def _(spark, d):
+    """44.1 to 48 kHz, with the taps' history carried and drained at the end."""
+    folder = streams.chunk_files(signals.events_stereo(spark, d), 333, closing=True)
+    return rounded(streams.run_to_table(streams.resampled(streams.chunk_stream(spark, folder, late=None), 44_100, 48_000, "fast"), "append"))

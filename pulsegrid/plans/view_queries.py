@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pulsegrid.functions import exprs, view
 from pulsegrid.model import DcConfig
 from pulsegrid.operators import analyzers, clipping, dc, loudness, markers, reports, silence, spectral, stats, tags, viewport
-from pulsegrid.plans.event_queries import CLIP, CLIPS, SIL, THRESHOLD, _frames
+from pulsegrid.plans.event_queries import CLIP, CLIPS, ISP, SIL, THRESHOLD, _frames
 from pulsegrid.plans.registry import query
 from pulsegrid.plans.sqlviews import EVENTS, r6
 from pulsegrid.plans.stats_queries import SR, rounded
@@ -154,10 +154,16 @@ def _(spark, d):
     return _read(made, leading="$.leadingSilenceSeconds", total="$.totalSilenceSeconds", fraction="$.silenceFraction", first="$.regions[0].beginFrame")
 
 
-@query("report_clipping", f"""WITH {CLIPS}, n AS (SELECT track, count(*) AS n FROM ev GROUP BY track) SELECT track, CAST(sum(sample_count) FILTER (kind <> 'near_clip') AS DOUBLE) AS clipped, CAST(count(*) FILTER (kind = 'over_full_scale') AS DOUBLE) AS n_over, CAST(count(*) FILTER (kind = 'near_clip') AS DOUBLE) AS n_near, CAST(min("begin") AS DOUBLE) AS first FROM cl GROUP BY track""")
+PEAKS = ISP.removeprefix(f"WITH {EVENTS}, ")
+
+
+@query("report_clipping", f"""WITH {CLIPS}, {PEAKS} SELECT track, CAST(sum(sample_count) FILTER (kind <> 'near_clip') AS DOUBLE) AS clipped, CAST(count(*) FILTER (kind = 'over_full_scale') AS DOUBLE) AS n_over, CAST(count(*) FILTER (kind = 'near_clip') AS DOUBLE) AS n_near, CAST((SELECT count(*) FROM isp WHERE isp.track = cl.track) AS DOUBLE) AS n_between,
+CAST(least(min("begin"), (SELECT min(frame) FROM isp WHERE isp.track = cl.track)) AS DOUBLE) AS first FROM cl GROUP BY track""")
 def _(spark, d):
-    made = reports.clips(signals.events_stereo(spark, d), SR, CLIP)
-    return _read(made, clipped="$.totalClippedSamples", n_over="$.eventCount[1]", n_near="$.eventCount[2]", first="$.events[0].beginFrame")
+    x = signals.events_stereo(spark, d)
+    made = reports.clips(x, SR, CLIP, loudness.inter_sample_peaks(x, chunk=4096))
+    at = clipping.KINDS.index("inter_sample_peak")
+    return _read(made, clipped="$.totalClippedSamples", n_over="$.eventCount[1]", n_near="$.eventCount[2]", n_between=f"$.eventCount[{at}]", first="$.events[0].beginFrame")
 
 
 @query("report_offsets", f"""WITH {EVENTS}, g AS (SELECT track, channel, avg(x) AS dc FROM ev GROUP BY ALL) SELECT track, {r6('max(dc) FILTER (channel = 0)', 'left')}, {r6('max(dc * 100) FILTER (channel = 1)', 'right')}, CAST(2 AS DOUBLE) AS channels FROM g GROUP BY track""".replace("AS left", 'AS "left"').replace("AS right", 'AS "right"'))
@@ -165,10 +171,12 @@ def _(spark, d):
     return _read(reports.offsets(signals.events_stereo(spark, d), SR, DcConfig()), left="$.channels[0].offsetLinear", right="$.channels[1].offsetPercent", channels="$.windowSeriesChannelCount")
 
 
-@query("report_statistics", f"""WITH {EVENTS}, c AS (SELECT track, channel, count(*) AS n, max(abs(x)) AS peak, sqrt(avg(x*x)) AS rms FROM ev GROUP BY ALL) SELECT track, CAST(max(n) AS DOUBLE) AS frames, {r6('max(peak) FILTER (channel = 0)', 'peak')}, {r6('max(rms) FILTER (channel = 1)', 'rms')}, {r6('max(20 * log10(rms)) FILTER (channel = 1)', 'rms_db', 5)} FROM c GROUP BY track""")
+@query("report_statistics", f"""WITH {EVENTS}, c AS (SELECT track, channel, count(*) AS n, max(abs(x)) AS peak, sqrt(avg(x*x)) AS rms FROM ev GROUP BY ALL) SELECT track, CAST(max(n) AS DOUBLE) AS frames, {r6('max(peak) FILTER (channel = 0)', 'peak')}, {r6('max(rms) FILTER (channel = 1)', 'rms')}, CAST(format('{{:.9g}}', max(20 * log10(rms)) FILTER (channel = 1)) AS DOUBLE) AS rms_db FROM c GROUP BY track""")
 def _(spark, d):
-    got = _read(reports.statistics(signals.events_stereo(spark, d), SR), frames="$.frameCount", peak="$.channels[0].peak", rms="$.channels[1].rms", rms_db="$.channels[1].rmsDbfs")
-    return got.withColumn("rms_db", F.round("rms_db", 5))
+    made = reports.statistics(signals.events_stereo(spark, d), SR)
+    # the written number, of nine digits, as it stands
+    written = made.select("track", F.get_json_object("json", "$.channels[1].rmsDbfs").cast("double").alias("rms_db"))
+    return _read(made, frames="$.frameCount", peak="$.channels[0].peak", rms="$.channels[1].rms").join(written, "track")
 
 
 BEATS = analyzers.BeatConfig(size=64, hop=16, high_hz=300.0)
@@ -187,12 +195,12 @@ def _(spark, d):
     return rounded(analyzers.analyze_transients(x, found.onsets, SR).select("track", "start", "attack", "class", "confidence", "strength"))
 
 
-@query("analysis_clipping", f"""WITH {CLIPS} SELECT track, kind, count(*) AS n, {r6('max(peak)', 'peak')} FROM cl WHERE kind <> 'inter_sample_peak' GROUP BY ALL""")
+@query("analysis_clipping", f"""WITH {CLIPS}, {PEAKS}, al AS (SELECT track, kind, peak FROM cl UNION ALL SELECT track, 'inter_sample_peak', peak FROM isp) SELECT track, kind, count(*) AS n, {r6('max(peak)', 'peak')} FROM al GROUP BY ALL""")
 def _(spark, d):
-    """Events of all kinds; the counts of the kinds that SQL has, as inter-sample peaks need the interpolation filter."""
+    """Events of all kinds, inter-sample peaks among them."""
     x = signals.events_stereo(spark, d)
-    found = clipping.with_inter_sample_peaks(clipping.events(x, CLIP), loudness.inter_sample_peaks(x))
-    return rounded(found.where("kind <> 'inter_sample_peak'").groupBy("track", "kind").agg(F.count("*").alias("n"), F.max("peak").alias("peak")))
+    found = clipping.with_inter_sample_peaks(clipping.events(x, CLIP), loudness.inter_sample_peaks(x, chunk=4096))
+    return rounded(found.groupBy("track", "kind").agg(F.count("*").alias("n"), F.max("peak").alias("peak")))
 
 
 @query("tag_values", """WITH t AS (SELECT 'n' || c_nationkey AS file, c_custkey % 3 AS priority, c_custkey AS position, c_name AS value FROM customer) SELECT file, list(value ORDER BY priority, position) AS values FROM t GROUP BY file""")

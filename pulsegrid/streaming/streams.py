@@ -7,7 +7,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulsegrid.model import CHUNKS
+from pulsegrid.model import CHUNKS, StftConfig
+from pulsegrid.operators import loudness, resampling, spectral
 from pulsegrid.sources import signals
 from pulsegrid.sources.shared import shared_folder
 
@@ -48,59 +49,192 @@ def sliding_mean_square(stream: DataFrame, sample_rate: int, length: str = "400
     return g.select("track", "channel", F.struct((F.col("win.start") - day).alias("start"), (F.col("win.end") - day).alias("end")).alias("win"), "ms", "n")
 
 
-def runs(stream: DataFrame, threshold: float) -> DataFrame:
-    """(track, channel, begin, end): runs of |x| >= threshold, with the open run carried from chunk to chunk.
+#: What every stateful operator keeps of a channel's place: the next chunk, the frame after the last one taken, and chunks that came early.
+PLACE = "next int, at long, waiting array<struct<idx:int,start:long,xs:array<float>>>"
+
+
+class Place:
+    """A channel's place in its chunks; chunks are taken in the order of their index, whatever order they come in.
 
-    Chunks of a channel are taken in the order of their index; one that arrives early waits in
-    the state.  An empty chunk ends the channel and flushes its open run.
+    A chunk that comes early waits in the state; one that was taken before is passed over.
     """
+
+    def __init__(self, nxt: int = 0, at: int = 0, waiting=()):
+        self.next, self.at = nxt, at
+        self.waiting = {int(w[0]): (int(w[1]), list(w[2])) for w in waiting or ()}
+
+    def take(self, batches):
+        """(first frame, samples) of each chunk whose turn it is, an empty one at the channel's end."""
+        for df in batches:
+            for c, at, xs in zip(df["chunk_idx"], df["start_frame"], df["samples"], strict=True):
+                if c >= self.next:
+                    self.waiting[int(c)] = (int(at), [float(v) for v in xs])
+        while self.next in self.waiting:
+            at, xs = self.waiting.pop(self.next)
+            self.next, self.at = self.next + 1, at + len(xs)
+            yield at, xs
+
+    def state(self) -> tuple:
+        return self.next, self.at, [(i, at, xs) for i, (at, xs) in sorted(self.waiting.items())]
+
+
+def _stateful(stream: DataFrame, step, columns: str, state: str) -> DataFrame:
+    """(track, channel, columns) of step(place, batches, own state or None), which returns rows and its new state, a tuple of the fields of `state`."""
     from pyspark.sql.streaming.state import GroupStateTimeout
 
-    schema = "track string, channel int, begin long, end long"
+    names = ["track", "channel", *[c.split()[0] for c in columns.split(", ")]]
 
-    def step(key, batches, state):
-        import numpy as np
+    def run(key, batches, held):
         import pandas as pd
 
-        nxt, begin, waiting = state.get if state.exists else (0, -1, "{}")
-        import json
+        old = held.get if held.exists else None
+        place = Place(*old[:3]) if old else Place()
+        rows, own = step(place, batches, old[3:] if old else None)
+        held.update((*place.state(), *own))
+        out = pd.DataFrame([(*key, *r) for r in rows], columns=names)
+        yield out.astype({"channel": "int32"} | {c.split()[0]: "int64" for c in columns.split(", ") if c.endswith(" long")})
 
-        held = {int(k): v for k, v in json.loads(waiting).items()}
-        for df in batches:
-            for c, at, xs in zip(df["chunk_idx"], df["start_frame"], df["samples"], strict=True):
-                if c >= nxt:
-                    held[int(c)] = [int(at), [float(v) for v in xs]]
-        out = []
-        while nxt in held:
-            at, xs = held.pop(nxt)
-            nxt += 1
+    return stream.groupBy("track", "channel").applyInPandasWithState(run, f"track string, channel int, {columns}", f"{PLACE}, {state}", "append", GroupStateTimeout.NoTimeout)
+
+
+def runs(stream: DataFrame, threshold: float) -> DataFrame:
+    """(track, channel, begin, end): runs of |x| >= threshold, with the open run carried from chunk to chunk; an empty chunk ends the channel and flushes its open run."""
+
+    def step(place, batches, own):
+        import numpy as np
+
+        (begin,), out = own or (-1,), []
+        for at, xs in place.take(batches):
             if not xs:
                 if begin >= 0:
-                    out.append((*key, begin, at))
+                    out.append((begin, at))
                     begin = -1
                 continue
             hit = np.abs(np.asarray(xs)) >= threshold
-            edge = np.flatnonzero(np.diff(np.r_[begin >= 0, hit].astype(int)))
-            for i in edge.tolist():
+            for i in np.flatnonzero(np.diff(np.r_[begin >= 0, hit].astype(int))).tolist():
                 if begin < 0:
                     begin = at + i
                 else:
-                    out.append((*key, begin, at + i))
+                    out.append((begin, at + i))
                     begin = -1
-        state.update((nxt, begin, json.dumps(held)))
-        yield pd.DataFrame(out, columns=["track", "channel", "begin", "end"]).astype({"channel": "int32", "begin": "int64", "end": "int64"})
+        return out, (begin,)
+
+    return _stateful(stream, step, "begin long, end long", "begin long")
+
 
-    return stream.groupBy("track", "channel").applyInPandasWithState(step, schema, "next int, begin long, waiting string", "append", GroupStateTimeout.NoTimeout)
+def _samples(rows: DataFrame) -> DataFrame:
+    return rows.select("track", "channel", "start", F.posexplode("ys").alias("i", "x")).select("track", "channel", (F.col("start") + F.col("i")).alias("frame"), "x")
+
+
+def k_weighted(stream: DataFrame, sample_rate: int) -> DataFrame:
+    """(track, channel, frame, x): K-weighted samples, the filter's four numbers carried from chunk to chunk; equal to loudness.k_weighted of all chunks at once."""
+    cascade = loudness.k_filter(sample_rate)
+
+    def step(place, batches, own):
+        import numpy as np
+
+        state, out = np.asarray(own[0] if own else [0.0] * 4, float), []
+        for at, xs in place.take(batches):
+            y, state = cascade(np.asarray(xs, float), state)
+            if len(y):
+                out.append((at, y.tolist()))
+        return out, (state.tolist(),)
+
+    return _samples(_stateful(stream, step, "start long, ys array<double>", "filter array<double>"))
+
+
+def stft(stream: DataFrame, sample_rate: int, cfg: StftConfig = StftConfig()) -> DataFrame:
+    """(track, channel, t, mag, re, im): spectra of every whole frame as soon as its samples are there; the samples that later frames need are carried, at most a frame's.
+
+    Equal to spectral.stft of all chunks at once.  A centred transform needs the channel's end,
+    an empty chunk, for the frames that reach over it.
+    """
+    make = spectral.transform(sample_rate, cfg)
+    pad = cfg.size // 2 if cfg.centred else 0
+
+    def step(place, batches, own):
+        import numpy as np
+
+        t, tail = own if own else (0, [0.0] * pad)
+        tail, out = list(tail), []
+        for _, xs in place.take(batches):
+            tail += xs if xs else [0.0] * pad
+            n = (len(tail) - cfg.size) // cfg.hop + 1
+            if n > 0:
+                rows = np.lib.stride_tricks.sliding_window_view(np.asarray(tail), cfg.size)[:: cfg.hop]
+                out += [(t + i, *spectra) for i, spectra in enumerate(zip(*make(rows), strict=True))]
+                t, tail = t + n, tail[n * cfg.hop :]
+        return out, (t, tail)
+
+    return _stateful(stream, step, "t long, mag array<double>, re array<double>, im array<double>", "t long, tail array<double>")
+
+
+def resampled(stream: DataFrame, source_rate: int, target_rate: int, quality: str = "best") -> DataFrame:
+    """(track, channel, frame, x) at target_rate, the taps' history carried from chunk to chunk; the channel's end, an empty chunk, drains it.  Equal to resampling.resampled of all chunks at once."""
+    rate = resampling.Ratio(source_rate, target_rate, quality)
+
+    def step(place, batches, own):
+        import numpy as np
+
+        # what is held begins at frame `base`, at most a filter's length before the next output's
+        done, base, held = own if own else (0, -rate.taps, [0.0] * rate.taps)
+        held, out = list(held), []
+        for at, xs in place.take(batches):
+            held += xs if xs else [0.0] * rate.taps
+            end = rate.outputs(at) if not xs else max(done, rate.first_after(at + len(xs) - rate.taps // 2))
+            if end > done:
+                out.append((done, rate.at(np.arange(done, end), np.asarray(held, float), base).tolist()))
+                done = end
+            cut = min(len(held), max(0, rate.base(done) - rate.taps - base))
+            base, held = base + cut, held[cut:]
+        return out, (done, base, held)
+
+    return _samples(_stateful(stream, step, "start long, ys array<double>", "done long, base long, held array<double>"))
+
+
+def sessions(stream: DataFrame, sample_rate: int, threshold: float, gap: int, inclusive: bool = False, late: str = "2 seconds") -> DataFrame:
+    """(track, channel, begin, end, hits): stretches of |x| >= threshold whose gaps are below `gap` frames (or equal to it, if inclusive), as session windows.
+
+    Equal to islands.merge_runs over islands.runs.  A stretch is given out once, when the
+    watermark, the latest sample's time less `late`, has passed its end; samples that come later
+    than that are dropped.  stream is a chunk_stream without a bound of its own; a channel's end,
+    an empty chunk, moves the watermark just beyond the channel's last stretch.
+    """
+    day = F.expr("interval 1 day")  # a watermark begins at 0, where a track's first sample would count as late
+    x = stream.select("track", "channel", "start_frame", F.posexplode_outer("samples").alias("i", "v"))
+    ended = F.col("i").isNull()
+    x = x.select("track", "channel", (F.col("start_frame") + F.coalesce("i", F.lit(0))).alias("frame"), F.col("v").cast("double").alias("x"), ended.alias("ended"))
+    # a hit's session lasts half a frame longer than the widest gap that is bridged, so that times never tie
+    reach = round((gap + (1.5 if inclusive else 0.5)) * 1_000_000 / sample_rate)
+    ts = F.col("ts") + day
+    over = ts + F.expr(f"interval {reach} microseconds") + F.expr(f"interval {late}") + F.expr("interval 1 second")
+    x = with_time(x, sample_rate).withColumn("ts", F.when(F.col("ended"), over).otherwise(ts)).withWatermark("ts", late)
+    # the condition names ts, or Spark would filter before it takes the watermark, and quiet samples would not move it
+    hit = x.where(F.when(F.col("ts") > F.lit(0).cast("timestamp"), F.abs("x") >= threshold)).dropDuplicatesWithinWatermark(["track", "channel", "frame"])
+    g = hit.groupBy("track", "channel", F.session_window("ts", f"{reach} microseconds").alias("s")).agg(F.min("frame").alias("begin"), (F.max("frame") + 1).alias("end"), F.count("*").alias("hits"))
+    return g.select("track", "channel", "begin", "end", "hits")
 
 
 def run_to_table(result: DataFrame, mode: str) -> DataFrame:
-    """Processes all that is available and returns the sink's rows; the checkpoint is in the shared folder."""
+    """Processes all that is available and returns the sink's rows, which are Parquet files in the shared folder, as is the checkpoint.
+
+    In append mode files are added by Spark's file sink, each row once; in complete mode each
+    batch writes the whole result beside the last one, and the newest counts.
+    """
     spark = result.sparkSession
-    root = shared_folder(spark)
-    name = f"stream_{uuid.uuid4().hex}"
-    q = result.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", f"{root.rstrip('/')}/{name}").trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.table(name)
+    root = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    writer = result.writeStream.option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True)
+    if mode == "append":
+        writer.format("parquet").option("path", f"{root}/rows").outputMode(mode).start().awaitTermination()
+        return spark.read.schema(result.schema).parquet(f"{root}/rows")
+    last = []
+
+    def write(df, batch):
+        df.write.mode("overwrite").parquet(f"{root}/rows-{batch}")
+        last[:] = [batch]
+
+    writer.foreachBatch(write).outputMode(mode).start().awaitTermination()
+    return spark.read.schema(result.schema).parquet(f"{root}/rows-{last[0]}") if last else spark.createDataFrame([], result.schema)
 
 
 def chunk_files(samples: DataFrame, frames: int, closing: bool = False) -> str:
@@ -109,8 +243,8 @@ def chunk_files(samples: DataFrame, frames: int, closing: bool = False) -> str:
     root = shared_folder(spark)
     folder = f"{root.rstrip('/')}/chunks-{uuid.uuid4().hex}"
     chunks = signals.to_chunks(samples, frames)
-    if closing:
-        end = chunks.groupBy("track", "channel").agg((F.max("chunk_idx") + 1).alias("chunk_idx"), F.max(F.col("start_frame") + F.size("samples")).alias("start_frame"))
-        chunks = chunks.unionByName(end.withColumn("samples", F.expr("cast(array() as array<float>)")))
     chunks.repartition(8, "chunk_idx").write.parquet(folder)
+    if closing:  # in a file of its own, after the others, as a stream takes files by their age
+        end = spark.read.schema(CHUNKS).parquet(folder).groupBy("track", "channel").agg((F.max("chunk_idx") + 1).alias("chunk_idx"), F.max(F.col("start_frame") + F.size("samples")).alias("start_frame"))
+        end.withColumn("samples", F.expr("cast(array() as array<float>)")).coalesce(1).write.mode("append").parquet(folder)
     return folder
