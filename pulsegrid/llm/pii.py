@@ -65,20 +65,50 @@ STRICT = {
 }
 
 
+#: Code points of a block of a text, so that a place in a long text is reached without reading all before it.
+BLOCK = 1024
+#: Entries that a fold adds to one list before it begins another; appending one by one to a long list takes quadratic time.
+PART = 128
+
+
+def _blocks(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0))
+
+
+def _cut(blocks: Column, begin: Column, end: Column) -> Column:
+    """The text of [begin, end), from its blocks."""
+    first = F.floor(begin / BLOCK).cast("int")
+    n = F.floor((end - 1) / BLOCK).cast("int") - first + 1
+    return F.when(end > begin, F.substring(F.array_join(F.slice(blocks, first + 1, F.greatest(n, F.lit(1))), ""), begin - first * BLOCK + 1, end - begin)).otherwise("")
+
+
+def _push(acc: Column, one: Column) -> list[Column]:
+    """The fields full and open of a fold's state with one more entry; _pushed() lists all."""
+    more = F.concat(acc["open"], F.array(one))
+    done = F.size(more) >= PART
+    return [F.when(done, F.concat(acc["full"], F.array(more))).otherwise(acc["full"]).alias("full"), F.when(done, F.slice(more, 1, 0)).otherwise(more).alias("open")]
+
+
+def _pushed(acc: Column) -> Column:
+    return F.flatten(F.concat(acc["full"], F.array(acc["open"])))
+
+
+def _start(kind: str) -> list[Column]:
+    return [F.expr(f"cast(array() as array<array<{kind}>>)").alias("full"), F.expr(f"cast(array() as array<{kind}>)").alias("open")]
+
+
 def _spans(text: Column, found: Column, pattern: str) -> Column:
     """array<struct<s,e,m>> of the matches `found` of a pattern: the pieces between them give their places."""
-    none = F.expr("cast(array() as array<struct<s:int,e:int,m:string>>)")
+    kind = "struct<s:int,e:int,m:string>"
 
-    def step(acc, i):
-        s = acc["at"] + F.length(F.get(acc["parts"], i))
-        m = F.get(acc["found"], i)
-        one = F.struct(s.alias("s"), (s + F.length(m)).alias("e"), m.alias("m"))
-        return F.struct((s + F.length(m)).alias("at"), F.concat(acc["out"], F.array(one)).alias("out"), acc["parts"].alias("parts"), acc["found"].alias("found"))
+    def step(acc, x):
+        s = acc["at"] + F.length(x["p"])
+        e = s + F.length(x["m"])
+        return F.struct(e.alias("at"), *_push(acc, F.struct(s.alias("s"), e.alias("e"), x["m"].alias("m"))))
 
-    # both arrays are held in the state, where they are computed once
-    start = F.struct(F.lit(0).alias("at"), none.alias("out"), F.split(text, pattern, -1).alias("parts"), found.alias("found"))
-    walk = F.aggregate(F.sequence(F.lit(0), F.size(found) - 1), start, step, lambda acc: acc["out"])
-    return F.when(F.size(found) > 0, walk).otherwise(none)
+    pieces = F.slice(F.split(text, pattern, -1), 1, F.size(found))
+    walk = F.aggregate(F.zip_with(pieces, found, lambda p, m: F.struct(p.alias("p"), m.alias("m"))), F.struct(F.lit(0).alias("at"), *_start(kind)), step, _pushed)
+    return F.when(F.size(found) > 0, walk).otherwise(F.expr(f"cast(array() as array<{kind}>)"))
 
 
 def _luhn(digits: Column) -> Column:
@@ -134,11 +164,14 @@ def candidates(docs: DataFrame, text_col: str, keep: tuple[str, ...] = ()) -> Da
     }
     t = t.withColumns({k: F.filter(k, f) for k, f in valid.items()})
     base = F.concat(*[F.transform(k, lambda x: F.struct(x["s"], x["e"])) for k in KINDS[:BASE]])
-    t = t.withColumn("base", base)
+    t = t.withColumns({"base": base, "blocks": _blocks(F.col("t"))})
+    # the base spans that reach into each block
+    near = F.transform(F.sequence(F.lit(0), F.size("blocks") - 1), lambda i: F.filter("base", lambda b: (b["s"] < (i + 1) * BLOCK) & (b["e"] > i * BLOCK)))
+    t = t.withColumn("near", F.when((F.size("base") > 0) & (F.size("blocks") > 0), near))
 
     def votes(kind: str, x: Column) -> list[Column]:
         m = x["m"]
-        before = F.lower(F.substring(F.col("t"), F.greatest(F.lit(1), x["s"] + 1 - REACH), F.least(F.lit(REACH), x["s"])))
+        before = F.lower(_cut(F.col("blocks"), F.greatest(F.lit(0), x["s"] - REACH), x["s"]))
         context = F.when(before.rlike(rf"(?:^|[^a-z])(?:{CONTEXT[kind]})"), 1).otherwise(0)
         digits = _digits(m)
         listed = {
@@ -167,7 +200,9 @@ def candidates(docs: DataFrame, text_col: str, keep: tuple[str, ...] = ()) -> Da
 
         found = F.col(kind)
         if n >= BASE:  # what a base span covers already is no candidate of another kind
-            found = F.filter(found, lambda x: ~F.exists("base", lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"])))
+            first, last = (lambda x: F.floor(x["s"] / BLOCK).cast("int")), (lambda x: F.floor((x["e"] - 1) / BLOCK).cast("int"))
+            reached = lambda x: F.flatten(F.slice("near", first(x) + 1, last(x) - first(x) + 1))
+            found = F.when(F.col("near").isNull(), found).otherwise(F.filter(found, lambda x: ~F.exists(reached(x), lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"]))))
         return F.transform(found, one)
 
     return t.select(*keep, F.array_sort(F.concat(*[labelled(n, k) for n, k in enumerate(KINDS)])).alias("cand"))
@@ -268,14 +303,13 @@ def redact(docs: DataFrame, threshold: float = 0.5, text_col: str = "text") -> D
     found = materialize(candidates(source, "text", ("src",)), "spans")  # with the rows, so that the patterns run once
     found = found.withColumn("cand", _accepted(fit(found, OTHERS), threshold)).withColumn("text", F.col("src")[text_col])
     kind = F.array(*[F.lit(f"<{k}>".upper()) for k in KINDS])
-    text = F.col("text")
+    text, blocks = F.col("text"), F.col("blocks")
+    found = found.withColumn("blocks", F.when(F.size("cand") > 0, _blocks(text)))
 
     def step(acc, c):
-        begin = F.greatest(acc["at"], c["s"])
-        piece = F.when(c["s"] >= acc["at"], F.concat(F.substring(text, acc["at"] + 1, begin - acc["at"]), F.element_at(kind, c["k"]))).otherwise("")
-        return F.struct(F.greatest(acc["at"], c["e"]).alias("at"), F.concat(acc["out"], F.array(piece)).alias("out"))
+        piece = F.when(c["s"] >= acc["at"], F.concat(_cut(blocks, acc["at"], c["s"]), F.element_at(kind, c["k"]))).otherwise("")
+        return F.struct(F.greatest(acc["at"], c["e"]).alias("at"), *_push(acc, piece))
 
-    empty = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<string>)").alias("out"))
-    clean = F.aggregate("cand", empty, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(text, acc["at"] + 1, F.length(text))))
+    clean = F.aggregate("cand", F.struct(F.lit(0).alias("at"), *_start("string")), step, lambda acc: F.concat(F.array_join(_pushed(acc), ""), _cut(blocks, acc["at"], F.length(text))))
     found = found.withColumn("clean", F.when((F.size("cand") > 0) & text.isNotNull(), clean).otherwise(text))
     return found.select(*[F.col("clean").alias(c) if c == text_col else F.col("src")[c].alias(c) for c in docs.columns])
