@@ -25,6 +25,8 @@ copies is ever written out.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -57,7 +59,7 @@ def _digest(s: np.ndarray) -> bytes:
         return np.array([mix(s).sum(dtype=U), mix(s ^ U(0x5BD1E995)).sum(dtype=U), len(s)], U).tobytes()
 
 
-def _counter_blocks(k: int, bits: int):
+def _counter_blocks(k: int, bits: int, salts: int):
     """Per task: counts of all shingles by the top bits of their hash, as zlib-packed blocks of 65,536 counters.
 
     Two bytes a counter; before one could overflow, what has been counted is sent off.
@@ -71,7 +73,7 @@ def _counter_blocks(k: int, bits: int):
 
         hasher, counts, most = WordHasher("space"), np.zeros(1 << bits, np.uint16), 0  # no counter exceeds most
         size = min(1 << 16, len(counts))
-        salt = TaskContext.get().partitionId() % 16
+        salt = TaskContext.get().partitionId() % salts
 
         def send():
             for i in range(0, len(counts), size):
@@ -116,8 +118,11 @@ def shingle_ranks(text: DataFrame, k: int, bits: int) -> tuple[np.ndarray, float
     import zlib
 
     schema = "block int, salt int, counts binary"
-    parts = text.mapInArrow(_counter_blocks(k, bits), schema)
-    merged = parts.repartition(16, "block", "salt").mapInArrow(_merge_blocks, schema).repartition(16, "block").mapInArrow(_merge_blocks, schema)
+    # merged in two levels, of about as many blocks each, by as many tasks as any other shuffle has
+    salts = max(16, math.isqrt(text.rdd.getNumPartitions()))
+    tasks = max(16, int(text.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    parts = text.mapInArrow(_counter_blocks(k, bits, salts), schema)
+    merged = parts.repartition(tasks, "block", "salt").mapInArrow(_merge_blocks, schema).repartition(min(tasks, 256), "block").mapInArrow(_merge_blocks, schema)
     ranks, total = np.zeros(1 << bits, np.uint8), 0
     size = min(1 << 16, len(ranks))
     for r in merged.toLocalIterator():
