@@ -14,8 +14,8 @@ comes from one row of counters of fixed size, filled with all shingles of all do
 Steps, all distributed:
 1. counters (2**sketch_bits); 2. prefixes, and a 128-bit digest of each set; equal sets form
 one class and go on as one; 3. shingles that occur in two classes' prefixes; 4. star pairs:
-each such shingle's classes against the one in which it stands first, then, in turns, against the one
-of least hash; those with enough common prefix shingles are verified and joined to components; 5. pairs of classes in different
+each such shingle's classes against the one in which it stands first, then, in turns, against a few
+of the largest component so far; those with enough common prefix shingles are verified and joined to components; 5. pairs of classes in different
 components with enough common prefix shingles, verified.  Shingles of few classes are joined
 with themselves and the pairs counted; the classes of the others are compared in blocks of
 bounded size, each with the list of its shingles of that kind.  Step 5 loses nothing: only
@@ -42,6 +42,8 @@ RANK_BITS = 6
 FEW, BLOCK = 16, 2048
 #: Turns of star pairs after the first, at most; another one follows while one row in MANY of the shingles still open gives a link.
 TURNS, MANY = 8, 5000
+#: Classes of a shingle that all others are compared with in one turn.
+HUBS = 4
 #: Sets that are compared with one set in one group of rows.
 SPOKES = 64
 #: Rows of a class from which its result is joined apart from the others'.
@@ -382,7 +384,8 @@ def _grouped(docs: DataFrame, k: int, num: int, den: int, id_col: str, text_col:
     def verified(pairs: DataFrame) -> DataFrame:
         """The pairs (x, y) of nodes that link; only texts that are in a pair are read into sets, and a set goes once to each block of those it is compared with."""
         pairs = materialize(pairs, "pairs")
-        wanted = materialize(pairs.select(F.explode(F.array("x", "y")).alias("node")).distinct().join(classes, "node"), "wanted")
+        ends = pairs.select(F.col("x").alias("node")).distinct().unionByName(pairs.select(F.col("y").alias("node")).distinct())
+        wanted = materialize(ends.distinct().join(classes, "node"), "wanted")
         degree = pairs.groupBy("x").agg(F.ceil(F.count("*") / SPOKES).cast("int").alias("blocks"))
         dealt = pairs.join(degree, "x").select("x", F.pmod(F.xxhash64("y"), F.col("blocks")).cast("int").alias("block"), "y")
         roles = dealt.select(F.col("y").alias("node"), "x", "block", F.lit(True).alias("spoke")).unionByName(dealt.select(F.col("x").alias("node"), "x", "block", F.lit(False).alias("spoke")).distinct())
@@ -398,24 +401,27 @@ def _grouped(docs: DataFrame, k: int, num: int, den: int, id_col: str, text_col:
 
     row = ["n", "node", "pos", "l", "c"]
 
-    def stars(rows: DataFrame, order: list, which: str) -> DataFrame:
-        """Links of classes with the one of each shingle's that comes first in the order."""
-        hub = rows.groupBy("token").agg(F.min_by(F.struct(*row, "comp"), F.struct(*order)).alias("h")).select("token", *[F.col(f"h.{c}").alias(f"r_{c}") for c in [*row, "comp"]])
+    def stars(rows: DataFrame, orders: list[list], which: str) -> DataFrame:
+        """Links of classes with those of each shingle's that come first in one of the orders."""
+        first = rows.groupBy("token").agg(*[F.min_by(F.struct(*row, "comp"), F.struct(*order)).alias(f"h{i}") for i, order in enumerate(orders)])
+        one = F.col("h0") if len(orders) == 1 else F.explode(F.array_distinct(F.array(*[f"h{i}" for i in range(len(orders))])))
+        hub = first.select("token", one.alias("h")).select("token", *[F.col(f"h.{c}").alias(f"r_{c}") for c in [*row, "comp"]])
         return verified(candidates(rows, hub, which, F.lit(0)).select(F.col("y").alias("x"), F.col("x").alias("y")))
 
     # the class in which a shingle stands first has the fewest of its own before it: of copies with edits, the original
-    links = stars(posted.withColumn("comp", F.col("node")), ["pos", "n", "node"], "node != r_node")
+    links = stars(posted.withColumn("comp", F.col("node")), [["pos", "n", "node"]], "node != r_node")
     rows = None
     for turn in range(1, TURNS + 1):
-        comp = materialize(connected_components(links, "x", "y").select(F.col("id").alias("node"), F.col("component").alias("comp")), "components")
-        labelled = posted.join(small_side(comp), "node", "left").select(posted["*"], F.coalesce("comp", "node").alias("comp"))
+        comp = connected_components(links, "x", "y").select(F.col("id").alias("node"), F.col("component").alias("comp"))
+        comp = materialize(comp.join(comp.groupBy("comp").agg(F.count("*").alias("weight")), "comp"), "components")
+        labelled = posted.join(small_side(comp), "node", "left").select(posted["*"], F.coalesce("comp", "node").alias("comp"), F.coalesce("weight", F.lit(1)).alias("weight"))
         labelled = materialize(labelled, "labelled")
         split = labelled.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("size")).where("lo < hi").select("token", F.col("size").cast("int"))
         mixed = materialize(labelled.join(split, "token"), "mixed")
         discard(labelled, comp, *([rows] if rows is not None else []))
         rows = mixed
-        # copies without their original: all against one that a hash picks, another one in each turn, while that links many
-        found = stars(rows, [F.xxhash64(F.lit(turn), "node").alias("o")], "comp != r_comp")
+        # copies without their original: all against some of the largest component, which a hash picks anew in each turn, while that links many
+        found = stars(rows, [[-F.col("weight"), F.xxhash64(F.lit(turn), F.lit(h), "node")] for h in range(HUBS)], "comp != r_comp")
         n = found.count()
         if not n:
             break
