@@ -266,7 +266,7 @@ def overview(samples: DataFrame, sample_rate: int, width: int, cfg: TileConfig =
     return rows.select("track", "channel", F.col("t").alias("col"), "row", quantise_db(F.col("db"), cfg.floor_db, cfg.ceiling_db).alias("q"))
 
 
-def peak_near(bins: DataFrame, key: list[str], target: float, reach: int = 4) -> DataFrame:
+def peak_near(bins: DataFrame, key: list[str], target: float | Column, reach: int = 4) -> DataFrame:
     """(key..., k, offset, level): the strict local peak nearest to bin `target` within `reach` bins, else the largest bin there; refined by a parabola through the log magnitudes.
 
     bins: (key..., k, mag).
@@ -287,6 +287,40 @@ def peak_near(bins: DataFrame, key: list[str], target: float, reach: int = 4) ->
     return g.select(*key, F.col("p.k").alias("k"), offset.alias("offset"), F.coalesce(m - 0.25 * (a - b) * offset, m).alias("level"))
 
 
+def points(chunks: DataFrame, requests: DataFrame, sample_rate: int, size: int = 2048, window: str = "hann", frames: int = 65_536, reach: int = 4) -> DataFrame:
+    """(request, hz, level): the spectral peak near a frequency at a place of a signal, see peak_near.
+
+    chunks: (track, channel, chunk_idx, samples) of `frames` frames; requests: (request, track,
+    channel, frame, hz), request unique.  A request is sent to the one or two chunks that its
+    `size` samples around the frame lie in, and only these slices go on to its one transform;
+    what lies outside the signal is 0.  A request whose samples all lie outside gives no row.
+    """
+    if size > frames or not supported_size(size):
+        raise ValueError("unsupported transform size")
+    begin = F.col("frame") - size // 2
+    asked = requests.select("request", "track", "channel", "hz", begin.alias("begin"), F.explode(F.array_distinct(F.array(F.floor(begin / frames), F.floor((begin + size - 1) / frames)).cast("array<int>"))).alias("chunk_idx"))
+    offset = F.col("begin") - F.col("chunk_idx") * frames
+    low = F.greatest(offset, F.lit(0)).cast("int")
+    met = asked.join(chunks.select("track", "channel", "chunk_idx", "samples"), ["track", "channel", "chunk_idx"])
+    slices = met.select("request", "hz", (low - offset).cast("int").alias("at"), F.slice("samples", low + 1, F.greatest(F.lit(0), (offset + size - low).cast("int"))).alias("x"))
+    packed = slices.where(F.size("x") > 0).groupBy("request", "hz").agg(F.collect_list(F.struct("at", "x")).alias("s")).select("request", "hz", "s.at", "s.x")
+    w, kinds = _window(window, size), dict(requests.dtypes)
+
+    def run(batches):
+        for df in batches:
+            mags = []
+            for at, xs in zip(df["at"], df["x"], strict=True):
+                dense = np.zeros(size)
+                for a, x in zip(at, xs, strict=True):
+                    dense[a : a + len(x)] = x
+                mags.append(scaled(np.abs(np.fft.rfft(dense * w)), w, "amplitude", sample_rate).tolist())
+            yield df[["request", "hz"]].assign(mag=mags)
+
+    bins = packed.mapInPandas(run, f"request {kinds['request']}, hz double, mag array<double>").select("request", (F.col("hz") * size / sample_rate).alias("target"), F.posexplode("mag").alias("k", "mag"))
+    near = peak_near(bins.where(F.abs(F.col("k") - F.col("target")) <= reach + 1), ["request", "target"], F.col("target"), reach)
+    return near.select("request", ((F.col("k") + F.col("offset")) * sample_rate / size).alias("hz"), "level")
+
+
 def features(bins: DataFrame, key: list[str], hz_per_bin: float) -> DataFrame:
     """Centroid, spread, rolloffs, flatness and band shares from (key..., k, mag)."""
     f, m = F.col("k") * hz_per_bin, F.col("mag")

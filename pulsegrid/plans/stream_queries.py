@@ -1,15 +1,15 @@
-"""Streaming queries: each processes chunk files incrementally and must equal the batch result."""
+"""Queries over chunk files, WAV files and stored states; the streaming ones process files incrementally and must equal the batch result."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
 from pulsegrid.model import StftConfig
-from pulsegrid.operators import loudness, resampling
+from pulsegrid.operators import loudness, partials, resampling, spectral
 from pulsegrid.plans.registry import query
-from pulsegrid.plans.sqlviews import EVENTS, interpolation, k_weighted, r6
-from pulsegrid.plans.stats_queries import rounded
-from pulsegrid.sources import signals
+from pulsegrid.plans.sqlviews import EVENTS, EVENTS16, interpolation, k_weighted, r6
+from pulsegrid.plans.stats_queries import CHANNELS, SR, rounded
+from pulsegrid.sources import shared, signals, wav
 from pulsegrid.streaming import streams
 
 EVF = f"{EVENTS}, ef AS (SELECT track, channel, frame, CAST(CAST(x AS FLOAT) AS DOUBLE) AS x FROM ev)"
@@ -76,3 +76,68 @@ def _(spark, d):
     """44.1 to 48 kHz, with the taps' history carried and drained at the end."""
     folder = streams.chunk_files(signals.events_stereo(spark, d), 333, closing=True)
     return rounded(streams.run_to_table(streams.resampled(streams.chunk_stream(spark, folder, late=None), 44_100, 48_000, "fast"), "append"))
+
+
+WAVS = f"WITH {EVENTS16}, wv AS (SELECT 'w' || frame // 700 AS track, channel, frame % 700 AS frame, x FROM ev16)"
+
+
+def _wav_folder(spark, d):
+    """The events as 16-bit stereo files of 700 frames each, in the shared folder."""
+    import uuid
+
+    folder = f"{shared.shared_folder(spark)}/wav-{uuid.uuid4().hex}"
+    x = signals.events_16bit(spark, d).withColumn("track", F.concat(F.lit("w"), F.floor(F.col("frame") / 700).cast("string"))).withColumn("frame", F.col("frame") % 700)
+    wav.write_wavs(x, folder, SR).count()
+    spark.dataSource.register(wav.WavSource)
+    return folder
+
+
+def _track(rows):
+    return rows.withColumn("track", F.regexp_extract("track", r"([^/]+)\.wav$", 1))
+
+
+@query("wav_ranges", f"{WAVS} SELECT track, channel, frame, {r6('x', 'x')} FROM wv")
+def _(spark, d):
+    """Files read in ranges of 1,000 bytes, each with the chunks of 64 frames that begin there."""
+    chunks = spark.read.format("pulsegrid_wav").option("frames", 64).option("split", 1000).load(_wav_folder(spark, d))
+    return rounded(_track(signals.from_chunks(chunks)))
+
+
+@query("wav_range_of_frames", f"{WAVS} SELECT track, channel, count(*) AS n, {r6('sum(x)', 'total')} FROM wv WHERE frame >= 128 AND frame < 320 GROUP BY ALL")
+def _(spark, d):
+    """Only the chunks that hold frames of a range."""
+    chunks = spark.read.format("pulsegrid_wav").option("frames", 64).option("split", 500).option("beginFrame", 128).option("endFrame", 320).load(_wav_folder(spark, d))
+    return rounded(_track(signals.from_chunks(chunks)).groupBy("track", "channel").agg(F.count("*").alias("n"), F.sum("x").alias("total")))
+
+
+@query("wav_stream", f"{WAVS} SELECT track, channel, frame, {r6('x', 'x')} FROM wv")
+def _(spark, d):
+    """The same files as a stream, each channel ended by an empty chunk."""
+    stream = spark.readStream.format("pulsegrid_wav").option("frames", 64).option("closing", "true").load(_wav_folder(spark, d))
+    return rounded(_track(streams.run_to_table(signals.from_chunks(stream), "append")))
+
+
+@query("stats_merged", CHANNELS)
+def _(spark, d):
+    """Statistics of two days, whose states are stored as they come and merged from there."""
+    import uuid
+
+    folder, x = f"{shared.shared_folder(spark)}/states-{uuid.uuid4().hex}", signals.events_stereo(spark, d)
+    for day in (x.where("frame < 2345"), x.where("frame >= 2345")):
+        partials.states(day, 1000).write.mode("append").parquet(folder)
+    return rounded(partials.figures(partials.merged(spark.read.parquet(folder)), SR))
+
+
+@query("signal_points", f"""WITH {EVENTS}, rq AS (SELECT c_custkey AS request, CAST(c_custkey % 2 AS INTEGER) AS channel, c_custkey * 37 % 5000 AS frame, 60 + abs(c_acctbal) / 30 AS hz FROM customer), n AS (SELECT DISTINCT request, channel, frame, hz FROM rq),
+fr AS (SELECT request, hz * 64 / 1000 AS target, i, CAST(CAST(x AS FLOAT) AS DOUBLE) * (0.5 - 0.5 * cos(2 * pi() * i / 64)) AS x FROM n, range(64) r(i) JOIN ev ON ev.channel = n.channel AND ev.frame = n.frame - 32 + i),
+sp AS (SELECT request, target, k, sqrt(pow(sum(x * cos(2 * pi() * k * i / 64)), 2) + pow(sum(x * sin(2 * pi() * k * i / 64)), 2)) * (CASE WHEN k IN (0, 32) THEN 1 ELSE 2 END) / 32 AS m FROM fr, range(33) q(k) WHERE abs(k - target) <= 5 GROUP BY request, target, k),
+b AS (SELECT request, target, k, 20 * log10(greatest(m, 1e-12)) AS l FROM sp), nb AS (SELECT *, lag(l) OVER w AS a, lead(l) OVER w AS b FROM b WINDOW w AS (PARTITION BY request ORDER BY k)),
+q AS (SELECT *, row_number() OVER (PARTITION BY request ORDER BY CASE WHEN l > a AND l > b THEN 0 ELSE 1 END, CASE WHEN l > a AND l > b THEN abs(k - target) END, CASE WHEN l > a AND l > b THEN k END, l DESC, k) AS rn FROM nb WHERE abs(k - target) <= 4),
+o AS (SELECT *, CASE WHEN a - 2*l + b < 0 THEN greatest(-0.5, least(0.5, 0.5*(a - b)/(a - 2*l + b))) ELSE 0 END AS off FROM q WHERE rn = 1)
+SELECT request, round((k + off) * 1000 / 64, 3) AS hz, round(coalesce(l - 0.25*(a - b)*off, l), 3) AS level FROM o""")
+def _(spark, d):
+    """Each customer asks for the peak near a frequency at a place of the event signal."""
+    c = signals.read(spark, d, "customer")
+    asked = c.select(F.col("c_custkey").alias("request"), F.lit("events").alias("track"), (F.col("c_custkey") % 2).cast("int").alias("channel"), (F.col("c_custkey") * 37 % 5000).alias("frame"), (F.abs("c_acctbal") / 30 + 60).cast("double").alias("hz"))
+    found = spectral.points(signals.to_chunks(signals.events_stereo(spark, d), 512), asked, SR, 64, frames=512)
+    return found.select("request", F.round("hz", 3).alias("hz"), F.round("level", 3).alias("level"))
