@@ -209,14 +209,15 @@ def _(spark, d):
     return rounded(loudness.loudness_range(_z(spark, d)))
 
 
-@query("channel_weights", """SELECT CAST(n AS INTEGER) AS channels, CAST(c AS INTEGER) AS channel, CAST(CASE WHEN n = 5 AND c >= 3 THEN 1.41 WHEN n = 6 AND c = 3 THEN 0 WHEN n = 6 AND c >= 4 THEN 1.41 ELSE 1 END AS DOUBLE) AS weight
-FROM range(1, 9) a(n), range(8) b(c) WHERE c < n""")
-def _(spark, d):
-    out = None
-    for n in range(1, 9):
-        part = spark.range(n).select(F.lit(n).alias("channels"), F.col("id").cast("int").alias("channel")).withColumn("weight", loudness.channel_weight(n).cast("double"))
-        out = part if out is None else out.unionByName(part)
-    return out
+@query("channel_weights", """WITH c AS (SELECT event_id % 8 + 1 AS n, user_id % (event_id % 8 + 1) AS c, value FROM events), w AS (SELECT n, c, value, CASE WHEN n = 5 AND c >= 3 THEN 1.41 WHEN n = 6 AND c = 3 THEN 0 WHEN n = 6 AND c >= 4 THEN 1.41 ELSE 1 END AS weight FROM c)
+SELECT CAST(n AS INTEGER) AS channels, CAST(c AS INTEGER) AS channel, CAST(any_value(weight) AS DOUBLE) AS weight, round(sum(weight * value), 4) AS weighted FROM w GROUP BY n, c""")
+def _(spark, d):
+    """Weighted sums of the events' values, as samples of one to eight channels."""
+    e = signals.read(spark, d, "events").select((F.col("event_id") % 8 + 1).cast("int").alias("channels"), "user_id", "value")
+    e = e.withColumn("channel", (F.col("user_id") % F.col("channels")).cast("int"))
+    weight = F.coalesce(*[F.when(F.col("channels") == n, loudness.channel_weight(n).cast("double")) for n in range(1, 9)])
+    g = e.withColumn("weight", weight).groupBy("channels", "channel").agg(F.max("weight").alias("weight"), F.sum(F.col("weight") * F.col("value")).alias("weighted"))
+    return rounded(g, 4)
 
 
 # 800 frames are 100 ms

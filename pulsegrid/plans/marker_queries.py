@@ -174,10 +174,17 @@ def _(spark, d):
     return rounded(tags.cue_points(spark.createDataFrame([("c", CUE)], "k string, text string"), "k", "text"))
 
 
-@query("tag_numbers", """SELECT * FROM (VALUES ('-6.48 dB', -6.48::DOUBLE, NULL::DOUBLE, NULL::INTEGER, NULL::INTEGER), ('3/12', 3.0, NULL, 3, 12), (' 7', 7.0, NULL, 7, NULL), ('00000200 00000100', 200.0, 2.907300, 200, NULL), ('00000000', 0.0, NULL, 0, NULL), ('none', NULL, NULL, NULL, NULL)) t(s, gain, norm, n, total)""")
-def _(spark, d):
-    s = spark.createDataFrame([("-6.48 dB",), ("3/12",), (" 7",), ("00000200 00000100",), ("00000000",), ("none",)], "s string")
-    v = s.select("s", tags.leading_double(F.col("s")).alias("gain"), F.when(F.col("s").rlike("^[0-9A-Fa-f]{8}"), tags.itunes_gain(F.col("s"))).alias("norm"), tags.number_of(F.col("s"), 1).alias("n"), tags.number_of(F.col("s"), 2).alias("total"))
+@query("tag_numbers", f"""WITH e AS (SELECT event_id AS id, event_id % 4 AS k, event_id % 41 - 20 AS g, event_id % 15 AS a, user_id % 20 AS b, lpad(CAST(event_id AS VARCHAR), 8, '0') AS h FROM events),
+t AS (SELECT *, CASE k WHEN 0 THEN g || ' dB' WHEN 1 THEN a || '/' || b WHEN 2 THEN h || ' 00000100' ELSE 'none' END AS s FROM e)
+SELECT id, s, CAST(CASE k WHEN 0 THEN g WHEN 1 THEN a WHEN 2 THEN CAST(h AS BIGINT) END AS DOUBLE) AS gain, {r6("CASE WHEN k = 2 AND CAST('0x' || h AS BIGINT) > 0 THEN 10 * log10(1000.0 / CAST('0x' || h AS BIGINT)) END", 'norm')},
+CAST(CASE k WHEN 0 THEN CASE WHEN g >= 0 THEN g END WHEN 1 THEN a WHEN 2 THEN CAST(h AS BIGINT) END AS INTEGER) AS n, CAST(CASE WHEN k = 1 THEN b END AS INTEGER) AS total FROM t""")
+def _(spark, d):
+    """Gains, places in a sum and normalisation figures, written as tags from the events' numbers."""
+    k, e = F.col("event_id") % 4, signals.read(spark, d, "events")
+    text = F.when(k == 0, F.concat((F.col("event_id") % 41 - 20).cast("string"), F.lit(" dB"))).when(k == 1, F.concat((F.col("event_id") % 15).cast("string"), F.lit("/"), (F.col("user_id") % 20).cast("string")))
+    text = text.when(k == 2, F.concat(F.lpad(F.col("event_id").cast("string"), 8, "0"), F.lit(" 00000100"))).otherwise("none")
+    s = e.select(F.col("event_id").alias("id"), text.alias("s"))
+    v = s.select("id", "s", tags.leading_double(F.col("s")).alias("gain"), F.when(F.col("s").rlike("^[0-9A-Fa-f]{8}"), tags.itunes_gain(F.col("s"))).alias("norm"), tags.number_of(F.col("s"), 1).alias("n"), tags.number_of(F.col("s"), 2).alias("total"))
     return rounded(v)
 
 

@@ -101,9 +101,13 @@ def _(spark, d):
 # -- markers ----------------------------------------------------------------------------------------
 
 
-@query("overlay_registry", "SELECT * FROM (VALUES " + ", ".join(f"('{k}', '{a}', '{b}', {p}, {str(v).lower()})" for k, a, b, p, v in markers.OVERLAYS) + ") t(kind, density, lane, priority, visible)")
+@query("overlay_registry", "WITH r AS (SELECT * FROM (VALUES " + ", ".join(f"('{k}', '{a}', '{b}', {p}, {str(v).lower()})" for k, a, b, p, v in markers.OVERLAYS) + f""") t(kind, density, lane, priority, visible)), e AS (SELECT [{", ".join(f"'{o[0]}'" for o in markers.OVERLAYS)}][event_id % {len(markers.OVERLAYS)} + 1] AS kind FROM events)
+SELECT r.*, n FROM r JOIN (SELECT kind, count(*) AS n FROM e GROUP BY kind) USING (kind)""")
 def _(spark, d):
-    return markers.overlays(spark)
+    """The events as markers of all kinds in turn, counted, with what the registry holds of each kind."""
+    kinds = F.array(*[F.lit(o[0]) for o in markers.OVERLAYS])
+    e = signals.read(spark, d, "events").select(F.element_at(kinds, (F.col("event_id") % len(markers.OVERLAYS) + 1).cast("int")).alias("kind"))
+    return markers.overlays(spark).join(e.groupBy("kind").agg(F.count("*").alias("n")), "kind")
 
 
 @query("markers_of_clips", f"""WITH {CLIPS} SELECT track, 'clipping:' || "begin" || ':' || (row_number() OVER (PARTITION BY track ORDER BY "begin", channel, kind) - 1) AS id, 'clipping' AS kind, "begin" AS start_frame, CASE WHEN "end" > "begin" THEN "end" END AS end_frame, channel,
