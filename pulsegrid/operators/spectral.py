@@ -142,7 +142,7 @@ def frames_of(samples: DataFrame, size: int, hop: int, centred: bool) -> DataFra
     return _framed(samples, size, hop, centred, "x array<double>", lambda rows: [rows.tolist()])
 
 
-def transform(sample_rate: int, cfg: StftConfig):
+def frame_spectra(sample_rate: int, cfg: StftConfig):
     """The function from a matrix of frames to the lists of their magnitudes, real and imaginary parts."""
     if cfg.size < 2 or cfg.hop < 1 or cfg.hop > cfg.size or not supported_size(cfg.size):
         raise ValueError("unsupported STFT size or hop")
@@ -157,7 +157,7 @@ def transform(sample_rate: int, cfg: StftConfig):
 
 def stft(samples: DataFrame, sample_rate: int, cfg: StftConfig = StftConfig()) -> DataFrame:
     """(track, channel, t, mag, re, im): arrays over the bins of every whole frame."""
-    return _framed(samples, cfg.size, cfg.hop, cfg.centred, "mag array<double>, re array<double>, im array<double>", transform(sample_rate, cfg))
+    return _framed(samples, cfg.size, cfg.hop, cfg.centred, "mag array<double>, re array<double>, im array<double>", frame_spectra(sample_rate, cfg))
 
 
 def frame_time(t: Column, hop: int, size: int, sample_rate: int, centred: bool) -> Column:

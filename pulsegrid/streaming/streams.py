@@ -149,7 +149,7 @@ def stft(stream: DataFrame, sample_rate: int, cfg: StftConfig = StftConfig()) ->
     Equal to spectral.stft of all chunks at once.  A centred transform needs the channel's end,
     an empty chunk, for the frames that reach over it.
     """
-    make = spectral.transform(sample_rate, cfg)
+    make = spectral.frame_spectra(sample_rate, cfg)
     pad = cfg.size // 2 if cfg.centred else 0
 
     def step(place, batches, own):
