@@ -1,7 +1,6 @@
 """Substring deduplication by sliding sentence spans.
 
-Every run of `span` consecutive sentences, and each sentence of `long_words` words, is hashed by
-its words (122 bits), the hashes are counted over all documents, and each sentence that lies in
+Every run of `span` consecutive sentences is hashed by its words (122 bits), the hashes are counted over all documents, and each sentence that lies in
 a repeated run which isn't the run's first occurrence (smallest document id, then position) is
 taken out of its text.
 
@@ -91,8 +90,8 @@ def _unpacked(run: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return run >> 32, run & 0xFFFFFFFF
 
 
-def _runs(n_words: np.ndarray, off: np.ndarray, span: int, min_words: int, long_words: int) -> tuple[np.ndarray, np.ndarray]:
-    """First and end sentence of the shortest runs, from each sentence on and up to each, and the long sentences; a text of fewer than span sentences is one run at most."""
+def _runs(n_words: np.ndarray, off: np.ndarray, span: int, min_words: int, long_words: int | None) -> tuple[np.ndarray, np.ndarray]:
+    """First and end sentence of the shortest runs, from each sentence on and up to each, and the long sentences, if these are asked for; a text of fewer than span sentences is one run at most."""
     total = np.r_[0, np.cumsum(n_words)]
     one = np.arange(len(n_words))
     owner = np.repeat(np.arange(len(off) - 1), np.diff(off))
@@ -101,12 +100,12 @@ def _runs(n_words: np.ndarray, off: np.ndarray, span: int, min_words: int, long_
     after = np.maximum(np.searchsorted(total, total[one] + min_words), one + least)
     before = np.minimum(np.searchsorted(total, total[one + 1] - min_words, "right") - 1, one + 1 - least)
     on, up = after <= hi, before >= lo
-    alone = np.flatnonzero(n_words >= long_words)
+    alone = np.flatnonzero(n_words >= long_words) if long_words else one[:0]
     key = np.unique(np.r_[_packed(one[on], after[on]), _packed(before[up], one[up] + 1), _packed(alone, alone + 1)])
     return _unpacked(key)
 
 
-def _span_rows(span: int, min_words: int, long_words: int):
+def _span_rows(span: int, min_words: int, long_words: int | None):
     def run(batches):
         import pyarrow as pa
 
@@ -169,7 +168,7 @@ def _cleaned(batches):
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n_sent, pa.int64()), pa.array(n_gone, pa.int64()), pa.array(words_gone, pa.int64()), pa.array(texts, pa.string())], names=["id", "n_sentences", "n_removed", "n_words_removed", "text"])
 
 
-def remove_repeated_spans(docs: DataFrame, span: int = 3, min_words: int = 0, id_col: str = "doc_id", text_col: str = "text", long_words: int = 20) -> DataFrame:
+def remove_repeated_spans(docs: DataFrame, span: int = 3, min_words: int = 0, id_col: str = "doc_id", text_col: str = "text", long_words: int | None = None) -> DataFrame:
     """One row per input row: (id, n_sentences, n_removed, n_words_removed, text), text without its repeated sentences.
 
     Every run of `span` sentences is hashed; with min_words, runs of fewer words are lengthened until

@@ -285,15 +285,16 @@ def test_repeated_long_sentence(spark):
     assert got[1].text == f"Two lead. Two end. {short} Two more."
 
 
-def brute_runs(texts, span=2, least=8):
+def brute_runs(texts, span=2, least=8, long=10**9):
     """Sentences of each text that lie in a repeated run, by plain loops; sentences are lines here."""
     rows = defaultdict(set)
     for d, t in enumerate(texts):
         lines = [re.findall("[a-z0-9]+", x) for x in t.split("\n")]
-        enough = lambda a, z: z - a >= span and sum(map(len, lines[a:z])) >= least
+        enough = lambda a, z: z - a >= min(span, len(lines)) and sum(map(len, lines[a:z])) >= least
         for a in range(len(lines)):
             for z in range(a + 1, len(lines) + 1):
-                if enough(a, z) and not (enough(a + 1, z) and enough(a, z - 1)):
+                alone = z == a + 1 and len(lines[a]) >= long
+                if alone or enough(a, z) and not (enough(a + 1, z) and enough(a, z - 1)):
                     rows[tuple(w for x in lines[a:z] for w in x)].add((d, a, z))
     gone = defaultdict(set)
     for at in rows.values():
@@ -306,10 +307,11 @@ def test_repeated_runs_of_any_sentence_length(spark):
     rng = np.random.default_rng(3)
     parts = ["\n".join(" ".join(rng.choice(["a", "b", "c", "d"], rng.integers(1, 7))) for _ in range(rng.integers(1, 9))) for _ in range(12)]
     texts = ["\n".join(parts[i] for i in rng.integers(0, 12, rng.integers(2, 5))) for _ in range(40)]
-    got = {r.doc_id: r.n_removed for r in span_dedup.remove_repeated_spans(docs(spark, texts), span=2, min_words=8).collect()}
-    assert [got[i] for i in range(len(texts))] == brute_runs(texts)
-    got = {r.doc_id: r.n_removed for r in span_dedup.remove_repeated_spans(docs(spark, texts)).collect()}
-    assert [got[i] for i in range(len(texts))] == [n if len(t.split("\n")) >= 3 else got[i] for i, (t, n) in enumerate(zip(texts, brute_runs(texts, 3, 0), strict=True))]
+    texts += ["a b c d a b c d e", "a b\nc d a b c d e", "a b c d a b c d e", "a b\nc d", "x"]
+    for span, least, long in ((2, 8, None), (3, 0, None), (3, 0, 5), (4, 12, 6)):
+        rows = span_dedup.remove_repeated_spans(docs(spark, texts), span=span, min_words=least, long_words=long)
+        got = {r.doc_id: r.n_removed for r in rows.collect()}
+        assert [got[i] for i in range(len(texts))] == brute_runs(texts, span, least, long or 10**9)
 
 
 def test_short_runs_count(spark):
