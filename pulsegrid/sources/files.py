@@ -155,22 +155,6 @@ def content_key(content: Column) -> Column:
     return F.sha2(content, 256)
 
 
-def store_results(results: DataFrame, folder: str, keys: list[str]) -> None:
-    """Adds results to the cache: Parquet under a folder for each analyzer, sorted by the keys, which the readers' filters use.
-
-    The write commits as a whole or not at all; what was stored before under equal keys stays, and read_results() takes the newest.
-    """
-    results.withColumn("stored_at", F.current_timestamp()).sortWithinPartitions(*keys).write.mode("append").partitionBy(keys[0]).parquet(folder)
-
-
-def read_results(spark, folder: str, keys: list[str]) -> DataFrame:
-    """The newest result of each combination of keys."""
-    from pyspark.sql import Window
-
-    w = Window.partitionBy(*keys).orderBy(F.col("stored_at").desc())
-    return spark.read.parquet(folder).withColumn("_rank", F.rank().over(w)).where("_rank = 1").drop("_rank", "stored_at")
-
-
 def parameter_key(params: DataFrame, key: str, name: str, value: str) -> DataFrame:
     """(key, params_hash): a digest of the sorted pairs, so the order of parameters doesn't matter and equal pairs don't cancel."""
     return params.groupBy(key).agg(F.sha2(F.to_json(F.sort_array(F.collect_list(F.struct(name, value)))), 256).alias("params_hash"))
