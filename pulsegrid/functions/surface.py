@@ -25,16 +25,12 @@ SCALARS = {
 }
 
 
-def _values(samples) -> np.ndarray:
-    return np.array([np.nan if v is None else v for v in samples or ()], float)
-
-
 @udtf(returnType="track string, channel int, begin bigint, `end` bigint, peak double")
 class Runs:
     """Runs of samples at or above a level, cut at the chunks' edges; pg_joined with a gap of 0 makes them whole."""
 
     def eval(self, row, level: float):
-        size = np.abs(_values(row["samples"]))
+        size = np.abs(np.array([np.nan if v is None else v for v in row["samples"] or ()], float))
         hit = np.r_[False, np.isfinite(size) & (size >= level), False]
         edge = np.flatnonzero(hit[1:] != hit[:-1])
         for a, z in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True):
@@ -97,7 +93,7 @@ class States:
     """Each chunk's statistics: they merge by sums, extremes and the signs at the edges."""
 
     def eval(self, row):
-        x, start = _values(row["samples"]), row["start_frame"]
+        x, start = np.array([np.nan if v is None else v for v in row["samples"] or ()], float), row["start_frame"]
         at = np.flatnonzero(np.isfinite(x))
         if not len(at):
             return
