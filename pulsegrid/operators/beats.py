@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from pulsegrid.functions.exprs import clamp
 from pulsegrid.model import PeakPickConfig, TempoConfig
-from pulsegrid.operators import islands
+from pulsegrid.operators import islands, tracking
 
 
 def whitened(spectra: DataFrame, decay: float = 0.9997, floor: float = 1e-6) -> DataFrame:
@@ -172,33 +172,9 @@ def refined_bpm(found: DataFrame, bpm: float | Column) -> DataFrame:
     return g.select("track", F.when(F.size("ds") >= 3, 60 / _upper_median(F.col("ds"))).otherwise(F.col("bpm")).alias("bpm"))
 
 
-def track_beats(series: DataFrame, period: float | None = None, tightness: float = 100.0) -> DataFrame:
-    """(track, t): beats by dynamic programming over the series; period in frames, or else each track's own in a column of that name."""
-    fixed = period
-
-    def run(df):
-        df = df.sort_values("t")
-        period = float(df["period"].iloc[0]) if fixed is None else fixed
-        v = df["v"].to_numpy()
-        n = len(v)
-        best, prev = np.array(v, float), np.full(n, -1)
-        lo, hi = max(1, round(0.5 * period)), max(1, round(2 * period))
-        cost = -tightness * np.log(np.arange(lo, hi + 1) / period) ** 2
-        for i in range(lo, n):
-            back = np.arange(lo, min(hi, i) + 1)
-            s = best[i - back] + cost[: len(back)]
-            j = int(s.argmax())
-            if s[j] > 0:
-                best[i] += s[j]
-                prev[i] = i - back[j]
-        out, i = [], int(best.argmax()) if n else -1
-        while i >= 0:
-            out.append(i)
-            i = prev[i]
-        return df.iloc[sorted(out)][["track", "t"]]
-
-    kind = dict(series.dtypes)["track"]
-    return series.groupBy("track").applyInPandas(run, f"track {kind}, t long")
+def track_beats(series: DataFrame, period: float | None = None, tightness: float = 100.0, chunk: int = tracking.CHUNK) -> DataFrame:
+    """(track, t): beats by dynamic programming over the series, chunk by chunk; period in frames, or else each track's own in a column of that name."""
+    return tracking.track(series, F.col("period") if period is None else F.lit(period), tightness, chunk)
 
 
 def phase_confidence(series: DataFrame, beats: DataFrame) -> DataFrame:

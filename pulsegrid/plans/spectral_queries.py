@@ -232,7 +232,14 @@ def _(spark, d):
     return rounded(beats.tempo_series(beats.high_frequency_content(_spec(spark, d)), 0.05, TempoConfig(min_bpm=120.0, window_s=2.5)))
 
 
-@query("beats")
+# a loop over the frames as a recursion: s holds the last 20 scores, the latest first
+@query("beats", f"""WITH RECURSIVE {NORM}, q AS MATERIALIZED (SELECT track, t, v, row_number() OVER (PARTITION BY track ORDER BY t) AS i FROM nz),
+dp AS (SELECT track, CAST(0 AS BIGINT) AS i, CAST(0 AS BIGINT) AS t, list_transform(range(20), lambda x: CAST('-inf' AS DOUBLE)) AS s, CAST(0 AS BIGINT) AS back FROM q GROUP BY track
+UNION ALL SELECT track, i, t, list_prepend(v + greatest(0, list_max(w)), s[1:19]), CASE WHEN list_max(w) > 0 THEN 4 + list_position(w, list_max(w)) ELSE 0 END
+FROM (SELECT q.track, q.i, q.t, q.v, dp.s, list_transform(range(5, 21), lambda d: dp.s[d] - 100 * power(ln(d / 10.0), 2)) AS w FROM dp JOIN q ON q.track = dp.track AND q.i = dp.i + 1)),
+dm AS MATERIALIZED (SELECT track, i, t, s[1] AS best, back FROM dp WHERE i > 0),
+bt AS (SELECT track, i, t, back FROM (SELECT *, row_number() OVER (PARTITION BY track ORDER BY best DESC, i) AS r FROM dm) WHERE r = 1
+UNION ALL SELECT dm.track, dm.i, dm.t, dm.back FROM bt JOIN dm ON dm.track = bt.track AND dm.i = bt.i - bt.back WHERE bt.back > 0) SELECT track, t FROM bt""")
 def _(spark, d):
     return beats.track_beats(_norm(spark, d), 10.0)
 

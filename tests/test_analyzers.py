@@ -208,6 +208,40 @@ def test_beat_tracking_against_a_loop(spark):
     assert [r.t for r in beats.track_beats(own).orderBy("t").collect()] == want[::-1]
 
 
+def test_beats_by_chunks_are_those_of_one_loop(spark):
+    """Tracks over many chunks, one that ends early, one with a gap longer than a chunk and missing values, one that begins late."""
+    import pandas as pd
+
+    rng = np.random.default_rng(21)
+    period, tight = 9.0, 100.0
+    tracks = {name: rng.normal(0, 1, n) for name, n in (("a", 700), ("b", 30), ("c", 500), ("d", 420))}
+    tracks["c"][[3, 40, 41, 180]] = np.nan
+    tracks["c"][200:310] = np.nan
+    tracks["d"][:170] = np.nan
+    want, rows = {}, []
+    for name, v in tracks.items():
+        best, prev = np.where(np.isnan(v), -np.inf, v), [-1] * len(v)
+        for i in range(len(v)):
+            options = [(best[i - k] - tight * np.log(k / period) ** 2, -k) for k in range(max(1, round(period / 2)), round(2 * period) + 1) if i >= k]
+            if options and np.isfinite(v[i]) and max(options)[0] > 0:
+                score, k = max(options)
+                best[i], prev[i] = best[i] + score, i + k
+        at, i = [], int(best.argmax())
+        while i >= 0:
+            at.append(i)
+            i = prev[i]
+        want[name] = at[::-1]
+        rows += [(name, i, float(x)) for i, x in enumerate(v) if i % 2 or not np.isnan(x)]  # half of the missing as not a number, half left out
+    series = spark.createDataFrame(pd.DataFrame(rows, columns=["track", "t", "v"]), "track string, t long, v double")
+    odd = spark.createDataFrame([(None, 1, 1.0), ("a", None, 9.0), ("e", 5, None)], series.schema)
+    for chunk in (1, 40, 64, 1000):
+        found = {}
+        for r in beats.track_beats(series.unionByName(odd).repartition(7), period, chunk=chunk).orderBy("track", "t").collect():
+            found.setdefault(r.track, []).append(r.t)
+        assert found == want
+    assert beats.track_beats(series.limit(0), period).count() == 0
+
+
 def test_tempo_series_is_the_tempo_of_each_window(spark):
     import pandas as pd
 
