@@ -40,14 +40,12 @@ class BeatAnalysis:
 def detection_series(samples: DataFrame, sample_rate: int, cfg: BeatConfig = BeatConfig()) -> tuple[DataFrame, DataFrame]:
     """(series of the combined onset detection function of the mono sum, band masks), one row a hop."""
     frames = spectral.stft(stats.mono_sum(samples), sample_rate, StftConfig(cfg.size, cfg.hop))
-    bins = frames.select("track", "t", F.posexplode(F.arrays_zip("mag", "re", "im")).alias("k", "b")).select("track", "t", "k", "b.*")
-    white = beats.whitened(bins)
     bands = tuple(round(hz * cfg.size / sample_rate) for hz in (cfg.low_hz, cfg.high_hz))
-    rise = beats.flux(white, bands)
-    parts = [rise.select("track", "t", F.col("flux").alias("v")), beats.complex_deviation(white), beats.high_frequency_content(white)]
+    found = written(beats.detections(frames, bands), "functions")
+    parts = [found.select("track", "t", F.col(c).alias("v")) for c in ("flux", "deviation", "content")]
     window = max(1, int(sample_rate / cfg.hop))
     series = beats.combined([(beats.normalised(p, window), 1.0) for p in parts])
-    return series, rise.select("track", "t", "band_mask")
+    return series, found.select("track", "t", "band_mask")
 
 
 def analyze_beats(samples: DataFrame, sample_rate: int, cfg: BeatConfig = BeatConfig()) -> BeatAnalysis:

@@ -53,6 +53,64 @@ def high_frequency_content(spectra: DataFrame) -> DataFrame:
     return spectra.groupBy("track", "t").agg(F.sum(F.col("k") * F.col("mag") * F.col("mag")).alias("v"))
 
 
+def detections(frames: DataFrame, bands: tuple[int, int], lam: float = 1000.0, share: float = 0.2, decay: float = 0.9997, floor: float = 1e-6, chunk: int = 256) -> DataFrame:
+    """(track, t, flux, band_mask, deviation, content) of whole frames (track, t, mag[], re[], im[]): flux, complex_deviation and high_frequency_content after whitened, in one pass.
+
+    Frames are taken by chunks with the two frames before them; a chunk's own maxima, one row a
+    bin, are all that the running peaks need of the chunks before it.  Frames are numbered
+    without gaps: one whose predecessors are missing counts as a track's first.
+    """
+    kind, slope = dict(frames.dtypes)["track"], math.log(decay)
+    rows = frames.select("track", "t", "mag", "re", "im", F.floor(F.col("t") / chunk).alias("c"))
+
+    def stacked(df, name):
+        return np.stack([np.asarray(x, float) for x in df[name]])
+
+    def levels(df):
+        with np.errstate(divide="ignore"):
+            return np.log(stacked(df, "mag")) - df["t"].to_numpy()[:, None] * slope
+
+    def maxima(df):
+        top = levels(df).max(axis=0)
+        return tracking.of_one(df["track"].iloc[0], c=np.full(len(top), df["c"].iloc[0]), k=np.arange(len(top)), top=top)
+
+    def figures(df, past):
+        import pandas as pd
+
+        df = df.sort_values("t")
+        own = df["own"].to_numpy(bool) if len(df) else np.zeros(0, bool)
+        if not own.any():
+            return pd.DataFrame(columns=["track", "t", "flux", "band_mask", "deviation", "content"])
+        t, mag, re, im = df["t"].to_numpy(), stacked(df, "mag"), stacked(df, "re"), stacked(df, "im")
+        before = np.full(mag.shape[1], -np.inf)
+        before[past["k"].to_numpy(int)] = past["before"].to_numpy(float)
+        peak = np.exp(np.maximum(np.maximum.accumulate(levels(df), axis=0), before) + t[:, None] * slope)
+        white = mag / np.maximum(peak, floor)
+        n = len(t)
+        one, two = np.zeros(n, bool), np.zeros(n, bool)
+        one[1:], two[2:] = t[1:] == t[:-1] + 1, t[2:] == t[:-2] + 2
+        rise = np.zeros_like(mag)
+        rise[1:] = np.maximum(0.0, np.diff(np.log(1 + lam * white), axis=0))
+        rise[~one] = 0
+        total = rise.sum(axis=1)
+        of = np.stack([rise[:, a:b].sum(axis=1) for a, b in ((0, bands[0]), (bands[0], bands[1]), (bands[1], None))])
+        mask = (((total > 0) & (of >= share * total)) * np.array([[1], [2], [4]])).sum(axis=0)
+        phase, off = np.arctan2(im, re), np.zeros(n)
+        target = 2 * phase[1:-1] - phase[:-2]
+        off[2:] = np.hypot(re[2:] - white[1:-1] * np.cos(target), im[2:] - white[1:-1] * np.sin(target)).sum(axis=1)
+        off[~two] = 0
+        content = (np.arange(mag.shape[1]) * white * white).sum(axis=1)
+        return tracking.of_one(df["track"].iloc[0], t=t[own], flux=total[own], band_mask=mask[own].astype(np.int32), deviation=off[own], content=content[own])
+
+    tops = rows.groupBy("track", "c").applyInPandas(maxima, f"track {kind}, c long, k int, top double")
+    w = Window.partitionBy("track", "k").orderBy("c").rowsBetween(Window.unboundedPreceding, -1)
+    before = tops.withColumn("before", F.max("top").over(w)).where("before is not null").select("track", "c", "k", "before")
+    reach = F.when(F.pmod("t", F.lit(chunk)) >= chunk - 2, F.array(F.col("c"), F.col("c") + 1)).otherwise(F.array("c"))
+    near = rows.withColumn("_c", F.explode(reach)).select("track", F.col("_c").alias("c"), "t", "mag", "re", "im", (F.col("_c") == F.col("c")).alias("own"))
+    both = near.groupBy("track", "c").cogroup(before.groupBy("track", "c"))
+    return both.applyInPandas(figures, f"track {kind}, t long, flux double, band_mask int, deviation double, content double")
+
+
 def _upper_median(a: Column) -> Column:
     return F.get(F.sort_array(a), F.floor(F.size(a) / 2).cast("int"))
 

@@ -65,7 +65,7 @@ def _dense(df) -> np.ndarray:
     return v
 
 
-def _of_one(name, **columns):
+def of_one(name, **columns):
     """A pandas frame of one track's rows; names stay Python objects, whatever their type."""
     import pandas as pd
 
@@ -90,7 +90,7 @@ def track(series: DataFrame, period: Column, tightness: float = 100.0, chunk: in
     def weigh(df):
         lo, hi, added = penalties(float(df["period"].iloc[0]), tightness)
         m = edge_weights(_dense(df), lo, hi, added)
-        return _of_one(df["track"].iloc[0], c=np.full(hi, df["c"].iloc[0]), j=np.arange(hi), w=list(m))
+        return of_one(df["track"].iloc[0], c=np.full(hi, df["c"].iloc[0]), j=np.arange(hi), w=list(m))
 
     def chain(batches):
         import pandas as pd
@@ -119,7 +119,7 @@ def track(series: DataFrame, period: Column, tightness: float = 100.0, chunk: in
         best, back, leaves = scores(v, np.full(hi, -np.inf) if incoming.empty else np.asarray(incoming["state"].iloc[0], float), lo, hi, added)
         i = np.flatnonzero(np.isfinite(v))
         of = {"c": np.full(len(i), df["c"].iloc[0]), "i": i, "size": np.full(len(i), len(v))}
-        return _of_one(df["track"].iloc[0], **of, best=best[i], back=back[i], leaves=leaves[i], edge=i >= len(v) - hi)
+        return of_one(df["track"].iloc[0], **of, best=best[i], back=back[i], leaves=leaves[i], edge=i >= len(v) - hi)
 
     def crossings(top, edges):
         import pandas as pd
@@ -144,7 +144,7 @@ def track(series: DataFrame, period: Column, tightness: float = 100.0, chunk: in
             while i >= 0:
                 out.append(first + i)
                 i = i - back[i] if back[i] else -1
-        return _of_one(df["track"].iloc[0] if out else None, t=np.array(out, np.int64))
+        return of_one(df["track"].iloc[0] if out else None, t=np.array(out, np.int64))
 
     last = rows.groupBy("track").agg(F.max("c").alias("last"))
     weights = rows.join(last, "track").where("c < last").groupBy("track", "c").applyInPandas(weigh, f"track {kind}, c long, j int, w array<double>")

@@ -208,6 +208,28 @@ def test_beat_tracking_against_a_loop(spark):
     assert [r.t for r in beats.track_beats(own).orderBy("t").collect()] == want[::-1]
 
 
+def test_detections_of_frames_are_those_of_bins(spark):
+    """One pass by chunks against the functions that work bin by bin; silent bins and a silent frame among them."""
+    import pandas as pd
+
+    rng = np.random.default_rng(31)
+    rows = []
+    for name, n in (("a", 40), ("b", 7), ("c", 1)):
+        z = rng.normal(0, 1, (n, 12)) + 1j * rng.normal(0, 1, (n, 12))
+        z[:, 3] = 0
+        z[n // 2] = 0
+        z *= np.exp(rng.normal(0, 2, (n, 1)))
+        rows += [(name, t, np.abs(x).tolist(), x.real.tolist(), x.imag.tolist()) for t, x in enumerate(z)]
+    frames = spark.createDataFrame(rows, "track string, t long, mag array<double>, re array<double>, im array<double>")
+    white = beats.whitened(frames.select("track", "t", F.posexplode(F.arrays_zip("mag", "re", "im")).alias("k", "b")).select("track", "t", "k", "b.*"), decay=0.9)
+    want = beats.flux(white, (4, 8)).join(beats.complex_deviation(white).withColumnRenamed("v", "deviation"), ["track", "t"]).join(beats.high_frequency_content(white).withColumnRenamed("v", "content"), ["track", "t"]).orderBy("track", "t").toPandas()
+    assert len(want) == 48
+    for chunk in (2, 5, 8, 256):
+        got = beats.detections(frames.repartition(5), (4, 8), decay=0.9, chunk=chunk).orderBy("track", "t").toPandas()
+        pd.testing.assert_frame_equal(got[want.columns], want, rtol=1e-9, atol=1e-12, check_dtype=False)
+    assert beats.detections(frames.limit(0), (4, 8)).count() == 0
+
+
 def test_beats_by_chunks_are_those_of_one_loop(spark):
     """Tracks over many chunks, one that ends early, one with a gap longer than a chunk and missing values, one that begins late."""
     import pandas as pd
