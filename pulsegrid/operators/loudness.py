@@ -193,7 +193,9 @@ def polyphase(quality: str, cutoff: float = 1.0) -> np.ndarray:
     beta = 0.1102 * (attenuation - 8.7) if attenuation > 50 else 0.5842 * (attenuation - 21) ** 0.4 + 0.07886 * (attenuation - 21)
     t = np.arange(taps) - taps / 2 + 1
     x = t[None, :] - np.arange(phases + 1)[:, None] / phases
-    h = cutoff * np.sinc(cutoff * x) * np.i0(beta * np.sqrt(np.maximum(0, 1 - (2 * x / taps) ** 2))) / np.i0(beta)
+    # sin(pi * v) isn't 0 in doubles: at whole positions the sample itself has to come out, or one at full scale passes for a peak above it
+    v = cutoff * x
+    h = cutoff * np.where((v == np.round(v)) & (v != 0), 0.0, np.sinc(v)) * np.i0(beta * np.sqrt(np.maximum(0, 1 - (2 * x / taps) ** 2))) / np.i0(beta)
     return h / h.sum(axis=1, keepdims=True)
 
 
@@ -213,23 +215,37 @@ def resample_block(x: np.ndarray, ratio: float, quality: str = "best") -> np.nda
     return (rows * (table[p] * (1 - part) + table[p + 1] * part)).sum(axis=1)
 
 
+def _oversampled(df, n: int, c: int, oversampling: int, chunk: int, halo: int) -> tuple[np.ndarray, np.ndarray]:
+    """(positions, absolute values) of chunk c of a signal of n frames, from its rows and its neighbours' within `halo`.
+
+    Every row goes to the place that its frame says: missing and null samples are 0, and those of one frame add up.
+    """
+    begin = c * chunk - halo
+    dense = np.zeros(chunk + 2 * halo)
+    np.add.at(dense, df["frame"].to_numpy() - begin, np.nan_to_num(df["x"].to_numpy(float), nan=0.0, posinf=np.inf, neginf=-np.inf))
+    y = np.abs(resample_block(dense, oversampling))
+    i = np.arange(halo * oversampling, halo * oversampling + (min(n, (c + 1) * chunk) - c * chunk) * oversampling)
+    return begin + i / oversampling, y[i]
+
+
+def _with_halo(samples: DataFrame, chunk: int, halo: int) -> DataFrame:
+    """Rows by chunks with a halo, and the frames of their channel as n."""
+    x = samples.select(*KEY, "frame", F.col("x").cast("double").alias("x"))
+    n = x.groupBy(*KEY).agg((F.max("frame") + 1).alias("n"))
+    parts = islands.chunked(x, "frame", halo, halo, chunk).where("_chunk >= 0")
+    # a halo may reach beyond the last chunk, where nothing is asked for
+    return parts.join(F.broadcast(n), KEY).where(F.col("_chunk") * chunk < F.col("n"))
+
+
 def true_peak(samples: DataFrame, oversampling: int = 4, chunk: int = 65_536, halo: int = 64) -> DataFrame:
-    """Per channel: oversampled peak, its frame, and dBTP.  Chunks carry a halo of their neighbours' frames and run in parallel."""
-    parts = islands.chunked(samples.select(*KEY, "frame", "x"), "frame", halo, halo, chunk).withColumnRenamed("_chunk", "chunk").where("chunk >= 0")
+    """Per channel: oversampled peak, its frame, and dBTP.  Chunks carry a halo of their neighbours' frames and run in parallel; missing frames are 0."""
 
     def peaks(df):
-        df = df.sort_values("frame")
-        c = int(df["chunk"].iloc[0])
-        frames, x = df["frame"].to_numpy(), df["x"].to_numpy()
-        y = np.abs(resample_block(x, oversampling))
-        pos = frames[0] + np.arange(len(y)) / oversampling
-        own = (pos >= c * chunk) & (pos < (c + 1) * chunk)
-        if not own.any():
-            return df.iloc[:0][[*KEY]].assign(peak=0.0, frame=0)
-        i = int(np.argmax(np.where(own, y, -1)))
+        pos, y = _oversampled(df, int(df["n"].iloc[0]), int(df["_chunk"].iloc[0]), oversampling, chunk, halo)
+        i = int(np.argmax(y))
         return df.iloc[:1][[*KEY]].assign(peak=float(y[i]), frame=int(round(pos[i])))
 
-    found = parts.groupBy(*KEY, "chunk").applyInPandas(peaks, "track string, channel int, peak double, frame long")
+    found = _with_halo(samples, chunk, halo).groupBy(*KEY, "_chunk").applyInPandas(peaks, "track string, channel int, peak double, frame long")
     g = found.groupBy(*KEY).agg(F.max(F.struct("peak", (-F.col("frame")).alias("back"))).alias("p"))
     return g.select(*KEY, F.col("p.peak").alias("true_peak"), (-F.col("p.back")).alias("frame"), db(F.col("p.peak")).alias("dbtp"))
 
@@ -239,20 +255,16 @@ def inter_sample_peaks(samples: DataFrame, threshold_db: float = 0.0, oversampli
 
     Chunks carry a halo of their neighbours' frames for the interpolation, so that the positions
     and peaks don't depend on where chunks end; a chunk's sample peak is that of its own frames.
+    Missing frames are 0; a chunk without frames of its own has no peaks.
     """
     limit = 10 ** (threshold_db / 20)
-    parts = islands.chunked(samples.select(*KEY, "frame", "x"), "frame", halo, halo, chunk)
 
     def over(df):
-        df = df.sort_values("frame")
-        frames, x = df["frame"].to_numpy(), df["x"].to_numpy()
-        y = np.abs(resample_block(x, oversampling))
-        c = int(df["_chunk"].iloc[0])
-        pos = frames[0] + np.arange(len(y)) / oversampling
-        i = np.flatnonzero((y > limit) & (pos >= c * chunk) & (pos < (c + 1) * chunk))
-        if not len(i):
-            return df.iloc[:0][[*KEY, "frame"]].assign(peak=0.0, sample_peak=0.0)
+        own = df["_own"].to_numpy()
+        pos, y = _oversampled(df, int(df["n"].iloc[0]), int(df["_chunk"].iloc[0]), oversampling, chunk, halo)
+        i = np.flatnonzero(y > limit) if own.any() else np.zeros(0, np.int64)
         one = df.iloc[:1][[*KEY]]
-        return one.loc[one.index.repeat(len(i))].assign(frame=np.round(pos[i]).astype(np.int64), peak=y[i], sample_peak=float(np.abs(x[df["_own"].to_numpy()]).max()))
+        x = np.abs(df["x"].to_numpy(float)[own])
+        return one.loc[one.index.repeat(len(i))].assign(frame=np.round(pos[i]).astype(np.int64), peak=y[i], sample_peak=float(np.nanmax(x)) if np.isfinite(x).any() else None)
 
-    return parts.groupBy(*KEY, "_chunk").applyInPandas(over, "track string, channel int, frame long, peak double, sample_peak double")
+    return _with_halo(samples, chunk, halo).groupBy(*KEY, "_chunk").applyInPandas(over, "track string, channel int, frame long, peak double, sample_peak double")
