@@ -43,3 +43,7 @@ def test_samples_at_full_scale_are_no_peaks_above_it(spark):
     rng = np.random.default_rng(3)
     x = np.where(rng.random(4000) < 0.5, 1.0, -1.0)
     assert (np.abs(loudness.resample_block(x, 4)[::4]) == 1.0).all()
+
+
+def test_clipping_at_missing_and_repeated_frames(spark, events):
+    assert any("inter_sample_peak" in str(r) for r in same(spark, events, "analysis_clipping", "events"))
