@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from pulsegrid.operators import islands
+
 # Kind, lane, priority, whether it is dense, whether it shows at first
 KINDS = (
     ("click", 0, 5, True, True),
@@ -189,11 +191,23 @@ def applied(markers: DataFrame, edits: DataFrame) -> DataFrame:
     return both.select("id", *[value(c).alias(c) for c in columns])
 
 
-def next_error(markers: DataFrame, at: DataFrame) -> DataFrame:
-    """For each (track, at): the next error after it (errors, and decoder events of severity 3), from the track's start again if there is none."""
-    errors = markers.where("kind = 'error' or (kind = 'decoderEvent' and severity = 3)").select("track", "start_frame", "id")
-    first = errors.groupBy("track").agg(F.min(F.struct("start_frame", "id")).alias("first"))
-    rows = errors.select("track", F.col("start_frame").alias("f"), "id", F.lit(None).cast("long").alias("at")).unionByName(at.select("track", F.col("at").alias("f"), F.lit(None).cast("string").alias("id"), "at"))
-    ahead = F.min(F.when(F.col("at").isNull(), F.struct("f", "id"))).over(Window.partitionBy("track").orderBy("f").rangeBetween(1, Window.unboundedFollowing))
-    found = rows.withColumn("n", ahead).where("at is not null").join(first, "track", "left")
-    return found.select("track", "at", F.coalesce("n.f", "first.start_frame").alias("start_frame"), F.coalesce("n.id", "first.id").alias("id"))
+def next_error(markers: DataFrame, at: DataFrame, chunk: int = islands.CHUNK) -> DataFrame:
+    """For each (track, at): the next error after it (errors, and decoder events of severity 3), from the track's start again if there is none.
+
+    Places and errors of a chunk are passed once, latest first, each place taking the error
+    passed last; where none follows in the chunk, it is the first of the next chunk that has any,
+    found over one row a chunk.
+    """
+    errors = markers.where("track is not null and start_frame is not null and (kind = 'error' or (kind = 'decoderEvent' and severity = 3))")
+    errors = errors.select("track", F.col("start_frame").cast("long").alias("f"), "id", F.lit(False).alias("asked"))
+    places = at.select("track", F.col("at").cast("long").alias("f"), F.lit(None).cast("string").alias("id"), F.lit(True).alias("asked"))
+    rows = errors.unionByName(places).withColumn("_chunk", F.coalesce(F.floor(F.col("f") / chunk), F.lit(0)))
+    error = F.when(~F.col("asked"), F.struct("f", "id"))
+    # at one frame places come before errors, and of these the smallest id is passed last
+    w = Window.partitionBy("track", "_chunk").orderBy(F.col("f").desc(), F.col("asked").desc(), F.col("id").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    near = rows.withColumn("near", F.last(error, ignorenulls=True).over(w)).where("asked").select("track", "_chunk", F.col("f").alias("at"), "near")
+    track = Window.partitionBy("track")
+    heads = rows.groupBy("track", "_chunk").agg(F.min(error).alias("head"))
+    heads = heads.select("track", "_chunk", F.last("head", ignorenulls=True).over(track.orderBy(F.col("_chunk").desc()).rowsBetween(Window.unboundedPreceding, -1)).alias("later"), F.min("head").over(track).alias("first"))
+    found = near.join(heads, ["track", "_chunk"], "left").withColumn("e", F.coalesce(F.when(F.col("at").isNotNull(), F.coalesce("near", "later")), "first"))
+    return found.select("track", "at", F.col("e.f").alias("start_frame"), "e.id")

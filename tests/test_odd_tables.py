@@ -47,3 +47,21 @@ def test_samples_at_full_scale_are_no_peaks_above_it(spark):
 
 def test_clipping_at_missing_and_repeated_frames(spark, events):
     assert any("inter_sample_peak" in str(r) for r in same(spark, events, "analysis_clipping", "events"))
+
+
+def test_next_errors_of_places_without_track_or_far_from_errors(spark, events):
+    same(spark, events, "markers_next_error", "events")
+    m = spark.createDataFrame([("a", "x", "error", 100, None), ("a", "w", "error", 100, None), ("a", "y", "decoderEvent", 5_000, 3), ("a", "z", "decoderEvent", 40, 2), (None, "n", "error", 7, None)], "track string, id string, kind string, start_frame long, severity long")
+    at = spark.createDataFrame([("a", 99), ("a", 100), ("a", 5_000), ("a", 90_000), ("b", 1), (None, 1)], "track string, at long")
+    for chunk in (64, 65_536):
+        got = {(r.track, r.at): (r.start_frame, r.id) for r in markers.next_error(m, at, chunk).collect()}
+        assert got == {("a", 99): (100, "w"), ("a", 100): (5_000, "y"), ("a", 5_000): (100, "w"), ("a", 90_000): (100, "w"), ("b", 1): (None, None), (None, 1): (None, None)}
+
+
+def test_next_errors_in_linear_time(spark):
+    """One track of 200,000 places; a frame that looks at all that follows would pass 20,000,000,000 rows."""
+    e = spark.range(200_000).select(F.lit("t").alias("track"), F.format_string("m%d", "id").alias("id"), F.lit("error").alias("kind"), (F.col("id") * 10).alias("start_frame"), F.lit(0).alias("severity"))
+    begin = time.monotonic()
+    found = markers.next_error(e, e.select("track", (F.col("start_frame") + 5).alias("at")))
+    assert found.where("start_frame = at + 5 or (start_frame = 0 and at = 1999995)").count() == 200_000
+    assert time.monotonic() - begin < 60
