@@ -28,6 +28,8 @@ from pulsegrid.sources.files import _three_syncs, to_float
 SCHEMA = "track string, channel int, chunk_idx int, start_frame long, samples array<float>, sample_rate int, bit_depth int, error string"
 #: Frames are read from driver-side headers, to leave out tasks, for so many long files at most.
 HEADERS = 1000
+#: Tasks of a read at most: beyond that, neighbouring ranges share one, as each task costs the driver some kilobytes.
+TASKS = 2000
 
 
 def _open(path: str):
@@ -122,6 +124,22 @@ class Range(InputPartition):
         self.parts = parts
 
 
+def _dealt(ranges: list[Range]) -> list[Range]:
+    """The ranges in their order over TASKS tasks at most; ranges of one file that follow one another become one, which needs its header once."""
+    if len(ranges) <= TASKS:
+        return ranges
+    cuts = [i * len(ranges) // TASKS for i in range(TASKS + 1)]
+    out = []
+    for a, z in zip(cuts, cuts[1:], strict=False):
+        parts = []
+        for path, size, begin, end in (p for r in ranges[a:z] for p in r.parts):
+            if parts and parts[-1][0] == path and parts[-1][3] == begin:
+                begin = parts.pop()[2]
+            parts.append((path, size, begin, end))
+        out.append(Range(parts))
+    return out
+
+
 def _batch(rows, rate, depth, error=None):
     import pyarrow as pa
 
@@ -193,7 +211,7 @@ class WavReader(DataSourceReader):
                 held, size = [], 0
             held.append((path, n, 0, max(n, 1)))
             size += n
-        return out + ([Range(held)] if held else []) or [Range([])]
+        return _dealt(out + ([Range(held)] if held else [])) or [Range([])]
 
     def _reached(self, path, n, spans):
         """The spans in which a wanted chunk begins."""
@@ -233,7 +251,7 @@ class WavStreamReader(DataSourceStreamReader):
     def partitions(self, start, end):
         old, new = json.loads(start["files"]), json.loads(end["files"])
         parts = [Range([(path, n, old.get(path, 0), n)]) for path, n in sorted(new.items()) if n > old.get(path, 0)]
-        return parts or [Range([])]
+        return _dealt(parts) or [Range([])]
 
     def commit(self, end):
         pass

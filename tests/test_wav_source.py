@@ -130,3 +130,17 @@ def test_write_and_read(spark, tmp_path):
         for c in (0, 1):
             assert got[f"{t}.wav", c] == [v for tt, cc, _, v in rows if (tt, cc) == (t, c)]
     assert got["c.wav", 0] == [0.0, 0.0, 0.0, 32767 / 32768, 0.0]
+
+
+def test_many_short_ranges_share_tasks(spark, tmp_path, monkeypatch):
+    for i in range(30):
+        (tmp_path / f"{i}.wav").write_bytes(wav.header(1, 8000, 16, False, 400) + bytes(range(200)) * 2)
+    options = {"path": str(tmp_path), "split": "100", "frames": "16"}
+    read = lambda parts: [tuple(map(str, r)) for p in parts for b in wav.WavReader(options).read(p) for r in zip(*b.to_pydict().values(), strict=True)]
+    every = wav.WavReader(options).partitions()
+    assert len(every) == 150
+    monkeypatch.setattr(wav, "TASKS", 7)
+    few = wav.WavReader(options).partitions()
+    assert len(few) == 7 and sum(len(p.parts) for p in few) <= 37 and read(few) == read(every)
+    stream = wav.WavStreamReader(options)
+    assert len(stream.partitions(stream.initialOffset(), stream.latestOffset())) == 7
