@@ -145,3 +145,13 @@ def test_curve_against_a_loop(spark):
     for _, p, *_ in bins:
         assert math.isclose(got["t", p], sum(v * kernel((p - at) / wide) for at, v in want), abs_tol=1e-12)
     assert {r.value for r in curve.between(points, df, ["track"], 0).collect()} == {0.0}
+
+
+def test_curve_multiplies_no_point_by_its_pixels(spark):
+    """Points meet their pixels inside a task: the plan makes rows of blocks, one or two a point, and tasks of a bounded number of pixels."""
+    df = spark.range(50_000).select(F.lit("t").alias("track"), F.col("id").alias("pixel"))
+    points = df.where("pixel % 10 = 0").select("track", F.col("pixel").cast("double").alias("at"), F.lit(1.0).alias("value"))
+    made = curve.between(points, df, ["track"], 10.0)
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert "FlatMapGroupsInPandas" in plan and "sum(" not in plan
+    assert made.where("abs(value - 1) < 0.02").count() > 49_900
