@@ -19,7 +19,7 @@ def point_samples(bins: DataFrame, part: list[str]) -> DataFrame:
     so they are found chunk by chunk like all others; bins without a value part runs.
     """
     valued = bins.withColumn("value", (F.col("min") + F.col("max")) / 2)
-    found = islands.runs(valued.where("value is not null and not isnan(value)"), [*part, "value"], "pixel", F.lit(True))
+    found = islands.runs(valued.where("value is not null and not isnan(value)"), [*part, "value"], "pixel", F.lit(True), repeats=False)
     return found.select(*part, ((F.col("begin") + F.col("end") - 1) / 2).alias("at"), "value")
 
 

@@ -36,22 +36,32 @@ def hysteresis(df: DataFrame, part: list[str], order: str, level: Column, enter:
     return df.withColumn(out, F.coalesce(F.last(decided, ignorenulls=True).over(w), F.lit(True)))
 
 
-def runs(df: DataFrame, part: list[str], order: str, flag: Column, **extra: tuple) -> DataFrame:
+def runs(df: DataFrame, part: list[str], order: str, flag: Column, repeats: bool = True, **extra: tuple) -> DataFrame:
     """(part..., begin, end, n, extra...): maximal runs of consecutive order values with flag true; end exclusive.
 
+    Rows are numbered over the whole partition, and those belong together whose order value is as far
+    from their number: what repeated order values make of that doesn't depend on where chunks end.
     extra are pairs (aggregate function, column) over a run's rows, of functions that can be
-    applied to their own results.  Runs are found chunk by chunk; only the pieces that touch a
-    chunk's edge are joined over the whole partition.
+    applied to their own results.  Runs are found chunk by chunk; over the whole partition goes one
+    row a chunk, its number of rows, for which df is read once more.  Without repeats (order values that are
+    unique in a partition) only the pieces that touch a chunk's edge are joined, and df is read once.
     """
     keys = [*part, "_chunk"]
     hit = chunked(df.where(flag), order)
-    hit = hit.withColumn("_grp", F.col(order) - F.row_number().over(Window.partitionBy(*keys).orderBy(order)))
-    pieces = hit.groupBy(*keys, "_grp").agg(F.min(order).alias("begin"), (F.max(order) + 1).alias("end"), F.count("*").alias("n"), *[f(c).alias(k) for k, (f, c) in extra.items()]).drop("_grp", "_chunk")
+    numbered = hit.withColumn("_grp", F.col(order) - F.row_number().over(Window.partitionBy(*keys).orderBy(order)))
+    pieces = numbered.groupBy(*keys, "_grp").agg(F.min(order).alias("begin"), (F.max(order) + 1).alias("end"), F.count("*").alias("n"), *[f(c).alias(k) for k, (f, c) in extra.items()])
+    whole = [F.min("begin").alias("begin"), F.max("end").alias("end"), F.sum("n").alias("n"), *[f(k).alias(k) for k, (f, _) in extra.items()]]
+    if repeats:
+        counts = hit.where(F.col("_chunk").isNotNull()).groupBy(*keys).agg(F.count("*").alias("_n"))
+        ahead = counts.withColumn("_ahead", F.sum("_n").over(Window.partitionBy(*part).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)))
+        ahead = ahead.select(*[F.col(k).alias(f"_of_{k}") for k in keys], "_ahead")
+        placed = pieces.join(ahead, [F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in keys], "left").withColumn("_grp", F.col("_grp") - F.coalesce("_ahead", F.lit(0)))
+        return placed.groupBy(*part, "_grp").agg(*whole).drop("_grp")
+    pieces = pieces.drop("_grp", "_chunk")
     edge = (F.col("begin") % CHUNK == 0) | (F.col("end") % CHUNK == 0)
     w = Window.partitionBy(*part).orderBy("begin")
     near = pieces.where(edge).withColumn("_new", F.when(F.lag("end").over(w) == F.col("begin"), 0).otherwise(1)).withColumn("_grp", F.sum("_new").over(w))
-    joined = near.groupBy(*part, "_grp").agg(F.min("begin").alias("begin"), F.max("end").alias("end"), F.sum("n").alias("n"), *[f(k).alias(k) for k, (f, _) in extra.items()]).drop("_grp")
-    return pieces.where(~edge).unionByName(joined)
+    return pieces.where(~edge).unionByName(near.groupBy(*part, "_grp").agg(*whole).drop("_grp"))
 
 
 def merge_runs(df: DataFrame, part: list[str], gap: Column | float, inclusive: bool, **extra: Column) -> DataFrame:

@@ -22,7 +22,7 @@ def regions(windows: DataFrame, frames: DataFrame, cfg: SilenceConfig, window_s:
 
     frames: (track, frame_count).
     """
-    found = islands.runs(windows, ["track"], "w", F.col("quiet"), mask=(F.bit_or, F.col("mask")))
+    found = islands.runs(windows, ["track"], "w", F.col("quiet"), repeats=False, mask=(F.bit_or, F.col("mask")))
     merged = islands.merge_runs(found, ["track"], cfg.merge_ms / 1000 / window_s, inclusive=False, mask=F.bit_or("mask"))
     kept = merged.where((F.col("end") - F.col("begin")) * window_s * 1000 >= cfg.min_ms)
     size = round(window_s * sample_rate)

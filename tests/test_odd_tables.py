@@ -70,3 +70,10 @@ def test_next_errors_in_linear_time(spark):
 def test_formats_of_short_texts(spark, tmp_path):
     duckdb.sql(f"copy (select i as doc_id, case when i % 60 < 56 then repeat('é', (i // 4) % 14 // 2) || repeat('a', (i // 4) % 2) end as text from range(400) t(i)) to '{tmp_path}/documents.parquet'")
     assert len(same(spark, str(tmp_path), "file_formats", "documents")) > 250
+
+
+def test_clips_of_repeated_frames_across_chunks(spark, tmp_path):
+    """Every frame of both channels twice to four times over three chunks: repeats shift the numbers of all rows behind them, in later chunks too."""
+    duckdb.sql(f"""copy (select i as event_id, timestamp '2024-01-01' as ts, i % 97 as user_id, 'click' as event_type, round(abs(sin(i * 1.7) * cos(i / 90.0)) * 300, 2) as value, '{{}}' as props
+        from range(300000) t(i), range(4) u(c) where c < 2 + i % 3) to '{tmp_path}/events.parquet'""")
+    assert len(same(spark, str(tmp_path), "clip_events", "events")) > 100
