@@ -14,8 +14,9 @@ comes from one row of counters of fixed size, filled with all shingles of all do
 Steps, all distributed:
 1. counters (2**sketch_bits); 2. prefixes, and a 128-bit digest of each set; equal sets form
 one class and go on as one; 3. shingles that occur in two classes' prefixes; 4. star pairs:
-each such shingle's classes against the one in which it stands first, then, in turns, against a few
-of the largest component so far; those with enough common prefix shingles are verified and joined to components; 5. pairs of classes in different
+each such shingle's classes against the one in which it stands first, then, in turns, those of
+shingles of many classes against a few of the largest component so far; those with enough common
+prefix shingles are verified and joined to components; 5. pairs of classes in different
 components with enough common prefix shingles, verified.  Shingles of few classes are joined
 with themselves and the pairs counted; the classes of the others are compared in blocks of
 bounded size, each with the list of its shingles of that kind.  Step 5 loses nothing: only
@@ -40,7 +41,7 @@ U = np.uint64
 RANK_BITS = 6
 #: Classes of one prefix shingle up to which it is joined with itself, and beyond it, how many are compared in one block.
 FEW, BLOCK = 16, 2048
-#: Turns of star pairs after the first, at most; another one follows while one row in MANY of the shingles still open gives a link.
+#: Turns of star pairs after the first, at most, on shingles of more than FEW classes; another one follows while one row in MANY of these still open gives a link.
 TURNS, MANY = 8, 5000
 #: Classes of a shingle that all others are compared with in one turn.
 HUBS = 4
@@ -324,6 +325,14 @@ def _text_key(text: Column) -> Column:
     return F.struct(F.xxhash64(text).alias("a"), F.xxhash64(F.lit("text"), text).alias("b"))
 
 
+def hubs(rows: DataFrame, columns: list[str], orders: list[list]) -> DataFrame:
+    """(token, r_comp and columns with an r_ before): the classes of each token that come first in one of the orders."""
+    every = [*columns, "comp"]
+    first = rows.groupBy("token").agg(*[F.min_by(F.struct(*every), F.struct(*order)).alias(f"h{i}") for i, order in enumerate(orders)])
+    one = F.col("h0") if len(orders) == 1 else F.explode(F.array_distinct(F.array(*[f"h{i}" for i in range(len(orders))])))
+    return first.select("token", one.alias("h")).select("token", *[F.col(f"h.{c}").alias(f"r_{c}") for c in every])
+
+
 def similarity_components(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """One row per input row: (doc_id, n_shingles, class_id, component_id).
 
@@ -403,10 +412,7 @@ def _grouped(docs: DataFrame, k: int, num: int, den: int, id_col: str, text_col:
 
     def stars(rows: DataFrame, orders: list[list], which: str) -> DataFrame:
         """Links of classes with those of each shingle's that come first in one of the orders."""
-        first = rows.groupBy("token").agg(*[F.min_by(F.struct(*row, "comp"), F.struct(*order)).alias(f"h{i}") for i, order in enumerate(orders)])
-        one = F.col("h0") if len(orders) == 1 else F.explode(F.array_distinct(F.array(*[f"h{i}" for i in range(len(orders))])))
-        hub = first.select("token", one.alias("h")).select("token", *[F.col(f"h.{c}").alias(f"r_{c}") for c in [*row, "comp"]])
-        return verified(candidates(rows, hub, which, F.lit(0)).select(F.col("y").alias("x"), F.col("x").alias("y")))
+        return verified(candidates(rows, hubs(rows, row, orders), which, F.lit(0)).select(F.col("y").alias("x"), F.col("x").alias("y")))
 
     # the class in which a shingle stands first has the fewest of its own before it: of copies with edits, the original
     links = stars(posted.withColumn("comp", F.col("node")), [["pos", "n", "node"]], "node != r_node")
@@ -421,12 +427,14 @@ def _grouped(docs: DataFrame, k: int, num: int, den: int, id_col: str, text_col:
         discard(labelled, comp, *([rows] if rows is not None else []))
         rows = mixed
         # copies without their original: all against some of the largest component, which a hash picks anew in each turn, while that links many
-        found = stars(rows, [[-F.col("weight"), F.xxhash64(F.lit(turn), F.lit(h), "node")] for h in range(HUBS)], "comp != r_comp")
+        # shingles of few classes are left to the last step, which joins them whole: a row of hubs for each of them would be most of the work
+        wide = rows.where(F.col("size") > FEW)
+        found = stars(wide, [[-F.col("weight"), F.xxhash64(F.lit(turn), F.lit(h), "node")] for h in range(HUBS)], "comp != r_comp")
         n = found.count()
         if not n:
             break
         links = materialize(links.unionByName(found), "links")
-        if n * MANY < rows.count():
+        if n * MANY < wide.count():
             break
     discard(posted)
 

@@ -709,3 +709,16 @@ def test_pipeline_stages_on_empty_and_odd_tables(spark):
             assert now.columns == docs_.columns
         assert now.count() == (4 if docs_ is odd else 0)
         assert corpus_pipeline.STAGES[-1][1](spark, now, "/root/testdata/sf0.001").count() == now.count()
+
+
+def test_no_hubs_for_shingles_of_few_classes(spark, monkeypatch):
+    """Shingles of few classes go to the last step, with one hub row each for the first star pairs and none for the turns."""
+    seen, hubs = [], ngram_join.hubs
+    monkeypatch.setattr(ngram_join, "hubs", lambda rows, columns, orders: seen.append((len(orders), (out := hubs(rows, columns, orders)).count(), rows.groupBy("token").count().where(f"count <= {ngram_join.FEW}").count())) or out)
+    rng = np.random.default_rng(5)
+    shared = [" ".join(f"s{j}w{i}" for i in range(12)) for j in range(30)]
+    texts = [" ".join([*(f"d{d}w{i}" for i in range(20)), *(shared[j] for j in rng.integers(0, 30, 3))]) for d in range(60)]
+    texts += [f"{texts[0]} more", f"{texts[1]} more"]
+    got = {r.doc_id: r.component_id for r in ngram_join.similarity_components(docs(spark, texts), 3, 9, 10, sketch_bits=8).collect()}
+    assert got == {d: {60: 0, 61: 1}.get(d, d) for d in range(62)}
+    assert seen[0][0] == 1 and seen[0][2] > 10 and len(seen) > 1 and all(few == 0 for n, _, few in seen[1:])
