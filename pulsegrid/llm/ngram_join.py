@@ -372,9 +372,9 @@ def _grouped(docs: DataFrame, k: int, num: int, den: int, id_col: str, text_col:
     packed = F.shiftleft(F.col("n"), 32) + F.shiftleft(F.col("pos").cast("long"), 4) + F.col("l")
     posted = firsts.select("node", "n", "l", F.posexplode("tokens").alias("pos", "token")).select("token", "node", packed.alias("nums"))
     # as many tokens as documents: both sides shuffle, whatever the size
-    often = posted.groupBy("token").agg(F.count("*").alias("m")).where("m > 1").select("token")
-    posted = posted.join(often.hint("merge"), "token", "left_semi")
-    posted = posted.select("token", "node", F.shiftright("nums", 32).alias("n"), F.shiftright("nums", 4).bitwiseAND((1 << 28) - 1).cast("int").alias("pos"), F.col("nums").bitwiseAND(15).cast("int").alias("l"))
+    often = posted.groupBy("token").agg(F.count("*").cast("int").alias("size")).where("size > 1")
+    posted = posted.join(often.hint("merge"), "token")
+    posted = posted.select("token", "size", "node", F.shiftright("nums", 32).alias("n"), F.shiftright("nums", 4).bitwiseAND((1 << 28) - 1).cast("int").alias("pos"), F.col("nums").bitwiseAND(15).cast("int").alias("l"))
     posted = materialize(posted.withColumn("c", F.expr(f"(n * {num} + {den - 1}) div {den}")), "posted")
 
     def candidates(left: DataFrame, right: DataFrame, which: str, spare: Column) -> DataFrame:
@@ -416,26 +416,33 @@ def _grouped(docs: DataFrame, k: int, num: int, den: int, id_col: str, text_col:
 
     # the class in which a shingle stands first has the fewest of its own before it: of copies with edits, the original
     links = stars(posted.withColumn("comp", F.col("node")), [["pos", "n", "node"]], "node != r_node")
-    rows = None
-    for turn in range(1, TURNS + 1):
+
+    def parted(rows: DataFrame, links: DataFrame) -> DataFrame:
+        """rows of the shingles whose classes aren't all in one component, with comp and its weight."""
         comp = connected_components(links, "x", "y").select(F.col("id").alias("node"), F.col("component").alias("comp"))
         comp = materialize(comp.join(comp.groupBy("comp").agg(F.count("*").alias("weight")), "comp"), "components")
-        labelled = posted.join(small_side(comp), "node", "left").select(posted["*"], F.coalesce("comp", "node").alias("comp"), F.coalesce("weight", F.lit(1)).alias("weight"))
+        labelled = rows.join(small_side(comp), "node", "left").select(rows["*"], F.coalesce("comp", "node").alias("comp"), F.coalesce("weight", F.lit(1)).alias("weight"))
         labelled = materialize(labelled, "labelled")
-        split = labelled.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("size")).where("lo < hi").select("token", F.col("size").cast("int"))
+        split = labelled.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("token")
         mixed = materialize(labelled.join(split, "token"), "mixed")
-        discard(labelled, comp, *([rows] if rows is not None else []))
-        rows = mixed
+        discard(labelled, comp)
+        return mixed
+
+    # shingles of few classes are left to the last step, which joins them whole: a row of hubs for each of them would be most of the work
+    wide = materialize(posted.where(F.col("size") > FEW), "wide")
+    for turn in range(1, TURNS + 1):
+        still = parted(wide, links)
         # copies without their original: all against some of the largest component, which a hash picks anew in each turn, while that links many
-        # shingles of few classes are left to the last step, which joins them whole: a row of hubs for each of them would be most of the work
-        wide = rows.where(F.col("size") > FEW)
-        found = stars(wide, [[-F.col("weight"), F.xxhash64(F.lit(turn), F.lit(h), "node")] for h in range(HUBS)], "comp != r_comp")
-        n = found.count()
+        found = stars(still, [[-F.col("weight"), F.xxhash64(F.lit(turn), F.lit(h), "node")] for h in range(HUBS)], "comp != r_comp")
+        n, left = found.count(), still.count()
+        discard(still)
         if not n:
             break
         links = materialize(links.unionByName(found), "links")
-        if n * MANY < wide.count():
+        if n * MANY < left:
             break
+    rows = parted(posted, links)
+    discard(wide)
     discard(posted)
 
     many = rows.where(F.col("size") > FEW).withColumn("level", F.greatest(F.lit(1), F.col("pos") - (F.col("n") - F.col("c")) + 1).cast("tinyint"))
