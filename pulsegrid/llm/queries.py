@@ -55,7 +55,7 @@ def op8_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return span_dedup.remove_repeated_spans(table(spark, sf_dir, "documents"))
+    return span_dedup.remove_repeated_spans(table(spark, sf_dir, "documents"), pair_words=20)
 
 
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,6 +1,6 @@
 """Substring deduplication by sliding sentence spans.
 
-Every run of `span` consecutive sentences is hashed by its words (122 bits), the hashes are counted over all documents, and each sentence that lies in
+Every run of `span` consecutive sentences, and every pair of enough words, is hashed by its words (122 bits), the hashes are counted over all documents, and each sentence that lies in
 a repeated run which isn't the run's first occurrence (smallest document id, then position) is
 taken out of its text.
 
@@ -90,8 +90,8 @@ def _unpacked(run: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return run >> 32, run & 0xFFFFFFFF
 
 
-def _runs(n_words: np.ndarray, off: np.ndarray, span: int, min_words: int, long_words: int | None) -> tuple[np.ndarray, np.ndarray]:
-    """First and end sentence of the shortest runs, from each sentence on and up to each, and the long sentences, if these are asked for; a text of fewer than span sentences is one run at most."""
+def _runs(n_words: np.ndarray, off: np.ndarray, span: int, min_words: int, long_words: int | None, pair_words: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """First and end sentence of the shortest runs, from each sentence on and up to each, and the long sentences and pairs, if these are asked for; a text of fewer than span sentences is one run at most."""
     total = np.r_[0, np.cumsum(n_words)]
     one = np.arange(len(n_words))
     owner = np.repeat(np.arange(len(off) - 1), np.diff(off))
@@ -101,18 +101,19 @@ def _runs(n_words: np.ndarray, off: np.ndarray, span: int, min_words: int, long_
     before = np.minimum(np.searchsorted(total, total[one + 1] - min_words, "right") - 1, one + 1 - least)
     on, up = after <= hi, before >= lo
     alone = np.flatnonzero(n_words >= long_words) if long_words else one[:0]
-    key = np.unique(np.r_[_packed(one[on], after[on]), _packed(before[up], one[up] + 1), _packed(alone, alone + 1)])
+    pair = np.flatnonzero((one + 2 <= hi) & (total[np.minimum(one + 2, len(n_words))] - total[one] >= pair_words)) if pair_words else one[:0]
+    key = np.unique(np.r_[_packed(one[on], after[on]), _packed(before[up], one[up] + 1), _packed(alone, alone + 1), _packed(pair, pair + 2)])
     return _unpacked(key)
 
 
-def _span_rows(span: int, min_words: int, long_words: int | None):
+def _span_rows(span: int, min_words: int, long_words: int | None, pair_words: int | None):
     def run(batches):
         import pyarrow as pa
 
         hasher, spans = SentenceHasher(), SpanHasher()
         for b in sliced(batches, 1):
             words, n_words, _, off = hasher(*utf8(b.column(1)))
-            first, end = _runs(n_words, off, span, min_words, long_words)
+            first, end = _runs(n_words, off, span, min_words, long_words, pair_words)
             word = np.r_[0, np.cumsum(n_words)]
             h, g = spans(words, word[first], word[end])
             doc = np.searchsorted(off, first, "right") - 1
@@ -168,19 +169,20 @@ def _cleaned(batches):
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n_sent, pa.int64()), pa.array(n_gone, pa.int64()), pa.array(words_gone, pa.int64()), pa.array(texts, pa.string())], names=["id", "n_sentences", "n_removed", "n_words_removed", "text"])
 
 
-def remove_repeated_spans(docs: DataFrame, span: int = 3, min_words: int = 0, id_col: str = "doc_id", text_col: str = "text", long_words: int | None = None) -> DataFrame:
+def remove_repeated_spans(docs: DataFrame, span: int = 3, min_words: int = 0, id_col: str = "doc_id", text_col: str = "text", long_words: int | None = None, pair_words: int | None = None) -> DataFrame:
     """One row per input row: (id, n_sentences, n_removed, n_words_removed, text), text without its repeated sentences.
 
     Every run of `span` sentences is hashed; with min_words, runs of fewer words are lengthened until
-    they have as many.  A sentence of long_words words is a run alone; a text of fewer than `span`
-    sentences is one run.  Null and empty texts come back as they
+    they have as many.  Two consecutive sentences of pair_words words together are a run as well: a passage
+    that begins and ends inside sentences may hold no more whole ones.  A sentence of long_words words
+    is a run alone; a text of fewer than `span` sentences is one run.  Null and empty texts come back as they
     are, with zeros.  Rows with a null id are left alone and are no one's first occurrence.
     Rows that repeat an id are taken as one document: equal rows keep the same sentences.
     Other columns are ignored.
     """
     small_batches(docs.sparkSession)
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    runs = base.where("id is not null").mapInArrow(_span_rows(span, min_words, long_words), "id long, run long, h long, g long")
+    runs = base.where("id is not null").mapInArrow(_span_rows(span, min_words, long_words, pair_words), "id long, run long, h long, g long")
     often = runs.groupBy("h", "g").agg(F.count("*").alias("n"), F.min(F.struct("id", "run")).alias("first"))
     often = materialize(often.where("n > 1").select("h", "g", F.col("first.id").alias("first_id"), F.col("first.run").alias("first_run")), "repeated")
     gone = runs.join(small_side(often, 1_500_000), ["h", "g"]).where("id != first_id or run != first_run")

@@ -314,6 +314,19 @@ def test_repeated_runs_of_any_sentence_length(spark):
         assert [got[i] for i in range(len(texts))] == brute_runs(texts, span, least, long or 10**9)
 
 
+def test_passages_of_two_whole_sentences(spark, tmp_path):
+    """A passage of 70 words that begins and ends inside sentences holds two whole ones, which are no run of three."""
+    from pulsegrid.llm import queries
+
+    words = lambda tag, n: " ".join(f"{tag}{i}" for i in range(n))
+    passage = f"{words('end', 5)}. {words('one', 30)}. {words('two', 30)}. {words('begin', 5)}"
+    texts = [f"{words(f'lead{d}', 9)}. {words(f'x{d}', 4)} {passage} {words(f'y{d}', 6)}. {words(f'tail{d}', 8)}." for d in range(3)]
+    texts += [f"{words('a', 8)}. See one two. Stop here now. {words('b', 9)}.", f"{words('c', 8)}. See one two. Stop here now. {words('d', 9)}."]
+    docs(spark, texts).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.n_removed, r.n_words_removed) for r in queries.op9_substring_dedup(spark, str(tmp_path)).collect()}
+    assert got == {0: (0, 0), 1: (2, 60), 2: (2, 60), 3: (0, 0), 4: (0, 0)}
+
+
 def test_short_runs_count(spark):
     got = [r.n_removed for r in span_dedup.remove_repeated_spans(docs(spark, ["Buy now today. Click here please.", "Buy now today. Click here please."])).orderBy("doc_id").collect()]
     assert got == [0, 2]
